@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import quality, sharding
+from gaugeworks.llm import bpe, chat, quality, sharding
 
 QUERIES = {
     "op3_quality": quality.op3_quality,
     "op7_sharding": sharding.op7_sharding,
+    "op8_bpe": bpe.op8_bpe,
+    "op10_chat": chat.op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {}
