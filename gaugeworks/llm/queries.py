@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import bpe, chat, quality, sharding
+from gaugeworks.llm import bpe, chat, media, quality, sharding, urls
 
 QUERIES = {
+    "op1_urls": urls.op1_urls,
     "op3_quality": quality.op3_quality,
+    "op4_media": media.op4_media,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe": bpe.op8_bpe,
     "op10_chat": chat.op10_chat,
