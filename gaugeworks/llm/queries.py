@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import bpe, chat, media, quality, sharding, urls
+from gaugeworks.llm import bpe, chat, media, quality, secrets, sharding, urls
 
 QUERIES = {
     "op1_urls": urls.op1_urls,
+    "op2_secrets": secrets.op2_secrets,
     "op3_quality": quality.op3_quality,
     "op4_media": media.op4_media,
     "op7_sharding": sharding.op7_sharding,
