@@ -50,10 +50,9 @@ def tree_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         if 1 << len(levels) > 2 * total:
             break
         up = level.select("tree", F.col("node").alias("jump"), F.col("jump").alias("far"), F.col("depth").alias("more"), F.col("score").alias("extra"))
-        level, _ = materialise(
-            level.join(up, ["tree", "jump"], "left").select("tree", "node", F.col("far").alias("jump"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score")),
-            "tree-jump",
-        )
+        on = level.where("jump IS NOT NULL").join(up, ["tree", "jump"], "left")
+        on = on.select("tree", "node", F.col("far").alias("jump"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score"))
+        level, _ = materialise(on.unionByName(level.where("jump IS NULL")), "tree-jump")
         levels.append(level)
     rooted = level.where("jump IS NULL")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("score") / (F.col("depth") + 1)), "node")

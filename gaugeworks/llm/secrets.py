@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.shared import materialise, table
+from gaugeworks.llm.shared import literal_array, materialise, table
 
 #: Kind, pattern (a letter class in either case is written out), group held against the least length.
 BASE = (
@@ -111,7 +111,7 @@ def fit(samples: DataFrame) -> tuple[list[float], int]:
 
 def ratio(value: Column, weights: list[float]) -> Column:
     """Mean log-likelihood ratio per character of a string."""
-    table_ = F.from_json(F.lit("[" + ",".join(map(str, weights)) + "]"), "array<double>")
+    table_ = literal_array(weights, "D")
     total = F.aggregate(steps_of(value), F.lit(0.0), lambda acc, cell: acc + F.coalesce(F.get(table_, cell), F.lit(0.0)))
     return total / F.greatest(F.length(value), F.lit(1))
 

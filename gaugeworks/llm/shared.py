@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes 0x09-0x0D and 0x20 separate words.
 WORD_SPACE = np.zeros(256, dtype=bool)
@@ -25,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal_array(values: list, suffix: str) -> Column:
+    """A constant array as one folded literal (suffix: L for bigint, D for double)."""
+    return F.expr("array(" + ",".join(f"{v}{suffix}" for v in values) + ")")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the session (spark.checkpoint.dir).
 
