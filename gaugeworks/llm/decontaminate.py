@@ -51,9 +51,10 @@ def _windows(source: DataFrame, keys: list[str], size: int, keep=None) -> DataFr
     hashed = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("template", i, size)).alias("h")))
     if keep is not None:
         hashed = F.filter(hashed, lambda w: keep(w["h"]))
-    cut = source.select(*keys, "words", "template", hashed.alias("found")).where(F.size("found") > 0)
+    cut = source.select(*keys, "words", "template", hashed.alias("found"))
     full = F.transform("found", lambda w: F.struct(w["at"], w["h"], F.slice("words", w["at"], size).alias("words"), F.slice("template", w["at"], size).alias("template")))
-    return cut.select(*keys, full.alias("found")).select(*keys, F.explode("found").alias("w")).select(*keys, "w.*")
+    # the outer form: a filter on the array's size would move below and be worked out anew for every window
+    return cut.select(*keys, full.alias("found")).select(*keys, F.explode_outer("found").alias("w")).where("w IS NOT NULL").select(*keys, "w.*")
 
 
 def _templates(rows: DataFrame, keys: list[str]) -> DataFrame:
