@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import bpe, chat, decontaminate, media, quality, secrets, sharding, urls
+from gaugeworks.llm import bpe, chat, decontaminate, media, neardup, quality, secrets, sharding, urls
 
 QUERIES = {
     "op1_urls": urls.op1_urls,
     "op2_secrets": secrets.op2_secrets,
     "op3_quality": quality.op3_quality,
     "op4_media": media.op4_media,
+    "op5_neardup": neardup.op5_neardup,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe": bpe.op8_bpe,
