@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import zlib
 from array import array
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ from gaugeworks.llm.shared import materialise, table
 #: Where a tokenizer's file lies by default; always a parameter, never copied.
 TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/word_bpe_49k.json")
 #: Word positions in a block of documents: what bounds a row of blocks and its dictionary.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 22
 
 #: Texts of these characters alone are their own NFC, lower-cased by the same one-to-one rules
 #: everywhere, and split alike by any regex library; all others go through the tokenizer's parts.
@@ -93,21 +94,59 @@ class _Index(dict):
         return at
 
 
-_BLOCKS = "block long, doc_ids array<long>, counts array<int>, codes binary, words array<string>"
+#: Parts that a block's dictionary is dealt to by a hash of the word.
+PARTS = 256
+_BLOCKS = "block long, part int, body binary, doc_ids array<long>, counts array<int>"
+_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("body", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+
+
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Numbers under 2**32, compressed: a byte each for those under 255, what is above in byte planes."""
+    numbers = np.asarray(numbers, dtype="<u4")
+    over = numbers[numbers >= 255] - np.uint32(255)
+    packed = b""
+    for part in (np.minimum(numbers, 255).astype(np.uint8), np.ascontiguousarray(over.view(np.uint8).reshape(-1, 4).T)):
+        body = pa.Codec("zstd", compression_level=3).compress(part.tobytes(), asbytes=True) if part.size else b""
+        packed += part.size.to_bytes(4, "little") + len(body).to_bytes(4, "little") + body
+    return packed
+
+
+def _expand(packed: bytes) -> np.ndarray:
+    parts, at = [], 0
+    for _ in range(2):
+        size, n = int.from_bytes(packed[at : at + 4], "little"), int.from_bytes(packed[at + 4 : at + 8], "little")
+        body = pa.Codec("zstd").decompress(packed[at + 8 : at + 8 + n], decompressed_size=size, asbytes=True) if size else b""
+        parts.append(np.frombuffer(body, dtype=np.uint8))
+        at += 8 + n
+    out = parts[0].astype(np.uint32)
+    out[parts[0] == 255] += np.ascontiguousarray(parts[1].reshape(4, -1).T).view("<u4").ravel()
+    return out
+
+
+def _block_rows(key: int, doc_ids: list, counts: list, codes: array, index: dict):
+    """A block as rows: part -1 has the documents and, for each word position, the word's place in
+    the dictionary (places by frequency); every other part has some words and their places."""
+    coded = np.frombuffer(codes, dtype=np.uint32)
+    order = np.argsort(-np.bincount(coded, minlength=len(index)), kind="stable") if len(index) else np.zeros(0, dtype=np.int64)
+    place = np.empty(len(index), dtype=np.uint32)
+    place[order] = np.arange(len(index), dtype=np.uint32)
+    rows = {"block": [key], "part": [-1], "body": [_squeeze(place[coded]) if len(coded) else _squeeze(coded)], "doc_ids": [doc_ids], "counts": [counts]}
+    parts: dict[int, list] = {}
+    for at, word in enumerate(index):
+        parts.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % PARTS, []).append((word, at))
+    for part, words in sorted(parts.items()):
+        words.sort()
+        spoken = "\x00".join(w.replace("\x01", "\x01\x01").replace("\x00", "\x01\x02") for w, _ in words).encode("utf-8", "surrogatepass")
+        packed = _squeeze(place[[at for _, at in words]])
+        rows["block"].append(key), rows["part"].append(part), rows["doc_ids"].append(None), rows["counts"].append(None)
+        rows["body"].append(len(packed).to_bytes(4, "little") + packed + len(spoken).to_bytes(4, "little") + pa.Codec("zstd", compression_level=3).compress(spoken, asbytes=True))
+    return pa.RecordBatch.from_pydict(rows, schema=_SCHEMA)
 
 
 def word_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Documents as blocks: a dictionary of the block's distinct words, and for each word position
-    the word's place in it. A block never holds more than block_words positions and one document."""
-
-    def row(key, docs_, counts, codes, words):
-        coded = np.frombuffer(codes, dtype=np.uint32)
-        planes = np.ascontiguousarray(coded.view(np.uint8).reshape(-1, 4).T).tobytes()
-        packed = pa.Codec("zstd", compression_level=3).compress(planes, asbytes=True) if planes else b""
-        return pa.RecordBatch.from_pydict(
-            {"block": [key], "doc_ids": [docs_], "counts": [counts], "codes": [packed], "words": [list(words)]},
-            schema=pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.list_(pa.string()))]),
-        )
+    """Documents as blocks: for each word position the word's place in the block's dictionary of
+    distinct words, and that dictionary in parts by hash. A block never holds more than block_words
+    positions and one document. (Compressed: it is what the later joins carry in place of texts.)"""
 
     def run(batches):
         splitter = _Splitter(tokenizer)
@@ -120,70 +159,84 @@ def word_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, block_words: int =
                 ids.append(doc_id)
                 counts.append(len(words))
                 if len(codes) >= block_words or len(ids) >= block_words:
-                    yield row((part << 32) + serial, ids, counts, codes, index)
+                    yield _block_rows((part << 32) + serial, ids, counts, codes, index)
                     ids, counts, codes, index, serial = [], [], array("I"), _Index(), serial + 1
         if ids:
-            yield row((part << 32) + serial, ids, counts, codes, index)
+            yield _block_rows((part << 32) + serial, ids, counts, codes, index)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _BLOCKS)
 
 
-def encode_words(words: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """block, place, word rows to packed ids. All rows of a word meet in one partition, where the
-    word is encoded once; a word has one row a block at most, so no word is hot."""
+def _words_of(body: bytes) -> tuple[bytes, list[str]]:
+    """A dictionary part's packed places and its words."""
+    n = int.from_bytes(body[:4], "little")
+    size = int.from_bytes(body[4 + n : 8 + n], "little")
+    spoken = pa.Codec("zstd").decompress(body[8 + n :], decompressed_size=size, asbytes=True).decode("utf-8", "surrogatepass") if size else ""
+    words = spoken.split("\x00")
+    return body[4 : 4 + n], [w.replace("\x01\x02", "\x00").replace("\x01\x01", "\x01") for w in words] if "\x01" in spoken else words
+
+
+def encode_words(parts: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """block, part, body of dictionary parts to packed places, id counts and ids. All rows of a part
+    meet in one task, where each distinct word is encoded once however many blocks hold it; a word
+    has one entry a block at most, so no word is hot."""
 
     def run(batches):
         encoder, known = _Encoder(tokenizer), {}
+        part_now = None
         for b in batches:
-            found = []
-            for w in b.column(2).to_pylist():
-                if (ids := known.get(w)) is None:
-                    ids = known[w] = encoder.ids(w)
-                found.append(ids)
-            block, place = np.asarray(b.column(0)), np.asarray(b.column(1))
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[order])) + 1
             out = {"block": [], "places": [], "sizes": [], "ids": []}
-            for rows in np.split(order, cuts) if len(order) else []:
-                mine = [found[i] for i in rows]
-                out["block"].append(int(block[rows[0]]))
-                out["places"].append(place[rows].astype(np.uint32).tobytes())
-                out["sizes"].append(np.array([len(x) for x in mine], dtype=np.uint16).tobytes())
-                out["ids"].append(np.array([i for x in mine for i in x], dtype=np.uint16 if max((max(x) for x in mine if x), default=0) < 65536 else np.uint32).tobytes())
+            for block, part, body in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
+                if part != part_now:
+                    known, part_now = {}, part
+                places, words = _words_of(body)
+                found = []
+                for w in words:
+                    if (ids := known.get(w)) is None:
+                        ids = known[w] = encoder.ids(w)
+                    found.append(ids)
+                out["block"].append(block)
+                out["places"].append(places)
+                out["sizes"].append(_squeeze(np.array([len(x) for x in found])))
+                out["ids"].append(_squeeze(np.array([i for x in found for i in x])))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())]))
 
-    return words.select("block", "place", "word").mapInArrow(run, "block long, places binary, sizes binary, ids binary")
+    return parts.select("block", "part", "body").repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(run, "block long, places binary, sizes binary, ids binary")
+
+
+def _unpack(b, i: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: doc ids, words a document, place of every word position; and of every place where
+    its ids start and how many they are, and all ids."""
+    codes = _expand(b.column(1)[i].as_py())
+    found = b.column(4)[i].as_py() or []
+    places = [_expand(x["places"]) for x in found]
+    sizes = [_expand(x["sizes"]).astype(np.int64) for x in found]
+    flat = np.concatenate([_expand(x["ids"]) for x in found]) if found else np.zeros(0, dtype=np.uint32)
+    n = sum(map(len, places))
+    size, first = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    if n:
+        every, counts = np.concatenate(places), np.concatenate(sizes)
+        size[every], first[every] = counts, counts.cumsum() - counts
+    return b.column(2)[i].as_py(), np.array(b.column(3)[i].as_py(), dtype=np.int64), codes, (first, size), flat.astype("<u4")
 
 
-def _unpack(b, i: int) -> tuple[list, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """doc ids, words a document, place of every word position, and the ids of every place."""
-    counts = np.array(b.column(2)[i].as_py(), dtype=np.int64)
-    packed, n = b.column(3)[i].as_py(), int(counts.sum())
-    planes = pa.Codec("zstd").decompress(packed, decompressed_size=4 * n, asbytes=True) if n else b""
-    codes = np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, n).T).view(np.uint32).ravel() if n else np.zeros(0, dtype=np.uint32)
-    ids: list = [None] * (int(codes.max()) + 1 if n else 0)
-    for part in b.column(4)[i].as_py() or []:
-        sizes = np.frombuffer(part["sizes"], dtype=np.uint16)
-        total = int(sizes.sum())
-        flat = np.frombuffer(part["ids"], dtype=np.uint16 if len(part["ids"]) == 2 * total else np.uint32)
-        ends = sizes.cumsum()
-        for place, a, z in zip(np.frombuffer(part["places"], dtype=np.uint32).tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-            ids[place] = flat[a:z]
-    return b.column(1)[i].as_py(), counts, codes, ids
+def _gather(own: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The ids at some word positions, in order."""
+    took = size[own]
+    return flat[np.repeat(first[own] - (took.cumsum() - took), took) + np.arange(int(took.sum()))]
 
 
 def _encoded_blocks(docs: DataFrame, tokenizer: str, block_words: int) -> DataFrame:
     blocks, _ = materialise(word_blocks(docs, tokenizer, block_words), "bpe-blocks")
-    words = blocks.select("block", F.posexplode("words").alias("place", "word")).repartition(F.col("word"))
-    found = encode_words(words, tokenizer).groupBy("block").agg(F.collect_list(F.struct("places", "sizes", "ids")).alias("found"))
-    return blocks.select("block", "doc_ids", "counts", "codes").join(found, "block", "left")
+    found = encode_words(blocks.where("part >= 0"), tokenizer).groupBy("block").agg(F.collect_list(F.struct("places", "sizes", "ids")).alias("found"))
+    return blocks.where("part < 0").select("block", "body", "doc_ids", "counts").join(found, "block", "left")
 
 
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id and ids of every document, equal to the tokenizers library's encode without added tokens.
 
-    Words are split in Spark into blocks with a dictionary each; all dictionaries' words meet by
-    word, each distinct word is encoded once, and its ids go back to the word's place in each block
+    Words are split in Spark into blocks with a dictionary each; the dictionaries' words meet by
+    hash, each distinct word is encoded once, and its ids go back to the word's place in each block
     and so to every position. Null and empty texts have no ids; strings of special tokens in a text
     become those tokens; repeated rows give equal rows; an empty table gives no rows; extra columns
     are ignored.
@@ -192,9 +245,9 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, block_words: int = BLOCK
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                doc_ids, counts, codes, ids = _unpack(b, i)
-                ends = counts.cumsum()
-                out = [np.concatenate([ids[c] for c in codes[z - n : z].tolist()]).astype(np.int32) if n else np.zeros(0, np.int32) for n, z in zip(counts.tolist(), ends.tolist(), strict=True)]
+                doc_ids, counts, codes, (first, size), flat = _unpack(b, i)
+                ends = counts.cumsum().tolist()
+                out = [_gather(codes[z - n : z], first, size, flat).astype(np.int32) for n, z in zip(counts.tolist(), ends, strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": doc_ids, "ids": out}, schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
     return _encoded_blocks(docs, tokenizer, block_words).mapInArrow(run, "doc_id long, ids array<int>")
@@ -221,20 +274,15 @@ def digests(docs: DataFrame, tokenizer: str = TOKENIZER, block_words: int = BLOC
         pieces = _pieces(tokenizer)
         for b in batches:
             for i in range(b.num_rows):
-                doc_ids, counts, codes, ids = _unpack(b, i)
-                sizes = np.array([len(x) for x in ids], dtype=np.int64)
-                flat = np.concatenate(ids).astype("<u4") if ids else np.zeros(0, dtype="<u4")
-                first = sizes.cumsum() - sizes
-                spoken = [" ".join([pieces[k] for k in x.tolist()]) for x in ids]
+                doc_ids, counts, codes, (first, size), flat = _unpack(b, i)
+                spoken = [" ".join([pieces[k] for k in flat[a : a + n].tolist()]) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
                 out = {"doc_id": doc_ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
                 end = 0
                 for n in counts.tolist():
                     own = codes[end : (end := end + n)]
-                    took = sizes[own]
-                    total = int(took.sum())
-                    at = np.repeat(first[own] - (took.cumsum() - took), took) + np.arange(total)
-                    out["n_tokens"].append(total)
-                    out["ids_sha256"].append(hashlib.sha256(flat[at].tobytes()).hexdigest())
+                    ids = _gather(own, first, size, flat)
+                    out["n_tokens"].append(len(ids))
+                    out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(" ".join([spoken[c] for c in own.tolist()]).encode("utf-8", "replace")).hexdigest())
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import bpe, chat, decontaminate, media, neardup, quality, secrets, sharding, urls
+from gaugeworks.llm import bpe, chat, decontaminate, linededup, media, neardup, quality, secrets, sharding, urls
 
 QUERIES = {
     "op1_urls": urls.op1_urls,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe": bpe.op8_bpe,
+    "op9_linededup": linededup.op9_linededup,
     "op10_chat": chat.op10_chat,
 }
 
