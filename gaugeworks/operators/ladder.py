@@ -1,0 +1,83 @@
+"""Evidence ladder, ranking of hypotheses, verdict and separating test: rules on small results."""
+
+from __future__ import annotations
+
+from gaugeworks.functions.scalars import LADDER_CONFIDENCE, LADDER_RANK
+from gaugeworks.operators.graph import CausalGraph
+
+#: What it costs and takes to tell two driver types apart.
+SEPARATING = {("service_failure", "external_market"): (180_000, 14), ("price_change", "external_market"): (40_000, 4)}
+
+
+def hypotheses(metric: str, cells: list[dict], identity: dict | None, events: list[dict], data_flags: list[str]) -> list[dict]:
+    """Candidates from the decomposition: data flags first, then warehouses that carry over a quarter of
+    the movement, mix over a twentieth of it, overlapping competitor events, and price for volume."""
+    out = [{"id": "H-DQ", "driver_type": "instrumentation", "cause": "data_pipeline", "explanatory_power": 1.0, "exposure": {}}] if data_flags else []
+    for c in cells:
+        if c["dimension"] == "warehouse_id" and abs(c["explanatory_power"] or 0) > 0.25:
+            out.append({"id": f"H-SLA-{c['value']}", "driver_type": "service_failure", "cause": "warehouse_sla", "explanatory_power": c["explanatory_power"], "exposure": {"warehouse_id": c["value"]}})
+    if identity and identity["total"] and abs(identity["mix_effect"] / identity["total"]) > 0.05:
+        out.append({"id": "H-MIX", "driver_type": "mix_shift", "cause": "tier_mix", "explanatory_power": identity["mix_effect"] / identity["total"], "exposure": {}, "arithmetic_only": True})
+    out += [{"id": f"H-EVENT-{e['event_id']}", "driver_type": "external_market", "cause": "competitor_promo", "explanatory_power": None, "exposure": {}} for e in events]
+    if metric == "order_volume":
+        out.append({"id": "H-PRICE", "driver_type": "price_change", "cause": "price_level", "explanatory_power": None, "exposure": {}})
+    return out
+
+
+def grade(hypothesis: dict, metric: str, graph: CausalGraph, tests: dict) -> dict:
+    """The highest rung that the tests reach; without an admissible path a hypothesis is rejected."""
+    paths = graph.paths(hypothesis["cause"], metric)
+    if not paths:
+        return {"ladder": "REJECTED", "path": (), "lag": None, "tests": tests}
+    path, rung = paths[0], "L0"
+    raise_to = lambda r: r if LADDER_RANK[r] > LADDER_RANK[rung] else rung
+    if hypothesis["driver_type"] == "instrumentation":
+        rung = raise_to("L2")
+    if hypothesis.get("arithmetic_only"):
+        rung = raise_to("L3")
+    if (tests.get("precedence") or {}).get("consistent"):
+        rung = raise_to("L1")
+    dose = tests.get("dose_response") or {}
+    if dose.get("p_value") is not None and dose["p_value"] < 0.05 and dose["rho"] < 0:
+        rung = raise_to("L1")
+    if (tests.get("corroboration") or {}).get("corroborated"):
+        rung = raise_to("L2")
+    did = tests.get("counterfactual") or {}
+    if did.get("enough") and did.get("parallel") and did.get("p_value") is not None:
+        if did["p_value"] < 0.05:
+            rung = raise_to("L3")
+        elif did["p_value"] < 0.20 and rung == "L0":
+            rung = "L1"
+    return {"ladder": rung, "path": path, "lag": graph.lag_of(path), "tests": tests}
+
+
+def rank_score(hypothesis: dict, graded: dict, prior: float = 1.0) -> float:
+    return max(abs(hypothesis.get("explanatory_power") or 0.0), 0.02) * LADDER_CONFIDENCE[graded["ladder"]] * prior
+
+
+def order(items: list[dict]) -> list[dict]:
+    """Best first by fused score, else by rank score; equal scores keep their order."""
+    return sorted(items, key=lambda x: -(x.get("fused") if x.get("fused") is not None else x["score"]))
+
+
+def verdict(items: list[dict]) -> dict:
+    """items: hyp, grade, score. CONFIRMED at L2 and above with one leader, COMPETING, UNKNOWN or DATA_QUALITY."""
+    live = [x for x in order(items) if x["grade"]["ladder"] != "REJECTED"]
+    strong = [x for x in live if LADDER_RANK[x["grade"]["ladder"]] >= 2]
+    if strong and strong[0]["hyp"]["driver_type"] == "instrumentation":
+        return {"status": "DATA_QUALITY", "leaders": strong[:1]}
+    if strong:
+        return {"status": "CONFIRMED", "leaders": strong}
+    contenders = [x for x in live if x["grade"]["ladder"] == "L1"]
+    if len(contenders) > 1:
+        return {"status": "COMPETING", "leaders": contenders}
+    return {"status": "UNKNOWN", "leaders": contenders}
+
+
+def separating_test(v: dict) -> dict | None:
+    """The cheapest way to tell the leaders apart when the evidence does not."""
+    if v["status"] not in ("COMPETING", "UNKNOWN"):
+        return None
+    kinds = tuple(x["hyp"]["driver_type"] for x in v["leaders"][:2])
+    cost, days = SEPARATING.get(kinds) or SEPARATING.get(kinds[::-1]) or (0, 14)
+    return {"between": kinds, "cost_inr": cost, "days": days}
