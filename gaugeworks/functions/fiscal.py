@@ -83,7 +83,7 @@ def describe_window(first: date, last: date, start: int = 4) -> dict:
 def months_in_window(windows: DataFrame, first: str = "ws", last: str = "we", start: int = 4) -> DataFrame:
     """Each calendar month that a window touches, with the days of overlap and of the month."""
     ws, we = F.col(first), F.col(last)
-    rows = windows.withColumn("month_start", F.explode(F.sequence(F.trunc(ws, "month"), we, F.expr("interval 1 month"))).cast("date"))
+    rows = windows.withColumn("month_start", F.explode(F.sequence(F.trunc(ws, "month"), we, F.expr("interval 1 month")))).withColumn("month_start", F.to_date("month_start"))
     end = F.last_day("month_start")
     return rows.select(
         *windows.columns, "month_start", F.year("month_start").alias("year"), F.month("month_start").alias("month"), fiscal_month(F.col("month_start"), start).cast("int").alias("fiscal_month"),

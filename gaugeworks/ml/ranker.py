@@ -19,6 +19,18 @@ from gaugeworks.ml.gbdt import BoostedTrees, FlatTrees, sigmoid
 #: Names that are known only after a decision and may never be features.
 FORBIDDEN = frozenset("validated_driver label y outcome_delta outcome_horizon realised_recovery_pct analyst_grade true_driver episode_truth ladder verdict verdict_status expected_rank".split())
 DRIVER_TYPES = ("service_failure", "external_market", "price_change", "mix_shift", "instrumentation")
+#: The features in their order.
+FEATURES = tuple(
+    (
+        "share_abs share_signed share_shift_abs dim_surprise exposure_depth is_arithmetic_identity "
+        "graph_path_len mechanism_lag_days driver_type_service_failure driver_type_external_market driver_type_price_change driver_type_mix_shift "
+        "driver_type_instrumentation precedence_present precedence_consistent lag_alignment gap_days_norm dose_present "
+        "dose_rho dose_p_neglog10 dose_monotone dose_buckets corrob_on_theme_log corrob_independent_types "
+        "corrob_distinct_accounts_log corrob_conflict_ratio corrob_evidence_withheld did_present did_effect_abs did_tstat_abs "
+        "did_p_neglog10 did_placebo_abs did_parallel_trends_ok did_n_days_post_log movement_z_abs movement_pct_abs "
+        "movement_history_days_log movement_sparse movement_dq_flags feed_stale n_candidates_log analyst_prior_weight "
+    ).split()
+)
 #: The most weight the model may have, and the share of odd features that makes a candidate out of distribution.
 MAX_ALPHA, OOD_SHARE = 0.5, 0.25
 
@@ -57,6 +69,7 @@ def feature_columns() -> dict[str, Column]:
         "n_candidates_log": F.log1p(F.greatest(_zero("n_candidates") - 1, F.lit(0.0))), "analyst_prior_weight": F.coalesce(F.col("prior_weight").cast("double"), F.lit(1.0)),
     }
     assert_no_leakage(list(out))
+    assert tuple(out) == FEATURES
     return out
 
 
@@ -85,7 +98,7 @@ def snapshot_id(vector: np.ndarray) -> str:
 
 
 def snapshot_ids(features: DataFrame) -> DataFrame:
-    names = [f"f_{n}" for n in feature_columns()]
+    names = [f"f_{n}" for n in FEATURES]
 
     @F.pandas_udf(T.StringType())
     def ids(vectors):  # noqa: ANN001
@@ -123,7 +136,7 @@ class Ranker:
         if not text:
             return None
         d = json.loads(text)
-        if d["version"] != version or d["features"] != list(feature_columns()):
+        if d["version"] != version or d["features"] != list(FEATURES):
             return None
         return cls(FlatTrees.from_json(d["trees"]), Isotonic(*d["knots"]), d["low"], d["high"], d["features"], d["alpha"], d["version"])
 
@@ -165,7 +178,7 @@ def train(features: DataFrame, labels: str = "label", objective: str = "lambdara
     is bounded (whole table: one row a candidate of a simulated history)."""
     from gaugeworks.ml.metrics import time_split
 
-    names = list(feature_columns())
+    names = list(FEATURES)
     rows = time_split(features).limit(max_rows).toPandas().sort_values(["window_start", "episode_id", "candidate_id"])
     x, y, g = rows[[f"f_{n}" for n in names]].to_numpy(float), rows[labels].to_numpy(float), rows["episode_id"].to_numpy()
     part = {k: (rows["part"] == k).to_numpy() for k in ("train", "calib", "test")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ from gaugeworks.functions.scalars import tokens
 K1, B = 1.5, 0.75
 
 
+def _is(term: str):
+    return lambda w: w == F.lit(term)
+
+
 def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score of every document with a positive score; repeated query terms count each time.
 
@@ -20,11 +26,9 @@ def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "te
     words = docs.select(key, tokens(F.col(text)).alias("w"))
     terms = sorted(set(query))
     weight = {t: query.count(t) for t in terms}
-    per = words.select(key, F.size("w").alias("dl"), *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf_{i}") for i, t in enumerate(terms)])
+    per = words.select(key, F.size("w").alias("dl"), *[F.size(F.filter("w", _is(t))).alias(f"tf_{i}") for i, t in enumerate(terms)])
     stats = per.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
-    import math
-
     for i, t in enumerate(terms):
         df = stats[f"df_{i}"]
         idf = math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))

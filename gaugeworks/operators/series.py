@@ -27,8 +27,8 @@ def reorder_rate(fact: DataFrame, recent: int = 28, enrolled: int = 84) -> DataF
     """
     days = fact.groupBy("account_id", F.col("order_date").alias("d")).agg(F.countDistinct("order_id").alias("n"))
     weeks = days.select(F.trunc("d", "week").alias("w")).distinct()
-    ahead = F.explode(F.sequence(F.trunc(F.date_add("d", 6), "week"), F.date_add("d", enrolled - 1), F.expr("interval 7 days"))).cast("date")
-    sent = days.select("account_id", "n", "d", ahead.alias("w")).where(F.col("w") < F.date_add("d", enrolled))
+    ahead = F.explode(F.sequence(F.trunc(F.date_add("d", 6), "week"), F.date_add("d", enrolled - 1), F.expr("interval 7 days")))
+    sent = days.select("account_id", "n", "d", ahead.alias("w")).withColumn("w", F.to_date("w")).where(F.col("w") < F.date_add("d", enrolled))
     per = sent.groupBy("account_id", "w").agg(F.sum(F.when(F.col("w") < F.date_add("d", recent), F.col("n")).otherwise(0)).alias("orders"), F.sum("n").alias("seen"))
     per = per.where("seen > 0").groupBy("w").agg(F.sum("orders").alias("orders"), F.count(F.lit(1)).alias("enrolled"))
     return weeks.join(per, "w", "left").select(F.col("w").alias("d"), (F.col("orders") / F.col("enrolled")).alias("v"), F.coalesce("orders", F.lit(0)).cast("long").alias("orders"), F.coalesce("enrolled", F.lit(0)).cast("long").alias("enrolled"))
