@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.components import connected_components
 from gaugeworks.llm.shared import ASCII_LOWER, materialise, mix64, shingle_hashes, table, text_bytes, word_hashes
 
-#: A pair with similarity 0.8 shares one of BANDS bands of ROWS values but for (1 - 0.8**ROWS)**BANDS = 1.2e-7.
-ROWS, BANDS = 5, 40
+#: A pair with similarity 0.8 shares one of BANDS bands of ROWS values but for (1 - 0.8**ROWS)**BANDS = 1e-7.
+ROWS, BANDS = 6, 53
 HASHES = ROWS * BANDS
 #: Signature values compared at a time, and the posterior probability below which a pair is given up.
-BATCH, MISS = 25, 1e-9
+BATCH, MISS = 53, 1e-6
 #: Link from intersection * 100 >= PERCENT * union.
 PERCENT = 80
+#: Rounds in which the best-linked document of a bucket is its leader, before all pairs that are left.
+HUB_ROUNDS = 2
+#: In buckets of more documents, how many shingles each has alone, and of the common ones, bounds what a pair can share.
+CROWD = 32
 #: Bits of the broadcast filter of documents that exact verification reads (4 MB): bounded, only a filter.
 FILTER_BITS = 1 << 25
 
@@ -106,14 +110,13 @@ def survivors(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
     return wide.mapInArrow(run, "a long, b long, matches long")
 
 
-def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b of classes) whose full sets meet the threshold.
+def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id and members (its whole set, packed) of some classes.
 
-    Full sets are built for the documents of these pairs alone: a bit filter of bounded size, broadcast,
-    lets those through (and few others); joins then match them exactly.
+    Sets are built from the texts of these classes' first documents alone: a bit filter of bounded
+    size, broadcast, lets those through (and few others); joins then match them exactly.
     """
     spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted, _ = materialise(classes.join(ids, "id").select("id", "c", "rep"), "verify")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     cells = wanted.select(slot("rep").alias("s")).groupBy(F.shiftright("s", 12).cast("int").alias("page")).agg(F.collect_set(F.col("s").bitwiseAND(F.lit(4095)).cast("int")).alias("bits"))
@@ -132,7 +135,27 @@ def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int
 
     key = F.col("doc_id").cast("long")
     sets = docs.select(key.alias("rep"), F.col("text").cast("string").alias("text"), slot(key).alias("slot")).where("rep IS NOT NULL").mapInArrow(run, "rep long, c binary, members binary")
-    members, _ = materialise(wanted.join(sets, ["rep", "c"]).select("id", "members").dropDuplicates(["id"]), "verify-sets")
+    return materialise(wanted.join(sets, ["rep", "c"]).select("id", "members").dropDuplicates(["id"]), "verify-sets")[0]
+
+
+def crowd_profile(members: DataFrame) -> DataFrame:
+    """id, own and core: how many members of each set are in no other of these sets, and in over CROWD."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), [len(x) for x in sets])), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["id", "h"])
+
+    rows = members.mapInArrow(run, "id long, h long")
+    counts, _ = materialise(rows.groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k")).where(f"k = 1 OR k > {CROWD}"), "crowd-shingles")
+    own = counts.where("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    core = rows.join(counts.where("k > 1").select("h"), "h", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("core"))
+    return own.join(core, "id", "full")
+
+
+def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b of classes) whose full sets meet the threshold."""
+    members = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, docs, size)
     one, two = (members.select(F.col("id").alias(k), F.col("members").alias(f"m_{k}")) for k in "ab")
 
     def compare(batches):
@@ -154,8 +177,9 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> D
     A document's set is its distinct shingles of `size` words (ASCII-lower-cased runs of non-space), or
     its whole sequence when shorter; documents without words have an empty set and are linked with
     nothing. Equal sets form a class. Classes that share a band are candidates: first each with three
-    leaders of its bucket, of which the most similar is verified; then, between the components found
-    so, all pairs of a bucket. So copies never meet all against all, and no link between different
+    leaders of its bucket, then with the best-linked document of it, of which the most similar is
+    verified; then, between the components found so, all pairs of a bucket. In crowded buckets an
+    exact bound on what a pair can share (crowd_profile) comes first. So copies never meet all against all, and no link between different
     components that a band shows is left out. Candidates pass sequential Bayesian verification and are
     then compared on full sets.
 
@@ -168,25 +192,49 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> D
     merged = some.groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes, _ = materialise(merged.select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * 2 * ROWS + 1, F.lit(2 * ROWS)))))
-    bands = classes.where("rep IS NOT NULL").select("id", band.alias("band"))
-    pick = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "id"), "id"))["id"]
-    leaders = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.array_distinct(F.array(F.min("id"), pick(1), pick(2))).alias("lead")).where("m > 1").select("band", "lead")
+    bands = classes.where("rep IS NOT NULL").select("id", "n", band.alias("band"))
+    pick = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "id"), F.struct("id", "n").alias("e")))["e"]
+    leaders = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.array_distinct(F.array(F.min(F.struct("id", "n")), pick(1), pick(2))).alias("lead")).where("m > 1").select("band", "lead")
     buckets, _ = materialise(bands.join(leaders, "band"), "buckets")
-    star = buckets.select("id", F.explode("lead").alias("to")).where("id <> `to`").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
-    close, _ = materialise(survivors(star, classes, percent), "close")
-    best = close.groupBy("b").agg(F.max(F.struct("matches", "a"))["a"].alias("a")).unionByName(close.groupBy("a").agg(F.max(F.struct("matches", "b"))["b"].alias("b"))).select("a", "b").distinct()
-    links, _ = materialise(exact_links(best, classes, docs, size, percent), "links")
-    first = connected_components(links)
-    labelled, _ = materialise(buckets.join(first, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")), "bucket-components")
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    rest = labelled.join(mixed, "band", "left_semi")
-    other = rest.select("band", F.col("id").alias("id2"), F.col("component").alias("component2"))
-    across = rest.join(other, "band").where("component < component2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    sized = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    star = buckets.select("id", "n", F.explode("lead").alias("to")).where((F.col("id") != F.col("to.id")) & sized("n", F.col("to.n"))).select(*pair("id", F.col("to.id"))).distinct()
+
+    def verify_best(candidates: DataFrame) -> DataFrame:
+        """Links among each document's most similar candidate."""
+        close, _ = materialise(survivors(candidates, classes, percent), "close")
+        best = close.groupBy("b").agg(F.max(F.struct("matches", "a"))["a"].alias("a")).unionByName(close.groupBy("a").agg(F.max(F.struct("matches", "b"))["b"].alias("b"))).select("a", "b").distinct()
+        return materialise(exact_links(best, classes, docs, size, percent), "links")[0]
+
+    found = verify_best(star)
+    for round_ in range(HUB_ROUNDS + 1):
+        first = connected_components(found)
+        degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+        labelled, _ = materialise(buckets.select("band", "id", "n").join(first.join(degree, "id", "left"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")), "bucket-components")
+        if round_ == HUB_ROUNDS:
+            break
+        hub = labelled.groupBy("band").agg(F.max(F.struct("degree", "id", "n", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi AND hub.degree > 0").select("band", "hub")
+        apart = labelled.join(hub, "band").where((F.col("component") != F.col("hub.component")) & sized("n", F.col("hub.n")))
+        more = verify_best(apart.select(*pair("id", F.col("hub.id"))).distinct())
+        if not more.limit(1).count():
+            break
+        found = found.unionByName(more)
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), (F.count(F.lit(1)) > CROWD).alias("crowd")).where("lo < hi").select("band", "crowd")
+    rest, _ = materialise(labelled.join(mixed, "band").select("band", "id", "n", "component", "crowd"), "mixed-buckets")
+    crowded = rest.where("crowd").select("id").distinct()
+    profile = crowd_profile(full_sets(crowded, classes, docs, size))
+    only = lambda c: F.when(F.col("crowd"), F.coalesce(c, F.lit(0))).otherwise(F.lit(0))
+    rest = rest.join(profile, "id", "left").select("band", "id", "n", "component", only("own").alias("own"), only("core").alias("core"))
+    rest = rest.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
+    other = rest.select("band", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "own", "core")])
+    # a set's own members and its surplus of the crowd's core are not in the other set
+    shared = F.least(F.col("n") - F.col("own") - F.greatest(F.lit(0), F.col("core") - F.col("core2")), F.col("n2") - F.col("own2") - F.greatest(F.lit(0), F.col("core2") - F.col("core")))
+    reach = shared * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+    across = rest.join(other, "band").where((F.col("component") < F.col("component2")) & sized("n", "n2") & reach).select(*pair("id", "id2")).distinct()
     more, _ = materialise(survivors(across, classes, percent), "close")
-    found = links
     if more.limit(1).count():
         extra, _ = materialise(exact_links(more, classes, docs, size, percent), "links")
-        found = links.unionByName(extra)
+        found = found.unionByName(extra)
         first = connected_components(found)
     ends = classes.join(first, "id", "left").select("c", "rep", F.coalesce("component", "id").alias("component"))
     least = ends.groupBy("component").agg(F.min("rep").alias("component_id"))
