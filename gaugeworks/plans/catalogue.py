@@ -611,10 +611,10 @@ _METRIC_SLICES = """ base AS (SELECT 'region=' || region AS slice, order_date d,
  b AS (SELECT slice, d, v, CASE WHEN COUNT(flat) OVER w >= 7 THEN MEDIAN(flat) OVER w END * idx AS e FROM f WINDOW w AS (PARTITION BY slice ORDER BY d ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING)),
  q AS (SELECT slice, MEDIAN(v - e) c, COUNT(*) hd FROM b, p WHERE d < ws GROUP BY 1), sg AS (SELECT b.slice, 1.4826 * MEDIAN(ABS(v - e - q.c)) sigma, MIN(hd) hd FROM b JOIN q ON b.slice = q.slice, p WHERE d < ws AND e IS NOT NULL GROUP BY 1),
  m AS (SELECT b.slice, SUM(v) act, SUM(e) ex, COUNT(*) n, COUNT(*) FILTER (WHERE ABS(v - e) > 2.0 * sigma) per, MIN(sigma) sigma, MIN(hd) hd FROM b JOIN sg ON b.slice = sg.slice, p WHERE d BETWEEN ws AND we AND e IS NOT NULL GROUP BY 1),
- z AS (SELECT slice, act, ex, (act - ex) / (sigma * SQRT(n)) z, per, ABS(act - ex) >= 2500000 g1, per >= 3 g3, ABS((act - ex) / (sigma * SQRT(n))) >= 2 g4 FROM m)"""
+ z AS (SELECT sg.slice, act, ex, (act - ex) / (m.sigma * SQRT(n)) z, per, ABS(act - ex) >= 2500000 g1, per >= 3 g3, ABS((act - ex) / (m.sigma * SQRT(n))) >= 2 g4 FROM sg LEFT JOIN m ON m.slice = sg.slice)"""
 
 
-@query(_METRIC_SLICES + " SELECT slice, ROUND(act, 3) AS actual, ROUND(ex, 3) AS expected, ROUND(z, 5) AS z, per AS persistence, CASE WHEN g1 AND g3 AND g4 THEN 'MATERIAL' ELSE 'NOT_MATERIAL' END AS verdict FROM z")
+@query(_METRIC_SLICES + " SELECT slice, ROUND(act, 3) AS actual, ROUND(ex, 3) AS expected, ROUND(z, 5) AS z, per AS persistence, CASE WHEN act IS NULL THEN 'INSUFFICIENT_HISTORY' WHEN g1 AND g3 AND g4 THEN 'MATERIAL' ELSE 'NOT_MATERIAL' END AS verdict FROM z")
 def estate_sweep(spark, sf_dir):
     df = triage.sweep(_fact(spark, sf_dir), CONTRACT, ["net_revenue"], WS, WE)
     return df.select("slice", F.round("actual", 3).alias("actual"), F.round("expected", 3).alias("expected"), F.round("z", 5).alias("z"), "persistence", "verdict")
