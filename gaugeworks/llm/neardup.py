@@ -19,8 +19,6 @@ HASHES = ROWS * BANDS
 BATCH, MISS = 53, 1e-6
 #: Link from intersection * 100 >= PERCENT * union.
 PERCENT = 80
-#: Rounds in which the best-linked document of a bucket is its leader, before all pairs that are left.
-HUB_ROUNDS = 2
 #: In buckets of more documents, how many shingles each has alone, and of the common ones, bounds what a pair can share.
 CROWD = 32
 #: Bits of the broadcast filter of documents that exact verification reads (4 MB): bounded, only a filter.
@@ -177,8 +175,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> D
     A document's set is its distinct shingles of `size` words (ASCII-lower-cased runs of non-space), or
     its whole sequence when shorter; documents without words have an empty set and are linked with
     nothing. Equal sets form a class. Classes that share a band are candidates: first each with three
-    leaders of its bucket, then with the best-linked document of it, of which the most similar is
-    verified; then, between the components found so, all pairs of a bucket. In crowded buckets an
+    leaders of its bucket, of which the most similar is verified; then, between the components found so, all pairs of a bucket. In crowded buckets an
     exact bound on what a pair can share (crowd_profile) comes first. So copies never meet all against all, and no link between different
     components that a band shows is left out. Candidates pass sequential Bayesian verification and are
     then compared on full sets.
@@ -207,18 +204,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> D
         return materialise(exact_links(best, classes, docs, size, percent), "links")[0]
 
     found = verify_best(star)
-    for round_ in range(HUB_ROUNDS + 1):
-        first = connected_components(found)
-        degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-        labelled, _ = materialise(buckets.select("band", "id", "n").join(first.join(degree, "id", "left"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")), "bucket-components")
-        if round_ == HUB_ROUNDS:
-            break
-        hub = labelled.groupBy("band").agg(F.max(F.struct("degree", "id", "n", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi AND hub.degree > 0").select("band", "hub")
-        apart = labelled.join(hub, "band").where((F.col("component") != F.col("hub.component")) & sized("n", F.col("hub.n")))
-        more = verify_best(apart.select(*pair("id", F.col("hub.id"))).distinct())
-        if not more.limit(1).count():
-            break
-        found = found.unionByName(more)
+    first = connected_components(found)
+    labelled, _ = materialise(buckets.select("band", "id", "n").join(first, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component")), "bucket-components")
     mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), (F.count(F.lit(1)) > CROWD).alias("crowd")).where("lo < hi").select("band", "crowd")
     rest, _ = materialise(labelled.join(mixed, "band").select("band", "id", "n", "component", "crowd"), "mixed-buckets")
     crowded = rest.where("crowd").select("id").distinct()
