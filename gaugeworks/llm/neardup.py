@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.components import connected_components
-from gaugeworks.llm.shared import ASCII_LOWER, materialise, mix64, shingle_hashes, table, text_bytes, word_hashes
+from gaugeworks.llm.shared import ASCII_LOWER, bit_filter, materialise, mix64, passes, shingle_hashes, table, text_bytes, word_hashes
 
 #: A pair with similarity 0.8 shares one of BANDS bands of ROWS values but for (1 - 0.8**ROWS)**BANDS = 1e-7.
 ROWS, BANDS = 6, 53
@@ -117,17 +117,13 @@ def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) ->
     spark = docs.sparkSession
     wanted, _ = materialise(classes.join(ids, "id").select("id", "c", "rep"), "verify")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    cells = wanted.select(slot("rep").alias("s")).groupBy(F.shiftright("s", 12).cast("int").alias("page")).agg(F.collect_set(F.col("s").bitwiseAND(F.lit(4095)).cast("int")).alias("bits"))
-    bits = np.zeros(FILTER_BITS, dtype=bool)
-    for r in cells.toLocalIterator():
-        bits[(r["page"] << 12) + np.array(r["bits"])] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
+    shared = spark.sparkContext.broadcast(bit_filter(wanted.select(slot("rep").alias("s")), FILTER_BITS))
 
     def run(batches):
         packed = shared.value
         for b in batches:
             at = np.asarray(b.column(2))
-            rows = np.flatnonzero(packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            rows = np.flatnonzero(passes(packed, at))
             sets = [shingle_set(t, size) if t is not None else np.zeros(0, dtype=np.uint64) for t in text_bytes(b.column(1).take(pa.array(rows)))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "c", "members"])
 

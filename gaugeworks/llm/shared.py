@@ -61,6 +61,24 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bit_filter(slots: DataFrame, bits: int) -> np.ndarray:
+    """slots: s below `bits`. A packed bit array with every slot set, for a broadcast.
+
+    Executors put slots together in words of 32 bits, so at most bits / 32 rows come to the driver
+    whatever the input; a filter only lets rows through, and joins decide.
+    """
+    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(31)).cast("int")))
+    rows = slots.groupBy(F.shiftright("s", 5).cast("int").alias("cell")).agg(word.alias("v")).toArrow()
+    out = np.zeros(bits // 32, dtype="<u4")
+    out[np.asarray(rows.column("cell"))] = np.asarray(rows.column("v")).astype(np.uint32)
+    return out.view(np.uint8)
+
+
+def passes(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each slot is set in a filter."""
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
     global _POWERS, _INVERSES
