@@ -21,6 +21,8 @@ BATCH, MISS = 53, 1e-6
 PERCENT = 80
 #: In buckets of more documents, how many shingles each has alone, and of the common ones, bounds what a pair can share.
 CROWD = 32
+#: Cells of a set's parities: two sets differ in at least as many members as cells. A power of two, 64 at least.
+CELLS = 1024
 #: Bits of the broadcast filter of documents that exact verification reads (4 MB): bounded, only a filter.
 FILTER_BITS = 1 << 25
 
@@ -41,6 +43,12 @@ def signature(shingles: np.ndarray) -> bytes:
     return (mix64(least ^ _OFFSETS) & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of CELLS cells of the hash holds an odd number of members, packed into longs."""
+    cells = (shingles >> np.uint64(65 - CELLS.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=CELLS) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _digest(shingles: np.ndarray) -> bytes:
     """128 bits that stand for a set: two sums of its mixed members."""
     with np.errstate(over="ignore"):
@@ -67,20 +75,23 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> dict[int, int]:
 
 
 def document_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, c (set digest, null for an empty set), sig of each whole text."""
+    """doc_id, n, c (set digest, null for an empty set), sig and bits (parities) of each whole text."""
 
     def run(batches):
         empty = np.zeros(0, dtype=np.uint8)
         for b in batches:
-            sizes, digests, signatures = [], [], []
+            sizes, digests, signatures, bits = [], [], [], []
             for data in text_bytes(b.column(1)):
                 s = shingle_set(empty if data is None else data, size)
                 sizes.append(len(s))
                 digests.append(_digest(s) if len(s) else None)
                 signatures.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n", "c", "sig"])
+                bits.append(parities(s))
+            flat = pa.array(np.concatenate(bits) if bits else np.zeros(0, dtype=np.int64), pa.int64())
+            packed = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (CELLS // 64)), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), packed], names=["doc_id", "n", "c", "sig", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, c binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, c binary, sig binary, bits array<long>")
 
 
 def survivors(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -172,7 +183,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> D
     its whole sequence when shorter; documents without words have an empty set and are linked with
     nothing. Equal sets form a class. Classes that share a band are candidates: first each with three
     leaders of its bucket, of which the most similar is verified; then, between the components found so, all pairs of a bucket. In crowded buckets an
-    exact bound on what a pair can share (crowd_profile) comes first. So copies never meet all against all, and no link between different
+    exact bound on what a pair can share (crowd_profile) comes first, and in all of them an exact bound
+    on how far a pair is apart (parities). So copies never meet all against all, and no link between different
     components that a band shows is left out. Candidates pass sequential Bayesian verification and are
     then compared on full sets.
 
@@ -182,7 +194,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> D
     """
     sets, _ = materialise(document_sets(docs, size), "shingle-sets")
     some = sets.where("c IS NOT NULL")
-    merged = some.groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    merged = some.groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     classes, _ = materialise(merged.select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * 2 * ROWS + 1, F.lit(2 * ROWS)))))
     bands = classes.where("rep IS NOT NULL").select("id", "n", band.alias("band"))
@@ -208,12 +220,15 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> D
     profile = crowd_profile(full_sets(crowded, classes, docs, size))
     only = lambda c: F.when(F.col("crowd"), F.coalesce(c, F.lit(0))).otherwise(F.lit(0))
     rest = rest.join(profile, "id", "left").select("band", "id", "n", "component", only("own").alias("own"), only("core").alias("core"))
-    rest = rest.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
-    other = rest.select("band", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "own", "core")])
+    rest = rest.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent).join(classes.select("id", "bits"), "id")
+    other = rest.select("band", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "own", "core", "bits")])
     # a set's own members and its surplus of the crowd's core are not in the other set
     shared = F.least(F.col("n") - F.col("own") - F.greatest(F.lit(0), F.col("core") - F.col("core2")), F.col("n2") - F.col("own2") - F.greatest(F.lit(0), F.col("core2") - F.col("core")))
     reach = shared * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
-    across = rest.join(other, "band").where((F.col("component") < F.col("component2")) & sized("n", "n2") & reach).select(*pair("id", "id2")).distinct()
+    # cells of different parity are members that only one of the sets has
+    apart = F.expr(" + ".join(f"bit_count(bits[{k}] ^ bits2[{k}])" for k in range(CELLS // 64)))
+    alike = apart * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)
+    across = rest.join(other, "band").where((F.col("component") < F.col("component2")) & sized("n", "n2") & reach & alike).select(*pair("id", "id2")).distinct()
     more, _ = materialise(survivors(across, classes, percent), "close")
     if more.limit(1).count():
         extra, _ = materialise(exact_links(more, classes, docs, size, percent), "links")

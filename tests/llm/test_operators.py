@@ -81,6 +81,37 @@ def test_least_matches_is_a_posterior_bound():
     assert all(m < 0.8 * n for n, m in bounds.items()) and sorted(bounds.values()) == list(bounds.values())
 
 
+def test_parities_never_overstate_a_difference():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 3000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for k in (0, 1, 7, n):
+            other = np.concatenate((base[min(k, n) :], rng.integers(0, 1 << 63, k, dtype=np.uint64)))
+            apart = int(np.bitwise_count((neardup.parities(base) ^ neardup.parities(other)).view("<u8")).sum())
+            assert apart <= len(set(base.tolist()) ^ set(other.tolist()))
+
+
+def test_near_duplicates_in_a_crowd_equal_brute_force(spark):
+    """Variants of one text on both sides of the threshold, more than a bucket's CROWD."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(60)] = f"z{rng.randrange(200)}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    sets = [set(zip(w, w[1:], strict=False)) for w in (r[1].split() for r in rows)]
+    least = list(range(150))
+    for _ in rows:
+        for i in range(150):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    got = local(neardup.near_duplicates(spark.createDataFrame(rows, DOCS)))
+    assert [got[i]["component_id"] for i in range(150)] == least
+
+
 def test_line_dedup_equals_brute_force(docs):
     seen, gone = [], defaultdict(set)
     for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
