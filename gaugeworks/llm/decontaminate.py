@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.shared import literal_array, materialise, table
 
-#: Words of a template window; items with fewer, down to LEAST, are one window of their own length.
+#: Most words of a template window. Items of 2 * WINDOW words or fewer have windows of under half their
+#: length, so one edited word leaves a whole window on a side; of under WINDOW words, down to LEAST, one window.
 WINDOW, LEAST = 8, 4
-#: A document holds an item if its windows cover this share of the item's at one offset.
+#: A document holds an item if its windows cover this share of the item's windows ...
 SHARE = 0.5
+#: ... or this share of the words in them: an edit costs up to WINDOW windows but one word.
+WORD_SHARE = 0.7
+#: Windows of one copy begin within this many lengths of the item.
+REACH = 2
 #: Bits of the map that decides which windows are worth a join; bounded whatever the benchmark's size.
 MAX_MAP_BITS = 1 << 20
 #: Unit words, a placeholder after a number.
@@ -20,17 +25,21 @@ UNITS = (
     "days day weeks week months month years year dollars dollar cents cent usd eur euros euro pounds pound percent pct "
     "kmh mph degrees degree celsius kb mb gb tb"
 ).split()
-_START, _UNIT = "\u0001", "\u0002"
+_START, _UNIT, _JOIN = "\u0001", "\u0002", "\u0003"
+#: A capitalised word or number with another one behind it: both are one value.
+_RUN = r"((?<![\p{L}\p{N}\x01.,])(?:\p{Lu}\p{Ll}[\p{L}\p{N}'-]*+(?=[\x09-\x0D\x20]+\p{Lu}\p{Ll})|[0-9]++(?:[.,][0-9]++)*+(?=[\x09-\x0D\x20]+[0-9])))[\x09-\x0D\x20]+"
 
 
 def typed_words(text: Column) -> Column:
     """The words of a text without punctuation, those that begin a sentence and units after a number
-    marked by a control character in front; commas and points inside numbers stay."""
-    clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), _START + _UNIT, "  ")
+    marked by a control character in front; commas and points inside numbers stay. Names of several
+    words and numbers in groups are one word, with a control character between the parts."""
+    clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), _START + _UNIT + _JOIN, "   ")
     units = F.regexp_replace(clean, r"(?i)(?<=[0-9])[\x09-\x0D\x20]*\b?(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])", " " + _UNIT + "$1")
     clean = F.when(clean.rlike("[0-9]"), units).otherwise(clean)
     starts = F.regexp_replace(clean, r"(^|[.!?:][^\p{L}\p{N}]*|\n[^\p{L}\p{N}]*)(?=\p{Lu})", "$1" + _START)
-    bare = F.regexp_replace(starts, r"(?<![0-9])[.,]|[.,](?![0-9])|[^\p{L}\p{N}.,\x09-\x0D\x20" + _START + _UNIT + "]+", "")
+    joined = F.regexp_replace(starts, _RUN, "$1" + _JOIN)
+    bare = F.regexp_replace(joined, r"(?<![0-9])[.,]|[.,](?![0-9])|[^\p{L}\p{N}.,\x09-\x0D\x20" + _START + _UNIT + _JOIN + "]+", "")
     return F.filter(F.split(bare, r"[\x09-\x0D\x20]+"), lambda w: (w != "") & (w != _START))
 
 
@@ -43,37 +52,58 @@ def placeholder(word: Column) -> Column:
     )
 
 
-def _windows(source: DataFrame, keys: list[str], size: int, keep=None) -> DataFrame:
-    """keys, at, h and words of every window of `size` words of source (keys, words, template).
+def _parts(word: Column) -> Column:
+    """How many words a typed word has beyond its first."""
+    return F.length(word) - F.length(F.translate(word, _JOIN, ""))
 
-    keep: a condition on the hash that is applied inside the row, before rows are made."""
-    starts = F.when(F.size("template") >= size, F.sequence(F.lit(1), F.size("template") - size + 1)).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("template", i, size)).alias("h")))
-    if keep is not None:
-        hashed = F.filter(hashed, lambda w: keep(w["h"]))
-    cut = source.select(*keys, "words", "template", hashed.alias("found"))
-    full = F.transform("found", lambda w: F.struct(w["at"], w["h"], F.slice("words", w["at"], size).alias("words"), F.slice("template", w["at"], size).alias("template")))
+
+def _windows(source: DataFrame, keys: list[str], sizes: list) -> DataFrame:
+    """keys, size, at, first_word (at in words of the text), h, words and template of every window of
+    source (keys, words, template), for each (size, keep) of sizes.
+
+    keep: a condition on the hash that is applied inside the row, before rows are made, or None."""
+    def hashes(size, keep) -> Column:  # noqa: ANN001
+        size = F.lit(size) if isinstance(size, int) else size
+        starts = F.when(F.size("template") >= size, F.sequence(F.lit(1), F.size("template") - size + 1)).otherwise(F.array().cast("array<int>"))
+        hashed = F.transform(starts, lambda i: F.struct(size.alias("size"), i.alias("at"), F.xxhash64(F.slice("template", i, size)).alias("h")))
+        return hashed if keep is None else F.filter(hashed, lambda w: keep(w["h"]))
+
+    found = [hashes(size, keep) for size, keep in sizes]
+    cut = source.select(*keys, "words", "template", F.concat(*found).alias("found") if len(found) > 1 else found[0].alias("found"))
+    joins = F.array_compact(F.transform("words", lambda w, i: F.when(F.contains(w, F.lit(_JOIN)), i + 1)))
+    cut = cut.select(*keys, "words", "template", "found", F.when(F.size("found") > 0, joins).alias("joins"))
+    before = lambda at: F.aggregate(F.filter("joins", lambda k: k < at), F.lit(0), lambda n, k: n + _parts(F.get("words", k - 1)))
+    full = F.transform("found", lambda w: F.struct(
+        w["size"].alias("size"), w["at"].alias("at"), (w["at"] + before(w["at"])).alias("first_word"), w["h"].alias("h"),
+        F.slice("words", w["at"], w["size"]).alias("words"), F.slice("template", w["at"], w["size"]).alias("template")))
     # the outer form: a filter on the array's size would move below and be worked out anew for every window
     return cut.select(*keys, full.alias("found")).select(*keys, F.explode_outer("found").alias("w")).where("w IS NOT NULL").select(*keys, "w.*")
 
 
+def _covered(starts: Column, size: Column) -> Column:
+    """How many words the windows at some starts cover."""
+    return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda a: F.sequence(a, a + size - 1)))))
+
+
 def _templates(rows: DataFrame, keys: list[str]) -> DataFrame:
     typed = rows.select(*keys, typed_words(F.col("text")).alias("words"))
     return typed.withColumn("template", F.transform("words", placeholder))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (windows of the item), size, at, h, words, template. Windows of which under half
-    are plain words say nothing and are left out; so are items of under LEAST words."""
+    """item_id, n (windows of the item), n_words (words in them), length, size, at, h, words, template.
+    Windows of which under half are plain words say nothing and are left out; so are items of under
+    LEAST words."""
     items = _templates(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").dropDuplicates(), ["item_id"])
-    parts = None
-    for size in range(LEAST, WINDOW + 1):
-        part = items.where(F.size("template") == size) if size < WINDOW else items.where(F.size("template") >= size)
-        part = _windows(part, ["item_id"], size).withColumn("size", F.lit(size))
-        parts = part if parts is None else parts.unionByName(part)
+    length = F.size("template")
+    items = items.where(length + F.aggregate("words", F.lit(0), lambda n, w: n + _parts(w)) >= LEAST)
+    half = F.least(F.lit(WINDOW), F.greatest(F.lit(LEAST), F.floor((length - 1) / 2).cast("int")))
+    items = items.withColumn("length", length).withColumn("_size", F.when(length < WINDOW, length).otherwise(half))
+    parts = _windows(items, ["item_id", "length", "_size"], [(F.col("_size"), None)]).drop("_size", "first_word")
     plain = F.size(F.filter("template", lambda w: ~F.startswith(w, F.lit("<"))))
     parts = parts.where(plain * 2 >= F.col("size"))
-    return parts.join(parts.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id")
+    whole = parts.groupBy("item_id", "length", "size").agg(F.count(F.lit(1)).alias("n"), F.collect_list("at").alias("ats"))
+    return parts.join(whole.select("item_id", "length", "n", _covered(F.col("ats"), F.col("size")).cast("long").alias("n_words")), ["item_id", "length"])
 
 
 def _bit_map(hashes: DataFrame):
@@ -94,45 +124,67 @@ def _bit_map(hashes: DataFrame):
     return lambda h: F.getbit(F.get(table_, F.shiftright(bit(h), 5).cast("int")), bit(h).bitwiseAND(F.lit(31)).cast("int")) == 1
 
 
+def _one_to_one(slots: Column) -> Column:
+    """Whether each value of the item stands for one value of the document and the other way round."""
+    left = F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["t"], s["item"]))))
+    right = F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["t"], s["doc"]))))
+    return (F.size(slots) == left) & (F.size(slots) == right)
+
+
+def _chained(runs: DataFrame) -> DataFrame:
+    """For each run (the windows of a pair at one offset) the windows and values of the copy that
+    begins there: of all runs up to REACH lengths of the item later, the largest first, each is added
+    whose values agree with those taken so far. So inserted, dropped and replaced words only cost the
+    windows they stand in."""
+    near = Window.partitionBy("doc_id", "item_id", "length").orderBy(F.floor(F.col("first_word") * 1000 / F.col("length"))).rangeBetween(0, 1000 * REACH)
+    run = F.struct((-F.size("item_ats")).alias("less"), "offset", "item_ats", "slots")
+    rows = runs.withColumn("near", F.collect_list(run).over(near)).where(F.size("near") > 1)
+    start = F.struct(F.col("item_ats"), F.col("slots"))
+
+    def add(so_far: Column, r: Column) -> Column:
+        slots = F.array_union(so_far["slots"], r["slots"])
+        more = F.struct(F.array_union(so_far["item_ats"], r["item_ats"]).alias("item_ats"), slots.alias("slots"))
+        return F.when(_one_to_one(slots), more).otherwise(so_far)
+
+    copy = F.aggregate(F.array_sort("near"), start, add)
+    return rows.withColumn("copy", copy).withColumn("item_ats", F.col("copy.item_ats")).withColumn("slots", F.col("copy.slots")).drop("near", "copy")
+
+
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The (document, item) pairs of which the document holds the item or a variant of it.
 
-    Numbers, units after numbers and names become typed placeholders; windows of WINDOW words of
-    these templates are hashed and joined. Pairs count where windows at one offset cover SHARE of the
-    item's, and the values in the placeholders agree one to one: each value of the item stands for
+    Numbers, units after numbers and names become typed placeholders; windows of these templates
+    are hashed and joined. Pairs count where windows at one offset, or at the offsets of one copy with
+    inserted, dropped or replaced words, cover SHARE of the item's windows or WORD_SHARE of the words
+    in them, and the values in the placeholders agree one to one: each value of the item stands for
     one value of the document and the other way round. kind: verbatim (equal values) or variant.
-    Result: doc_id, item_id, kind, n_windows, share, first_word. Null and empty texts and items of
-    under LEAST words match nothing; rows that share a doc_id or item_id are judged as one; rows
-    without doc_id keep a null one; extra columns are ignored; empty tables give no rows. Very long
-    texts are read whole.
+    Result: doc_id, item_id, kind, n_windows, share (of windows), first_word. Null and empty texts and
+    items of under LEAST words match nothing; rows that share a doc_id or item_id are judged as one;
+    rows without doc_id keep a null one; extra columns are ignored; empty tables give no rows. Very
+    long texts are read whole.
     """
     bench, _ = materialise(benchmark_windows(benchmark), "benchmark-windows")
-    sizes = [r["size"] for r in bench.select("size").distinct().collect()]
-    rows = _templates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
-    hits = None
-    for size in sorted(sizes):
-        mine = bench.where(F.col("size") == size)
-        theirs = _windows(rows, ["doc_id"], size, _bit_map(mine.select("h")))
-        own = mine.select("item_id", "n", "h", F.col("at").alias("item_at"), F.col("words").alias("item_words"), F.col("template").alias("item_template"))
-        joined = theirs.join(own, "h").where(F.col("template") == F.col("item_template"))
-        hits = joined if hits is None else hits.unionByName(joined)
-    if hits is None:
+    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
+    if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, kind string, n_windows long, share double, first_word int")
+    rows = _templates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
+    theirs = _windows(rows, ["doc_id"], [(size, _bit_map(bench.where(F.col("size") == size).select("h"))) for size in sizes])
+    own = bench.select("item_id", "length", "n", "n_words", "size", "h", F.col("at").alias("item_at"), F.col("words").alias("item_words"), F.col("template").alias("item_template"))
+    hits = theirs.join(own, ["size", "h"]).where(F.col("template") == F.col("item_template"))
     slots = F.filter(
         F.transform(F.arrays_zip("template", "words", "item_words"), lambda x: F.struct(x["template"].alias("t"), F.lower(x["item_words"]).alias("item"), F.lower(x["words"]).alias("doc"))),
         lambda x: F.startswith(x["t"], F.lit("<")),
     )
-    per = hits.select("doc_id", "item_id", "n", "at", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), slots.alias("slots"))
-    grouped = per.groupBy("doc_id", "item_id", "n", "offset").agg(
-        F.countDistinct("item_at").alias("n_windows"), F.min("at").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+    per = hits.select("doc_id", "item_id", "length", "n", "n_words", "size", "item_at", "first_word", (F.col("at") - F.col("item_at")).alias("offset"), slots.alias("slots"))
+    grouped = per.groupBy("doc_id", "item_id", "length", "n", "n_words", "size", "offset").agg(
+        F.collect_set("item_at").alias("item_ats"), F.min("first_word").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
-    n_pairs = F.size("slots")
-    left = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["t"], s["item"]))))
-    right = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["t"], s["doc"]))))
-    consistent = (n_pairs == left) & (n_pairs == right)
+    runs, _ = materialise(grouped.where(_one_to_one(F.col("slots"))), "item-runs")
     same = F.forall("slots", lambda s: s["item"] == s["doc"])
-    share = F.col("n_windows") / F.col("n")
-    kept = grouped.where(consistent & (share >= SHARE)).select("doc_id", "item_id", F.when(same, "verbatim").otherwise("variant").alias("kind"), "n_windows", share.alias("share"), "first_word")
+    n_windows = F.size("item_ats").cast("long")
+    enough = (n_windows >= F.col("n") * SHARE) | (_covered(F.col("item_ats"), F.col("size")) >= F.col("n_words") * WORD_SHARE)
+    holds = lambda r: r.where(enough).select("doc_id", "item_id", F.when(same, "verbatim").otherwise("variant").alias("kind"), n_windows.alias("n_windows"), (n_windows / F.col("n")).alias("share"), "first_word")
+    kept = holds(runs).unionByName(holds(_chained(runs)))
     best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", (-F.col("first_word")).alias("back"), "kind", "share")).alias("b"))
     return best.select("doc_id", "item_id", "b.kind", "b.n_windows", "b.share", (-F.col("b.back")).cast("int").alias("first_word"))
 

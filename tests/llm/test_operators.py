@@ -215,6 +215,29 @@ def test_decontamination_finds_variants(spark):
     assert {r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()} & {0, 1} == set()
 
 
+def test_decontamination_finds_edited_copies(spark):
+    """A word put in, dropped or replaced near the middle, and names and numbers of more words, at every item length."""
+    words = [f"{a}{b}" for a in ("ba", "ko", "mi", "tu", "re", "sa") for b in ("lan", "dor", "vex", "pim", "gul", "zat", "nok", "wis")]
+    items, texts = [], []
+    for n in (9, 15, 16, 22, 40):
+        item, m = words[:n], n // 2
+        for edited in (item[:m] + ["plus"] + item[m:], item[:m] + item[m + 1 :], item[:m] + ["plus"] + item[m + 1 :]):
+            items.append((len(items), " ".join(item)))
+            texts.append((len(texts), "start of the text " + " ".join(edited) + " end of it"))
+        named = item[:m] + ["Anna"] + item[m + 1 : -2] + ["Anna", "60"]
+        items.append((len(items), " ".join(named)))
+        texts.append((len(texts), " ".join(named).replace("Anna", "Mary Ann").replace("60", "1 000")))
+    got = {}
+    for k in range(0, len(items), 4):  # items of one length by themselves: they share their words
+        part = decontaminate.find(spark.createDataFrame(texts[k : k + 4], "doc_id long, text string"), spark.createDataFrame(items[k : k + 4], "item_id long, text string"))
+        got |= {(r["doc_id"], r["item_id"]): r["kind"] for r in part.collect()}
+    assert {(i, i) for i in range(len(items))} <= set(got)
+    half = " ".join(words[:11]) + " and something else"
+    assert decontaminate.find(spark.createDataFrame([(1, half)], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words[:30]))], "item_id long, text string")).count() == 0
+    moved = decontaminate.find(spark.createDataFrame([(1, "we saw Mary Ann and then " + " ".join(words[:20]))], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words[:20]))], "item_id long, text string"))
+    assert moved.first()["first_word"] == 7
+
+
 def test_slots_must_agree(spark):
     item = "if x costs 5 dollars and y costs 5 dollars too then how much do both of them cost in the end today"
     bad = "if x costs 6 dollars and y costs 9 dollars too then how much do both of them cost in the end today"
