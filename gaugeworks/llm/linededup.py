@@ -219,9 +219,9 @@ def later_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc, line, exact, match_doc of every line that matches an earlier one (by doc_id, then line).
 
     Lines with equal sets form a class. Classes join on words of their prefixes; groups of words in
-    over HOT lines are compared with four leaders first (the earliest line among them), and only the
-    classes without an earlier match then with all earlier ones of the group: copies of a line never
-    meet all against all, and none without a match is passed over.
+    over HOT lines are compared with four leaders first (the earliest line among them), and then with
+    all of the group that are earlier than the least match so far (than the class itself, if none):
+    copies of a line seldom meet all against all, and match_doc is the least of all matches.
     """
     spark = docs.sparkSession
     scanned, _ = materialise(scan_lines(docs), "lines")
@@ -246,9 +246,9 @@ def later_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     star = star.where(parity).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     tried, _ = materialise(pairs.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     settled, _ = materialise(_later(verified(tried, docs, percent), classes), "line-matches")
-    free = hot.join(settled.select("id"), "id", "left_anti")
+    free = hot.join(settled, "id", "left")
     probe = free.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
-    both = probe.alias("u").join(hot.alias("v"), (F.col("u.token") == F.col("v.token")) & (F.col("u.size") == F.col("v.size")) & (F.col("v.at") < F.col("u.at")) & F.expr(
+    both = probe.alias("u").join(hot.alias("v"), (F.col("u.token") == F.col("v.token")) & (F.col("u.size") == F.col("v.size")) & (F.col("v.at") < F.col("u.at")) & (F.col("u.match_doc").isNull() | (F.col("v.at.doc") < F.col("u.match_doc"))) & F.expr(
         f"least(u.n, v.n) * 100 >= greatest(u.n, v.n) * {percent} and least(u.n - u.pos, v.n - v.pos) >= ceil({percent} * (u.n + v.n) / {100 + percent}) "
         f"and bit_count(u.bits ^ v.bits) <= u.n + v.n - 2 * ceil({percent} * (u.n + v.n) / {100 + percent})"))
     more = both.select(F.least("u.id", "v.id").alias("a"), F.greatest("u.id", "v.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")

@@ -145,6 +145,23 @@ def test_line_dedup_with_hot_words(spark, monkeypatch):
     assert [got[i]["n_links"] == 1 for i in range(60)] == want
 
 
+def test_line_classes_with_hot_words(spark, monkeypatch):
+    """class_id is the least document with an earlier match, whatever HOT is."""
+    monkeypatch.setattr(linededup, "HOT", 4)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(24)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(24)] = f"z{rng.randrange(400)}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    sets = [frozenset(r[1].split()) for r in rows]
+    want = [next((j for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])), i) for i in range(200)]
+    got = local(linededup.line_report(spark.createDataFrame(rows, DOCS)))
+    assert [got[i]["class_id"] for i in range(200)] == want
+
+
 def test_bpe_equals_the_library(docs):
     from tokenizers import Tokenizer
 
