@@ -13,8 +13,8 @@ from gaugeworks.llm.shared import ASCII_LOWER, bit_filter, materialise, mix64, p
 
 #: Two lines match from intersection * 100 >= PERCENT * union of their distinct words on.
 PERCENT = 80
-#: Lines of fewer distinct words are left alone: they are marks and cells rather than sentences.
-LEAST_WORDS = 3
+#: Lines of fewer distinct words have no set to compare: only those without words are left alone.
+LEAST_WORDS = 1
 #: Cells of the table of word frequencies (a byte each when broadcast) and its slices.
 RARITY_BITS, SLICES = 24, 64
 #: Words in more lines than this are hot: their groups go through leaders first.

@@ -162,6 +162,12 @@ def test_line_classes_with_hot_words(spark, monkeypatch):
     assert [got[i]["class_id"] for i in range(200)] == want
 
 
+def test_short_lines_are_matched(spark):
+    texts = ["Menu\nabout us\none two three four five\n\n--", "about  US\nmenu bar\n\n--", "menu\nUs about\nlast of all"]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)).collect()}
+    assert got == {0: texts[0], 1: "menu bar\n", 2: "last of all"}
+
+
 def test_bpe_equals_the_library(docs):
     from tokenizers import Tokenizer
 
