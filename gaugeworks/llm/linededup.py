@@ -134,7 +134,8 @@ def prefix_entries(docs: DataFrame, rarity, percent: int = PERCENT) -> DataFrame
     """The rarest words of each line's set, as many as any match must share one of.
 
     token, id, bits (parity of the set's words by 64 cells: how many bits differ bounds the
-    difference of two sets), n, pos (place in the order by rarity); doc and line for hot words.
+    difference of two sets), n, pos (place in the order by rarity); for hot words doc and line, the
+    set's first place by doc_id and line (over all chunks the least is that of its class).
     Sets of under 4 words match none but equal ones.
     """
     hot_from = int(_ranks(np.array([HOT]))[0])
@@ -142,7 +143,10 @@ def prefix_entries(docs: DataFrame, rarity, percent: int = PERCENT) -> DataFrame
 
     def run(batches):
         for ids, lines in _chunks(batches, rarity.value):
-            _, first = np.unique(lines.id, return_index=True)
+            given = np.array(ids, dtype=np.int64)
+            order = np.lexsort((lines.line_no, given[lines.doc]))
+            _, first = np.unique(lines.id[order], return_index=True)
+            first = order[first]
             first = np.sort(first[lines.n[first] >= 4])
             if not len(first):
                 continue
@@ -153,7 +157,7 @@ def prefix_entries(docs: DataFrame, rarity, percent: int = PERCENT) -> DataFrame
             pos = np.arange(len(row)) - np.repeat(size.cumsum() - size, size)
             at = lines.starts[row] + pos
             hot = lines.rank[at] > hot_from
-            docs_ = np.array(ids, dtype=np.int64)[lines.doc[row]]
+            docs_ = given[lines.doc[row]]
             yield pa.RecordBatch.from_arrays([
                 pa.array(lines.words[at].view(np.int64)), pa.array(lines.id[row]), pa.array(parity[row].view(np.int64)), pa.array(lines.n[row].astype(np.int32)), pa.array(pos.astype(np.int32)),
                 pa.array(docs_, mask=~hot), pa.array(lines.line_no[row].astype(np.int32), mask=~hot),

@@ -168,6 +168,29 @@ def test_short_lines_are_matched(spark):
     assert got == {0: texts[0], 1: "menu bar\n", 2: "last of all"}
 
 
+def test_hot_lines_of_unsorted_documents(spark, monkeypatch):
+    """Copies of lines stand in later and earlier documents of one task, later ones first."""
+    monkeypatch.setattr(linededup, "HOT", 4)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(24)]
+    lines = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(24)] = f"z{rng.randrange(400)}"
+        lines.append(" ".join(w))
+    ids = rng.sample(range(1000), 180)
+    rows = sorted(((i, lines[k % 60], "en", "s", 1) for k, i in enumerate(ids)), reverse=True)
+    want, seen = {}, []
+    for i, text, *_ in sorted(rows):
+        x = frozenset(text.split())
+        want[i] = next((j for j, y in seen if 100 * len(x & y) >= 80 * len(x | y)), i)
+        seen.append((i, x))
+    got = local(linededup.line_report(spark.createDataFrame(rows, DOCS).coalesce(1)))
+    assert {i: g["class_id"] for i, g in got.items()} == want
+    assert {i for i, g in got.items() if g["n_links"]} == {i for i, j in want.items() if i != j}
+
+
 def test_bpe_equals_the_library(docs):
     from tokenizers import Tokenizer
 
