@@ -14,6 +14,8 @@ from gaugeworks.llm.shared import materialise, table
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
+#: Keys of texts whose doc_id is not theirs alone lie from here on, behind all documents with one.
+_OWN = 1 << 62
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,24 +23,46 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def own_keys(docs: DataFrame) -> DataFrame:
+    """docs with `_own`, a key of each distinct doc_id and text: the doc_id where it is given and for
+    one of the texts under it (the one of least hash), else the hash of both. Equal rows share it."""
+    h = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id"), h.alias("_h")).where("_id IS NOT NULL")
+    shared, _ = materialise(ids.groupBy("_id").agg(F.min("_h").alias("_first"), F.max("_h").alias("_last")).where("_first <> _last").select("_id", "_first"), "shared-ids")
+    rows = docs.withColumn("_h", h).join(shared, F.col("doc_id").cast("long") == F.col("_id"), "left")
+    odd = F.col("doc_id").isNull() | (F.col("_h") != F.col("_first")) | (F.col("doc_id").cast("long") >= _OWN)
+    hashed = F.lit(_OWN) + F.col("_h").bitwiseAND(F.lit(_OWN - 1))
+    return rows.withColumn("_own", F.when(F.coalesce(odd, F.lit(False)), hashed).otherwise(F.col("doc_id").cast("long"))).drop("_h", "_id", "_first")
+
+
+def _by_own(docs: DataFrame) -> DataFrame:
+    """docs with their key as doc_id and the given one as `_given`."""
+    return own_keys(docs).withColumnRenamed("doc_id", "_given").withColumnRenamed("_own", "doc_id")
+
+
+def _as_given(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("_given").alias("doc_id") if c == "doc_id" else F.col(c) for c in docs.columns])
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that match an earlier line; those that keep no words go."""
-    return linededup.dedup_lines(docs)
+    return _as_given(linededup.dedup_lines(_by_own(docs)), docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of least doc_id. Rows that share a
-    doc_id are one document; of equal such rows one stays."""
-    groups, _ = materialise(neardup.near_duplicates(docs, SHINGLE).select("doc_id", "kept"), "near-groups")
+    """One document of each group of near-duplicates, the one of least key (see own_keys). Texts that
+    share a doc_id, or have none, are documents of their own; of rows with equal doc_id and text one stays."""
+    rows = _by_own(docs)
+    groups, _ = materialise(neardup.near_duplicates(rows, SHINGLE).select("doc_id", "kept"), "near-groups")
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    left = rows.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.dropDuplicates() if repeated else left
+    return _as_given(left.dropDuplicates(["doc_id"]) if repeated else left, docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return _as_given(decontaminate.drop_contaminated(_by_own(docs), table(spark, sf_dir, "benchmark")), docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

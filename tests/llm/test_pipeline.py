@@ -13,3 +13,21 @@ def test_stages_take_effect(spark, small):
         n = docs.count()
     out = p.STAGES[-1][1](spark, docs, small)
     assert out.count() == n and out.agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_rows_without_a_doc_id_of_their_own(spark, tmp_path):
+    """Null and repeated doc_ids: only the copies, repeated lines and leaks among them go."""
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"{a}{k}{b}" for a in ("ba", "ko", "mi", "tu") for b in ("lan", "dor", "vex", "pim", "gul"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    make = lambda rows: spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], schema)
+    got = lambda df: sorted((r["text"] for r in df.collect()))
+    docs = make([(3, text(1)), (None, text(1)), (None, text(2)), (None, text(3)), (5, text(1)), (5, text(4))])
+    assert got(p.one_of_each_group(spark, docs, "")) == sorted(map(text, (1, 2, 3, 4)))
+    spark.createDataFrame([(1, text(2))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = p.drop_benchmark(spark, make([(None, text(2)), (None, text(3)), (5, text(2)), (5, text(4)), (6, text(5))]), str(tmp_path))
+    assert got(left) == sorted(map(text, (3, 4, 5)))
+    lines = make([(1, text(1)), (None, text(6) + "\n" + text(1)), (None, text(7) + "\n" + text(8)), (None, text(9) + "\n" + text(8))])
+    cleaned = got(p.drop_repeated_lines(spark, lines, ""))
+    assert sorted(x for t in cleaned for x in t.split("\n")) == sorted(map(text, (1, 6, 7, 8, 9)))
