@@ -7,19 +7,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.shared import mix64, table
+from gaugeworks.llm.shared import materialise, table
 
 #: The rules of the contract, as (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Seed words that mark a host's label as rejected in the labelled sample (gambling, advertising, scams, adult).
 REJECT_WORDS = ("casino", "bet", "bets", "poker", "slots", "lotto", "ads", "track", "tracker", "click", "popup", "pills", "viagra", "xxx", "porn", "spam", "cheap", "loan", "loans", "replica", "crack", "warez")
-#: Longest context in characters; contexts and their successors are counted in 2**SLOT_BITS cells a model.
-ORDER, SLOT_BITS = 5, 18
+#: Longest context in bytes; a gram is a context and its successor, packed with the successor lowest.
+ORDER = 5
 #: Absolute discount of the back-off, and the size of the alphabet at its end.
 DISCOUNT, ALPHABET = 0.75, 256
 #: Thresholds are set on this share of labelled URLs (crc32 of the URL mod CALIBRATE), never trained on.
 CALIBRATE = 5
-_CELLS = 1 << SLOT_BITS
 
 
 def _after_scheme(url: Column) -> Column:
@@ -46,45 +45,51 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def context_cells(url: bytes) -> np.ndarray:
-    """(ORDER + 1) by 2 by n cells: at row k, the cell of each character's context of k characters
-    and of that context with the character."""
-    text = np.frombuffer(b"\0" * ORDER + url, dtype=np.uint8).astype(np.uint64)
-    n = len(url)
-    out = np.zeros((ORDER + 1, 2, n), dtype=np.int64)
-    context = np.zeros(n, dtype=np.uint64)
-    now = text[ORDER:] + np.uint64(1)
-    for k in range(ORDER + 1):
-        if k:
-            context = context * np.uint64(0x100000001B3) + text[ORDER - k : ORDER - k + n] + np.uint64(1)
-        base = mix64(context + np.uint64(k << 56))
-        out[k, 0] = (base >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        out[k, 1] = (mix64(base ^ now * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    return out
+def grams(url: bytes) -> np.ndarray:
+    """Each byte of url with the ORDER bytes in front of it (zeros before the start), as one number."""
+    text = np.frombuffer(b"\0" * ORDER + url, dtype=np.uint8).astype(np.int64)
+    return sum(text[ORDER - k : len(text) - k] << (8 * k) for k in range(ORDER + 1))
 
 
 class Model:
-    """Counts of contexts and of contexts with their successor, in cells; probabilities interpolate
-    from the empty context to the longest, each with the weight that its evidence earns."""
+    """Exact counts of grams (counts: gram, accepted, rejected) in one of its columns; probabilities
+    interpolate from the empty context to the longest, each with the weight that its evidence earns."""
+
+    def __init__(self, counts: DataFrame, column: str) -> None:
+        self.counts, self.column = counts, column
 
-    def __init__(self, contexts: np.ndarray, pairs: np.ndarray) -> None:
-        self.contexts, self.pairs = contexts, pairs
 
-    def log_likelihood(self, cells: np.ndarray) -> np.ndarray:
-        p = np.full(cells.shape[2], 1.0 / ALPHABET)
-        for k in range(ORDER + 1):
-            seen, hit = self.contexts[cells[k, 0]], self.pairs[cells[k, 1]]
+def gram_ratios(wanted: DataFrame, accepted: Model, rejected: Model) -> DataFrame:
+    """gram, value: the log-likelihood difference of each distinct gram of wanted. It depends on the
+    gram alone, so contexts and successors are joined once for it and not for every place."""
+    out = wanted.select("gram")
+    p = [F.lit(1.0 / ALPHABET)] * 2
+    sums = [F.sum(accepted.column).alias("_a"), F.sum(rejected.column).alias("_r")]
+    for k in range(ORDER + 1):
+        named = lambda kind, k=k: [F.col(c).alias(f"{kind}{c}{k}") for c in ("_a", "_r")]
+        pair = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        out = out.withColumn("_pair", pair).join(accepted.counts.groupBy(pair.alias("_pair")).agg(*sums).select("_pair", *named("hit")), "_pair", "left").drop("_pair")
+        if k:
+            context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * k) - 1))
+            out = out.withColumn("_context", context).join(accepted.counts.groupBy(context.alias("_context")).agg(*sums).select("_context", *named("seen")), "_context", "left").drop("_context")
+        else:
+            out = out.crossJoin(F.broadcast(accepted.counts.agg(*sums).select(*named("seen"))))
+        for m, c in enumerate(("_a", "_r")):
+            seen, hit = (F.coalesce(F.col(f"{kind}{c}{k}"), F.lit(0)).cast("double") for kind in ("seen", "hit"))
             weight = seen / (seen + 4.0)
-            p = weight * np.minimum(1.0, np.maximum(hit - DISCOUNT, 0) / np.maximum(seen, 1)) + (1 - weight) * p
-        return np.log(np.maximum(p, 1e-12))
+            p[m] = weight * F.least(F.lit(1.0), F.greatest(hit - DISCOUNT, F.lit(0.0)) / F.greatest(seen, F.lit(1.0))) + (1 - weight) * p[m]
+    floor = lambda x: F.log(F.greatest(x, F.lit(1e-12)))
+    return out.select("gram", (floor(p[0]) - floor(p[1])).alias("value"))
 
 
 def ratio(url: bytes, accepted: Model, rejected: Model) -> float:
-    """Mean log-likelihood difference per character; 0 for an empty URL. Above 0: looks accepted."""
+    """Mean log-likelihood difference per byte; 0 for an empty URL. Above 0: looks accepted."""
     if not url:
         return 0.0
-    cells = context_cells(url)
-    return float((accepted.log_likelihood(cells) - rejected.log_likelihood(cells)).mean())
+    kinds, n = np.unique(grams(url), return_counts=True)
+    rows = accepted.counts.sparkSession.createDataFrame([(int(g),) for g in kinds], "gram long")
+    value = {r["gram"]: r["value"] for r in gram_ratios(rows, accepted, rejected).collect()}
+    return float(sum(value[int(g)] * int(k) for g, k in zip(kinds, n, strict=True)) / n.sum())
 
 
 def _scored_text(url: str | None) -> bytes:
@@ -93,21 +98,22 @@ def _scored_text(url: str | None) -> bytes:
     return rest.translate({c: None for c in b"0123456789"}).lower().encode("utf-8")
 
 
-def count_cells(labelled: DataFrame) -> DataFrame:
-    """labelled: url, accepted boolean. Counts by model, table and cell: at most 4 * 2**SLOT_BITS
-    rows in all however long the input; every task adds up its own URLs first."""
+def count_grams(labelled: DataFrame) -> DataFrame:
+    """labelled: url, accepted boolean. gram, accepted, rejected: exact counts, which grow with the
+    distinct grams of the input and stay on the executors; every batch adds up its own URLs first."""
 
     def run(batches):
-        counts = np.zeros((2, 2, _CELLS), dtype=np.int64)
         for b in batches:
+            parts = {True: [np.zeros(0, dtype=np.int64)], False: [np.zeros(0, dtype=np.int64)]}
             for url, accepted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                cells = context_cells(_scored_text(url))
-                for t in (0, 1):
-                    counts[int(accepted), t] += np.bincount(cells[:, t].ravel(), minlength=_CELLS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts.ravel()[at])], names=["cell", "n"])
+                parts[accepted].append(grams(_scored_text(url)))
+            for accepted, found in parts.items():
+                kinds, n = np.unique(np.concatenate(found), return_counts=True)
+                none = np.zeros(len(n), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n if accepted else none), pa.array(none if accepted else n)], names=["gram", "accepted", "rejected"])
 
-    return labelled.select("url", "accepted").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counted = labelled.select("url", "accepted").mapInArrow(run, "gram long, accepted long, rejected long")
+    return counted.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
 
 
 def fit(labelled: DataFrame) -> tuple[Model, Model, float]:
@@ -118,11 +124,8 @@ def fit(labelled: DataFrame) -> tuple[Model, Model, float]:
     """
     labelled = labelled.where("url IS NOT NULL AND accepted IS NOT NULL")
     aside = F.crc32(F.col("url").cast("binary")) % CALIBRATE == 0
-    rows = count_cells(labelled.where(~aside)).toArrow()
-    counts = np.zeros(4 * _CELLS)
-    counts[np.asarray(rows.column("cell"))] = np.asarray(rows.column("n"))
-    counts = counts.reshape(2, 2, _CELLS)
-    models = Model(counts[1, 0], counts[1, 1]), Model(counts[0, 0], counts[0, 1])
+    counts, _ = materialise(count_grams(labelled.where(~aside)), "url-grams")
+    models = Model(counts, "accepted"), Model(counts, "rejected")
     bins = score_urls(labelled.where(aside), *models).select("accepted", F.floor(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), "ratio")) * 50).cast("int").alias("bin"))
     table_ = np.zeros((2, 1002))
     for r in bins.groupBy("accepted", "bin").count().collect():
@@ -136,18 +139,21 @@ def fit(labelled: DataFrame) -> tuple[Model, Model, float]:
 
 
 def score_urls(urls: DataFrame, accepted: Model, rejected: Model) -> DataFrame:
-    """urls with a column ratio; both models (8 * 2**SLOT_BITS numbers) are broadcast."""
-    shared = urls.sparkSession.sparkContext.broadcast((accepted.contexts, accepted.pairs, rejected.contexts, rejected.pairs))
+    """urls with a column ratio, rounded to 12 digits (sums in any order are equal). Grams of the
+    distinct URLs, by two hashes of the URL, meet the table of gram_ratios in a join."""
+    key = [F.xxhash64("url").alias("_k"), F.hash("url").alias("_k2")]
 
-    @F.pandas_udf("double")
-    def score(column):  # noqa: ANN001
-        import pandas as pd
-
-        a, b, c, d = shared.value
-        models = Model(a, b), Model(c, d)
-        return pd.Series([ratio(_scored_text(u), *models) for u in column], dtype=float)
-
-    return urls.withColumn("ratio", score("url"))
+    def run(batches):
+        for b in batches:
+            found = [grams(_scored_text(u)) for u in b.column(2).to_pylist()]
+            n = [len(g) for g in found]
+            all_ = np.concatenate([np.zeros(0, dtype=np.int64), *found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), n)), pa.array(np.repeat(np.asarray(b.column(1)), n)), pa.array(all_)], names=["_k", "_k2", "gram"])
+
+    places, _ = materialise(urls.where("url IS NOT NULL").select("url").distinct().select(*key, "url").mapInArrow(run, "_k long, _k2 int, gram long").groupBy("_k", "_k2", "gram").agg(F.count(F.lit(1)).alias("_n")), "url-places")
+    values, _ = materialise(gram_ratios(places.select("gram").distinct(), accepted, rejected), "url-ratios")
+    means = places.join(values, "gram").groupBy("_k", "_k2").agg(F.round(F.sum(F.col("_n") * F.col("value")) / F.sum("_n"), 12).alias("ratio"))
+    return urls.select("*", *key).join(means, ["_k", "_k2"], "left").select(*[F.col(c) for c in urls.columns], F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
 
 def seed_labels(pages: DataFrame, words=REJECT_WORDS) -> DataFrame:

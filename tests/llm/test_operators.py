@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -248,6 +248,33 @@ def test_url_models_learn(spark):
     assert urls.ratio(urls._scored_text("http://casino-bonus.example.org/play/77"), a, r) < threshold <= urls.ratio(urls._scored_text("https://theing.example.org/en/9"), a, r)
 
 
+def test_url_counts_are_exact(spark):
+    """More grams than any fixed table held: each URL's counts are its own, and scores are those of a plain version."""
+    seen = [(f"https://h{k}.org/" + hashlib.sha256(str(k).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) * 1, k % 3 > 0) for k in range(8000)]
+    counts = urls.count_grams(spark.createDataFrame(seen, "url string, accepted boolean")).cache()
+    plain = {True: Counter(), False: Counter()}
+    for u, ok in seen:
+        plain[ok].update(urls.grams(urls._scored_text(u)).tolist())
+    assert counts.count() == len(set(plain[True]) | set(plain[False])) > 1 << 18
+    assert counts.agg(F.sum("accepted"), F.sum("rejected")).first() == (sum(plain[True].values()), sum(plain[False].values()))
+    text, want = urls._scored_text(seen[5][0]), 0.0
+    tables = {ok: [(Counter(), Counter()) for _ in range(6)] for ok in plain}
+    for ok, all_ in plain.items():
+        for g, n in all_.items():
+            for k in range(6):
+                tables[ok][k][0][g >> 8 & (1 << 8 * k) - 1] += n
+                tables[ok][k][1][g & (1 << 8 * (k + 1)) - 1] += n
+    for g in urls.grams(text).tolist():
+        for ok, sign in ((True, 1), (False, -1)):
+            p = 1 / 256
+            for k in range(6):
+                n, hit = tables[ok][k][0][g >> 8 & (1 << 8 * k) - 1], tables[ok][k][1][g & (1 << 8 * (k + 1)) - 1]
+                p = n / (n + 4) * min(1, max(hit - 0.75, 0) / max(n, 1)) + 4 / (n + 4) * p
+            want += sign * np.log(p)
+    got = urls.score_urls(spark.createDataFrame([(seen[5][0],), (None,), ("",)], "url string"), urls.Model(counts, "accepted"), urls.Model(counts, "rejected"))
+    assert {r["url"]: r["ratio"] for r in got.collect()} == {seen[5][0]: pytest.approx(want / len(text)), None: 0.0, "": 0.0}
+
+
 def test_decontamination_finds_variants(spark):
     item = "A train leaves the station at 60 km per hour and Mary waits 15 minutes before she follows it along the old river road"
     filler = "some words that stand around here without any meaning at all and go on for long"
