@@ -171,31 +171,60 @@ def fuse(df: DataFrame, alpha: float, heuristic: str = "heuristic", p: str = "p"
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("episode_id").orderBy(F.desc("fused"), "candidate_id")))
 
 
+def _whole_episodes(rows: DataFrame, max_rows: int) -> DataFrame:
+    """All rows of the episodes of least hash, as many as max_rows rows hold (the first always)."""
+    eps = rows.groupBy("episode_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.xxhash64("episode_id"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_h", "episode_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = eps.withColumn("_before", before).where((F.col("_before") == 0) | (F.col("_before") + F.col("_n") <= max_rows))
+    return rows.join(taken.select("episode_id"), "episode_id", "left_semi")
+
+
 def train(features: DataFrame, labels: str = "label", objective: str = "lambdarank", max_rows: int = 100_000, grid=None, version: str = "1") -> tuple[Ranker, dict]:
     """Time split, grid by NDCG@3 on the calibration part, isotonic fit there, one pass over the test part.
 
-    features: episode_id, candidate_id, window_start, label, f_..; the table comes to the driver, so it
-    is bounded (whole table: one row a candidate of a simulated history)."""
-    from gaugeworks.ml.metrics import time_split
+    features: episode_id, candidate_id, window_start, label, f_... The trees are grown, and stopped
+    early, on whole episodes of the train and calibration parts that come to the driver, those of
+    least hash, at most max_rows rows of each part. The split, the choice from the grid, the isotonic
+    fit, the out-of-distribution bounds and the test measure read all rows, in Spark."""
+    from gaugeworks.ml.calibration import fit_distributed
+    from gaugeworks.ml.metrics import ndcg, time_split
 
     names = list(FEATURES)
-    rows = time_split(features).limit(max_rows).toPandas().sort_values(["window_start", "episode_id", "candidate_id"])
-    x, y, g = rows[[f"f_{n}" for n in names]].to_numpy(float), rows[labels].to_numpy(float), rows["episode_id"].to_numpy()
-    part = {k: (rows["part"] == k).to_numpy() for k in ("train", "calib", "test")}
-    weight = rows["weight"].to_numpy(float) if "weight" in rows else None
+    split = time_split(features).where(F.col("episode_id").isNotNull()).cache()
+    local = {k: _whole_episodes(split.where(F.col("part") == k), max_rows).toPandas().sort_values(["window_start", "episode_id", "candidate_id"]) for k in ("train", "calib")}
+    x, y, g = ({k: f(v) for k, v in local.items()} for f in (lambda r: r[[f"f_{n}" for n in names]].to_numpy(float), lambda r: r[labels].to_numpy(float), lambda r: r["episode_id"].to_numpy()))
+    weight = local["train"]["weight"].to_numpy(float) if "weight" in local["train"] else None
+    valid = lambda m: _ndcg(y["calib"], m.raw(x["calib"]), g["calib"])
+    columns = F.array(*[F.col(f"f_{n}").cast("double") for n in names])
+
+    def scored(m: FlatTrees, part: str) -> DataFrame:
+        card = split.sparkSession.sparkContext.broadcast(m.to_json())
+
+        @F.pandas_udf("double")
+        def raw(vectors):  # noqa: ANN001
+            import pandas as pd
+
+            return pd.Series(FlatTrees.from_json(card.value).raw(np.stack(vectors.to_list())) if len(vectors) else [], dtype=float)
+
+        return split.where(F.col("part") == part).select("episode_id", "candidate_id", F.col(labels).cast("double").alias("label"), raw(columns).alias("score"))
+
+    measure = lambda m, part: float(ndcg(scored(m, part)).first()["ndcg"] or 0.0)
     best = None
     for depth, rate, child in grid or itertools.product((3, 4), (0.05, 0.10), (2, 6)):
-        t = part["train"]
-        valid = lambda m: _ndcg(y[part["calib"]], m.raw(x[part["calib"]]), g[part["calib"]])
-        m = BoostedTrees(objective, rounds=400 if grid is None else 60, depth=depth, rate=rate, min_child_weight=child * (0.01 if objective == "lambdarank" else 1), early_stop=60, row_share=0.8, column_share=0.8).fit(x[t], y[t], g[t], None if weight is None else weight[t], valid)
-        score = valid(m)
+        m = BoostedTrees(objective, rounds=400 if grid is None else 60, depth=depth, rate=rate, min_child_weight=child * (0.01 if objective == "lambdarank" else 1), early_stop=60, row_share=0.8, column_share=0.8).fit(x["train"], y["train"], g["train"], weight, valid)
+        score = measure(m, "calib")
         if best is None or score > best[0]:
             best = (score, m)
     model = best[1]
-    iso = Isotonic.fit(sigmoid(model.raw(x[part["calib"]])), y[part["calib"]])
-    low, high = np.percentile(x[part["train"]], [1, 99], axis=0)
-    ranker = Ranker(model, iso, low.tolist(), high.tolist(), names, version=version)
-    return ranker, {"calib_ndcg": best[0], "test_ndcg": _ndcg(y[part["test"]], model.raw(x[part["test"]]), g[part["test"]]), "episodes": len(set(g)), "rows": len(rows)}
+    fitted = scored(model, "calib").select("label", (1 / (1 + F.exp(-F.col("score")))).alias("score"))
+    iso = fit_distributed(fitted) if fitted.limit(1).count() else Isotonic([], [])
+    bounds = split.where(F.col("part") == "train").agg(*[F.percentile_approx(F.col(f"f_{n}").cast("double"), [0.01, 0.99], 100_000).alias(n) for n in names]).first()
+    low, high = ([float(bounds[n][k]) for n in names] for k in (0, 1))
+    ranker = Ranker(model, iso, low, high, names, version=version)
+    seen = split.agg(F.countDistinct("episode_id").alias("episodes"), F.count(F.lit(1)).alias("rows")).first()
+    out = {"calib_ndcg": best[0], "test_ndcg": measure(model, "test"), "episodes": seen["episodes"], "rows": seen["rows"]}
+    split.unpersist()
+    return ranker, out
 
 
 def _ndcg(y: np.ndarray, s: np.ndarray, groups: np.ndarray, k: int = 3) -> float:

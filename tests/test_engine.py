@@ -152,6 +152,18 @@ def test_trees_and_isotonic():
     assert len(ranker.FEATURES) == 42 and ranker.Ranker.load(None) is None
 
 
+def test_ranker_bound_keeps_whole_episodes(spark, small):
+    from gaugeworks.plans.catalogue import _candidates
+
+    rows = ranker.featurize(_candidates(spark, small)).cache()
+    sizes = {r["episode_id"]: r["count"] for r in rows.groupBy("episode_id").count().collect()}
+    some = {r["episode_id"]: r["count"] for r in ranker._whole_episodes(rows, rows.count() // 3).groupBy("episode_id").count().collect()}
+    assert 0 < len(some) < len(sizes) and all(sizes[e] == n for e, n in some.items()) and sum(some.values()) <= rows.count() // 3
+    cards = [ranker.train(rows.repartition(n, "candidate_id"), max_rows=rows.count() // 3, grid=((3, 0.1, 2),)) for n in (1, 5)]
+    assert cards[0][1]["rows"] == rows.count() and cards[0][1]["episodes"] == len(sizes)
+    assert cards[0][0].to_json() == cards[1][0].to_json()
+
+
 def test_fusion_and_priors(spark):
     e = spark.createDataFrame([("e", "a", 1.0, 0.1), ("e", "b", 0.02, 0.9), ("f", "a", 0.3, None)], "episode_id string, candidate_id string, heuristic double, p double").withColumn("in_distribution", F.lit(True))
     hard, soft = ({(r[0], r[1]): r["fused"] for r in ranker.fuse(e, a).collect()} for a in (0.99, 0.5))
