@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.components import connected_components
-from gaugeworks.llm.shared import ASCII_LOWER, bit_filter, materialise, mix64, passes, shingle_hashes, table, text_bytes, word_hashes
+from gaugeworks.llm.shared import ASCII_LOWER, Scratch, bit_filter, mix64, passes, shingle_hashes, table, text_bytes, word_hashes
 
 #: A pair with similarity 0.8 shares one of BANDS bands of ROWS values but for (1 - 0.8**ROWS)**BANDS = 1e-7.
 ROWS, BANDS = 6, 53
@@ -23,6 +23,8 @@ PERCENT = 80
 CROWD = 32
 #: Cells of a set's parities: two sets differ in at least as many members as cells. A power of two, 64 at least.
 CELLS = 1024
+#: Parts that the classes of a component are dealt to when they get its least document.
+PARTS = 32
 #: Bits of the broadcast filter of documents that exact verification reads (4 MB): bounded, only a filter.
 FILTER_BITS = 1 << 25
 
@@ -75,13 +77,13 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> dict[int, int]:
 
 
 def document_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, c (set digest, null for an empty set), sig and bits (parities) of each whole text."""
+    """doc_id, h (hash of the text), n, c (set digest, null for an empty set), sig and bits (parities) of each whole text."""
 
     def run(batches):
         empty = np.zeros(0, dtype=np.uint8)
         for b in batches:
             sizes, digests, signatures, bits = [], [], [], []
-            for data in text_bytes(b.column(1)):
+            for data in text_bytes(b.column(2)):
                 s = shingle_set(empty if data is None else data, size)
                 sizes.append(len(s))
                 digests.append(_digest(s) if len(s) else None)
@@ -89,9 +91,10 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
                 bits.append(parities(s))
             flat = pa.array(np.concatenate(bits) if bits else np.zeros(0, dtype=np.int64), pa.int64())
             packed = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (CELLS // 64)), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), packed], names=["doc_id", "n", "c", "sig", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), packed], names=["doc_id", "h", "n", "c", "sig", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, c binary, sig binary, bits array<long>")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, h long, n long, c binary, sig binary, bits array<long>")
 
 
 def survivors(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -119,31 +122,31 @@ def survivors(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
     return wide.mapInArrow(run, "a long, b long, matches long")
 
 
-def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     """id and members (its whole set, packed) of some classes.
 
-    Sets are built from the texts of these classes' first documents alone: a bit filter of bounded
-    size, broadcast, lets those through (and few others); joins then match them exactly.
+    Sets are built from one text of each of these classes alone (that of least hash, h): a bit filter of
+    bounded size, broadcast, lets those through (and few others); joins then match them exactly.
     """
     spark = docs.sparkSession
-    wanted, _ = materialise(classes.join(ids, "id").select("id", "c", "rep"), "verify")
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    shared = spark.sparkContext.broadcast(bit_filter(wanted.select(slot("rep").alias("s")), FILTER_BITS))
+    wanted = scratch.write(classes.join(ids, "id").select("id", "c", "h"), "verify")
+    shared = spark.sparkContext.broadcast(bit_filter(wanted.select(F.pmod("h", F.lit(FILTER_BITS)).alias("s")), FILTER_BITS))
 
     def run(batches):
         packed = shared.value
         for b in batches:
-            at = np.asarray(b.column(2))
-            rows = np.flatnonzero(passes(packed, at))
-            sets = [shingle_set(t, size) if t is not None else np.zeros(0, dtype=np.uint64) for t in text_bytes(b.column(1).take(pa.array(rows)))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "c", "members"])
+            rows = pa.array(np.flatnonzero(passes(packed, np.asarray(b.column(0)) & (FILTER_BITS - 1))))
+            sets = [shingle_set(t, size) if t is not None else np.zeros(0, dtype=np.uint64) for t in text_bytes(b.column(1).take(rows))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["h", "c", "members"])
 
-    key = F.col("doc_id").cast("long")
-    sets = docs.select(key.alias("rep"), F.col("text").cast("string").alias("text"), slot(key).alias("slot")).where("rep IS NOT NULL").mapInArrow(run, "rep long, c binary, members binary")
-    return materialise(wanted.join(sets, ["rep", "c"]).select("id", "members").dropDuplicates(["id"]), "verify-sets")[0]
+    text = F.col("text").cast("string")
+    sets = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "h long, c binary, members binary")
+    found = scratch.write(wanted.join(sets, ["h", "c"]).select("id", "members").dropDuplicates(["id"]), "verify-sets")
+    scratch.drop(wanted)
+    return found
 
 
-def crowd_profile(members: DataFrame) -> DataFrame:
+def crowd_profile(members: DataFrame, scratch: Scratch) -> DataFrame:
     """id, own and core: how many members of each set are in no other of these sets, and in over CROWD."""
 
     def run(batches):
@@ -152,15 +155,15 @@ def crowd_profile(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), [len(x) for x in sets])), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["id", "h"])
 
     rows = members.mapInArrow(run, "id long, h long")
-    counts, _ = materialise(rows.groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k")).where(f"k = 1 OR k > {CROWD}"), "crowd-shingles")
+    counts = scratch.write(rows.groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k")).where(f"k = 1 OR k > {CROWD}"), "crowd-shingles")
     own = counts.where("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
     core = rows.join(counts.where("k > 1").select("h"), "h", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("core"))
     return own.join(core, "id", "full")
 
 
-def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
+def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b of classes) whose full sets meet the threshold."""
-    members = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, docs, size)
+    members = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, docs, size, scratch)
     one, two = (members.select(F.col("id").alias(k), F.col("members").alias(f"m_{k}")) for k in "ab")
 
     def compare(batches):
@@ -173,7 +176,9 @@ def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "m_a", "m_b").mapInArrow(compare, "a long, b long")
+    links = scratch.write(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "m_a", "m_b").mapInArrow(compare, "a long, b long"), "links")
+    scratch.drop(members)
+    return links
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> DataFrame:
@@ -192,32 +197,39 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> D
     least doc_id of its group (null if there is none); kept is true where doc_id is the component_id
     or both are null. Extra columns are ignored; an empty table gives no rows.
     """
-    sets, _ = materialise(document_sets(docs, size), "shingle-sets")
+    with Scratch(docs.sparkSession) as scratch:
+        return _grouped(docs, size, percent, scratch)
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    sets = scratch.write(document_sets(docs, size), "shingle-sets")
     some = sets.where("c IS NOT NULL")
-    merged = some.groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
-    classes, _ = materialise(merged.select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
+    merged = some.groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
+    classes = scratch.write(merged.select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * 2 * ROWS + 1, F.lit(2 * ROWS)))))
-    bands = classes.where("rep IS NOT NULL").select("id", "n", band.alias("band"))
+    bands = classes.select("id", "n", band.alias("band"))
     pick = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "id"), F.struct("id", "n").alias("e")))["e"]
     leaders = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.array_distinct(F.array(F.min(F.struct("id", "n")), pick(1), pick(2))).alias("lead")).where("m > 1").select("band", "lead")
-    buckets, _ = materialise(bands.join(leaders, "band"), "buckets")
+    buckets = scratch.write(bands.join(leaders, "band"), "buckets")
     sized = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = buckets.select("id", "n", F.explode("lead").alias("to")).where((F.col("id") != F.col("to.id")) & sized("n", F.col("to.n"))).select(*pair("id", F.col("to.id"))).distinct()
 
     def verify_best(candidates: DataFrame) -> DataFrame:
         """Links among each document's most similar candidate."""
-        close, _ = materialise(survivors(candidates, classes, percent), "close")
+        close = scratch.write(survivors(candidates, classes, percent), "close")
         best = close.groupBy("b").agg(F.max(F.struct("matches", "a"))["a"].alias("a")).unionByName(close.groupBy("a").agg(F.max(F.struct("matches", "b"))["b"].alias("b"))).select("a", "b").distinct()
-        return materialise(exact_links(best, classes, docs, size, percent), "links")[0]
+        return exact_links(best, classes, docs, size, scratch, percent)
 
     found = verify_best(star)
-    first = connected_components(found)
-    labelled, _ = materialise(buckets.select("band", "id", "n").join(first, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component")), "bucket-components")
+    first = connected_components(found, scratch)
+    labelled = scratch.write(buckets.select("band", "id", "n").join(first, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component")), "bucket-components")
+    scratch.drop(buckets)
     mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), (F.count(F.lit(1)) > CROWD).alias("crowd")).where("lo < hi").select("band", "crowd")
-    rest, _ = materialise(labelled.join(mixed, "band").select("band", "id", "n", "component", "crowd"), "mixed-buckets")
+    rest = scratch.write(labelled.join(mixed, "band").select("band", "id", "n", "component", "crowd"), "mixed-buckets")
+    scratch.drop(labelled)
     crowded = rest.where("crowd").select("id").distinct()
-    profile = crowd_profile(full_sets(crowded, classes, docs, size))
+    profile = crowd_profile(full_sets(crowded, classes, docs, size, scratch), scratch)
     only = lambda c: F.when(F.col("crowd"), F.coalesce(c, F.lit(0))).otherwise(F.lit(0))
     rest = rest.join(profile, "id", "left").select("band", "id", "n", "component", only("own").alias("own"), only("core").alias("core"))
     rest = rest.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent).join(classes.select("id", "bits"), "id")
@@ -229,17 +241,20 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> D
     apart = F.expr(" + ".join(f"bit_count(bits[{k}] ^ bits2[{k}])" for k in range(CELLS // 64)))
     alike = apart * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)
     across = rest.join(other, "band").where((F.col("component") < F.col("component2")) & sized("n", "n2") & reach & alike).select(*pair("id", "id2")).distinct()
-    more, _ = materialise(survivors(across, classes, percent), "close")
+    more = scratch.write(survivors(across, classes, percent), "close")
     if more.limit(1).count():
-        extra, _ = materialise(exact_links(more, classes, docs, size, percent), "links")
-        found = found.unionByName(extra)
-        first = connected_components(found)
-    ends = classes.join(first, "id", "left").select("c", "rep", F.coalesce("component", "id").alias("component"))
-    least = ends.groupBy("component").agg(F.min("rep").alias("component_id"))
-    groups = ends.join(least, "component").select("c", "component_id")
+        found = found.unionByName(exact_links(more, classes, docs, size, scratch, percent))
+        first = connected_components(found, scratch)
+    scratch.drop(rest)
+    ends = classes.select("id", "c", "rep").join(first, "id", "left").select("id", "c", "rep", "component")
+    grouped = ends.where("component IS NOT NULL")
+    # a component may hold a third of all classes: its least document goes to them by a part of their id as well
+    least = grouped.groupBy("component").agg(F.min("rep").alias("least")).select("component", "least", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    spread = grouped.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).join(least, ["component", "part"]).select("c", F.col("least").alias("component_id"))
+    groups = spread.unionByName(ends.where("component IS NULL").select("c", F.col("rep").alias("component_id")))
     out = sets.select("doc_id", "n", "c").join(groups, "c", "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")), "near-duplicates")
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

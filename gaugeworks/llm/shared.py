@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,22 +47,93 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Shuffle files of the queries inside go when each query ends (Spark's own setting); else they
+    stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df once as Parquet into the shared folder and read it back: cuts the lineage and
     survives the loss of any executor. Returns the frame and its path (see drop_scratch)."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/gaugeworks/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    for paths in _OPEN:
+        paths.append(path)
+    with tidy_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Lists of the scratch tables written since each open scope began.
+_OPEN: list[list[str]] = []
+
+
+class Scratch:
+    """The scratch tables of one operator or stage: all are dropped at the end, but for those that
+    its result reads (keep). Whoever has written the result drops these (see scope)."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*list(self.paths.values()))
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        frame, path = materialise(df, name)
+        self.paths[path] = frame
+        return frame
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return materialise(df, name)[0]
+
+    def drop(self, *frames: DataFrame) -> None:
+        for path in [p for p, f in self.paths.items() if any(f is x for x in frames)]:
+            drop_scratch(self.spark, path)
+            del self.paths[path]
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Drops, at its end, every scratch table written inside (the list it yields): for callers who
+    have written what they need."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN[:] = [x for x in _OPEN if x is not paths]
+        for path in paths:
+            drop_scratch(spark, path)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
+    """Delete a scratch table that nothing reads any more; nothing happens if it is gone."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def whole_row(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of docs as one struct, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
+
+
+def unpacked(docs: DataFrame, name: str = "row", **other: Column) -> list[Column]:
+    """The columns of whole_row again, some of them replaced."""
+    return [other.get(c, F.col(name).getField(c)).alias(c) for c in docs.columns]
+
+
 def bit_filter(slots: DataFrame, bits: int) -> np.ndarray:
     """slots: s below `bits`. A packed bit array with every slot set, for a broadcast.
 
@@ -141,3 +214,23 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def text_bytes(column) -> list[np.ndarray | None]:
     """Byte views of an Arrow string column, without copies; None for null."""
     return [np.frombuffer(x.as_buffer(), dtype=np.uint8) if x.is_valid else None for x in column]
+
+
+def binary_array(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive pieces of data (bytes) of the given sizes as an Arrow binary column, without a loop."""
+    ends = np.zeros(len(sizes) + 1, dtype=np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def binary_parts(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow binary column without nulls, and the size of each piece."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64)
+    wide = pa.types.is_large_binary(column.type)
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    body = column.buffers()[2]
+    data = np.frombuffer(body, dtype=np.uint8)[ends[0] : ends[-1]] if body is not None else np.zeros(0, dtype=np.uint8)
+    return data, np.diff(ends).astype(np.int64)
