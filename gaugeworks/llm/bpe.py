@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import zlib
 from array import array
@@ -15,10 +14,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.shared import materialise, table
+from gaugeworks.llm.shared import Scratch, materialise, table
 
-#: Where a tokenizer's file lies by default; always a parameter, never copied.
-TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/word_bpe_49k.json")
+try:  # where the tokenizer's file lies by default; always a parameter, never copied
+    import public_tokenizers
+
+    TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+except ModuleNotFoundError:
+    TOKENIZER = ""
 #: Word positions in a block of documents: what bounds a row of blocks and its dictionary.
 BLOCK_WORDS = 1 << 22
 
@@ -124,25 +127,39 @@ def _expand(packed: bytes) -> np.ndarray:
 
 
 def _block_rows(key: int, doc_ids: list, counts: list, codes: array, index: dict):
-    """A block as rows: part -1 has the documents and, for each word position, the word's place in
-    the dictionary (places by frequency); every other part has some words and their places."""
+    """A block as rows: part -1 has the documents, for each word position the word's place in the
+    dictionary (places by frequency), and the places of the words in the order of the other rows;
+    every other part has some words."""
     coded = np.frombuffer(codes, dtype=np.uint32)
     order = np.argsort(-np.bincount(coded, minlength=len(index)), kind="stable") if len(index) else np.zeros(0, dtype=np.int64)
     place = np.empty(len(index), dtype=np.uint32)
     place[order] = np.arange(len(index), dtype=np.uint32)
-    rows = {"block": [key], "part": [-1], "body": [_squeeze(place[coded]) if len(coded) else _squeeze(coded)], "doc_ids": [doc_ids], "counts": [counts]}
     parts: dict[int, list] = {}
     for at, word in enumerate(index):
-        parts.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % PARTS, []).append((word, at))
+        raw = word.encode("utf-8", "surrogatepass")
+        parts.setdefault(zlib.crc32(raw) % PARTS, []).append((raw, at))
+    rows = {"block": [key], "part": [-1], "body": [None], "doc_ids": [doc_ids], "counts": [counts]}
+    listed = []
     for part, words in sorted(parts.items()):
         words.sort()
-        spoken = "\x00".join(w.replace("\x01", "\x01\x01").replace("\x00", "\x01\x02") for w, _ in words).encode("utf-8", "surrogatepass")
-        packed = _squeeze(place[[at for _, at in words]])
+        listed += [at for _, at in words]
+        sizes, spoken = _squeeze(np.array([len(w) for w, _ in words])), b"".join(w for w, _ in words)
         rows["block"].append(key), rows["part"].append(part), rows["doc_ids"].append(None), rows["counts"].append(None)
-        rows["body"].append(len(packed).to_bytes(4, "little") + packed + len(spoken).to_bytes(4, "little") + pa.Codec("zstd", compression_level=3).compress(spoken, asbytes=True))
+        rows["body"].append(_framed(sizes, len(spoken).to_bytes(4, "little") + pa.Codec("zstd", compression_level=3).compress(spoken, asbytes=True)))
+    rows["body"][0] = _framed(_squeeze(place[coded]) if len(coded) else _squeeze(coded), _squeeze(place[listed]) if listed else _squeeze(coded))
     return pa.RecordBatch.from_pydict(rows, schema=_SCHEMA)
 
 
+def _framed(one: bytes, two: bytes) -> bytes:
+    """Two byte strings as one, with the length of the first in front."""
+    return len(one).to_bytes(4, "little") + one + two
+
+
+def _unframed(body: bytes) -> tuple[bytes, bytes]:
+    n = int.from_bytes(body[:4], "little")
+    return body[4 : 4 + n], body[4 + n :]
+
+
 def word_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents as blocks: for each word position the word's place in the block's dictionary of
     distinct words, and that dictionary in parts by hash. A block never holds more than block_words
@@ -167,56 +184,55 @@ def word_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, block_words: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _BLOCKS)
 
 
-def _words_of(body: bytes) -> tuple[bytes, list[str]]:
-    """A dictionary part's packed places and its words."""
-    n = int.from_bytes(body[:4], "little")
-    size = int.from_bytes(body[4 + n : 8 + n], "little")
-    spoken = pa.Codec("zstd").decompress(body[8 + n :], decompressed_size=size, asbytes=True).decode("utf-8", "surrogatepass") if size else ""
-    words = spoken.split("\x00")
-    return body[4 : 4 + n], [w.replace("\x01\x02", "\x00").replace("\x01\x01", "\x01") for w in words] if "\x01" in spoken else words
+def _words_of(body: bytes) -> list[str]:
+    """The words of a dictionary part: their lengths in bytes come first, so any character may be in them."""
+    sizes, spoken = _unframed(body)
+    n = int.from_bytes(spoken[:4], "little")
+    raw = pa.Codec("zstd").decompress(spoken[4:], decompressed_size=n, asbytes=True) if n else b""
+    ends = np.cumsum(_expand(sizes), dtype=np.int64).tolist()
+    return [raw[a:z].decode("utf-8", "surrogatepass") for a, z in zip([0, *ends], ends, strict=False)]
 
 
 def encode_words(parts: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """block, part, body of dictionary parts to packed places, id counts and ids. All rows of a part
-    meet in one task, where each distinct word is encoded once however many blocks hold it; a word
-    has one entry a block at most, so no word is hot."""
+    """block, part, sizes and ids (packed, in the order of the part's words) and kinds (the distinct
+    ids) of dictionary parts. All rows of a part meet in one task, where each distinct word is encoded
+    once however many blocks hold it; a word has one entry a block at most, so no word is hot."""
 
     def run(batches):
         encoder, known = _Encoder(tokenizer), {}
         part_now = None
         for b in batches:
-            out = {"block": [], "places": [], "sizes": [], "ids": []}
+            out = {"block": [], "part": [], "sizes": [], "ids": [], "kinds": []}
             for block, part, body in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
                 if part != part_now:
                     known, part_now = {}, part
-                places, words = _words_of(body)
                 found = []
-                for w in words:
+                for w in _words_of(body):
                     if (ids := known.get(w)) is None:
                         ids = known[w] = encoder.ids(w)
                     found.append(ids)
+                flat = np.array([i for x in found for i in x], dtype=np.int64)
                 out["block"].append(block)
-                out["places"].append(places)
+                out["part"].append(part)
                 out["sizes"].append(_squeeze(np.array([len(x) for x in found])))
-                out["ids"].append(_squeeze(np.array([i for x in found for i in x])))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())]))
+                out["ids"].append(_squeeze(flat))
+                out["kinds"].append(np.unique(flat).astype(np.int32))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary()), ("kinds", pa.list_(pa.int32()))]))
 
-    return parts.select("block", "part", "body").repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(run, "block long, places binary, sizes binary, ids binary")
+    return parts.select("block", "part", "body").repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(run, "block long, part int, sizes binary, ids binary, kinds array<int>")
 
 
-def _unpack(b, i: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: doc ids, words a document, place of every word position; and of every place where
-    its ids start and how many they are, and all ids."""
-    codes = _expand(b.column(1)[i].as_py())
-    found = b.column(4)[i].as_py() or []
-    places = [_expand(x["places"]) for x in found]
+def _unpack(b, i: int) -> tuple[list, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Of a block: doc ids, words a document, place of every word position; of every place where its
+    ids start and how many they are; and all ids."""
+    codes, places = map(_expand, _unframed(b.column(1)[i].as_py()))
+    found = sorted(b.column(4)[i].as_py() or [], key=lambda x: x["part"])
     sizes = [_expand(x["sizes"]).astype(np.int64) for x in found]
     flat = np.concatenate([_expand(x["ids"]) for x in found]) if found else np.zeros(0, dtype=np.uint32)
-    n = sum(map(len, places))
-    size, first = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    if n:
-        every, counts = np.concatenate(places), np.concatenate(sizes)
-        size[every], first[every] = counts, counts.cumsum() - counts
+    size, first = np.zeros(len(places), dtype=np.int64), np.zeros(len(places), dtype=np.int64)
+    if len(places):
+        counts = np.concatenate(sizes)
+        size[places], first[places] = counts, counts.cumsum() - counts
     return b.column(2)[i].as_py(), np.array(b.column(3)[i].as_py(), dtype=np.int64), codes, (first, size), flat.astype("<u4")
 
 
@@ -226,10 +242,12 @@ def _gather(own: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarr
     return flat[np.repeat(first[own] - (took.cumsum() - took), took) + np.arange(int(took.sum()))]
 
 
-def _encoded_blocks(docs: DataFrame, tokenizer: str, block_words: int) -> DataFrame:
-    blocks, _ = materialise(word_blocks(docs, tokenizer, block_words), "bpe-blocks")
-    found = encode_words(blocks.where("part >= 0"), tokenizer).groupBy("block").agg(F.collect_list(F.struct("places", "sizes", "ids")).alias("found"))
-    return blocks.where("part < 0").select("block", "body", "doc_ids", "counts").join(found, "block", "left")
+def _encoded_blocks(blocks: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks with their encoded dictionary parts; and the distinct ids of each block's words."""
+    words = encode_words(blocks.where("part >= 0"), tokenizer)
+    found = words.select("block", "part", "sizes", "ids").groupBy("block").agg(F.collect_list(F.struct("part", "sizes", "ids")).alias("found"))
+    kinds = words.select("block", F.explode("kinds").alias("id")).distinct()
+    return blocks.where("part < 0").select("block", "body", "doc_ids", "counts").join(found, "block", "left"), kinds
 
 
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -250,7 +268,8 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, block_words: int = BLOCK
                 out = [_gather(codes[z - n : z], first, size, flat).astype(np.int32) for n, z in zip(counts.tolist(), ends, strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": doc_ids, "ids": out}, schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
-    return _encoded_blocks(docs, tokenizer, block_words).mapInArrow(run, "doc_id long, ids array<int>")
+    blocks, _ = materialise(word_blocks(docs, tokenizer, block_words), "bpe-blocks")
+    return _encoded_blocks(blocks, tokenizer)[0].mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def piece_table(spark: SparkSession, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -268,13 +287,16 @@ def decode(encoded: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZER)
 
 
 def digests(docs: DataFrame, tokenizer: str = TOKENIZER, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """encode, then decode by piece, with digests in place of ids and text: one row per document."""
+    """encode, then decode, with digests in place of ids and text: one row per document.
+
+    The ids that a block's words use join the id-to-piece table (broadcast: it has the vocabulary's
+    size); the text of every document is put together from these pieces alone."""
 
     def run(batches):
-        pieces = _pieces(tokenizer)
         for b in batches:
             for i in range(b.num_rows):
                 doc_ids, counts, codes, (first, size), flat = _unpack(b, i)
+                pieces = {x["id"]: x["piece"] for x in b.column(5)[i].as_py() or []}
                 spoken = [" ".join([pieces[k] for k in flat[a : a + n].tolist()]) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
                 out = {"doc_id": doc_ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
                 end = 0
@@ -286,7 +308,13 @@ def digests(docs: DataFrame, tokenizer: str = TOKENIZER, block_words: int = BLOC
                     out["decoded_sha256"].append(hashlib.sha256(" ".join([spoken[c] for c in own.tolist()]).encode("utf-8", "replace")).hexdigest())
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
 
-    return _encoded_blocks(docs, tokenizer, block_words).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        blocks = scratch.write(word_blocks(docs, tokenizer, block_words), "bpe-blocks")
+        encoded, kinds = _encoded_blocks(blocks, tokenizer)
+        pieces = kinds.join(F.broadcast(piece_table(spark, tokenizer)), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
+        out = encoded.join(pieces, "block", "left").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return scratch.keep(out, "bpe-digests")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
