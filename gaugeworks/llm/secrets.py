@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.shared import literal_array, materialise, table
+from gaugeworks.llm.shared import literal_array, table
 
 #: Kind, pattern (a letter class in either case is written out), group held against the least length.
 BASE = (
@@ -30,6 +30,31 @@ IDENTIFIER_WORDS = (
     "default current previous next first last total error message result status version document section page"
 ).split()
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
+#: Elements of a block in a running total.
+BLOCK = 64
+
+
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, combine, zero: Column) -> Column:  # noqa: ANN001
+    """For each element of an array, all elements before it combined (an associative function), zero
+    before the first. By blocks, so that no element goes over all of those before it."""
+    block = lambda n: F.sequence(F.lit(0), F.floor(F.size(n) / BLOCK).cast("int"))
+    total = lambda part: F.aggregate(part, zero, combine)
+
+    def from_blocks(n: Column, before: Column) -> Column:
+        inside = lambda i: F.aggregate(F.slice(n, i - i % BLOCK + 1, i % BLOCK), F.get(before, F.floor(i / BLOCK).cast("int")), combine)
+        return F.transform(n, lambda _, i: inside(i))
+
+    def over(n: Column) -> Column:
+        sums = F.transform(block(n), lambda k: total(F.slice(n, k * BLOCK + 1, BLOCK)))
+        ahead = lambda s: F.transform(s, lambda _, k: total(F.slice(s, F.lit(1), k)))
+        return _let(_let(sums, ahead), lambda before: from_blocks(n, before))
+
+    return _let(values, over)
 
 
 def spans_of(text: Column, kind: str, rank: int, pattern: str, group: int = 0, least: int = 0) -> Column:
@@ -43,16 +68,16 @@ def spans_of(text: Column, kind: str, rank: int, pattern: str, group: int = 0, l
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        kept = F.when(x["hit"].isNotNull() & (F.length(x["value"]) >= least), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(F.coalesce(end, start).alias("at"), kept.alias("spans"))
+    def span(x: Column, before: Column) -> Column:
+        start = before + F.length(x["gap"])
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x["hit"])).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
 
-    empty = F.array().cast(f"array<{_SPAN}>")
-    cut = F.aggregate(joined, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), cut).otherwise(empty)
+    def placed(found: Column) -> Column:
+        sizes = F.transform(found, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)))
+        spans = F.zip_with(found, running(sizes, lambda a, n: a + n, F.lit(0)), span)
+        return F.filter(spans, lambda x: x["end"].isNotNull() & (F.length(x["value"]) >= least))
+
+    return F.when(text.rlike(pattern), _let(joined, placed)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -71,8 +96,8 @@ def states_of(value: Column) -> Column:
 
 def steps_of(value: Column) -> Column:
     """A string's transitions as cells, before * STATES + after."""
-    s = states_of(value)
-    return F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: a * STATES + b)
+    pairs = lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: a * STATES + b)
+    return _let(states_of(value), pairs)
 
 
 def generated_samples(spark: SparkSession, n: int = GENERATED) -> DataFrame:
@@ -116,30 +141,49 @@ def ratio(value: Column, weights: list[float]) -> Column:
     return total / F.greatest(F.length(value), F.lit(1))
 
 
+def clear_of_base(base: Column, runs: Column, keep) -> Column:  # noqa: ANN001
+    """base, and of runs those that overlap nothing of it and that keep takes, sorted by start.
+
+    In the order of their starts a run overlaps an earlier span of base if the largest end before it
+    lies behind its start, and a later one if the least start behind it lies before its end."""
+    n_base = len(BASE)
+
+    def judged(every: Column) -> Column:
+        ends = running(F.transform(every, lambda x: F.when(x["rank"] < n_base, x["end"]).otherwise(F.lit(0))), lambda a, b: F.greatest(a, b), F.lit(0))
+        last = F.lit((1 << 31) - 1)
+        starts = F.reverse(running(F.reverse(F.transform(every, lambda x: F.when(x["rank"] < n_base, x["start"]).otherwise(last))), lambda a, b: F.least(a, b), last))
+        near = F.arrays_zip(every.alias("span"), ends.alias("before"), starts.alias("behind"))
+        good = lambda x: (x["span"]["rank"] < n_base) | ((x["before"] <= x["span"]["start"]) & (x["behind"] >= x["span"]["end"]) & keep(x["span"]))
+        return F.transform(F.filter(near, good), lambda x: x["span"])
+
+    both = _let(F.array_sort(F.concat(base, runs)), judged)
+    return F.when(F.size(runs) == 0, base).when(F.size(base) == 0, F.filter(runs, keep)).otherwise(both)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Secrets of every whole text.
 
     One row per input row: doc_id, text_spans (array of start, rank, end, kind, value; kinds assign,
     access and hex by pattern, random by the models), n_assign, n_access, n_hex, base_sha256, spans.
     The models are trained on generated samples and, over all texts, on the values of pattern
-    findings (random) and letter-only candidate runs (ordinary). A run of the models counts if it
-    overlaps no pattern finding. Null texts count as empty; repeated rows are scanned alike; extra
-    columns are ignored; an empty table gives no rows.
+    findings (random) and letter-only candidate runs (ordinary): a first pass counts their transitions,
+    a second one judges, and no text found is written anywhere in between. A run of the models counts
+    if it overlaps no pattern finding. Null texts count as empty; repeated rows are scanned alike;
+    extra columns are ignored; an empty table gives no rows; the work grows with the length of a text
+    and the number of its matches, not their square.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base_spans(text).alias("base"), spans_of(text, "random", len(BASE), CANDIDATE).alias("runs"))
-    found, _ = materialise(rows, "secret-candidates")
-    sure = found.select(F.explode("base.value").alias("value"), F.lit(True).alias("random"))
-    plain = found.select(F.explode("runs.value").alias("value")).where(F.col("value").rlike("^[A-Za-z]+$")).withColumn("random", F.lit(False))
-    weights, _ = fit(generated_samples(spark).unionByName(sure).unionByName(plain))
-    apart = lambda run: ~F.exists("base", lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    extra = F.filter("runs", lambda run: apart(run) & (ratio(run["value"], weights) >= THRESHOLD))
-    every = F.array_sort(F.concat("base", extra))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base_spans(text).alias("base"), spans_of(text, "random", len(BASE), CANDIDATE).alias("runs"))
+    letters = F.filter("runs.value", lambda v: v.rlike("^[A-Za-z]+$"))
+    labelled = lambda values, random: F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(random).alias("random")))
+    seen = found.select(F.explode(F.concat(labelled(F.col("base.value"), True), labelled(letters, False))).alias("s")).select("s.*")
+    weights, _ = fit(generated_samples(spark).unionByName(seen))
+    every = clear_of_base(F.col("base"), F.col("runs"), lambda run: ratio(run["value"], weights) >= THRESHOLD)
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return found.select(
-        "doc_id", every.alias("text_spans"), n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
-        F.sha2(spelt(F.col("base")).cast("binary"), 256).alias("base_sha256"), spelt(every).alias("spans"),
+    return found.select("doc_id", "base", every.alias("text_spans")).select(
+        "doc_id", "text_spans", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
+        F.sha2(spelt(F.col("base")).cast("binary"), 256).alias("base_sha256"), spelt(F.col("text_spans")).alias("spans"),
     )
 
 
