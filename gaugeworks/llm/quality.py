@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.shared import ASCII_LOWER, materialise, table, text_bytes, word_hashes
+from gaugeworks.llm.shared import ASCII_LOWER, table, text_bytes, word_hashes
 from gaugeworks.ml.gbdt import BoostedTrees, FlatTrees
 
 #: Labelled rows that the trees are fitted on, at most (those of least hash).
@@ -46,15 +46,19 @@ def statistics(data: np.ndarray) -> np.ndarray:
     ])
 
 
+def _stack(texts: list) -> np.ndarray:
+    """Statistics of several texts (bytes; None counts as empty), a row each, in the precision kept."""
+    empty = np.zeros(0, dtype=np.uint8)
+    rows = [statistics(empty if t is None else t) for t in texts]
+    return (np.stack(rows) if rows else np.zeros((0, len(FEATURES)))).astype(np.float32)
+
+
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of each whole text; null texts count as empty."""
 
     def run(batches):
         for b in batches:
-            empty = np.zeros(0, dtype=np.uint8)
-            rows = [statistics(empty if t is None else t) for t in text_bytes(b.column(1))]
-            flat = np.concatenate(rows) if rows else np.zeros(0)
-            stats = pa.FixedSizeListArray.from_arrays(pa.array(flat.astype(np.float32)), len(FEATURES)).cast(pa.list_(pa.float32()))
+            stats = pa.FixedSizeListArray.from_arrays(pa.array(_stack(text_bytes(b.column(1))).ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([b.column(0), stats], names=["doc_id", "stats"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, stats array<float>")
@@ -65,34 +69,36 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(stats: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> FlatTrees:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> FlatTrees:
     """Trees for P(quality = 1), from labelled rows outside the held-out fold.
 
-    Several labels of a document count as their mean; null labels are ignored. Without usable
-    labels the model is a constant: the base rate, or one half.
+    Several labels of a document count as their mean; null labels are ignored. The labelled ids of
+    least hash, max_rows at most (so they are broadcast), are chosen before their texts are read.
+    Without usable labels the model is a constant: the base rate, or one half.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    rows = (
-        stats.join(known, "doc_id").select("stats", "quality", F.xxhash64("doc_id").alias("h"), "doc_id")
-        .orderBy("h", "doc_id").limit(max_rows).select("stats", "quality").toArrow()
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = known.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    stats = document_statistics(texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
+    rows = stats.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("stats", "quality").toArrow()
     y = np.asarray(rows.column("quality"), dtype=float)
     x = np.array(rows.column("stats").to_pylist(), dtype=float).reshape(len(y), len(FEATURES))
     return BoostedTrees(rounds=60, depth=4, rate=0.15, min_leaf=10, min_child_weight=1.0).fit(x, y)
 
 
-def apply(stats: DataFrame, model: FlatTrees) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of statistics."""
+def apply(docs: DataFrame, model: FlatTrees) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of docs."""
     trees = model.to_json()
 
     def run(batches):
         flat = FlatTrees.from_json(trees)
         for b in batches:
-            x = np.asarray(b.column(1).flatten(), dtype=np.float64).reshape(b.num_rows, len(FEATURES))
+            x = _stack(text_bytes(b.column(1))).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat.probability(x))], names=["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = texts.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
 
 
@@ -103,25 +109,22 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     zero statistics; repeated rows are scored alike; without labels every score is the prior; extra
     columns are ignored; an empty table gives no rows.
     """
-    stats, _ = materialise(document_statistics(docs), "quality-stats")
-    return apply(stats, fit(stats, labels))
+    return apply(docs, fit(docs, labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps, all columns of docs unchanged."""
-    stats, _ = materialise(document_statistics(docs), "quality-stats")
-    trees = fit(stats, labels).to_json()
-
-    @F.pandas_udf("double")
-    def score(texts):  # noqa: ANN001
-        import pandas as pd
+    """The documents that the classifier keeps, all columns of docs unchanged, whatever their names.
+    Empty and null texts are scored on zero statistics; repeated rows are judged alike; an empty table
+    gives no rows."""
+    trees, at = fit(docs, labels).to_json(), docs.columns.index("text")
 
+    def run(batches):
         flat = FlatTrees.from_json(trees)
-        encode = lambda t: np.frombuffer((t or "").encode("utf-8"), dtype=np.uint8)
-        x = np.stack([statistics(encode(t)) for t in texts]).astype(np.float32).astype(np.float64) if len(texts) else np.zeros((0, len(FEATURES)))
-        return pd.Series(flat.probability(x))
+        for b in batches:
+            x = _stack(text_bytes(b.column(at))).astype(np.float64)
+            yield b.filter(pa.array(flat.probability(x) >= KEEP_FROM))
 
-    return docs.where(score(F.col("text")) >= KEEP_FROM)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
