@@ -34,18 +34,36 @@ def features(images: list[np.ndarray]) -> str:
     return f"px={n};rows={sum(len(p) for p in images)};mean_bgra={','.join(map(str, means))};hist={','.join(map(str, histogram))}"
 
 
+#: Bytes of payloads that a task holds at a time.
+HELD = 1 << 24
+
+
+def _bounded(rows, size):  # noqa: ANN001
+    """Lists of consecutive items of about HELD bytes."""
+    held, total = [], 0
+    for x in rows:
+        held.append(x)
+        total += size(x)
+        if total >= HELD:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def media_column(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each whole text's payload as lossless WebP (see webp.store).
 
     Null texts count as empty and give one block of zero bytes; very long texts become several
-    strips, so memory is bounded by a strip; equal texts give equal bytes; repeated rows are kept;
+    strips; a task holds about HELD bytes of payloads or one text; equal texts give equal bytes; repeated rows are kept;
     extra columns are ignored; an empty table gives no rows.
     """
 
     def run(batches):
         for b in batches:
-            texts = [b"" if t is None else t.tobytes() for t in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([webp.store(payload_of(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
+            rows = ((i, b"" if t is None else t.tobytes()) for i, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True))
+            for part in _bounded(rows, lambda x: len(x[1])):
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([len(t) for _, t in part], pa.int64()), pa.array([webp.store(payload_of(t)) for _, t in part], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -72,7 +90,8 @@ def media_digests(media: DataFrame) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
         for b in batches:
             out = []
-            for blob in b.column(2).to_pylist():
+            for blob in b.column(2):
+                blob = blob.as_py()
                 images = webp.load(blob)
                 payload = webp.samples_of(images)
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(blob), hashlib.sha256(blob).hexdigest(), features(images)))

@@ -218,8 +218,7 @@ def _read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
                 d -= len(NEIGHBOURS)
             if d > at or at + n > total:
                 raise WebPError("back-reference outside the image")
-            for k in range(at, at + n):
-                out[k] = out[k - d]
+            out[at : at + n] = out[at - d : at - d + n] if d >= n else np.resize(out[at - d : at], n)
             at += n
         else:
             for p in out[cached:at].tolist():
@@ -373,6 +372,11 @@ def decode_vp8l(data: bytes) -> np.ndarray:
     r.bits(1)
     if r.bits(3):
         raise WebPError("unknown version")
+    return decode_stream(r, width, height)
+
+
+def decode_stream(r: Reader, width: int, height: int) -> np.ndarray:
+    """Transforms and pixels of an image whose size is known: a stream without the header."""
     steps, packed, seen = [], width, set()
     while r.bits(1):
         kind = r.bits(2)
@@ -549,13 +553,73 @@ def _strip(samples: np.ndarray) -> bytes:
     return _riff(head + body.tobytes())
 
 
+#: From so many of a hundred bits saved on, a strip is written with tools in place of plain literals.
+WORTH_IT = 90
+
+
+def _entropy(counts: np.ndarray) -> float:
+    """Bits that symbols of these counts take at least."""
+    counts = counts[counts > 0].astype(np.float64)
+    return float(counts.sum() * np.log2(counts.sum()) - (counts * np.log2(counts)).sum())
+
+
+def _cost(pixels: np.ndarray) -> float:
+    """Bits of the four channels of pixels in codes of their own, and of these codes."""
+    samples = np.ascontiguousarray(pixels).view(np.uint8).reshape(-1, 4)
+    counts = [np.bincount(samples[:, k], minlength=256) for k in range(4)]
+    return sum(_entropy(c) + 80 + 4 * np.count_nonzero(c) for c in counts)
+
+
+def choose(pixels: np.ndarray, literal_bits: float) -> dict | None:
+    """The tools that a strip (its pixels in order, WIDTH a row) is written with, or None for plain
+    literals: those of least estimated size, if it is clearly below literal_bits.
+
+    Back-references and the cache pay where runs of three pixels come back, a palette where there are
+    few colours, predictors, cross-colour and subtracted green where neighbours or channels are alike.
+    """
+    n = len(pixels)
+    if n < 2 * WIDTH:
+        return None
+    kinds, counts = np.unique(pixels, return_counts=True)
+    wide = pixels.astype(np.uint64)
+    runs = np.unique((wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1]) * np.uint64(0x2545F4914F6CDD1D) ^ wide[2:])
+    fresh, plain = len(runs) / (n - 2), _cost(pixels)
+    left, top = (np.append(np.zeros(k, dtype=np.uint32), pixels[:-k]) for k in (1, WIDTH))
+    apart = lambda other: (pixels | np.uint32(0x00FF00FF)) - (other & np.uint32(0xFF00FF00)) & np.uint32(0xFF00FF00) | (pixels | np.uint32(0xFF00FF00)) - (other & np.uint32(0x00FF00FF)) & np.uint32(0x00FF00FF)
+    found = [
+        ({"predictor": 1}, _cost(apart(left)) + 200), ({"predictor": 2}, _cost(apart(top)) + 200), ({"subtract_green": True}, _cost(_with_green(pixels, False)) + 3),
+        ({"cross": 0x202020}, _cost(_with_cross_colour(pixels, WIDTH, np.full(-(-(n // WIDTH) >> 4), 0x202020, dtype=np.uint32), 4, False)) + 200), ({}, plain),
+    ]
+    if fresh < 0.7:
+        found += [({"back_references": True, "cache_bits": 6}, (fresh + 0.02) * plain + 400)]
+    if len(kinds) <= 256:
+        by_index = _entropy(counts) + 26 * len(kinds) + 300
+        found += [({"palette": True}, by_index), ({"palette": True, "back_references": True}, (fresh + 0.02) * _entropy(counts) + 26 * len(kinds) + 500)]
+    tools, cost = min(found, key=lambda x: x[1])
+    return tools if tools and cost * 100 < literal_bits * WORTH_IT else None
+
+
+def _literal_bits(samples: np.ndarray) -> float:
+    """Bits of a strip's plain literals."""
+    if len(samples) < OWN_CODES_FROM:
+        return float(_text_codes()[1][samples].sum()) + _text_head()[1]
+    return _cost(samples)
+
+
 def store(payload: bytes) -> bytes:
     """Any payload of a positive multiple of 64 bytes as WebP: strips of 16 pixels a row and at most
-    16384 rows, each a file of its own."""
+    16384 rows, each a file of its own, with the tools that choose names or as plain literals."""
     if not payload or len(payload) % 64:
         raise ValueError("a payload has a positive multiple of 64 bytes")
     samples = np.frombuffer(payload, dtype=np.uint8)
-    return b"".join(_strip(samples[k : k + STRIP_BYTES]) for k in range(0, len(samples), STRIP_BYTES))
+    out = []
+    for k in range(0, len(samples), STRIP_BYTES):
+        strip = samples[k : k + STRIP_BYTES]
+        four = strip.reshape(-1, 4).astype(np.uint32)
+        pixels = four[:, 3] << 24 | four[:, 0] << 16 | four[:, 1] << 8 | four[:, 2]
+        tools = choose(pixels, _literal_bits(strip))
+        out.append(_strip(strip) if tools is None else encode(pixels.reshape(-1, WIDTH), **tools))
+    return b"".join(out)
 
 
 def load(blob: bytes) -> list[np.ndarray]:
