@@ -11,7 +11,8 @@ from gaugeworks.llm.shared import materialise, table
 
 #: The rules of the contract, as (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Seed words that mark a host's label as rejected in the labelled sample (gambling, advertising, scams, adult).
+#: Seed words that mark a host's label as rejected where a table has no rejected or no accepted URLs of
+#: its own (gambling, advertising, scams, adult).
 REJECT_WORDS = ("casino", "bet", "bets", "poker", "slots", "lotto", "ads", "track", "tracker", "click", "popup", "pills", "viagra", "xxx", "porn", "spam", "cheap", "loan", "loans", "replica", "crack", "warez")
 #: Longest context in bytes; a gram is a context and its successor, packed with the successor lowest.
 ORDER = 5
@@ -164,16 +165,29 @@ def seed_labels(pages: DataFrame, words=REJECT_WORDS) -> DataFrame:
     return pages.select("url", (~bad).alias("accepted")).where(host != "")
 
 
+def rule_labels(pages: DataFrame, rules=RULES) -> DataFrame:
+    """url, accepted: the URLs that the rules judge, with the rules' own verdicts."""
+    _, verdict = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
+    return pages.select("url", (verdict == "allow").alias("accepted")).where("accepted IS NOT NULL")
+
+
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> DataFrame:
     """Verdict of every row of pages (page_id, url).
 
     The longest fitting rule decides; without one the models do: allow from the calibrated threshold
-    of the length-normalised log-likelihood difference on. Null URLs and those without `://` have
-    empty host and path; null and empty URLs have ratio 0. One row per input row, repeated rows
-    alike; extra columns are ignored; an empty table gives no rows.
+    of the length-normalised log-likelihood difference on. The models learn from labelled (url,
+    accepted); without it from the URLs that the rules judge, and where these are all of one kind from
+    seed_labels. Null URLs and those without `://` have empty host and path; null and empty URLs have
+    ratio 0. One row per input row, repeated rows alike; extra columns are ignored; an empty table
+    gives no rows.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    accepted, rejected, threshold = fit(seed_labels(pages) if labelled is None else labelled)
+    if labelled is None:
+        labelled = rule_labels(pages, rules)
+        kinds = labelled.agg(F.min("accepted").alias("a"), F.max("accepted").alias("z")).first()
+        if kinds["a"] == kinds["z"]:
+            labelled = seed_labels(pages)
+    accepted, rejected, threshold = fit(labelled)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = score_urls(pages.withColumn("host", host).withColumn("path", path), accepted, rejected)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
