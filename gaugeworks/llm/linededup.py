@@ -9,64 +9,106 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.shared import ASCII_LOWER, bit_filter, materialise, mix64, passes, table, text_bytes, word_hashes
+from gaugeworks.llm.shared import ASCII_LOWER, Scratch, binary_array, binary_parts, bit_filter, mix64, passes, table, text_bytes, unpacked, whole_row, word_hashes
 
 #: Two lines match from intersection * 100 >= PERCENT * union of their distinct words on.
 PERCENT = 80
 #: Lines of fewer distinct words have no set to compare: only those without words are left alone.
 LEAST_WORDS = 1
+#: Lines of under so many distinct words match none but those of equal sets.
+FREE_WORDS = 4
+#: Bits of a word's hash, and the bytes it is kept in.
+WORD_BITS, WORD_BYTES = 44, 6
 #: Cells of the table of word frequencies (a byte each when broadcast) and its slices.
-RARITY_BITS, SLICES = 24, 64
+RARITY_BITS, SLICES = 24, 256
 #: Words in more lines than this are hot: their groups go through leaders first.
 HOT = 1024
+#: Words in more lines than this (by the table) are dealt out by line as well, so that none fills a task.
+SPREAD = 1 << 16
 #: Bits of the broadcast filter of lines that verification reads (4 MB).
 FILTER_BITS = 1 << 25
-#: Text bytes worked on at a time.
-CHUNK = 1 << 20
+#: Text bytes, and prefix entries, worked on at a time.
+CHUNK, FLUSH = 1 << 20, 1 << 20
 _END = (1 << 63) - 1
+_WORD = np.uint64((1 << WORD_BITS) - 1)
+
+
+def _packed(words: np.ndarray) -> np.ndarray:
+    """Words in WORD_BYTES bytes each."""
+    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).ravel()
+
+
+def _unpacked(data: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(data) // WORD_BYTES, 8), dtype=np.uint8)
+    wide[:, :WORD_BYTES] = data.reshape(-1, WORD_BYTES)
+    return wide.view("<u8").ravel()
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return sizes.cumsum() - sizes
 
 
 class _Lines:
-    """The lines of some texts as sorted distinct words, all in flat arrays."""
+    """The lines of some pieces of texts as sorted distinct words, all in flat arrays.
 
-    def __init__(self, texts: list, rarity: np.ndarray | None = None) -> None:
-        data = np.concatenate([x for t in texts for x in (t, np.array([10], dtype=np.uint8))])
+    pieces: (document, number of the first line, bytes) each."""
+
+    def __init__(self, pieces: list) -> None:
+        data = np.concatenate([x for _, _, t in pieces for x in (t, np.array([10], dtype=np.uint8))])
         breaks = data == 10
         words, starts, _ = word_hashes(ASCII_LOWER[data])
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        after = np.cumsum(breaks)
-        self.first_line = np.concatenate(([0], after[ends - 1]))
-        line = after[starts]
-        rank = rarity[words >> np.uint64(64 - RARITY_BITS)] if rarity is not None else np.zeros(len(words), dtype=np.uint8)
-        order = np.lexsort((words, rank, line))
-        words, line, rank = words[order], line[order], rank[order]
-        new = np.ones(len(words), dtype=bool)
-        new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
-        self.words, line, self.rank = words[new], line[new], rank[new]
-        self.starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, dtype=np.int64)
-        self.line = line[self.starts]
-        self.n = np.diff(np.append(self.starts, len(line)))
-        self.doc = np.searchsorted(self.first_line, self.line, side="right") - 1
-        self.line_no = self.line - self.first_line[self.doc]
+        ends = np.cumsum([len(t) + 1 for _, _, t in pieces])
+        after = np.cumsum(breaks, dtype=np.int32)
+        first_line = np.concatenate(([0], after[ends - 1]))
+        line, words = after[starts].astype(np.int64), words >> np.uint64(64 - WORD_BITS)
+        if after[-1] < 1 << 64 - WORD_BITS:  # both in one number, which sorts fastest
+            both = np.sort(line.astype(np.uint64) << np.uint64(WORD_BITS) | words)
+            both = both[np.concatenate((np.ones(min(1, len(both)), dtype=bool), both[1:] != both[:-1]))]
+            line, self.words = (both >> np.uint64(WORD_BITS)).astype(np.int64), both & _WORD
+        else:
+            order = np.lexsort((words, line))
+            words, line = words[order], line[order]
+            new = np.ones(len(words), dtype=bool)
+            new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
+            self.words, line = words[new], line[new]
+        self.starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(line)), dtype=bool), line[1:] != line[:-1])))
+        line = line[self.starts]
+        self.n = np.diff(np.append(self.starts, len(self.words)))
+        piece = np.searchsorted(first_line, line, side="right") - 1
+        self.doc = np.array([d for d, _, _ in pieces], dtype=np.int64)[piece]
+        self.line_no = line - first_line[piece] + np.array([k for _, k, _ in pieces], dtype=np.int64)[piece]
         sums = lambda v: np.add.reduceat(v, self.starts) if len(self.starts) else np.zeros(0, dtype=np.uint64)
         self.id = sums(mix64(self.words)).view(np.int64)
         self.id2 = sums(mix64(self.words ^ np.uint64(0xA0761D6478BD642F))).view(np.int64)
 
 
-def _chunks(batches, rarity=None):
-    """(doc ids, lines) of some documents of each batch, about CHUNK bytes at a time."""
+def _pieces(doc_id: int, text: np.ndarray):
+    """A text cut after line ends, about CHUNK bytes a piece (a longer line stays whole)."""
+    if len(text) <= CHUNK:
+        yield doc_id, 0, text
+        return
+    ends = np.flatnonzero(text == 10) + 1
+    at, line = 0, 0
+    while at < len(text):
+        k = int(np.searchsorted(ends, at + CHUNK))
+        end = int(ends[k]) if k < len(ends) else len(text)
+        yield doc_id, line, text[at : end - (k < len(ends))]
+        at, line = end, k + 1
+
+
+def _chunks(batches):
+    """Lines of some documents of each batch, about CHUNK bytes at a time."""
     for b in batches:
-        ids, texts, size = [], [], 0
+        found, size = [], 0
         for doc_id, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
-            if t is not None and len(t):
-                ids.append(doc_id)
-                texts.append(t)
-                size += len(t)
-            if size >= CHUNK:
-                yield ids, _Lines(texts, rarity)
-                ids, texts, size = [], [], 0
-        if texts:
-            yield ids, _Lines(texts, rarity)
+            for piece in _pieces(doc_id, t) if t is not None and len(t) else ():
+                found.append(piece)
+                size += len(piece[2])
+                if size >= CHUNK:
+                    yield _Lines(found)
+                    found, size = [], 0
+        if found:
+            yield _Lines(found)
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -74,24 +116,30 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def scan_lines(docs: DataFrame) -> DataFrame:
-    """A row per line of LEAST_WORDS or more: id, id2 (digest of its set), doc, line, n; and, from
-    each task, slices of its word frequencies (lines that hold a word, by cell)."""
-    schema = pa.schema([("id", pa.int64()), ("id2", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("slice", pa.int32()), ("body", pa.binary())])
+    """A row per line of LEAST_WORDS or more: id, id2 (digest of its set), doc, line, n, words (its set,
+    in the first of equal lines of a chunk; else empty); and, from each task, slices of its word
+    frequencies (lines that hold a word, by cell). The only pass over the texts."""
+    schema = pa.schema([("id", pa.int64()), ("id2", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("words", pa.binary()), ("slice", pa.int32()), ("body", pa.binary())])
 
     def run(batches):
         counts = np.zeros(1 << RARITY_BITS, dtype=np.uint16)
-        for ids, lines in _chunks(batches):
-            cells, k = np.unique(lines.words >> np.uint64(64 - RARITY_BITS), return_counts=True)
+        for lines in _chunks(batches):
+            cells, k = np.unique(lines.words >> np.uint64(WORD_BITS - RARITY_BITS), return_counts=True)
             counts[cells] = np.minimum(counts[cells].astype(np.uint32) + k, 65535)
-            rows = np.flatnonzero(lines.n >= LEAST_WORDS)
-            m = len(rows)
-            docs_ = np.array(ids, dtype=np.int64)[lines.doc[rows]]
-            yield pa.RecordBatch.from_arrays([pa.array(lines.id[rows]), pa.array(lines.id2[rows]), pa.array(docs_), pa.array(lines.line_no[rows].astype(np.int32)), pa.array(lines.n[rows].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
+            m = len(lines.n)
+            order = np.lexsort((lines.line_no, lines.doc, lines.id))
+            ids = lines.id[order]
+            first = np.zeros(m, dtype=bool)
+            first[order] = np.concatenate((np.ones(min(1, m), dtype=bool), ids[1:] != ids[:-1]))
+            first &= lines.n >= FREE_WORDS
+            sizes = np.where(first, lines.n * WORD_BYTES, 0)
+            words = binary_array(_packed(lines.words[np.repeat(first, lines.n)]), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(lines.id), pa.array(lines.id2), pa.array(lines.doc), pa.array(lines.line_no.astype(np.int32)), pa.array(lines.n.astype(np.int32)), words, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
         for s, part in enumerate(np.split(counts, SLICES)):
             if part.any():
-                yield pa.RecordBatch.from_pydict({"id": [None], "id2": [None], "doc": [None], "line": [None], "n": [None], "slice": [s], "body": [zlib.compress(part.tobytes(), 1)]}, schema=schema)
+                yield pa.RecordBatch.from_pydict({"id": [None], "id2": [None], "doc": [None], "line": [None], "n": [None], "words": [None], "slice": [s], "body": [zlib.compress(part.tobytes(), 1)]}, schema=schema)
 
-    return _source(docs).mapInArrow(run, "id long, id2 long, doc long, line int, n int, slice int, body binary")
+    return _source(docs).mapInArrow(run, "id long, id2 long, doc long, line int, n int, words binary, slice int, body binary")
 
 
 def rarity_table(slices: DataFrame) -> np.ndarray:
@@ -116,8 +164,9 @@ def rarity_table(slices: DataFrame) -> np.ndarray:
 
     out = np.zeros(1 << RARITY_BITS, dtype=np.uint8)
     size = len(out) // SLICES
-    for r in slices.select("slice", "body").repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(run, "slice int, ranks binary").toLocalIterator():
-        out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(zlib.decompress(r["ranks"]), dtype=np.uint8)
+    rows = slices.select("slice", "body").repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(run, "slice int, ranks binary").toArrow()
+    for at, ranks in zip(rows.column("slice").to_pylist(), rows.column("ranks").to_pylist(), strict=True):
+        out[at * size : (at + 1) * size] = np.frombuffer(zlib.decompress(ranks), dtype=np.uint8)
     return out
 
 
@@ -130,178 +179,302 @@ def _need(n, percent: int):
     return -(-n * percent // 100)
 
 
-def prefix_entries(docs: DataFrame, rarity, percent: int = PERCENT) -> DataFrame:
-    """The rarest words of each line's set, as many as any match must share one of.
-
-    token, id, bits (parity of the set's words by 64 cells: how many bits differ bounds the
-    difference of two sets), n, pos (place in the order by rarity); for hot words doc and line, the
-    set's first place by doc_id and line (over all chunks the least is that of its class).
-    Sets of under 4 words match none but equal ones.
-    """
-    hot_from = int(_ranks(np.array([HOT]))[0])
-    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("bits", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("doc", pa.int64()), ("line", pa.int32())])
+#: A prefix entry: the word, the line's set (id, parity of its words by 64 cells: how many of them differ
+#: bounds the difference of two sets; size), the word's place in the order by rarity, and the set's first place.
+_ENTRY = np.dtype([("token", "<u8"), ("id", "<i8"), ("bits", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("doc", "<i8"), ("line", "<u4")])
+#: Sets of so many words have their parities by 256 cells as well (three words more): 64 tell too little.
+LONG = 88
+#: Sets worked on at a time: their number and a word with its rank fit one integer of 64 bits.
+_GROUP = 1 << (64 - WORD_BITS - 8)
+
+
+def _entries_of(ids, docs_, line_nos, n: np.ndarray, words: np.ndarray, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest words of each of some sets, as many as any match must share one of; and for each of
+    these entries the set's finer parities."""
+    start = _starts(n)
+    cell = mix64(words + np.uint64(77))
+    bit = np.uint64(1) << (cell & np.uint64(63))
+    quarter = cell >> np.uint64(6) & np.uint64(3)
+    parity = np.bitwise_xor.reduceat(bit, start)
+    fine = np.stack([np.bitwise_xor.reduceat(np.where(quarter == k, bit, np.uint64(0)), start) for k in range(1, 4)], axis=1)
+    rank = rarity[words >> np.uint64(WORD_BITS - RARITY_BITS)].astype(np.uint64)
+    row = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    words = np.sort(row << np.uint64(WORD_BITS + 8) | rank << np.uint64(WORD_BITS) | words) & _WORD
+    size = n - _need(n, percent) + 1
+    row = np.repeat(np.arange(len(n)), size)
+    pos = np.arange(len(row)) - np.repeat(_starts(size), size)
+    out = np.empty(len(row), dtype=_ENTRY)
+    for name, v in (("token", words[start[row] + pos]), ("id", ids[row]), ("bits", parity[row]), ("n", n[row]), ("pos", pos), ("doc", docs_[row]), ("line", line_nos[row])):
+        out[name] = v
+    return out, fine[row]
+
+
+def _squeezed(rows: np.ndarray) -> bytes:
+    planes = np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1).T) if len(rows) else np.zeros(0, dtype=np.uint8)
+    return pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
+
+
+def _from_planes(body: bytes, m: int, width: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(body, decompressed_size=m * width, asbytes=True) if m else b"", dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, m).T)
+
+
+def _blob(entries: np.ndarray, fine: np.ndarray) -> bytes:
+    body, more = _squeezed(entries), _squeezed(fine[entries["n"] >= LONG])
+    return b"".join(x.to_bytes(4, "little") for x in (len(entries), len(body))) + body + more
+
+
+def _from_blob(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m, size = (int.from_bytes(body[k : k + 4], "little") for k in (0, 4))
+    entries = _from_planes(body[8 : 8 + size], m, _ENTRY.itemsize).view(_ENTRY).ravel()
+    fine, long_ = np.zeros((m, 3), dtype=np.uint64), entries["n"] >= LONG
+    fine[long_] = _from_planes(body[8 + size :], int(long_.sum()), 24).view("<u8").reshape(-1, 3)
+    return entries, fine
+
+
+def prefix_blobs(lines: DataFrame, rarity, buckets: int, percent: int = PERCENT) -> DataFrame:
+    """bucket, body: the prefix entries of all sets, packed, dealt out by their word; those of very
+    common words by their set as well. Sets of under FREE_WORDS words match none but equal ones."""
+    spread_from = int(_ranks(np.array([SPREAD]))[0])
+
+    def flush(parts: list) -> pa.RecordBatch:
+        entries, fine = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+        by = entries["token"] >> np.uint64(WORD_BITS - 32)
+        wide = rarity.value[entries["token"] >> np.uint64(WORD_BITS - RARITY_BITS)] > spread_from
+        by[wide] = mix64(entries["token"][wide] ^ entries["id"][wide].view(np.uint64)) >> np.uint64(32)
+        bucket = (by * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((entries["token"], bucket))
+        entries, fine, bucket = entries[order], fine[order], bucket[order]
+        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        return pa.RecordBatch.from_pydict({"bucket": bucket[edges[:-1]].astype(np.int32), "body": [_blob(entries[a:z], fine[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]})
 
     def run(batches):
-        for ids, lines in _chunks(batches, rarity.value):
-            given = np.array(ids, dtype=np.int64)
-            order = np.lexsort((lines.line_no, given[lines.doc]))
-            _, first = np.unique(lines.id[order], return_index=True)
-            first = order[first]
-            first = np.sort(first[lines.n[first] >= 4])
-            if not len(first):
-                continue
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(lines.words + np.uint64(77)) & np.uint64(63)), lines.starts)
-            n = lines.n[first]
-            size = n - _need(n, percent) + 1
-            row = np.repeat(first, size)
-            pos = np.arange(len(row)) - np.repeat(size.cumsum() - size, size)
-            at = lines.starts[row] + pos
-            hot = lines.rank[at] > hot_from
-            docs_ = given[lines.doc[row]]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(lines.words[at].view(np.int64)), pa.array(lines.id[row]), pa.array(parity[row].view(np.int64)), pa.array(lines.n[row].astype(np.int32)), pa.array(pos.astype(np.int32)),
-                pa.array(docs_, mask=~hot), pa.array(lines.line_no[row].astype(np.int32), mask=~hot),
-            ], schema=schema)
-
-    return _source(docs).mapInArrow(run, "token long, id long, bits long, n int, pos int, doc long, line int")
-
-
-def _may_match(percent: int) -> Column:
-    """Of entries x and y, x.n <= y.n: length, positional and parity filters. (No filter on one side
-    alone: so both sides of the self-join are one exchange, and the texts are read once for it.)"""
-    need = f"ceil({percent} * (x.n + y.n) / {100 + percent})"
-    return F.expr(
-        f"x.n * 100 >= y.n * {percent} and least(x.n - x.pos, y.n - y.pos) >= {need} and bit_count(x.bits ^ y.bits) <= x.n + y.n - 2 * {need}"
-    )
-
+        parts, held = [], 0
+        for b in batches:
+            ids, docs_, line_nos, n = (np.asarray(b.column(k)) for k in range(4))
+            words = _unpacked(binary_parts(b.column(4))[0])
+            start = _starts(n.astype(np.int64))
+            for k in range(0, len(n), _GROUP):
+                part = slice(k, k + _GROUP)
+                size = n[part].astype(np.int64)
+                a = int(start[k])
+                parts.append(_entries_of(ids[part], docs_[part], line_nos[part], size, words[a : a + int(size.sum())], rarity.value, percent))
+                held += len(parts[-1][0])
+                if held >= FLUSH:
+                    yield flush(parts)
+                    parts, held = [], 0
+        if parts:
+            yield flush(parts)
+
+    some = lines.where(F.octet_length("words") > 0).select("id", "doc", "line", "n", "words")
+    return some.mapInArrow(run, "bucket int, body binary")
+
+
+def _pairs_of(e: np.ndarray, fine: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of entries (sorted by token, then n) that share a word and pass the length, positional
+    and parity filters."""
+    token, n, left, bits = e["token"].copy(), e["n"].astype(np.int64), e["n"].astype(np.int64) - e["pos"], e["bits"].copy()
+    one, two = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    at, d = np.arange(len(e) - 1), 1
+    while len(at):
+        at = at[at + d < len(e)]
+        to = at + d
+        go = (token[at] == token[to]) & (n[at] * 100 >= n[to] * percent)
+        at, to = at[go], to[go]
+        need = -(-percent * (n[at] + n[to]) // (100 + percent))
+        apart = n[at] + n[to] - 2 * need
+        hit = (np.minimum(left[at], left[to]) >= need) & (np.bitwise_count(bits[at] ^ bits[to]) <= apart)
+        x, y, apart = at[hit], to[hit], apart[hit]
+        if len(x):
+            both = fine[x] ^ fine[y]  # the first of four words is what is left of the coarse one
+            rest = bits[x] ^ bits[y] ^ both[:, 0] ^ both[:, 1] ^ both[:, 2]
+            close = (n[x] < LONG) | (np.bitwise_count(both).sum(axis=1) + np.bitwise_count(rest) <= apart)
+            one.append(x[close])
+            two.append(y[close])
+        d += 1
+    return np.concatenate(one), np.concatenate(two)
+
+
+_PAIRS = "u long, v long, doc long, line int, token long, bits long, n int, pos int"
+
+
+def candidates(blobs: DataFrame, rarity, buckets: int, percent: int = PERCENT) -> DataFrame:
+    """Of every word in at most HOT sets: u, v, doc, line: a pair that may match, of which v (first at
+    doc, line) is the earlier. Of every other word its entries again (v is null, u the set), once a set."""
+    spread_from, hot = int(_ranks(np.array([SPREAD]))[0]), HOT
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("token", pa.int64()), ("bits", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+
+    def rows(u, v, doc, line, extra) -> pa.RecordBatch:
+        m = len(u)
+        more = [pa.nulls(m, t) for t in schema.types[4:]] if extra is None else [pa.array(x.astype(t)) for x, t in zip(extra, (np.int64, np.int64, np.int32, np.int32), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(m, pa.int64()) if v is None else pa.array(v), pa.array(doc), pa.array(line.astype(np.int32)), *more], schema=schema)
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b of line sets) that match on their full sets, which are read again from docs
-    for these lines alone (a bit filter of bounded size lets them through, joins decide)."""
-    spark = docs.sparkSession
-    wanted, _ = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
+    def run(batches):
+        held = [_from_blob(body) for b in batches for body in b.column(1).to_pylist()]
+        if held:
+            yield from solve(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+
+    def solve(e, fine):
+        order = np.lexsort((e["line"], e["doc"], e["id"], e["n"], e["token"]))
+        e = e[order]
+        new = np.concatenate(([True], (e["token"][1:] != e["token"][:-1]) | (e["id"][1:] != e["id"][:-1])))
+        e, fine = e[new], fine[order][new]
+        edges = np.flatnonzero(np.concatenate(([True], e["token"][1:] != e["token"][:-1], [True])))
+        size = np.repeat(np.diff(edges), np.diff(edges))
+        many = size > hot
+        many |= rarity.value[e["token"] >> np.uint64(WORD_BITS - RARITY_BITS)] > spread_from  # their other sets are elsewhere
+        if many.any():
+            h = e[many]
+            yield rows(h["id"], None, h["doc"], h["line"], (h["token"].view(np.int64), h["bits"].view(np.int64), h["n"], h["pos"]))
+            e, fine = e[~many], fine[~many]
+        if len(e) < 2:
+            return
+        i, j = _pairs_of(e, fine, percent)
+        doc, line = e["doc"], e["line"]
+        earlier = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
+        later = (doc[j] < doc[i]) | ((doc[i] == doc[j]) & (line[j] < line[i]))
+        u, v = np.where(earlier, j, i)[earlier | later], np.where(earlier, i, j)[earlier | later]
+        for k in range(0, len(u), 1 << 20):
+            part = slice(k, k + (1 << 20))
+            yield rows(e["id"][u[part]], e["id"][v[part]], doc[v[part]], line[v[part]], None)
+
+    return blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _PAIRS)
+
+
+def verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """The rows of pairs (u, v, doc, line) whose sets match in full. The sets of these lines alone are
+    looked up (a bit filter of bounded size lets them through, joins decide)."""
+    spark = lines.sparkSession
+    wanted = scratch.write(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "line-ids")
     shared = spark.sparkContext.broadcast(bit_filter(wanted.select(F.col("id").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("s")), FILTER_BITS))
 
-    def run(batches):
-        packed = shared.value
-        for _, lines in _chunks(batches):
-            hit = passes(packed, lines.id & (FILTER_BITS - 1))
-            _, first = np.unique(lines.id, return_index=True)
-            rows = first[hit[first]]
-            sets = [lines.words[a : a + k].tobytes() for a, k in zip(lines.starts[rows].tolist(), lines.n[rows].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(lines.id[rows]), pa.array(sets, pa.binary())], names=["id", "words"])
+    def pick(batches):
+        for b in batches:
+            hit = passes(shared.value, np.asarray(b.column(0)) & (FILTER_BITS - 1))
+            yield b.filter(pa.array(hit))
 
-    found = _source(docs).mapInArrow(run, "id long, words binary").join(wanted, "id", "left_semi")
-    members, _ = materialise(found.groupBy("id").agg(F.first("words").alias("words")), "line-sets")
+    some = lines.where(F.octet_length("words") > 0).select("id", "words").mapInArrow(pick, "id long, words binary")
+    members = scratch.write(some.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "line-sets")
 
     def compare(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both * 100 >= percent * (len(p) + len(q) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+            (x, x_size), (y, y_size) = (binary_parts(b.column(k)) for k in (4, 5))
+            p, q = x_size // WORD_BYTES, y_size // WORD_BYTES
+            row = np.arange(len(p), dtype=np.uint64) << np.uint64(WORD_BITS)
+            both = np.sort(np.concatenate((np.repeat(row, p) | _unpacked(x), np.repeat(row, q) | _unpacked(y))))
+            twice = both[1:][both[1:] == both[:-1]] >> np.uint64(WORD_BITS)
+            shared_ = np.bincount(twice.astype(np.int64), minlength=len(p))
+            keep = shared_ * 100 >= percent * (p + q - shared_)
+            yield b.select(["u", "v", "doc", "line"]).filter(pa.array(keep))
+
+    one, two = (members.select(F.col("id").alias(k), F.col("words").alias(f"w_{k}")) for k in "uv")
+    both = pairs.select("u", "v", "doc", "line").join(two, "v").join(one, "u").select("u", "v", "doc", "line", "w_u", "w_v")
+    out = scratch.write(both.mapInArrow(compare, "u long, v long, doc long, line int"), "line-links")
+    scratch.drop(wanted, members)
+    return out
+
 
-    one, two = (members.select(F.col("id").alias(k), F.col("words").alias(f"w_{k}")) for k in "ab")
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "w_a", "w_b").mapInArrow(compare, "a long, b long")
+def _hot_pairs(hot: DataFrame, percent: int) -> DataFrame:
+    """Pairs of hot words' entries with four leaders of their group, the earliest line among them."""
+    lead = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "id"), F.struct("id", "bits", "n", "pos", "at").alias("e")))["e"]
+    earliest = F.min(F.struct("at", F.struct("id", "bits", "n", "pos", "at").alias("e")))["e"]
+    leaders = hot.groupBy("token", "size").agg(F.array_distinct(F.array(earliest, lead(1), lead(2), lead(3))).alias("lead")).select("token", "size", F.explode("lead").alias("l"))
+    star = hot.join(leaders, ["token", "size"]).where((F.col("id") != F.col("l.id")) & (F.col("at") != F.col("l.at")) & _alike("n", "l.n", "bits", "l.bits", percent))
+    swap = F.col("at") < F.col("l.at")
+    at = F.when(swap, F.col("at")).otherwise(F.col("l.at"))
+    return star.select(F.when(swap, F.col("l.id")).otherwise(F.col("id")).alias("u"), F.when(swap, F.col("id")).otherwise(F.col("l.id")).alias("v"), at["doc"].alias("doc"), at["line"].alias("line"))
 
 
-def _later(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """id of the later set of each link, and the least document that holds an earlier one."""
-    one, two = (classes.select(F.col("id").alias(k), F.col("first").alias(f"first_{k}")) for k in "ab")
-    placed = links.join(one, "a").join(two, "b")
-    ends = placed.select(F.explode(F.array(
-        F.struct(F.col("a").alias("id"), F.col("first_a").alias("own"), F.col("first_b").alias("other")),
-        F.struct(F.col("b").alias("id"), F.col("first_b").alias("own"), F.col("first_a").alias("other")),
-    )).alias("e")).select("e.*")
-    return ends.where("other < own").groupBy("id").agg(F.min("other.doc").alias("match_doc"))
+def _alike(n: str, m: str, bits: str, other: str, percent: int) -> Column:
+    """Length and parity filters."""
+    return F.expr(f"least({n}, {m}) * 100 >= greatest({n}, {m}) * {percent} and bit_count({bits} ^ {other}) <= {n} + {m} - 2 * ceil({percent} * ({n} + {m}) / {100 + percent})")
 
 
 def later_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc, line, exact, match_doc of every line that matches an earlier one (by doc_id, then line).
 
-    Lines with equal sets form a class. Classes join on words of their prefixes; groups of words in
-    over HOT lines are compared with four leaders first (the earliest line among them), and then with
-    all of the group that are earlier than the least match so far (than the class itself, if none):
-    copies of a line seldom meet all against all, and match_doc is the least of all matches.
+    Lines with equal sets form a class. Classes meet by the words of their prefixes; of each class the
+    earliest candidate is verified, then all others of the classes whose earliest one failed. Groups
+    of words in over HOT sets are compared with four leaders first (the earliest line among them), and
+    then with all of the group that are earlier than the least match so far (than the class itself, if
+    none): copies of a line seldom meet all against all, and match_doc is the least of all matches.
     """
     spark = docs.sparkSession
-    scanned, _ = materialise(scan_lines(docs), "lines")
-    rarity = spark.sparkContext.broadcast(rarity_table(scanned.where("slice IS NOT NULL")))
-    lines = scanned.where("slice IS NULL").select("id", "id2", "doc", "line", "n")
-    classes, _ = materialise(lines.groupBy("id", "id2").agg(F.min(F.struct("doc", "line")).alias("first")), "line-classes")
-    entries = prefix_entries(docs, rarity, percent)
-    cold = entries.where("doc IS NULL").select("token", "id", "bits", "n", "pos")
-    once = (F.col("x.n") < F.col("y.n")) | (F.col("x.id") < F.col("y.id"))
-    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & once)
-    near = cold.alias("x").join(cold.alias("y"), (F.col("x.token") == F.col("y.token")) & ordered & _may_match(percent))
-    pairs = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    bucket = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
-    hot, _ = materialise(entries.where("doc IS NOT NULL").groupBy("token", "id", "bits", "n", "pos").agg(F.min(F.struct("doc", "line")).alias("at")).withColumn("size", bucket), "hot-entries")
-    lead = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "id"), F.struct("id", "bits", "n", "pos").alias("e")))["e"]
-    earliest = F.min(F.struct("at", F.struct("id", "bits", "n", "pos").alias("e")))["e"]
-    leaders = hot.groupBy("token", "size").agg(F.array_distinct(F.array(earliest, lead(1), lead(2), lead(3))).alias("lead")).select("token", "size", F.explode("lead").alias("l"))
-    star = hot.join(leaders, ["token", "size"]).where("id <> l.id")
-    swap = F.col("n") <= F.col("l.n")
-    star = star.select(F.when(swap, F.struct("id", "bits", "n", "pos")).otherwise(F.col("l")).alias("x"), F.when(swap, F.col("l")).otherwise(F.struct("id", "bits", "n", "pos")).alias("y"))
-    parity = F.expr(f"x.n * 100 >= y.n * {percent} and bit_count(x.bits ^ y.bits) <= x.n + y.n - 2 * ceil({percent} * (x.n + y.n) / {100 + percent})")
-    star = star.where(parity).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    tried, _ = materialise(pairs.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    settled, _ = materialise(_later(verified(tried, docs, percent), classes), "line-matches")
-    free = hot.join(settled, "id", "left")
-    probe = free.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
-    both = probe.alias("u").join(hot.alias("v"), (F.col("u.token") == F.col("v.token")) & (F.col("u.size") == F.col("v.size")) & (F.col("v.at") < F.col("u.at")) & (F.col("u.match_doc").isNull() | (F.col("v.at.doc") < F.col("u.match_doc"))) & F.expr(
-        f"least(u.n, v.n) * 100 >= greatest(u.n, v.n) * {percent} and least(u.n - u.pos, v.n - v.pos) >= ceil({percent} * (u.n + v.n) / {100 + percent}) "
-        f"and bit_count(u.bits ^ v.bits) <= u.n + v.n - 2 * ceil({percent} * (u.n + v.n) / {100 + percent})"))
-    more = both.select(F.least("u.id", "v.id").alias("a"), F.greatest("u.id", "v.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest, _ = materialise(more, "line-pairs")
-    matches = settled
-    if rest.limit(1).count():
-        extra, _ = materialise(_later(verified(rest, docs, percent), classes), "line-matches")
-        matches = settled.unionByName(extra).groupBy("id").agg(F.min("match_doc").alias("match_doc"))
-    marked = lines.select("id", "id2", "doc", "line").join(classes.join(matches, "id", "left"), ["id", "id2"])
-    exact = F.struct("doc", "line") != F.col("first")
-    return marked.where(exact | F.col("match_doc").isNotNull()).select("doc", "line", exact.alias("exact"), F.least(F.col("first.doc"), "match_doc").alias("match_doc"))
+    with Scratch(spark) as scratch:
+        scanned = scratch.write(scan_lines(docs), "lines")
+        rarity = spark.sparkContext.broadcast(rarity_table(scanned.where("slice IS NOT NULL")))
+        lines = scanned.where("slice IS NULL").select("id", "id2", "doc", "line", "n", "words")
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        met = scratch.write(candidates(prefix_blobs(lines, rarity, buckets, percent), rarity, buckets, percent), "line-candidates")
+        near = met.where("v IS NOT NULL").select("u", "v", "doc", "line")
+        bucket = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
+        hot = scratch.write(met.where("v IS NULL").groupBy("token", F.col("u").alias("id"), "bits", "n", "pos").agg(F.min(F.struct("doc", "line")).alias("at")).withColumn("size", bucket), "hot-entries")
+        crowded = hot.limit(1).count() > 0
+        pairs = near.unionByName(_hot_pairs(hot, percent)) if crowded else near
+        best = F.min(F.struct("doc", "line", "v")).alias("b")
+        first = scratch.write(pairs.groupBy("u").agg(best).select("u", "b.v", "b.doc", "b.line"), "line-pairs")
+        links = verified(first, lines, scratch, percent)
+        failed = first.join(links.select("u"), "u", "left_anti").select("u", F.col("v").alias("tried"))
+        others = scratch.write(pairs.join(failed, "u").where("v <> tried").select("u", "v", "doc", "line").distinct(), "line-pairs")
+        if others.limit(1).count():
+            links = links.unionByName(verified(others, lines, scratch, percent))
+        least = lambda x: x.groupBy(F.col("u").alias("id")).agg(F.min("doc").alias("match_doc"))
+        matches = scratch.write(least(links), "line-matches")
+        if crowded:
+            probe = hot.join(matches, "id", "left").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+            close = _alike("u.n", "v.n", "u.bits", "v.bits", percent) & F.expr(f"least(u.n - u.pos, v.n - v.pos) >= ceil({percent} * (u.n + v.n) / {100 + percent})")
+            both = probe.alias("u").join(hot.alias("v"), (F.col("u.token") == F.col("v.token")) & (F.col("u.size") == F.col("v.size")) & (F.col("v.at") < F.col("u.at")) & (F.col("u.match_doc").isNull() | (F.col("v.at.doc") < F.col("u.match_doc"))) & close)
+            more = scratch.write(both.select(F.col("u.id").alias("u"), F.col("v.id").alias("v"), F.col("v.at.doc").alias("doc"), F.col("v.at.line").alias("line")).distinct(), "line-pairs")
+            if more.limit(1).count():
+                matches = scratch.write(least(links.unionByName(verified(more, lines, scratch, percent))), "line-matches")
+        rarity.destroy()
+        classes = lines.groupBy("id", "id2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("m")).join(matches, "id", "left").where("m > 1 OR match_doc IS NOT NULL")
+        exact = F.struct("doc", "line") != F.col("first")
+        marked = lines.select("id", "id2", "doc", "line").join(classes, ["id", "id2"]).where(exact | F.col("match_doc").isNotNull())
+        return scratch.keep(marked.select("doc", "line", exact.alias("exact"), F.least(F.col("first.doc"), "match_doc").alias("match_doc")), "line-removals")
 
 
 def _cleaned(docs: DataFrame, percent: int) -> DataFrame:
-    """docs, their lines to drop (`_gone`: numbers, exact and near counts, least matching doc)."""
-    gone = later_matches(docs, percent).groupBy("doc").agg(
-        F.struct(F.array_sort(F.collect_set("line")).alias("lines"), F.count_if("exact").alias("exact"), F.count_if(~F.col("exact")).alias("near"), F.min("match_doc").alias("match_doc")).alias("_gone")
+    """row (the row of docs), text, and gone: the lines to drop (numbers, exact and near counts, least matching doc)."""
+    gone = later_matches(docs, percent).groupBy(F.col("doc").alias("key")).agg(
+        F.struct(F.array_sort(F.collect_set("line")).alias("lines"), F.count_if("exact").alias("exact"), F.count_if(~F.col("exact")).alias("near"), F.min("match_doc").alias("match_doc")).alias("gone")
     )
-    key = F.coalesce(F.col("_d.doc_id").cast("long"), F.lit(_END))
-    return docs.alias("_d").join(gone.withColumnRenamed("doc", "_key"), key == F.col("_key"), "left").drop("_key")
+    rows = docs.select(whole_row(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(_END)).alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.join(gone, "key", "left")
+
 
+def _kept_text(text: Column, gone: Column) -> Column:
+    """text without the lines that are gone: the stretches between them, each cut out once."""
+    def stretches(parts: Column) -> Column:
+        before = F.concat(F.array(F.lit(-1)), gone["lines"])
+        after = F.concat(gone["lines"], F.array(F.size(parts)))
+        cut = F.transform(F.zip_with(before, after, lambda a, z: F.slice(parts, a + 2, F.greatest(z - a - 1, F.lit(0)))), lambda x: x)
+        return F.array_join(F.flatten(cut), "\n")
 
-def _kept_text(text: Column) -> Column:
-    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_gone.lines", i))
-    return F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return F.when(gone.isNull(), text).otherwise(F.get(F.transform(F.array(F.split(text, "\n", -1)), stretches), F.lit(0)))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with later matching lines taken out of the texts; documents none of whose lines with
-    words is left, but had some, go. All columns stay.
+    words is left, but had some, go. All columns stay, whatever their names.
 
     Rows with one doc_id are one document (a line does not match its own copy there); documents
     without doc_id come last. Null and empty texts stay as they are; an empty table gives no rows.
     """
-    out = _cleaned(docs, percent).withColumn("_text", _kept_text(F.col("_d.text")))
-    out = out.where(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"_d.{c}") for c in docs.columns])
+    rows = _cleaned(docs, percent).select("row", "gone", _kept_text(F.col("text"), F.col("gone")).alias("kept"))
+    return rows.where(F.col("gone").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]")).select(*unpacked(docs, text=F.col("kept")))
 
 
 def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, class_id (the least document with an earlier match of a line,
     itself if none), n_links (lines taken out), n_exact, n_near, n_lines, kept_chars, text_sha256."""
-    rows = _cleaned(docs.select("doc_id", "text"), percent)
-    text = F.coalesce(_kept_text(F.col("_d.text")), F.lit(""))
+    rows = _cleaned(docs.select("doc_id", "text"), percent).select("row.doc_id", "text", "gone", F.coalesce(_kept_text(F.col("text"), F.col("gone")), F.lit("")).alias("kept"))
+    own = F.col("doc_id").cast("long")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return rows.select(
-        F.col("_d.doc_id").cast("long").alias("doc_id"), F.coalesce(F.least(F.col("_d.doc_id").cast("long"), F.col("_gone.match_doc")), F.col("_gone.match_doc")).alias("class_id"),
-        (zero("_gone.exact") + zero("_gone.near")).alias("n_links"), zero("_gone.exact").alias("n_exact"), zero("_gone.near").alias("n_near"),
-        F.size(F.split(F.coalesce(F.col("_d.text"), F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.length(text).cast("long").alias("kept_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"),
+        own.alias("doc_id"), F.coalesce(F.least(own, F.col("gone.match_doc")), F.col("gone.match_doc")).alias("class_id"),
+        (zero("gone.exact") + zero("gone.near")).alias("n_links"), zero("gone.exact").alias("n_exact"), zero("gone.near").alias("n_near"),
+        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.length("kept").cast("long").alias("kept_chars"), F.sha2(F.col("kept").cast("binary"), 256).alias("text_sha256"),
     )
 
 
