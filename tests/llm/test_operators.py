@@ -381,3 +381,206 @@ def test_edge_cases(spark, name):
 def test_edge_cases_of_urls_and_chat(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_bpe_with_any_characters(spark):
+    """Control characters and their likes come through the word table as the library has them."""
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(bpe.TOKENIZER), random.Random(11)
+    signs = ["\x00", "\x01", "\x02", "\x03", "\n", " ", "a", "b'", "é", "́", "​", "\U0001f600", "<|", "|>", "<|endoftext|>", "'s", "ﬁ", "１"]
+    texts = ["\x01\x02 a", "\x01\x01\x02", "\x01\x00 \x01\x01", *("".join(rng.choice(signs) for _ in range(rng.randint(1, 12))) for _ in range(400))]
+    got = local(bpe.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block_words=300))
+    for i, x in enumerate(texts):
+        e = t.encode(x, add_special_tokens=False).ids
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(e), hashlib.sha256(np.array(e, "<u4").tobytes()).hexdigest()), repr(x)
+        assert got[i]["decoded_sha256"] == hashlib.sha256(t.decode(e, skip_special_tokens=False).encode()).hexdigest(), repr(x)
+
+
+def test_near_copies_without_an_id_keep_their_links(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = [*words[:58], "x", "y"]
+    far = [f"v{k}" for k in range(40)]
+    rows = [(3, " ".join(words)), (None, " ".join(near)), (None, " ".join(far)), (None, " ".join([*far[:39], "z"]))]
+    got = [tuple(r)[2:] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("n_shingles", "component_id").collect()]
+    assert sorted(got, key=str) == sorted([(3, True), (3, False), (None, True), (None, True)], key=str)
+
+
+def test_scratch_tables_go(spark):
+    from gaugeworks.llm.shared import scratch_root
+
+    import os
+
+    root = scratch_root(spark).removeprefix("file://") + "/gaugeworks"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i % 3}") for i in range(9)], "doc_id long, text string")
+    for made in (neardup.near_duplicates, linededup.line_report, bpe.digests):
+        made(docs).count()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before}
+    assert left == {"near-duplicates", "line-removals", "bpe-digests"}
+
+
+def test_running_combines_what_is_before(spark):
+    for n in (0, 1, 63, 64, 65, 300):
+        rows = spark.range(1).select(F.expr(f"transform(sequence(1, {n}), x -> cast(x as int))" if n else "cast(array() as array<int>)").alias("v"))
+        got = rows.select(secrets.running(F.col("v"), lambda a, b: a + b, F.lit(0)).alias("s"), secrets.running(F.col("v"), lambda a, b: F.greatest(a, b), F.lit(0)).alias("m")).first()
+        assert got["s"] == [sum(range(1, k)) for k in range(1, n + 1)] and got["m"] == list(range(n))
+
+
+def test_secret_spans_of_the_models_equal_brute_force(spark):
+    """A run counts where no pattern finding overlaps it and its ratio is high enough; many matches take seconds."""
+    rng = random.Random(3)
+    made = lambda n: "".join(rng.choice(secrets.ALPHABET) for _ in range(n))
+    texts = [" ".join(rng.choice([made(20), "password=" + made(14), "ab" * 10, "0123456789abcdef" * 2, made(30) + "AKIA" + "A1" * 9, "plain words", "response_buffer_handler"]) for _ in range(40)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = local(secrets.scan(docs))
+    weights = {}
+    runs = {i: [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.CANDIDATE, x)] for i, x in enumerate(texts)}
+    base = {i: [tuple(map(int, s.split(":")[1:])) for s in g["spans"].split(",") if s and not s.startswith("random")] for i, g in got.items()}
+    free = {i: [r for r in rs if not any(a < r[1] and r[0] < z for a, z in base[i])] for i, rs in runs.items()}
+    values = sorted({v for rs in free.values() for _, _, v in rs})
+    seen = [(v[2], True) for g in got.values() for v in [(s["start"], s["end"], s["value"]) for s in g["text_spans"] if s["kind"] != "random"]] + [(v, False) for rs in runs.values() for _, _, v in rs if re.fullmatch("[A-Za-z]+", v)]
+    weights, _ = secrets.fit(secrets.generated_samples(spark).unionByName(spark.createDataFrame(seen, "value string, random boolean")))
+    high = {r["value"] for r in spark.createDataFrame([(v,) for v in values], "value string").where(secrets.ratio(F.col("value"), weights) >= secrets.THRESHOLD).collect()}
+    for i in got:
+        want = sorted((a, z) for a, z, v in free[i] if v in high)
+        assert sorted(tuple(map(int, s.split(":")[1:])) for s in got[i]["spans"].split(",") if s.startswith("random")) == want
+    import time
+
+    began = time.time()
+    long_ = spark.createDataFrame([(1, " ".join(f"{k:032x}" for k in range(40_000)))], "doc_id long, text string")
+    assert local(secrets.scan(long_))[1]["n_hex"] == 40_000
+    assert time.time() - began < 60
+
+
+def test_long_lines_equal_brute_force(spark):
+    """Lines of 40 to 300 words, near copies among them on both sides of the threshold."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(900)]
+    lines = []
+    for k in range(60):
+        base = rng.sample(vocabulary, rng.randint(40, 300))
+        lines.append(base)
+        for _ in range(3):
+            w = list(base)
+            for at in rng.sample(range(len(w)), rng.randint(0, len(w) // 6)):
+                w[at] = rng.choice(vocabulary)
+            lines.append(w)
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(lines)]
+    sets = [frozenset(w) for w in lines]
+    want = [next((j for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])), i) for i in range(len(rows))]
+    got = local(linededup.line_report(spark.createDataFrame(rows, DOCS)))
+    assert [got[i]["class_id"] for i in range(len(rows))] == want
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    """All of judge: rules, labels by the rules, exact counts, calibration on a fifth, verdicts; repeats, nulls and clashing columns."""
+    import zlib
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    urls_ = [r["url"] for r in pages.collect()] + [None, "", "no scheme", "http://a.org/x", "http://a.org/x"]
+    df = spark.createDataFrame([(i, u, "clash", 1.0, 2) for i, u in enumerate(urls_)], "page_id long, url string, host string, ratio double, gram int")
+    got = sorted(urls.judge(df).collect(), key=lambda r: r["page_id"])
+    assert len(got) == len(urls_)
+
+    def ruled(url):
+        rest = url.partition("://")[2] if url and "://" in url else ""
+        host = re.match(r"(?s)[^/?#]*", rest)[0]
+        path = re.match(r"(?s)[^?#]*", rest[len(host) :])[0]
+        host = host.translate(LOWER)
+        best = max(((len(h + p), h + p, kind) for kind, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)), default=None)
+        return host, path, best
+
+    counts = {True: Counter(), False: Counter()}
+    labelled = [(u, b[2] == "allow") for u in urls_ if u is not None and (b := ruled(u)[2])]
+    for u, ok in labelled:
+        if zlib.crc32(u.encode()) % urls.CALIBRATE:
+            counts[ok].update(urls.grams(urls._scored_text(u)).tolist())
+    tables = {ok: [(Counter(), Counter()) for _ in range(urls.ORDER + 1)] for ok in counts}
+    for ok, all_ in counts.items():
+        for g, n in all_.items():
+            for k in range(urls.ORDER + 1):
+                tables[ok][k][0][g >> 8 & (1 << 8 * k) - 1] += n
+                tables[ok][k][1][g & (1 << 8 * (k + 1)) - 1] += n
+
+    def ratio(u):
+        total, text = 0.0, urls._scored_text(u)
+        for g in urls.grams(text).tolist():
+            for ok, sign in ((True, 1), (False, -1)):
+                p = 1 / urls.ALPHABET
+                for k in range(urls.ORDER + 1):
+                    n, hit = tables[ok][k][0][g >> 8 & (1 << 8 * k) - 1], tables[ok][k][1][g & (1 << 8 * (k + 1)) - 1]
+                    p = n / (n + 4) * min(1, max(hit - urls.DISCOUNT, 0) / max(n, 1)) + 4 / (n + 4) * p
+                total += sign * np.log(max(p, 1e-12))
+        return total / len(text) if text else 0.0
+
+    threshold = got[0]["threshold"]
+    for r, u in zip(got, urls_, strict=True):
+        host, path, best = ruled(u)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, best and best[1])
+        assert r["ratio"] == pytest.approx(ratio(u), abs=1e-9)
+        assert r["verdict"] == (best[2] if best else "allow" if r["ratio"] >= threshold else "block")
+    held = [(ratio(u), ok) for u, ok in labelled if zlib.crc32(u.encode()) % urls.CALIBRATE == 0]
+    right = lambda t: np.mean([x >= t for x, ok in held if ok]) + np.mean([x < t for x, ok in held if not ok])
+    assert right(threshold) >= max(right(t) for t in np.arange(-2, 2, 0.02)) - 1e-9 and right(threshold) > 1.3
+
+
+def test_decontamination_of_short_and_numeric_items(spark):
+    """Items of few words, and of hardly any plain ones, are found word for word; number words are numbers."""
+    items = ["Name three primes", "What is 12 + 34 * 56 - 78 / 9 mod 10 ?", "Alice met Bob Carol and Dave Erin Frank Grace", "12 and 7", "Yes", "A bus covers sixty km with 15 people before it stops at the old mill"]
+    filler = "quite other words are put here"
+    texts = [f"{filler}. {x} {filler}" for x in items[:4]] + [f"{filler} name four primes {filler}", f"{filler} 13 and 8 {filler}", f"{filler} yes {filler}", f"{filler} a bus covers 80 km with fifteen people before it stops at the old mill"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (7, 5)}
+    assert [r["item_id"] for r in decontaminate.unindexed(bench).collect()] == [4]
+
+
+def test_decontamination_equals_brute_force(spark):
+    """From the typed words on: all windows of all items in all documents, runs by offset, chains of runs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(400)
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    rng = random.Random(4)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for k, r in enumerate(bench.collect()):  # edited copies, some of them far from the item
+        w = r["text"].split(" ")
+        for _ in range(k % 9):
+            w[rng.randrange(len(w))] = rng.choice(["other", "7", "Anna Maria"])
+        rows.append((10_000 + k, "and so " + " ".join(w) + " it ends"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    typed = lambda df, key: {r[key]: (r["words"], r["template"]) for r in decontaminate._templates(df, [key]).collect()}
+    theirs, items = typed(docs, "doc_id"), typed(bench, "item_id")
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["kind"]) for r in decontaminate.find(docs, bench).collect()}
+    one_to_one = lambda s: len(s) == len({(t, i) for t, i, _ in s}) == len({(t, d) for t, _, d in s})
+    want = {}
+    for item, (iw, it) in items.items():
+        n = len(it)
+        size = n if n < decontaminate.WINDOW else min(decontaminate.WINDOW, max(decontaminate.LEAST, (n - 1) // 2))
+        windows = {a: tuple(it[a : a + size]) for a in range(n - size + 1)}
+        assert all(2 * sum(not w.startswith("<") for w in t) >= size for t in windows.values())
+        places = defaultdict(list)
+        for a, t in windows.items():
+            places[t].append(a)
+        cover = lambda at: len({p for a in at for p in range(a, a + size)})  # noqa: B023, E731
+        for doc, (dw, dt) in theirs.items():
+            runs = defaultdict(lambda: [set(), set(), 10**9])
+            for a in range(len(dt) - size + 1):
+                for b in places.get(tuple(dt[a : a + size]), ()):
+                    r = runs[a - b]
+                    r[0].add(b)
+                    r[1] |= {(t, x.lower(), y.lower()) for t, x, y in zip(dt[a : a + size], iw[b : b + size], dw[a : a + size], strict=True) if t.startswith("<")}
+                    r[2] = min(r[2], a + 1 + sum(x.count(chr(3)) for x in dw[:a]))
+            runs = {o: r for o, r in runs.items() if one_to_one(r[1])}
+            best = []
+            for o, (at, slots, first) in runs.items():
+                near = sorted(((-len(r[0]), q, r) for q, r in runs.items() if first * 1000 // n <= r[2] * 1000 // n <= first * 1000 // n + 1000 * decontaminate.REACH), key=lambda x: x[:2])
+                chained, said = set(at), set(slots)
+                for _, _, r in near:
+                    if one_to_one(said | r[1]):
+                        chained, said = chained | r[0], said | r[1]
+                for a, s in ((at, slots), (chained, said)):
+                    if len(a) >= len(windows) * decontaminate.SHARE or cover(a) >= cover(windows) * decontaminate.WORD_SHARE:
+                        best.append(len(a))
+            if best:
+                want[doc, item] = max(best)
+    assert {k: v[0] for k, v in got.items()} == want and len(want) >= 25
