@@ -129,3 +129,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def quality_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents the classifier never learns from."""
+    return table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"))

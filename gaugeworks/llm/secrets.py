@@ -189,3 +189,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("text_spans")
+
+
+def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the secret scan that needs no model: counts and digest of the fixed patterns' spans."""
+    base = base_spans(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = table(spark, sf_dir, "documents").select("doc_id", base.alias("base"))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(n(kind) for kind, *_ in BASE), F.sha2(spelt(F.col("base")).cast("binary"), 256).alias("base_sha256"))

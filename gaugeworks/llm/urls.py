@@ -197,3 +197,11 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> D
 
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the URL filter that needs no model: host, path, rule and the rule's verdict, or null."""
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    name, verdict = rule_of(F.col("host"), F.col("path"))
+    return rows.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"))
