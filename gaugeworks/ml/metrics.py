@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.sources.store import numbered
+
 
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Mann-Whitney AUC with tied scores sharing ranks.
 
-    Equal scores are counted before the window, so it runs over distinct scores in bins by score
-    range rather than over all rows of one partition."""
+    Equal scores are counted first; the ranks before each distinct score are summed range by range."""
     counts = df.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label)).cast("double").alias("p"))
-    before = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2.0)
+    ranked = numbered(counts, ["s"], "n").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
     out = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("pos"), F.sum("n").cast("double").alias("all"))
     return out.select(F.try_divide(F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * (F.col("all") - F.col("pos"))).alias("auc"))
 
@@ -71,7 +71,7 @@ def candidate_recall(candidates: DataFrame, truth: DataFrame, episode: str = "ep
 def time_split(df: DataFrame, train: float = 0.65, calib: float = 0.15, episode: str = "episode_id", at: str = "window_start") -> DataFrame:
     """df with `part`: whole episodes in order of time, the first `train` share to train, then calib, then test."""
     eps = df.groupBy(episode).agg(F.min(at).alias("_at"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    order = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_at", episode))
-    part = F.when(order <= F.floor(n * train), "train").when(order <= F.floor(n * (train + calib)), "calib").otherwise("test")
+    eps = numbered(eps, ["_at", episode])
+    n, order = eps.count(), F.col("before") + 1
+    part = F.when(order <= F.lit(int(n * train)), "train").when(order <= F.lit(int(n * (train + calib))), "calib").otherwise("test")
     return df.join(eps.select(episode, part.alias("part")), episode)

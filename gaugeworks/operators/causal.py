@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.scalars import normal_two_sided_p, student_two_sided_p
 from gaugeworks.operators.series import rolling_mean
 from gaugeworks.operators.split import baseline, scale_of, two_windows
+from gaugeworks.sources.store import numbered, stored
 
 #: Rows that each of the four series must have.
 MIN_ROWS = 5
@@ -74,13 +75,15 @@ def monotone(buckets: DataFrame) -> DataFrame:
     return buckets.withColumn("step", step).agg(F.coalesce(F.bool_and(F.col("step") <= 0), F.lit(False)).alias("monotone"), F.count(F.lit(1)).alias("buckets"))
 
 
-def average_rank(column: str) -> Column:
-    """Ranks with ties sharing their mean."""
-    return F.rank().over(Window.partitionBy(F.lit(1)).orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(column)) - 1) / 2.0
+def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """column, name: the rank of each distinct value, ties sharing their mean."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return numbered(counts, [column], "n").select(column, (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    ranked = df.select(average_rank(x).alias("rx"), average_rank(y).alias("ry"))
+    pairs = stored(df.select(F.col(x).alias("x"), F.col(y).alias("y")), "pairs")
+    ranked = pairs.join(average_ranks(pairs, "x", "rx"), "x").join(average_ranks(pairs, "y", "ry"), "y")
     return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 

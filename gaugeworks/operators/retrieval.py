@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import tokens
+from gaugeworks.sources.store import stored
 
 #: Term saturation and length weight.
 K1, B = 1.5, 0.75
@@ -23,10 +24,12 @@ def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "te
     Documents without tokens are in the corpus too. Only rows of query terms leave a document, so
     what is shuffled does not grow with the texts; the statistics of terms are as many as the query's.
     """
-    words = docs.select(key, tokens(F.col(text)).alias("w"))
     terms = sorted(set(query))
     weight = {t: query.count(t) for t in terms}
-    per = words.select(key, F.size("w").alias("dl"), *[F.size(F.filter("w", _is(t))).alias(f"tf_{i}") for i, t in enumerate(terms)])
+    # a row of numbers a document is all that is kept of the texts: they are read once, their words gone over once
+    words = docs.select(key, tokens(F.col(text)).alias("w"))
+    found = words.select(key, F.size("w").alias("dl"), F.filter("w", lambda w: w.isin(terms)).alias("hits"))
+    per = stored(found.select(key, "dl", *[F.size(F.filter("hits", _is(t))).alias(f"tf_{i}") for i, t in enumerate(terms)]), "term-counts")
     stats = per.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i, t in enumerate(terms):

@@ -3,39 +3,50 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.contract import Contract, Metric
 from gaugeworks.operators.sift import detect_many
+from gaugeworks.sources.store import stored
 
 #: Dimensions swept, and the sizes of the worklist and of the data-quality list.
 SWEEP_DIMENSIONS = ("region", "segment", "channel", "category")
 WORKLIST, DQ_LIST = 12, 6
 
 
-def sweep_series(fact: DataFrame, metric: Metric, dimensions: tuple[str, ...]) -> DataFrame:
-    """slice, d, v of every value of every dimension: one scan, one pre-aggregation to the cube of
-    dimensions, then sums by slice."""
-    n, d = metric.parts()
-    base = fact.groupBy(*dimensions, F.col("order_date").alias("d")).agg(n.alias("n"), (d if metric.denominator else F.lit(1.0)).alias("m"))
+def sweep_series(fact: DataFrame, metrics: list[Metric], dimensions: tuple[str, ...]) -> DataFrame:
+    """metric, slice, d, v of every value of every dimension for all metrics: one scan, one
+    pre-aggregation to the cube of dimensions, then sums by slice."""
+    parts = [x for i, m in enumerate(metrics) for x in (m.parts()[0].alias(f"n{i}"), (m.parts()[1] if m.denominator else F.lit(1.0)).alias(f"m{i}"))]
+    base = fact.groupBy(*dimensions, F.col("order_date").alias("d")).agg(*parts)
+    names = [f"{k}{i}" for i in range(len(metrics)) for k in "nm"]
     pairs = F.explode(F.array(*[F.concat(F.lit(f"{x}="), F.col(x).cast("string")) for x in dimensions]))
-    s = base.select("d", "n", "m", pairs.alias("slice")).groupBy("slice", "d").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    return s.select("slice", "d", (F.col("n") if metric.kind == "additive" else F.try_divide("n", "m")).alias("v"))
+    s = base.select("d", *names, pairs.alias("slice")).groupBy("slice", "d").agg(*[F.sum(c).alias(c) for c in names])
+    value = lambda i, m: F.col(f"n{i}") if m.kind == "additive" else F.try_divide(f"n{i}", f"m{i}")
+    values = F.explode(F.array(*[F.struct(F.lit(m.name).alias("metric"), value(i, m).cast("double").alias("v")) for i, m in enumerate(metrics)]))
+    return s.select("slice", "d", values.alias("x")).select("x.metric", "slice", "d", "x.v")
 
 
 def sweep(fact: DataFrame, contract: Contract, metrics: list[str], ws: date, we: date, dimensions: tuple[str, ...] = SWEEP_DIMENSIONS) -> DataFrame:
-    """Verdicts of all slices of all metrics; metrics are only cut by dimensions of their grain."""
-    out = None
+    """Verdicts of all slices of all metrics; metrics are only cut by dimensions of their grain.
+
+    The fact is read once for all metrics of equal grain; their daily series by slice, which no longer
+    grow with the fact, are stored, and everything after reads these."""
+    by_grain: dict[tuple[str, ...], list[Metric]] = {}
     for name in metrics:
-        metric = contract.metric(name)
         dims = tuple(d for d in dimensions if contract.sliceable(name, d))
-        if metric.kind == "derived" or not dims:
-            continue
-        part = detect_many(sweep_series(fact, metric, dims), ws, we, metric, ("slice",)).withColumn("metric", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+        if contract.metric(name).kind != "derived" and dims:
+            by_grain.setdefault(dims, []).append(contract.metric(name))
+    found = []
+    for dims, own in by_grain.items():
+        every = stored(sweep_series(fact.where(F.col("order_date") <= F.lit(we)), own, dims), "sweep-series")
+        for metric in own:
+            mine = every.where(F.col("metric") == metric.name).drop("metric")
+            found.append(detect_many(mine, ws, we, metric, ("slice",)).withColumn("metric", F.lit(metric.name)))
+    return reduce(DataFrame.unionByName, found) if found else None
 
 
 def worklist(swept: DataFrame, n: int = WORKLIST) -> DataFrame:
@@ -57,9 +68,16 @@ def windows_spine(spark, first: date, last: date, days: int = 14, step: int = 7)
 
 def backtest(series: DataFrame, metric: Metric, first: date, last: date, days: int = 14, step: int = 7) -> DataFrame:
     """Verdict of every rolling window from the data before it, all in one plan: each window sees the
-    series to its own end as one slice (windows by days rows: bounded by the period's length)."""
-    spine = windows_spine(series.sparkSession, first, last, days, step)
-    sliced = series.join(spine, F.col("d") <= F.col("we")).withColumn("slice", F.col("ws"))
+    series to its own end as one slice (windows by days rows: bounded by the period's length). The
+    daily series is stored, then every day is sent to the windows that end on it or later."""
+    n = max(0, ((last - timedelta(days=days - 1)) - first).days // step + 1)
+    if not n:
+        return _detect_by_window(series.limit(0).withColumn("ws", F.lit(first)).withColumn("we", F.lit(last)).withColumn("slice", F.col("ws")), metric)
+    ends = F.lit(first + timedelta(days=days - 1))
+    least = F.greatest(F.lit(0), F.ceil(F.datediff("d", ends) / step).cast("int"))
+    daily = stored(series, "backtest-series").where(least < n)
+    sent = daily.withColumn("_k", F.explode(F.sequence(least, F.lit(n - 1)))).withColumn("ws", F.expr(f"date_add(date'{first}', _k * {step})")).drop("_k")
+    sliced = sent.withColumn("we", F.date_add("ws", days - 1)).withColumn("slice", F.col("ws"))
     return _detect_by_window(sliced, metric)
 
 

@@ -57,7 +57,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estate.fact(spark, sf_dir)
+    return estate.stored_fact(spark, sf_dir)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,10 +70,11 @@ def _r(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def _daily(spark, sf_dir) -> DataFrame:
-    return series.measure_series(_fact(spark, sf_dir), "net_revenue")
+    """Daily totals, to four decimals: so the order of summation does not show in what follows."""
+    return _r(series.measure_series(_fact(spark, sf_dir), "net_revenue"))
 
 
-_DAILY_SQL = " s AS (SELECT order_date d, SUM(net_revenue) v FROM fact GROUP BY 1)"
+_DAILY_SQL = " s AS (SELECT order_date d, ROUND(SUM(net_revenue), 4) v FROM fact GROUP BY 1)"
 
 # ---------------------------------------------------------------- series, levels, definitions
 
@@ -83,10 +84,9 @@ def kpi_daily_additive(spark, sf_dir):
     return _r(series.daily_series(_fact(spark, sf_dir), NET))
 
 
-@query("SELECT order_date AS d, ROUND(SUM(net_revenue) / NULLIF(SUM(units), 0) + 1.3e-8, 6) AS v FROM fact GROUP BY 1")
+@query("SELECT order_date AS d, ROUND(SUM(net_revenue) / NULLIF(SUM(units), 0), 7) AS v FROM fact GROUP BY 1")
 def kpi_daily_ratio(spark, sf_dir):
-    # ratios of short decimals often lie half-way between two roundings: move them off it on both sides
-    return _r(series.daily_series(_fact(spark, sf_dir), ASP).withColumn("v", F.col("v") + 1.3e-8), 6)
+    return _r(series.daily_series(_fact(spark, sf_dir), ASP), 7)
 
 
 @query("SELECT dispatch_date AS d, ROUND(AVG(CASE WHEN on_time THEN 1.0 ELSE 0.0 END), 6) AS v FROM disp GROUP BY 1")
@@ -309,15 +309,15 @@ def weekday_index(spark, sf_dir):
     return _r(series.weekday_index(_daily(spark, sf_dir)).select("wd", "idx"), 6)
 
 
-@query(_BAND + " SELECT d, ROUND(v, 4) AS v, ROUND(c + 1.3e-6, 4) AS centred FROM c")
+@query(_BAND + " SELECT d, ROUND(v, 4) AS v, ROUND(c, 6) AS centred FROM c")
 def rolling_median_centered(spark, sf_dir):
-    return _r(_daily(spark, sf_dir).withColumn("centred", series.rolling_median("v", (), -3, 3, 4) + 1.3e-6))
+    return _daily(spark, sf_dir).withColumn("centred", F.round(series.rolling_median("v", (), -3, 3, 4), 6))
 
 
-@query(_BAND + " SELECT d, ROUND(v, 4) AS v, CAST(wd AS INTEGER) AS wd, ROUND(idx, 6) AS idx, ROUND(e + 1.3e-6, 4) AS e, ROUND(v - e + 1.3e-6, 4) AS resid FROM b")
+@query(_BAND + " SELECT d, ROUND(v, 4) AS v, CAST(wd AS INTEGER) AS wd, ROUND(idx, 6) AS idx, ROUND(e, 6) AS e, ROUND(v - e, 6) AS resid FROM b")
 def expected_band(spark, sf_dir):
     df = series.expected_band(_daily(spark, sf_dir)).select("d", "v", "wd", "idx", "e", "resid")
-    return df.select("d", F.round("v", 4).alias("v"), "wd", F.round("idx", 6).alias("idx"), F.round(F.col("e") + 1.3e-6, 4).alias("e"), F.round(F.col("resid") + 1.3e-6, 4).alias("resid"))
+    return df.select("d", F.round("v", 4).alias("v"), "wd", F.round("idx", 6).alias("idx"), F.round("e", 6).alias("e"), F.round("resid", 6).alias("resid"))
 
 
 _MOVE = _BAND.replace("FROM fact GROUP BY 1)", "FROM fact, p WHERE order_date <= we GROUP BY 1)") + """,
