@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.shared import literal_array, materialise, table
+from gaugeworks.llm.shared import drop_scratch, literal_array, materialise, table, unpacked, whole_row
 
 #: Most words of a template window. Items of 2 * WINDOW words or fewer have windows of under half their
-#: length, so one edited word leaves a whole window on a side; of under WINDOW words, down to LEAST, one window.
-WINDOW, LEAST = 8, 4
+#: length, so one edited word leaves a whole window on a side; of under WINDOW words one window.
+WINDOW = 8
+#: Items of under LEAST words, down to two, and windows of which under half are plain words, match word
+#: for word only: as templates they would match nearly anything. Items of one word: see unindexed.
+LEAST, SHORTEST = 4, 2
 #: A document holds an item if its windows cover this share of the item's windows ...
 SHARE = 0.5
 #: ... or this share of the words in them: an edit costs up to WINDOW windows but one word.
@@ -25,6 +28,11 @@ UNITS = (
     "days day weeks week months month years year dollars dollar cents cent usd eur euros euro pounds pound percent pct "
     "kmh mph degrees degree celsius kb mb gb tb"
 ).split()
+#: Number words, which stand for numbers as digits do.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
 _START, _UNIT, _JOIN = "\u0001", "\u0002", "\u0003"
 #: A capitalised word or number with another one behind it: both are one value.
 _RUN = r"((?<![\p{L}\p{N}\x01.,])(?:\p{Lu}\p{Ll}[\p{L}\p{N}'-]*+(?=[\x09-\x0D\x20]+\p{Lu}\p{Ll})|[0-9]++(?:[.,][0-9]++)*+(?=[\x09-\x0D\x20]+[0-9])))[\x09-\x0D\x20]+"
@@ -43,12 +51,14 @@ def typed_words(text: Column) -> Column:
     return F.filter(F.split(bare, r"[\x09-\x0D\x20]+"), lambda w: (w != "") & (w != _START))
 
 
-def placeholder(word: Column) -> Column:
-    """A typed word as it stands in a template: <num>, <unit>, <name> or the word in lower case."""
+def placeholder(word: Column, small: Column, before: Column) -> Column:
+    """A typed word (small: in lower case, without its mark of a sentence; before: the word ahead of
+    it, likewise) as it stands in a template: <num> (digits or a number word), <unit>, <name> or small."""
+    name = (word != small) & ~F.startswith(word, F.lit(_START)) & word.rlike(r"^\p{Lu}\p{Ll}")
+    # of what a word may begin with, only digits and the mark of a unit lie before a colon
     return (
-        F.when(word.rlike("^\u0001?[0-9]"), "<num>").when(F.startswith(word, F.lit(_UNIT)), "<unit>")
-        .when(F.startswith(word, F.lit(_START)), F.lower(F.substring(word, 2, 1 << 20)))
-        .when(word.rlike(r"^\p{Lu}\p{Ll}"), "<name>").otherwise(F.lower(word))
+        F.when(small < ":", F.when(F.startswith(small, F.lit(_UNIT)), "<unit>").otherwise("<num>")).when(small.isin(NUMBER_WORDS), "<num>")
+        .when(small.isin(UNITS) & before.isin(NUMBER_WORDS), "<unit>").when(name, "<name>").otherwise(small)
     )
 
 
@@ -57,29 +67,51 @@ def _parts(word: Column) -> Column:
     return F.length(word) - F.length(F.translate(word, _JOIN, ""))
 
 
-def _windows(source: DataFrame, keys: list[str], sizes: list) -> DataFrame:
-    """keys, size, at, first_word (at in words of the text), h, words and template of every window of
-    source (keys, words, template), for each (size, keep) of sizes.
+def _windows(source: DataFrame, keys: list[str], sizes: list, pick=None, keep=None) -> DataFrame:  # noqa: ANN001
+    """keys, size, exact, at, first_word (at in words of the text), h, words and template of windows of
+    source (keys, words, template) of the given sizes. Every window has two hashes: of its template and,
+    exact, of its words in lower case.
+
+    pick: from the template the places at which windows have to hold a word, or None for all; keep: a
+    condition on size and hash. Both are applied inside the row, before rows are made."""
+    n = F.size("template")
+
+    def starts(size: Column) -> Column:
+        last = n - size + 1
+        if pick is None:
+            return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        around = F.transform("at", lambda p: F.when(F.greatest(F.lit(1), p - size + 1) <= F.least(p, last), F.sequence(F.greatest(F.lit(1), p - size + 1), F.least(p, last))))
+        return F.array_distinct(F.flatten(F.array_compact(around)))
 
-    keep: a condition on the hash that is applied inside the row, before rows are made, or None."""
-    def hashes(size, keep) -> Column:  # noqa: ANN001
+    def hashes(size, exact: bool) -> Column:  # noqa: ANN001
         size = F.lit(size) if isinstance(size, int) else size
-        starts = F.when(F.size("template") >= size, F.sequence(F.lit(1), F.size("template") - size + 1)).otherwise(F.array().cast("array<int>"))
-        hashed = F.transform(starts, lambda i: F.struct(size.alias("size"), i.alias("at"), F.xxhash64(F.slice("template", i, size)).alias("h")))
+        said = lambda i: F.transform(F.slice("words", i, size), F.lower) if exact else F.slice("template", i, size)
+        hashed = F.transform(starts(size), lambda i: F.struct(size.alias("size"), F.lit(exact).alias("exact"), i.alias("at"), F.xxhash64(F.lit(exact), said(i)).alias("h")))
         return hashed if keep is None else F.filter(hashed, lambda w: keep(w["h"]))
 
-    found = [hashes(size, keep) for size, keep in sizes]
-    cut = source.select(*keys, "words", "template", F.concat(*found).alias("found") if len(found) > 1 else found[0].alias("found"))
+    if pick is not None:
+        source = source.select(*keys, "words", "template", pick(F.col("template")).alias("at"))
+        some = F.size("at") > 0
+    else:
+        some = F.lit(True)
+    found = [hashes(size, exact) for size, exact in sizes]
+    found = F.when(some, F.concat(*found) if len(found) > 1 else found[0])
+    cut = source.select(*keys, "words", "template", found.alias("found"))
     joins = F.array_compact(F.transform("words", lambda w, i: F.when(F.contains(w, F.lit(_JOIN)), i + 1)))
     cut = cut.select(*keys, "words", "template", "found", F.when(F.size("found") > 0, joins).alias("joins"))
     before = lambda at: F.aggregate(F.filter("joins", lambda k: k < at), F.lit(0), lambda n, k: n + _parts(F.get("words", k - 1)))
     full = F.transform("found", lambda w: F.struct(
-        w["size"].alias("size"), w["at"].alias("at"), (w["at"] + before(w["at"])).alias("first_word"), w["h"].alias("h"),
+        w["size"].alias("size"), w["exact"].alias("exact"), w["at"].alias("at"), (w["at"] + before(w["at"])).alias("first_word"), w["h"].alias("h"),
         F.slice("words", w["at"], w["size"]).alias("words"), F.slice("template", w["at"], w["size"]).alias("template")))
     # the outer form: a filter on the array's size would move below and be worked out anew for every window
     return cut.select(*keys, full.alias("found")).select(*keys, F.explode_outer("found").alias("w")).where("w IS NOT NULL").select(*keys, "w.*")
 
 
+def _pair_hash(template: Column, i: Column) -> Column:
+    """Of the words at place i (from 1) and the next."""
+    return F.xxhash64(F.get(template, i - 1), F.get(template, i))
+
+
 def _covered(starts: Column, size: Column) -> Column:
     """How many words the windows at some starts cover."""
     return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda a: F.sequence(a, a + size - 1)))))
@@ -87,25 +119,40 @@ def _covered(starts: Column, size: Column) -> Column:
 
 def _templates(rows: DataFrame, keys: list[str]) -> DataFrame:
     typed = rows.select(*keys, typed_words(F.col("text")).alias("words"))
-    return typed.withColumn("template", F.transform("words", placeholder))
+    typed = typed.select(*keys, "words", F.transform("words", lambda w: F.lower(F.translate(w, _START, ""))).alias("small"))
+    # the word before the first is null, which is no number word
+    template = F.transform("small", lambda s, i: placeholder(F.get("words", i), s, F.get("small", i - 1)))
+    return typed.select(*keys, "words", template.alias("template"))
+
+
+def _n_words() -> Column:
+    return F.size("template") + F.aggregate("words", F.lit(0), lambda n, w: n + _parts(w))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (windows of the item), n_words (words in them), length, size, at, h, words, template.
-    Windows of which under half are plain words say nothing and are left out; so are items of under
-    LEAST words."""
+    """item_id, n (windows of the item), n_words (words in them), length, size, exact (matches word for
+    word only), at, h, words, template, and anchor: of the pairs of neighbouring words in the window
+    the hash of the longest, which is rare as a rule. Items of one word have no windows."""
     items = _templates(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").dropDuplicates(), ["item_id"])
     length = F.size("template")
-    items = items.where(length + F.aggregate("words", F.lit(0), lambda n, w: n + _parts(w)) >= LEAST)
+    items = items.where(length >= SHORTEST).withColumn("short", _n_words() < LEAST)
     half = F.least(F.lit(WINDOW), F.greatest(F.lit(LEAST), F.floor((length - 1) / 2).cast("int")))
     items = items.withColumn("length", length).withColumn("_size", F.when(length < WINDOW, length).otherwise(half))
-    parts = _windows(items, ["item_id", "length", "_size"], [(F.col("_size"), None)]).drop("_size", "first_word")
+    parts = _windows(items, ["item_id", "length", "_size", "short"], [(F.col("_size"), False), (F.col("_size"), True)]).drop("_size", "first_word")
     plain = F.size(F.filter("template", lambda w: ~F.startswith(w, F.lit("<"))))
-    parts = parts.where(plain * 2 >= F.col("size"))
+    parts = parts.where(F.col("exact") == (F.col("short") | (plain * 2 < F.col("size")))).drop("short")
+    pairs = F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda i: F.struct((F.length(F.get("template", i - 1)) + F.length(F.get("template", i))).alias("n"), _pair_hash(F.col("template"), i).alias("h")))
+    parts = parts.withColumn("anchor", F.array_max(pairs)["h"])
     whole = parts.groupBy("item_id", "length", "size").agg(F.count(F.lit(1)).alias("n"), F.collect_list("at").alias("ats"))
     return parts.join(whole.select("item_id", "length", "n", _covered(F.col("ats"), F.col("size")).cast("long").alias("n_words")), ["item_id", "length"])
 
 
+def unindexed(benchmark: DataFrame) -> DataFrame:
+    """item_id of the items that find leaves aside: those of under SHORTEST words, or without text."""
+    items = _templates(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), ["item_id"])
+    return items.where(F.size("template") < SHORTEST).select("item_id").distinct()
+
+
 def _bit_map(hashes: DataFrame):
     """A test of a hash against a literal bit map: never false for a hash of the benchmark.
 
@@ -158,19 +205,26 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     inserted, dropped or replaced words, cover SHARE of the item's windows or WORD_SHARE of the words
     in them, and the values in the placeholders agree one to one: each value of the item stands for
     one value of the document and the other way round. kind: verbatim (equal values) or variant.
-    Result: doc_id, item_id, kind, n_windows, share (of windows), first_word. Null and empty texts and
-    items of under LEAST words match nothing; rows that share a doc_id or item_id are judged as one;
+    Result: doc_id, item_id, kind, n_windows, share (of windows), first_word. Items of two or three words,
+    and windows that hold hardly a plain word, match word for word only; items of one word are not looked
+    for (unindexed names them). Documents are tested for the benchmark's anchors, pairs of neighbouring
+    words, and only windows around one are hashed. Null and empty texts match nothing; rows that share a doc_id or item_id are judged as one;
     rows without doc_id keep a null one; extra columns are ignored; empty tables give no rows. Very
     long texts are read whole.
     """
-    bench, _ = materialise(benchmark_windows(benchmark), "benchmark-windows")
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
+    spark = docs.sparkSession
+    bench, path = materialise(benchmark_windows(benchmark), "benchmark-windows")
+    sizes = sorted((r["size"], r["exact"]) for r in bench.select("size", "exact").distinct().collect())  # WINDOW * 2 at most
     if not sizes:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, kind string, n_windows long, share double, first_word int")
+        drop_scratch(spark, path)
+        return spark.createDataFrame([], "doc_id long, item_id long, kind string, n_windows long, share double, first_word int")
     rows = _templates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
-    theirs = _windows(rows, ["doc_id"], [(size, _bit_map(bench.where(F.col("size") == size).select("h"))) for size in sizes])
-    own = bench.select("item_id", "length", "n", "n_words", "size", "h", F.col("at").alias("item_at"), F.col("words").alias("item_words"), F.col("template").alias("item_template"))
-    hits = theirs.join(own, ["size", "h"]).where(F.col("template") == F.col("item_template"))
+    known, anchored = _bit_map(bench.select("h")), _bit_map(bench.select(F.col("anchor").alias("h")))
+    pick = lambda t: F.filter(F.transform(t, lambda _, i: F.when(anchored(_pair_hash(t, i + 1)), i + 1)), lambda i: i.isNotNull())
+    theirs = _windows(rows, ["doc_id"], sizes, pick, known)
+    own = bench.select("item_id", "length", "n", "n_words", "size", "exact", "h", F.col("at").alias("item_at"), F.col("words").alias("item_words"), F.col("template").alias("item_template"))
+    lowered = lambda c: F.transform(c, F.lower)
+    hits = theirs.join(own, ["size", "exact", "h"]).where((F.col("template") == F.col("item_template")) & (~F.col("exact") | (lowered("words") == lowered("item_words"))))
     slots = F.filter(
         F.transform(F.arrays_zip("template", "words", "item_words"), lambda x: F.struct(x["template"].alias("t"), F.lower(x["item_words"]).alias("item"), F.lower(x["words"]).alias("doc"))),
         lambda x: F.startswith(x["t"], F.lit("<")),
@@ -180,6 +234,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.collect_set("item_at").alias("item_ats"), F.min("first_word").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     runs, _ = materialise(grouped.where(_one_to_one(F.col("slots"))), "item-runs")
+    drop_scratch(spark, path)
     same = F.forall("slots", lambda s: s["item"] == s["doc"])
     n_windows = F.size("item_ats").cast("long")
     enough = (n_windows >= F.col("n") * SHARE) | (_covered(F.col("item_ats"), F.col("size")) >= F.col("n_words") * WORD_SHARE)
@@ -192,7 +247,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item; rows without doc_id are one document."""
     found, _ = materialise(find(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_anti")
+    found = found.select(F.col("doc_id").alias("key"))
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(found, F.col("id").eqNullSafe(F.col("key")), "left_anti").select(*unpacked(docs))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
