@@ -17,19 +17,22 @@ from gaugeworks.ml.calibration import Isotonic
 from gaugeworks.ml.gbdt import BoostedTrees, FlatTrees, sigmoid
 
 #: Names that are known only after a decision and may never be features.
-FORBIDDEN = frozenset("validated_driver label y outcome_delta outcome_horizon realised_recovery_pct analyst_grade true_driver episode_truth ladder verdict verdict_status expected_rank".split())
+FORBIDDEN = frozenset((
+    "validated_driver", "label", "y", "outcome_delta", "outcome_horizon", "realised_recovery_pct", "analyst_grade",
+    "true_driver", "episode_truth", "ladder", "verdict", "verdict_status", "expected_rank",
+))
 DRIVER_TYPES = ("service_failure", "external_market", "price_change", "mix_shift", "instrumentation")
 #: The features in their order.
-FEATURES = tuple(
-    (
-        "share_abs share_signed share_shift_abs dim_surprise exposure_depth is_arithmetic_identity "
-        "graph_path_len mechanism_lag_days driver_type_service_failure driver_type_external_market driver_type_price_change driver_type_mix_shift "
-        "driver_type_instrumentation precedence_present precedence_consistent lag_alignment gap_days_norm dose_present "
-        "dose_rho dose_p_neglog10 dose_monotone dose_buckets corrob_on_theme_log corrob_independent_types "
-        "corrob_distinct_accounts_log corrob_conflict_ratio corrob_evidence_withheld did_present did_effect_abs did_tstat_abs "
-        "did_p_neglog10 did_placebo_abs did_parallel_trends_ok did_n_days_post_log movement_z_abs movement_pct_abs "
-        "movement_history_days_log movement_sparse movement_dq_flags feed_stale n_candidates_log analyst_prior_weight "
-    ).split()
+FEATURES = (
+    "share_abs", "share_signed", "share_shift_abs", "dim_surprise", "exposure_depth", "is_arithmetic_identity",
+    "graph_path_len", "mechanism_lag_days", "driver_type_service_failure", "driver_type_external_market",
+    "driver_type_price_change", "driver_type_mix_shift", "driver_type_instrumentation", "precedence_present",
+    "precedence_consistent", "lag_alignment", "gap_days_norm", "dose_present", "dose_rho", "dose_p_neglog10",
+    "dose_monotone", "dose_buckets", "corrob_on_theme_log", "corrob_independent_types",
+    "corrob_distinct_accounts_log", "corrob_conflict_ratio", "corrob_evidence_withheld", "did_present",
+    "did_effect_abs", "did_tstat_abs", "did_p_neglog10", "did_placebo_abs", "did_parallel_trends_ok",
+    "did_n_days_post_log", "movement_z_abs", "movement_pct_abs", "movement_history_days_log", "movement_sparse",
+    "movement_dq_flags", "feed_stale", "n_candidates_log", "analyst_prior_weight",
 )
 #: The most weight the model may have, and the share of odd features that makes a candidate out of distribution.
 MAX_ALPHA, OOD_SHARE = 0.5, 0.25
@@ -87,6 +90,24 @@ def assert_no_leakage(names: list[str]) -> None:
         raise ValueError(f"features that are known only afterwards: {', '.join(bad)}")
 
 
+def candidate_frame(spark, items: list[dict], movement: dict, episode: str = "run") -> DataFrame:  # noqa: ANN001
+    """The hypotheses of one investigation (a few) as candidate rows with their heuristic score."""
+    rows = []
+    for x in items:
+        h, tests = x["hyp"], x["grade"]["tests"]
+        did, dose, pre, cor = (tests.get(k) or {} for k in ("counterfactual", "dose_response", "precedence", "corroboration"))
+        row = {
+            "episode_id": episode, "candidate_id": h["id"], "driver_type": h["driver_type"], "explanatory_power": h.get("explanatory_power"), "exposure_depth": float(len(h["exposure"])), "arithmetic_only": bool(h.get("arithmetic_only")),
+            "path_len": float(len(x["grade"]["path"])), "mechanism_lag_days": x["grade"]["lag"], "precedence_consistent": pre.get("consistent"), "gap_days": pre.get("gap_days"), "dose_rho": dose.get("rho"), "dose_p": dose.get("p_value"),
+            "on_theme": cor.get("on_theme"), "independent_types": cor.get("pairs"), "distinct_accounts": cor.get("accounts"), "conflict_ratio": cor.get("conflict_ratio"), "evidence_withheld": float(sum((cor.get("withheld") or {}).values())),
+            "did": did.get("did"), "did_t": did.get("t_stat"), "did_p": did.get("p_value"), "did_placebo": did.get("placebo"), "did_n_post": did.get("n1"), "did_parallel": did.get("parallel"), "z": movement.get("z"), "pct_change": movement.get("pct_change"),
+            "history_days": movement.get("history_days"), "sparse": movement.get("sparse"), "n_candidates": float(len(items)),
+        }
+        kinds = {f.name: f.dataType for f in CANDIDATE.fields}
+        rows.append(tuple(None if row.get(n) is None else float(row[n]) if isinstance(t, T.DoubleType) else row[n] for n, t in kinds.items()) + (float(x["score"]),))
+    return spark.createDataFrame(rows, T.StructType([*CANDIDATE.fields, T.StructField("heuristic", T.DoubleType())]))
+
+
 def featurize(candidates: DataFrame) -> DataFrame:
     """candidates with all features as columns: the one function for training and serving."""
     return candidates.select("*", *[c.alias(f"f_{n}") for n, c in feature_columns().items()])
@@ -236,3 +257,44 @@ def _ndcg(y: np.ndarray, s: np.ndarray, groups: np.ndarray, k: int = 3) -> float
             d = np.log2(np.arange(2, len(ideal) + 2))
             out.append((y[r][np.argsort(-s[r], kind="stable")][:k] / d).sum() / (ideal / d).sum())
     return float(np.mean(out)) if out else 0.0
+
+
+#: Weights of the model that choose_alpha tries.
+ALPHAS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5)
+
+
+def choose_alpha(candidates: DataFrame, k: int = 3) -> tuple[float, dict[float, float]]:
+    """candidates: heuristic, p, in_distribution, label of episodes set aside. The weight of the model of
+    best mean NDCG after fusion (of equals the least), and what each gave."""
+    from gaugeworks.ml.metrics import ndcg
+
+    tried = {a: float(ndcg(fuse(candidates, a), k, score="fused").first()["ndcg"] or 0.0) for a in ALPHAS}
+    return max(ALPHAS, key=lambda a: (tried[a], -a)), tried
+
+
+def scorecard(measures: dict[str, float], kinds: list[dict], recall: list[dict]) -> str:
+    """A model's measures as text: ranking, calibration, by driver type, recall of candidates."""
+    width = max(map(len, measures), default=0)
+    lines = ["Driver ranker", *(f"  {n:<{width}}  {v:.4f}" for n, v in measures.items()), "top-1 by true driver"]
+    lines += [f"  {r['true_type']}: {r['top1']:.3f} of {r['episodes']} episodes" for r in sorted(kinds, key=lambda r: r["true_type"])]
+    lines += ["candidate recall", *(f"  {r['driver_type']}: {r['recall']:.3f}" for r in sorted(recall, key=lambda r: r["driver_type"]))]
+    return "\n".join(lines)
+
+
+class RankerCache:
+    """The ranker of a card file, loaded again only when the file has changed."""
+
+    def __init__(self) -> None:
+        self._held: dict[str, tuple[int, Ranker | None]] = {}
+
+    def get(self, path: str, version: str = "1") -> Ranker | None:
+        import os
+
+        try:
+            at = os.stat(path).st_mtime_ns
+        except FileNotFoundError:
+            return None
+        if self._held.get(path, (None,))[0] != at:
+            with open(path, encoding="utf-8") as f:
+                self._held[path] = (at, Ranker.load(f.read(), version))
+        return self._held[path][1]

@@ -12,6 +12,13 @@ from gaugeworks.sources.store import stored
 
 #: Term saturation and length weight.
 K1, B = 1.5, 0.75
+#: The theme of evidence that speaks for a driver type, and the words it is looked for by.
+THEMES = {
+    "service_failure": ("service_failure", ["late", "delay", "delayed", "delivery", "dispatch", "missed", "waiting"]),
+    "external_market": ("competitor_activity", ["competitor", "promo", "scheme", "offer", "switched"]),
+    "price_change": ("price_objection", ["price", "expensive", "discount", "cheaper", "cost"]),
+    "mix_shift": ("price_objection", ["price", "discount", "premium", "tier"]),
+}
 
 
 def _is(term: str):
@@ -61,3 +68,18 @@ def theme_mix(evidence: DataFrame, column: str = "theme") -> DataFrame:
 def overlapping_events(events: DataFrame, ws, we, lag_days: int = 14) -> DataFrame:
     """Events that touch the window or the lag before it."""
     return events.where((F.col("start_date") <= F.lit(we)) & (F.col("end_date") >= F.date_sub(F.lit(ws), lag_days)))
+
+
+def evidence_for(driver_type: str, evidence: DataFrame, persona, key: str = "doc_id", k: int = 12) -> dict | None:
+    """Corroboration of a driver type by the evidence that the reader may see: the best k by BM25 on the
+    theme's words, and how much of it was withheld, by reason. None where a type has no theme."""
+    from gaugeworks.operators.security import filter_evidence
+
+    if driver_type not in THEMES:
+        return None
+    theme, words = THEMES[driver_type]
+    judged = filter_evidence(evidence, persona)
+    hidden = {r["withheld_reason"]: r["n"] for r in judged.where("withheld_reason IS NOT NULL").groupBy("withheld_reason").agg(F.count(F.lit(1)).alias("n")).collect()}
+    best = top_evidence(bm25(evidence, words, key), judged.where("withheld_reason IS NULL"), key, k)
+    found = corroboration(evidence.join(best.select(key), key, "left_semi"), theme).first().asDict()
+    return found | {"withheld": hidden}

@@ -4,22 +4,32 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.contract import Contract
 from gaugeworks.functions.fiscal import period_bounds
-from gaugeworks.operators import actions, causal, definitions, drift, fitness, forecast, ladder, narrative, propagation, series, sift, split
+from gaugeworks.ml.ranker import Ranker, candidate_frame, featurize, fuse
+from gaugeworks.operators import actions, causal, definitions, drift, fitness, forecast, ladder, narrative, propagation, retrieval, series, sift, split
 from gaugeworks.operators.graph import CausalGraph
 from gaugeworks.operators.security import Persona, personas
 from gaugeworks.sources.estate import Estate
 from gaugeworks.telemetry import Telemetry
 
+#: Market events that an investigation looks at, the earliest first.
+EVENTS = 20
 STAGES = ("SEMANTIC", "FITNESS", "DRIFT", "SIFT", "SPLIT", "SOURCE", "PROPAGATE", "FORECAST", "SOLVE", "NARRATE")
 
 
-def investigate(estate: Estate, contract: Contract, metric: str, persona: str, ws: date | None = None, we: date | None = None, filters: dict | None = None, period: str | None = None, priors: dict[str, float] | None = None) -> dict:
+def investigate(estate: Estate, contract: Contract, metric: str, persona: str, ws: date | None = None, we: date | None = None, filters: dict | None = None, period: str | None = None, priors: dict[str, float] | None = None, evidence: DataFrame | None = None, events: DataFrame | None = None, plan: DataFrame | None = None,
+                model: Ranker | None = None, cache: narrative.NarrativeCache | None = None, outbox: str | None = None, mode: str = "offline", writer=None) -> dict:  # noqa: ANN001
     """The finding as a nested dict. Refusals are results with a status: an undefined metric, a view
-    that the persona may not have (no query is issued), unfit data, too little history."""
+    that the persona may not have (no query is issued), unfit data, too little history.
+
+    evidence: texts (doc_id, text, theme, author_role, type, account_id, domain and the dimensions of
+    row security); events: market events (event_id, start_date, end_date); plan: year, month,
+    plan_value (else derived from the fact, for the metric in INR). model: a driver ranker; it reorders
+    hypotheses and never changes a rung or a verdict's status by itself. cache, outbox, mode, writer: see narrative."""
     tel, reader = Telemetry(), personas(contract.personas)[persona]
     refused = definitions.refusal(contract, metric)
     if refused:
@@ -55,7 +65,13 @@ def investigate(estate: Estate, contract: Contract, metric: str, persona: str, w
         else:
             s = series.daily_series(mine, m) if m.kind != "derived" else series.reorder_rate(mine).select("d", "v")
         s = s.cache()
-        movement = sift.detect_many(s, ws, we, m).first().asDict()
+        planned = plan
+        if planned is None and metric == "net_revenue":
+            planned = sift.derived_plan(mine, ())
+        if planned is not None:
+            spine = estate.spark.createDataFrame([(ws, we)], "ws date, we date")
+            planned = sift.prorated_plan(spine, planned).select(F.lit(1).alias("_all"), "plan")
+        movement = sift.detect_many(s, ws, we, m, plan=planned).first().asDict()
         out["movement"] = movement
         tel.method("SIFT", "STATISTICS", "robust band and materiality gates")
         if movement["verdict"] == "INSUFFICIENT_HISTORY":
@@ -68,9 +84,29 @@ def investigate(estate: Estate, contract: Contract, metric: str, persona: str, w
         tel.method("SPLIT", "DETERMINISTIC", "identity and lattice")
     with tel.stage("SOURCE"):
         graph = CausalGraph(contract.edges, contract.blocked)
+        flags = [r["warehouse_id"] for r in sift.late_row_collapse(ships.where(~F.col("on_time")).withColumnRenamed("dispatch_date", "d"), we, ("warehouse_id",)).where("partial_load").collect()] if m.source == "dispatch" else []
         items = []
-        for h in ladder.hypotheses(metric, cells, identity, [], []):
-            tests = {}
+        touching = [] if events is None else [r.asDict() for r in retrieval.overlapping_events(events, ws, we).orderBy("start_date", "event_id").limit(EVENTS).collect()]
+        began = causal.effect_onset(series.expected_band(series.until(s, we)), ws, we, float(movement["sigma"] or 0.0)).first()
+        began = began["onset"] if began else None
+        told = {}
+        for h in ladder.hypotheses(metric, cells, identity, touching, flags):
+            tests, onset = {}, None
+            if evidence is not None:
+                if h["driver_type"] not in told:
+                    told[h["driver_type"]] = retrieval.evidence_for(h["driver_type"], evidence, reader)
+                    tel.method("SOURCE", "RETRIEVAL", "best evidence by BM25, then entitlements")
+                if told[h["driver_type"]]:
+                    tests["corroboration"] = told[h["driver_type"]]
+            if h["id"].startswith("H-EVENT-"):
+                onset = next(e["start_date"] for e in touching if h["id"] == f"H-EVENT-{e['event_id']}")
+            if "warehouse_id" in h["exposure"]:
+                rate = ships.where(F.col("warehouse_id") == h["exposure"]["warehouse_id"]).where(F.col("dispatch_date") <= F.lit(we)).groupBy(F.col("dispatch_date").alias("d")).agg(F.avg(F.col("on_time").cast("double")).alias("v"))
+                onset = causal.sustained_break(rate.where(F.col("d") >= F.date_sub(F.lit(ws), 60)), ws, shift=0.10, lookback=60).first()["onset"]
+            if onset is not None:
+                gap = (began - onset).days if began else None
+                paths = graph.paths(h["cause"], metric)
+                tests["precedence"] = {"cause_onset": onset, "effect_onset": began, "gap_days": gap, "consistent": bool(paths) and causal.consistent_gap(gap, graph.lag_of(paths[0]))}
             if "warehouse_id" in h["exposure"]:
                 treated = F.col("warehouse_id") == h["exposure"]["warehouse_id"]
                 tests["counterfactual"] = causal.with_p_value(causal.difference_in_differences(mine, treated, ws, we)).first().asDict()
@@ -79,6 +115,8 @@ def investigate(estate: Estate, contract: Contract, metric: str, persona: str, w
                 tests["dose_response"] = {"rho": rho["rho"], "p_value": causal.spearman_p(rho["rho"], rho["n"])}
             g = ladder.grade(h, metric, graph, tests)
             items.append({"hyp": h, "grade": g, "score": ladder.rank_score(h, g, (priors or {}).get(h["id"], 1.0))})
+        if model is not None and items:
+            _rank(estate, items, movement, model, tel)
         verdict = ladder.verdict(items)
         out |= {"hypotheses": ladder.order(items), "status": verdict["status"], "separating_test": ladder.separating_test(verdict)}
         tel.method("SOURCE", "CAUSAL", "graph, dose-response and difference in differences")
@@ -98,12 +136,35 @@ def investigate(estate: Estate, contract: Contract, metric: str, persona: str, w
         tel.method("SOLVE", "RULES", "playbook similarity and decision rights")
     with tel.stage("NARRATE"):
         packet = narrative.evidence_packet(movement, cells, verdict, recs, out["separating_test"], reader, metric)
-        text = narrative.narrate(packet, reader)
-        out |= {"packet": packet, "narrative": text, "guard": narrative.numeric_guard(text, packet)}
-        tel.method("NARRATE", "DETERMINISTIC", "template from the packet")
+        told = narrative.told(packet, reader, mode, writer, cache)
+        out |= {"packet": packet, "narrative": told["text"], "guard": told["guard"], "narrated": {k: told[k] for k in ("mode", "attempts", "cached")}}
+        if outbox:
+            out["queued"] = narrative.queue(outbox, narrative.rendered(told["text"], packet, reader))
+        tel.method("NARRATE", "LLM" if told["mode"] == "model" else "DETERMINISTIC", "text from the packet, checked against it")
+    out["advisories"] = advisories(reader, items)
     s.unpersist()
     return out | {"telemetry": tel.summary()}
 
 
+def _rank(estate: Estate, items: list[dict], movement: dict, model: Ranker, tel: Telemetry) -> None:
+    """Give each item its fused score; with a candidate out of the model's range, or without a usable
+    score, the heuristic orders alone."""
+    rows = candidate_frame(estate.spark, items, movement)
+    scored = model.score(featurize(rows))
+    both = rows.select("episode_id", "candidate_id", "heuristic").join(scored, ["episode_id", "candidate_id"])
+    for r in fuse(both, model.alpha).collect():
+        item = next(x for x in items if x["hyp"]["id"] == r["candidate_id"])
+        item |= {"fused": r["fused"], "p": r["p"], "in_distribution": r["in_distribution"]}
+    tel.method("SOURCE", "ML", "learnt order of drivers, bounded and withdrawn outside its range")
+
+
+def advisories(reader: Persona, items: list[dict]) -> list[dict]:
+    """Where a row entitlement takes away the cohort that a counterfactual needs, say so."""
+    if not reader.row_filter:
+        return []
+    weak = [x for x in items if (did := x["grade"]["tests"].get("counterfactual")) and not (did.get("enough") and did.get("parallel"))]
+    return [{"type": "ENTITLEMENT_WEAKENED_EVIDENCE", "hypothesis": x["hyp"]["id"], "ladder": x["grade"]["ladder"], "entitlement": {k: list(v) for k, v in reader.row_filter.items()}} for x in weak]
+
+
 def persona_of(contract: Contract, name: str) -> Persona:
     return personas(contract.personas)[name]

@@ -33,6 +33,16 @@ class Telemetry:
         return {"by_method": dict(n), "steps": total, "non_llm_pct": 100.0 * (total - n["LLM"]) / total if total else 100.0, "seconds": self.seconds}
 
 
+def timed(run, reps: int = 3) -> tuple[float, object]:  # noqa: ANN001
+    """Median seconds of some runs of a function, and its last result."""
+    took, result = [], None
+    for _ in range(reps):
+        began = time.perf_counter()
+        result = run()
+        took.append(time.perf_counter() - began)
+    return sorted(took)[len(took) // 2], result
+
+
 def cost(tokens_in: int, tokens_out: int, price_in: float, price_out: float) -> float:
     """Prices are per million tokens."""
     return (tokens_in * price_in + tokens_out * price_out) / 1e6
