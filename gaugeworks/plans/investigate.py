@@ -84,6 +84,8 @@ def investigate(estate: Estate, contract: Contract, metric: str, persona: str, w
         tel.method("SPLIT", "DETERMINISTIC", "identity and lattice")
     with tel.stage("SOURCE"):
         graph = CausalGraph(contract.edges, contract.blocked)
+        # a metric that the graph does not know is judged by its effect on net revenue
+        effect = metric if any(metric in (a, b) for a, b, _ in contract.edges) else "net_revenue"
         flags = [r["warehouse_id"] for r in sift.late_row_collapse(ships.where(~F.col("on_time")).withColumnRenamed("dispatch_date", "d"), we, ("warehouse_id",)).where("partial_load").collect()] if m.source == "dispatch" else []
         items = []
         touching = [] if events is None else [r.asDict() for r in retrieval.overlapping_events(events, ws, we).orderBy("start_date", "event_id").limit(EVENTS).collect()]
@@ -105,7 +107,7 @@ def investigate(estate: Estate, contract: Contract, metric: str, persona: str, w
                 onset = causal.sustained_break(rate.where(F.col("d") >= F.date_sub(F.lit(ws), 60)), ws, shift=0.10, lookback=60).first()["onset"]
             if onset is not None:
                 gap = (began - onset).days if began else None
-                paths = graph.paths(h["cause"], metric)
+                paths = graph.paths(h["cause"], effect)
                 tests["precedence"] = {"cause_onset": onset, "effect_onset": began, "gap_days": gap, "consistent": bool(paths) and causal.consistent_gap(gap, graph.lag_of(paths[0]))}
             if "warehouse_id" in h["exposure"]:
                 treated = F.col("warehouse_id") == h["exposure"]["warehouse_id"]
@@ -113,7 +115,7 @@ def investigate(estate: Estate, contract: Contract, metric: str, persona: str, w
                 e = causal.exposure_table(mine, ships, ws, we).cache()
                 rho = causal.spearman(e, "late", "change").first()
                 tests["dose_response"] = {"rho": rho["rho"], "p_value": causal.spearman_p(rho["rho"], rho["n"])}
-            g = ladder.grade(h, metric, graph, tests)
+            g = ladder.grade(h, effect, graph, tests)
             items.append({"hyp": h, "grade": g, "score": ladder.rank_score(h, g, (priors or {}).get(h["id"], 1.0))})
         if model is not None and items:
             _rank(estate, items, movement, model, tel)

@@ -28,8 +28,8 @@ def generate(spark: SparkSession, scenario: str, seed: int = 7, days: int = 330,
     The last `window` days of `days` are the window that an investigation looks at (a few more follow).
     service_failure: shipments of warehouse 3 run late from three weeks before it, and its accounts order
     less from two weeks before it; competitor_promo: one region orders less while a promotion runs;
-    price_change: all prices rise and units fall; mix_shift: cheap tiers take over; partial_load: late
-    shipments of warehouse 4 are missing at the end."""
+    price_change: all prices rise and units fall; mix_shift: cheap tiers take over; partial_load: most
+    late shipments of warehouse 4 are missing at the end."""
     if scenario not in SCENARIOS:
         raise ValueError(f"a scenario is one of {', '.join(SCENARIOS)}")
     ws = days - window
@@ -63,7 +63,8 @@ def generate(spark: SparkSession, scenario: str, seed: int = 7, days: int = 330,
         tier.alias("l_returnflag"), F.when(late, "F").otherwise("O").alias("l_linestatus"), F.date_add("date", F.when(late, 6).otherwise(2)).cast("timestamp_ntz").alias("l_shipdate"), "day", cust.alias("_cust"),
     )
     if scenario == "partial_load":
-        lines = lines.where(~((F.col("_cust") % 4 == 3) & (F.col("l_linestatus") == "F") & (day >= days - 12)))
+        lost = (F.col("_cust") % 4 == 3) & (F.col("l_linestatus") == "F") & (day >= days - 16) & (_unit(seed, "lost", "l_orderkey", "l_linenumber") < 0.9)
+        lines = lines.where(~lost)
     lines = lines.drop("day", "_cust")
     customer = spark.range(1, accounts + 1).select(F.col("id").alias("c_custkey"), F.concat(F.lit("Account "), F.col("id")).alias("c_name"), (F.col("id") % NATIONS).cast("int").alias("c_nationkey"), F.lit(1.0).alias("c_acctbal"), F.get(F.array(*map(F.lit, ("BUILDING", "MACHINERY", "FURNITURE"))), (F.col("id") % 3).cast("int")).alias("c_mktsegment"))
     tables = {
