@@ -21,7 +21,8 @@ class Hierarchy:
 
     @classmethod
     def from_table(cls, name: str, levels: tuple[str, ...], rows: DataFrame) -> Hierarchy:
-        """From a dimension table (as many rows as members); two parents of a member are an error."""
+        """From a dimension table of places (levels of at most 100,000 members: larger ones are rolled up as
+        frames, see roll_up_frame); two parents of a member are an error."""
         pairs = rows.select(levels[1], levels[0]).distinct().limit(100_001).collect()
         if len(pairs) > 100_000:
             raise ContractError(f"hierarchy {name} has too many members for the driver")

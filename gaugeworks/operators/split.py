@@ -52,13 +52,12 @@ def price_volume_mix(rows: DataFrame, scale: float, revenue: str = "net_revenue"
 def lattice(rows: DataFrame, scale: float, measure: str = "net_revenue", dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """dimension, value, cur, base, move, explanatory power, share shift and score of every value.
 
-    Grouping sets give all dimensions in one pass over the rows, pre-aggregated before the shuffle.
+    One pass: every row goes to its value of each dimension, and each task adds these up before the one
+    shuffle, so what is shuffled is as many rows as a dimension has values, not as the windows have.
     """
-    columns = [F.col(d).cast("string").alias(d) for d in dimensions]
-    narrow = rows.select(*columns, measure, "cur", "base").groupBy(*dimensions, "cur", "base").agg(F.sum(measure).alias(measure))
     c, b = F.when(F.col("cur"), F.col(measure)).otherwise(0.0), F.when(F.col("base"), F.col(measure)).otherwise(0.0)
-    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions]))
-    flat = narrow.select(c.alias("c"), (b * F.lit(scale)).alias("b"), pairs.alias("p")).groupBy("p.dimension", "p.value").agg(F.sum("c").alias("cur"), F.sum("b").alias("base"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions]))
+    flat = rows.select(c.alias("c"), (b * F.lit(scale)).alias("b"), pairs.alias("p")).groupBy("p.dimension", "p.value").agg(F.sum("c").alias("cur"), F.sum("b").alias("base"))
     w = Window.partitionBy("dimension")
     total_cur, total_base = F.sum("cur").over(w), F.sum("base").over(w)
     move = F.col("cur") - F.col("base")
