@@ -584,3 +584,51 @@ def test_decontamination_equals_brute_force(spark):
             if best:
                 want[doc, item] = max(best)
     assert {k: v[0] for k, v in got.items()} == want and len(want) >= 25
+
+
+def test_media_fields_equal_plain_ones(docs):
+    """Every column of the query, from the text by plain Python."""
+    import zlib
+
+    from gaugeworks.llm import webp
+
+    got = local(media.media_digests(media.media_column(docs)))
+    for r in docs.collect():
+        payload, g = media.payload_of((r["text"] or "").encode()), got[r["doc_id"]]
+        blob = webp.store(payload)
+        assert (g["tail_crc32"], g["media_bytes"], g["media_sha256"]) == (zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest())
+        n = len(payload) // 4
+        means = [sum(payload[k::4]) * 1000 // n for k in (2, 1, 0, 3)]
+        bins = [sum(32 * k <= b < 32 * (k + 1) for b in payload) for k in range(8)] if len(payload) < 9000 else None
+        assert g["feature"].startswith(f"px={n};rows={len(payload) // 64};mean_bgra={','.join(map(str, means))};hist=")
+        assert bins is None or g["feature"].endswith("hist=" + ",".join(map(str, bins)))
+
+
+def test_very_long_texts(spark):
+    """A text of millions of characters beside short ones: whole, and in bounded time."""
+    item = "A train leaves the station at 60 km per hour and Mary waits 15 minutes before she follows it along the old river road"
+    rng = random.Random(12)
+    words = [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{k % 997}x" for k in range(300_000)]
+    lines = [" ".join(words[k : k + 12]) for k in range(0, len(words), 12)]
+    long_ = "\n".join([*lines, lines[0], item, "password = abcdefghijklmn"])
+    rows = [(1, long_), (2, lines[5]), (3, "nothing of that")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert local(secrets.scan(df))[1]["n_assign"] == 1
+    found = decontaminate.find(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["kind"]) for r in found] == [(1, "verbatim")]
+    lined = local(linededup.line_report(df))
+    assert lined[1]["n_exact"] == 1 and lined[2]["n_links"] == 1 and lined[2]["class_id"] == 1 and lined[3]["n_links"] == 0
+    assert [r["kept"] for r in neardup.near_duplicates(df).orderBy("doc_id").collect()] == [True] * 3
+
+
+def test_urls_and_chat_take_repeats_and_clashes(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, None), (2, "")], "page_id long, url string")
+    for c in ("host", "path", "rule", "verdict", "ratio", "gram", "_k", "accepted"):
+        pages = pages.withColumn(c, F.lit("clash"))
+    got = urls.judge(pages).collect()
+    assert len(got) == 4 and len({tuple(r) for r in got if r["page_id"] == 1}) == 1
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", None), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    for c in ("tree", "node", "parent", "score", "branch", "depth", "segment"):
+        turns = turns.withColumn(c, F.lit("clash"))
+    n = {r["conv_id"]: r["n_turns"] for r in chat.format_conversations(turns).collect()}
+    assert n == {1: 3, None: 1}
