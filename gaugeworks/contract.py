@@ -115,6 +115,20 @@ class Contract:
             raise KeyError(f"the contract declares no metric {name!r}")
         return self.metrics[name]
 
+    def kpis(self) -> list[str]:
+        return sorted(self.metrics)
+
+    def source_of(self, metric: str) -> str:
+        return self.metric(metric).source
+
+    def lineage(self, metric: str) -> dict:
+        """Where a metric comes from: source, its date column and limit, definition and measure."""
+        source = self.source_of(metric)
+        return {"metric": metric, "source": source, **{k: self.sources[source][k] for k in ("date", "sla_minutes")}, "definition": self.selected.get(metric), "measure": self.measure_column(metric)}
+
+    def levers_of(self, role: str) -> list[str]:
+        return sorted(n for n, x in self.levers.items() if x.owner_role == role)
+
     def sliceable(self, metric: str, dimension: str) -> bool:
         """Whether the metric's grain has the dimension."""
         return dimension in self.metric(metric).sliceable_by

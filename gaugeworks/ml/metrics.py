@@ -75,3 +75,19 @@ def time_split(df: DataFrame, train: float = 0.65, calib: float = 0.15, episode:
     n, order = eps.count(), F.col("before") + 1
     part = F.when(order <= F.lit(int(n * train)), "train").when(order <= F.lit(int(n * (train + calib))), "calib").otherwise("test")
     return df.join(eps.select(episode, part.alias("part")), episode)
+
+
+def calibration_metrics(df: DataFrame, label: str = "label", p: str = "p", bins: int = 10) -> DataFrame:
+    """One row: brier, ece and n, from one pass over df and the few bins it leaves."""
+    bin_ = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int").alias("bin")
+    table = df.groupBy(bin_).agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("p"), F.sum(label).alias("y"), F.sum(F.pow(F.col(p) - F.col(label), F.lit(2))).alias("e"))
+    return table.agg(F.try_divide(F.sum("e"), F.sum("n")).alias("brier"), F.try_divide(F.sum(F.abs(F.col("p") - F.col("y"))), F.sum("n")).alias("ece"), F.sum("n").alias("n"))
+
+
+def compare(df: DataFrame, arms: dict[str, str], k: int = 3, label: str = "label") -> DataFrame:
+    """arm, ndcg, top1, hit_k, mrr, episodes of several scores (arm to column) over the same candidates."""
+    out = None
+    for arm, column in arms.items():
+        row = rank_metrics(df, k, score=column, label=label).crossJoin(ndcg(df, k, score=column, label=label).select("ndcg")).select(F.lit(arm).alias("arm"), "ndcg", "top1", "hit_k", "mrr", "episodes")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -161,6 +161,10 @@ class Ranker:
             return None
         return cls(FlatTrees.from_json(d["trees"]), Isotonic(*d["knots"]), d["low"], d["high"], d["features"], d["alpha"], d["version"])
 
+    def summary(self) -> dict:
+        """What a card says at a glance."""
+        return {"features": len(self.features), "trees": len(self.trees.roots), "depth": self.trees.depth, "alpha": self.alpha, "knots": len(self.calibration.x), "version": self.version}
+
     def outside(self, x: np.ndarray) -> np.ndarray:
         """Whether over OOD_SHARE of a candidate's features lie outside the training range."""
         return ((x < np.array(self.low)) | (x > np.array(self.high))).mean(axis=1) > OOD_SHARE

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from gaugeworks.contract import ContractError, Definition, DefinitionSet
 from gaugeworks.functions import fiscal, scalars
-from gaugeworks.ml import ranker
+from gaugeworks.ml import metrics, ranker
 from gaugeworks.operators import causal, definitions, drift, feedback, hierarchy, narrative, triage
 from gaugeworks.operators.graph import CausalGraph
 from gaugeworks.operators.ladder import grade
-from gaugeworks.plans.catalogue import _EXPO, _LOG_SQL, _SHARES, ANALYST, CONTRACT, MANAGER, QUERIES, WE, WS, _exposure, _fact, _log, _r, _t, query
+from gaugeworks.plans.catalogue import _EP, _EXPO, _LABELLED, _LOG_SQL, _SHARES, ANALYST, CONTRACT, MANAGER, QUERIES, WE, WS, _episodes, _exposure, _fact, _labelled, _log, _r, _t, query
 from gaugeworks.sources import estate
 from gaugeworks.sources.store import shared_folder
 from gaugeworks.telemetry import Telemetry, cost
@@ -364,3 +364,44 @@ def stream_sliding_totals(spark, sf_dir):
     from gaugeworks.streaming import monitors
 
     return _streamed(monitors.sliding_totals(_events(spark, sf_dir)), "complete").select(F.to_date("ws").alias("ws"), "n")
+
+
+@query(""" e AS (SELECT event_type AS slice, ts FROM events WHERE value >= (SELECT QUANTILE_CONT(value, 0.99) FROM events)),
+ n AS (SELECT slice, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY slice ORDER BY ts) < INTERVAL 2 DAY THEN 0 ELSE 1 END AS nw FROM e), g AS (SELECT slice, ts, SUM(nw) OVER (PARTITION BY slice ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM n)
+ SELECT slice, CAST(MIN(ts) AS DATE) AS onset, COUNT(*) AS days FROM g GROUP BY slice, g""")
+def stream_breach_runs(spark, sf_dir):
+    from gaugeworks.streaming import monitors
+
+    limit = _t(spark, sf_dir, "events").agg(F.percentile("value", F.lit(0.99)).alias("v")).first()["v"]
+    return _streamed(monitors.breach_runs(_events(spark, sf_dir).where(F.col("value") >= limit).select(F.col("event_type").alias("slice"), "ts")), "complete")
+
+
+@query(_LOG_SQL + """, g AS (SELECT metric, h, list(grade ORDER BY seq) AS gs FROM lg GROUP BY 1, 2)
+ SELECT metric, h AS hypothesis_id, ROUND(list_reduce(list_prepend(1.0::DOUBLE, list_transform(gs, lambda x: CASE WHEN x = 'accept' THEN 2.0 WHEN x = 'reject' THEN -2.0 ELSE 0.0 END::DOUBLE)), lambda a, x: CASE WHEN x > 1 THEN LEAST(1.6, a * 1.12) WHEN x < -1 THEN GREATEST(0.35, a * 0.75) ELSE a END), 6) AS prior FROM g""")
+def stream_priors(spark, sf_dir):
+    from gaugeworks.streaming import monitors
+
+    path = _folder(spark, "grades")
+    _log(spark, sf_dir).select("seq", "metric", "hypothesis_id", "grade").coalesce(1).write.parquet(path)
+    grades = spark.readStream.schema("seq long, metric string, hypothesis_id string, grade string").parquet(path)
+    return _r(_streamed(monitors.prior_updates(grades), "update"), 6)
+
+
+@query(_EP + """, r AS (SELECT episode_id, label, ROW_NUMBER() OVER (PARTITION BY episode_id ORDER BY score DESC, candidate_id) AS s, ROW_NUMBER() OVER (PARTITION BY episode_id ORDER BY -score DESC, candidate_id) AS w FROM e),
+ f AS (SELECT MIN(s) FILTER (WHERE label > 0) AS s, MIN(w) FILTER (WHERE label > 0) AS w FROM r GROUP BY episode_id HAVING SUM(label) > 0)
+ SELECT 'score' AS arm, ROUND(AVG(CASE WHEN s = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS top1, ROUND(AVG(1.0::DOUBLE / s), 6) AS mrr, COUNT(*) AS episodes FROM f
+ UNION ALL SELECT 'reversed', ROUND(AVG(CASE WHEN w = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6), ROUND(AVG(1.0::DOUBLE / w), 6), COUNT(*) FROM f""")
+def arms_compared(spark, sf_dir):
+    e = _episodes(spark, sf_dir).withColumn("worst", -F.col("score"))
+    return _r(metrics.compare(e, {"score": "score", "reversed": "worst"}).select("arm", "top1", "mrr", "episodes"), 6)
+
+
+@query(_LABELLED + ", b AS (SELECT COUNT(*) n, AVG(score) p, AVG(label) y, SUM(POW(score - label, 2)) e FROM x GROUP BY LEAST(FLOOR(score * 10), 9)) SELECT ROUND(SUM(e) / SUM(n), 6) AS brier, ROUND(SUM(n * ABS(p - y)) / SUM(n), 6) AS ece, CAST(SUM(n) AS BIGINT) AS n FROM b")
+def calibration_summary(spark, sf_dir):
+    return _r(metrics.calibration_metrics(_labelled(spark, sf_dir), p="score"), 6)
+
+
+@query("SELECT * FROM (VALUES ('net_revenue', 'orders', 'order_date', 180, 'finance', 'net_revenue'), ('otd_pct', 'dispatch', 'dispatch_date', 2880, NULL, NULL)) t(metric, source, date_column, sla_minutes, definition, measure)")
+def metric_lineage(spark, sf_dir):
+    rows = [((x := CONTRACT.lineage(m))["metric"], x["source"], x["date"], x["sla_minutes"], x["definition"], x["measure"]) for m in ("net_revenue", "otd_pct")]
+    return _frame(spark, rows, "metric string, source string, date_column string, sla_minutes int, definition string, measure string")

@@ -83,6 +83,24 @@ def generate(spark: SparkSession, scenario: str, seed: int = 7, days: int = 330,
     return tables, episode
 
 
+def evidence(spark: SparkSession, episode: dict, seed: int = 7, n: int = 400, accounts: int = 320) -> DataFrame:
+    """Texts around an episode: most of them routine, a sixth on the theme of its driver, as reports of
+    several roles and kinds from many accounts. doc_id, day, text, theme, author_role, type, account_id, domain."""
+    from gaugeworks.operators.retrieval import THEMES
+
+    kind = episode["drivers"][0]["driver_type"] if episode["drivers"] else None
+    theme, words = THEMES.get(kind, ("routine", ["order"]))
+    a, z = (date.fromisoformat(x) for x in episode["window"])
+    pick = lambda what, values: F.get(F.array(*map(F.lit, values)), F.floor(_unit(seed, what, "id") * len(values)).cast("int"))
+    on = _unit(seed, "theme", "id") < 1 / 6
+    said = F.when(on, F.concat_ws(" ", F.lit("account says"), pick("w1", words), F.lit("and"), pick("w2", words), F.lit("again"))).otherwise(F.concat_ws(" ", F.lit("regular visit, asked about the"), pick("w3", ("invoice", "catalogue", "contact", "schedule"))))
+    return spark.range(n).select(
+        F.col("id").alias("doc_id"), F.date_add(F.lit(a), F.floor(_unit(seed, "day", "id") * ((z - a).days + 1)).cast("int")).alias("day"), said.alias("text"), F.when(on, theme).otherwise("routine").alias("theme"),
+        pick("role", ("field_sales", "service_desk", "key_account_manager")).alias("author_role"), pick("type", ("ticket", "call_transcript", "field_note", "email")).alias("type"),
+        F.floor(_unit(seed, "who", "id") * accounts).cast("long").alias("account_id"), F.lit("crm").alias("domain"),
+    )
+
+
 def write_estate(tables: dict[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")

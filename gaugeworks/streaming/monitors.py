@@ -36,8 +36,8 @@ def without_duplicates(events: DataFrame, keys: tuple[str, ...] = ("event_id",),
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def freshness(events: DataFrame, sla_minutes: int, sink: list, now: str):
-    """A writer that keeps the latest event time and flags a breached limit, batch by batch."""
+def freshness(events: DataFrame, sla_minutes: int, sink: list, now: str, every: str | None = None):
+    """A writer (every: its polling interval, such as `30 seconds`) that keeps the latest event time and flags a breached limit, batch by batch."""
 
     def update(batch: DataFrame, batch_id: int) -> None:
         latest = batch.agg(F.max("ts").alias("t")).first()["t"]
@@ -45,7 +45,8 @@ def freshness(events: DataFrame, sla_minutes: int, sink: list, now: str):
         lag = None if known is None else (pd.Timestamp(now) - pd.Timestamp(known)).total_seconds() / 60
         sink.append({"batch": batch_id, "latest": known, "lag_minutes": lag, "breached": lag is None or lag > sla_minutes})
 
-    return events.writeStream.foreachBatch(update)
+    writer = events.writeStream.foreachBatch(update)
+    return writer.trigger(processingTime=every) if every else writer
 
 
 def prior_updates(feedback: DataFrame) -> DataFrame:
