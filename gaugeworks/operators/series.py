@@ -53,18 +53,19 @@ def weekday_index(series: DataFrame, by: tuple[str, ...] = (), least: int = 3) -
     observations), so scaled that the seven have mean 1."""
     ratio = series.withColumn("c", rolling_median("v", by, -3, 3, 4)).where("c is not null and c <> 0 and v is not null").withColumn("r", F.col("v") / F.col("c"))
     seen = ratio.groupBy(*by, F.weekday("d").alias("wd")).agg(F.when(F.count(F.lit(1)) >= least, F.median("r")).alias("m"))
-    slices = series.select(*by).distinct() if by else series.sparkSession.range(1).select(F.lit(1).alias("_one"))
-    spine = slices.withColumn("wd", F.explode(F.sequence(F.lit(0), F.lit(6))))
-    full = spine.join(seen, [*by, "wd"], "left").withColumn("raw", F.coalesce("m", F.lit(1.0)))
-    mean = F.avg("raw").over(Window.partitionBy(*by))
-    return full.select(*by, "wd", F.when(mean != 0, F.col("raw") / mean).otherwise(F.lit(1.0)).alias("idx"))
+    # the seven of a slice in one row: weekdays that were never seen count as 1, with no spine to join
+    packed = seen.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("wd", "m"))).alias("ms"))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.coalesce(F.try_element_at("ms", k), F.lit(1.0)))
+    packed = packed.select(*by, raw.alias("raw")).withColumn("mean", F.aggregate("raw", F.lit(0.0), lambda a, x: a + x) / 7)
+    index = F.transform("raw", lambda x: F.when(F.col("mean") != 0, x / F.col("mean")).otherwise(F.lit(1.0)))
+    return packed.select(*by, F.posexplode(index).alias("wd", "idx"))
 
 
 def expected_band(series: DataFrame, by: tuple[str, ...] = (), trail: int = 28, least: int = 7) -> DataFrame:
     """series with wd, idx, e (expected: trailing median of deseasonalised values before the row, times
     the index) and resid."""
     index = weekday_index(series, by)
-    rows = series.withColumn("wd", F.weekday("d")).join(index, [*by, "wd"]).withColumn("flat", F.col("v") / F.when(F.col("idx") != 0, F.col("idx")))
+    rows = series.withColumn("wd", F.weekday("d")).join(index, [*by, "wd"], "left").withColumn("idx", F.coalesce("idx", F.lit(1.0))).withColumn("flat", F.col("v") / F.when(F.col("idx") != 0, F.col("idx")))
     rows = rows.withColumn("level", rolling_median("flat", by, -trail, -1, least))
     return rows.withColumn("e", F.col("level") * F.col("idx")).withColumn("resid", F.col("v") - F.col("e")).drop("flat", "level")
 

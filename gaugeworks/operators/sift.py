@@ -45,18 +45,14 @@ def detect_many(series: DataFrame, ws: date, we: date, metric: Metric, by: tuple
     rows = rows.withColumn("_rank", F.when(before, F.row_number().over(Window.partitionBy(*by, before).orderBy(F.desc("d")))))
     stats = rows.groupBy(*by).agg(
         (F.percentile("_dev", F.lit(0.5)) * MAD).alias("mad"), F.stddev_samp(F.when(before, F.col("resid"))).alias("sd"), F.count(F.when(before, F.col("resid"))).alias("n_resid"),
-        F.count(F.when(before, F.col("v"))).alias("history_days"), F.avg(F.when(F.col("_rank") <= 28, F.col("v"))).alias("level"),
+        F.count(F.when(before, F.col("v"))).alias("history_days"), F.avg(F.when(F.col("_rank") <= 28, F.col("v"))).alias("level"), *window_sums(inside),
     )
     sparse = F.col("history_days") < MIN_HISTORY
     sigma = F.when(F.coalesce("mad", F.lit(0.0)) > 0, F.col("mad")).otherwise(F.when((F.col("n_resid") > 2) & (F.col("sd") > 0), F.col("sd")).otherwise(F.lit(1.0)))
     sigma = sigma * F.when(sparse, SPARSE_WIDTH).otherwise(1.0)
     floor = SPARSE_CV * F.abs(F.coalesce("level", F.lit(0.0)))
     stats = stats.withColumn("sparse", sparse).withColumn("sigma", F.when(sparse | (sigma <= 0), F.greatest(sigma, floor)).otherwise(sigma))
-    window = rows.where(inside & F.col("e").isNotNull() & F.col("v").isNotNull()).select(*by, "v", "e", "resid").join(stats.select(*by, "sigma"), list(by))
-    moves = window.groupBy(*by).agg(
-        F.sum("v").alias("actual"), F.sum("e").alias("expected"), F.count(F.lit(1)).alias("n_days"), F.count_if(F.abs(F.col("resid")) > metric.warn_sigma * F.col("sigma")).alias("persistence"),
-    )
-    out = stats.join(moves, list(by), "left")
+    out = with_persistence(stats, metric)
     delta = F.col("actual") - F.col("expected")
     out = out.withColumn("delta", delta).withColumn("pct_change", F.try_divide(delta, F.abs("expected"))).withColumn("z", F.try_divide(delta, F.col("sigma") * F.sqrt("n_days")))
     if plan is not None:
@@ -71,6 +67,22 @@ def detect_many(series: DataFrame, ws: date, we: date, metric: Metric, by: tuple
     return out.select(*names, material.alias("material"), verdict.alias("verdict"))
 
 
+def window_sums(inside: Column) -> list[Column]:
+    """Aggregates over a slice's days inside the window that have a value and an expectation: actual,
+    expected, n_days, and their residuals (as many as a window has days), beside all other statistics."""
+    counts = inside & F.col("e").isNotNull() & F.col("v").isNotNull()
+    return [
+        F.sum(F.when(counts, F.col("v"))).alias("actual"), F.sum(F.when(counts, F.col("e"))).alias("expected"),
+        F.nullif(F.count(F.when(counts, F.lit(1))), F.lit(0)).alias("n_days"), F.collect_list(F.when(counts, F.col("resid"))).alias("_resids"),
+    ]
+
+
+def with_persistence(stats: DataFrame, metric: Metric) -> DataFrame:
+    """stats with the number of days outside warn sigma; null where the window is empty."""
+    days = F.size(F.filter("_resids", lambda r: F.abs(r) > metric.warn_sigma * F.col("sigma"))).cast("long")
+    return stats.withColumn("persistence", F.when(F.col("n_days").isNotNull(), days)).drop("_resids")
+
+
 def gate_columns(metric: Metric) -> dict[str, Column]:
     """The four materiality gates over delta, plan, persistence and z."""
     return {

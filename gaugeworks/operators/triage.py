@@ -83,7 +83,7 @@ def backtest(series: DataFrame, metric: Metric, first: date, last: date, days: i
 
 def _detect_by_window(sliced: DataFrame, metric: Metric) -> DataFrame:
     """detect_many with the window in the rows instead of in parameters."""
-    from gaugeworks.operators.sift import MAD, MIN_HISTORY, SPARSE_CV, SPARSE_WIDTH
+    from gaugeworks.operators.sift import MAD, MIN_HISTORY, SPARSE_CV, SPARSE_WIDTH, window_sums, with_persistence
     from gaugeworks.operators.series import expected_band
 
     by = ("slice",)
@@ -92,12 +92,11 @@ def _detect_by_window(sliced: DataFrame, metric: Metric) -> DataFrame:
     whole = Window.partitionBy("slice")
     rows = band.withColumn("_c", F.percentile(F.when(before, F.col("resid")), F.lit(0.5)).over(whole)).withColumn("_dev", F.when(before, F.abs(F.col("resid") - F.col("_c"))))
     rows = rows.withColumn("_rank", F.when(before, F.row_number().over(Window.partitionBy("slice", before).orderBy(F.desc("d")))))
-    stats = rows.groupBy("slice").agg((F.percentile("_dev", F.lit(0.5)) * MAD).alias("mad"), F.stddev_samp(F.when(before, F.col("resid"))).alias("sd"), F.count(F.when(before, F.col("v"))).alias("history_days"), F.avg(F.when(F.col("_rank") <= 28, F.col("v"))).alias("level"))
+    stats = rows.groupBy("slice").agg((F.percentile("_dev", F.lit(0.5)) * MAD).alias("mad"), F.stddev_samp(F.when(before, F.col("resid"))).alias("sd"), F.count(F.when(before, F.col("v"))).alias("history_days"), F.avg(F.when(F.col("_rank") <= 28, F.col("v"))).alias("level"), *window_sums(inside))
     sparse = F.col("history_days") < MIN_HISTORY
     sigma = F.when(F.coalesce("mad", F.lit(0.0)) > 0, F.col("mad")).otherwise(F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))) * F.when(sparse, SPARSE_WIDTH).otherwise(1.0)
     stats = stats.withColumn("sparse", sparse).withColumn("sigma", F.when(sparse, F.greatest(sigma, SPARSE_CV * F.abs(F.coalesce("level", F.lit(0.0))))).otherwise(sigma))
-    w = rows.where(inside & F.col("e").isNotNull()).join(stats.select("slice", "sigma"), "slice").groupBy("slice").agg(F.sum("v").alias("actual"), F.sum("e").alias("expected"), F.count(F.lit(1)).alias("n_days"), F.count_if(F.abs(F.col("resid")) > metric.warn_sigma * F.col("sigma")).alias("persistence"))
-    out = stats.join(w, "slice", "left").withColumn("delta", F.col("actual") - F.col("expected")).withColumn("z", F.try_divide("delta", F.col("sigma") * F.sqrt("n_days")))
+    out = with_persistence(stats, metric).withColumn("delta", F.col("actual") - F.col("expected")).withColumn("z", F.try_divide("delta", F.col("sigma") * F.sqrt("n_days")))
     floor = (F.abs("delta") >= metric.abs_floor) if metric.unit == "INR" else F.lit(True)
     alert = F.coalesce(~F.col("sparse") & floor & (F.abs("z") >= metric.warn_sigma) & (F.col("persistence") >= metric.persistence_days), F.lit(False))
     return out.select(F.col("slice").alias("ws"), "actual", "expected", "delta", "z", "persistence", alert.alias("alert"))

@@ -614,10 +614,10 @@ _METRIC_SLICES = """ base AS (SELECT 'region=' || region AS slice, order_date d,
  z AS (SELECT sg.slice, act, ex, (act - ex) / (m.sigma * SQRT(n)) z, per, ABS(act - ex) >= 2500000 g1, per >= 3 g3, ABS((act - ex) / (m.sigma * SQRT(n))) >= 2 g4 FROM sg LEFT JOIN m ON m.slice = sg.slice)"""
 
 
-@query(_METRIC_SLICES + " SELECT slice, ROUND(act, 3) AS actual, ROUND(ex, 3) AS expected, ROUND(z, 5) AS z, per AS persistence, CASE WHEN act IS NULL THEN 'INSUFFICIENT_HISTORY' WHEN g1 AND g3 AND g4 THEN 'MATERIAL' ELSE 'NOT_MATERIAL' END AS verdict FROM z")
+@query(_METRIC_SLICES + " SELECT slice, ROUND(act, 4) AS actual, ROUND(ex, 3) AS expected, ROUND(z, 5) AS z, per AS persistence, CASE WHEN act IS NULL THEN 'INSUFFICIENT_HISTORY' WHEN g1 AND g3 AND g4 THEN 'MATERIAL' ELSE 'NOT_MATERIAL' END AS verdict FROM z")
 def estate_sweep(spark, sf_dir):
     df = triage.sweep(_fact(spark, sf_dir), CONTRACT, ["net_revenue"], WS, WE)
-    return df.select("slice", F.round("actual", 3).alias("actual"), F.round("expected", 3).alias("expected"), F.round("z", 5).alias("z"), "persistence", "verdict")
+    return df.select("slice", F.round("actual", 4).alias("actual"), F.round("expected", 3).alias("expected"), F.round("z", 5).alias("z"), "persistence", "verdict")
 
 
 @query(_METRIC_SLICES + """, g AS (SELECT 'rupee floor' AS reason FROM z WHERE NOT g1 UNION ALL SELECT 'persistence' FROM z WHERE NOT g3 AND NOT (g1 AND g3 AND g4) UNION ALL SELECT 'sigma' FROM z WHERE NOT g4)
@@ -645,9 +645,9 @@ def _backtest(spark, sf_dir) -> DataFrame:
  b AS (SELECT a, d, v, CASE WHEN COUNT(flat) OVER w >= 7 THEN MEDIAN(flat) OVER w END * idx e FROM f WINDOW w AS (PARTITION BY a ORDER BY d ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING)),
  q AS (SELECT a, MEDIAN(v - e) c FROM b WHERE d < a GROUP BY 1), sg AS (SELECT b.a, 1.4826 * MEDIAN(ABS(v - e - q.c)) sigma FROM b JOIN q ON b.a = q.a WHERE d < b.a AND e IS NOT NULL GROUP BY 1),
  m AS (SELECT b.a, SUM(v) act, SUM(e) ex, COUNT(*) n, COUNT(*) FILTER (WHERE ABS(v - e) > 2.0 * sigma) per, MIN(sigma) sigma FROM b JOIN sg ON b.a = sg.a WHERE d BETWEEN b.a AND b.a + 13 AND e IS NOT NULL GROUP BY 1)
- SELECT a AS ws, ROUND(act, 3) AS actual, ROUND(ex, 3) AS expected, ROUND((act - ex) / (sigma * SQRT(n)), 5) AS z, per AS persistence, ABS(act - ex) >= 2500000 AND ABS((act - ex) / (sigma * SQRT(n))) >= 2 AND per >= 3 AS alert FROM m""")
+ SELECT a AS ws, ROUND(act, 4) AS actual, ROUND(ex, 3) AS expected, ROUND((act - ex) / (sigma * SQRT(n)), 5) AS z, per AS persistence, ABS(act - ex) >= 2500000 AND ABS((act - ex) / (sigma * SQRT(n))) >= 2 AND per >= 3 AS alert FROM m""")
 def backtest_windows(spark, sf_dir):
-    return _backtest(spark, sf_dir).select("ws", F.round("actual", 3).alias("actual"), F.round("expected", 3).alias("expected"), F.round("z", 5).alias("z"), "persistence", "alert")
+    return _backtest(spark, sf_dir).select("ws", F.round("actual", 4).alias("actual"), F.round("expected", 3).alias("expected"), F.round("z", 5).alias("z"), "persistence", "alert")
 
 
 _LABELLED = " x AS (SELECT doc_id, quality AS label, n_chars, lang, source, LEAST(0.999, GREATEST(0.001, n_chars / 5000.0))::DOUBLE AS score FROM documents JOIN labels USING (doc_id))"

@@ -212,10 +212,10 @@ _ALL = (
 )
 
 
-@query(_ALL + " SELECT metric, slice, ROUND(act, 3) AS actual, ROUND(ex, 3) AS expected, ROUND(z, 5) AS z, per AS persistence, verdict FROM every")
+@query(_ALL + " SELECT metric, slice, ROUND(act, 4) AS actual, ROUND(ex, 3) AS expected, ROUND(z, 5) AS z, per AS persistence, verdict FROM every")
 def sweep_verdicts(spark, sf_dir):
     df = triage.sweep(_fact(spark, sf_dir), CONTRACT, ["net_revenue", "order_volume", "asp"], WS, WE)
-    return df.select("metric", "slice", F.round("actual", 3).alias("actual"), F.round("expected", 3).alias("expected"), F.round("z", 5).alias("z"), "persistence", "verdict")
+    return df.select("metric", "slice", F.round("actual", 4).alias("actual"), F.round("expected", 3).alias("expected"), F.round("z", 5).alias("z"), "persistence", "verdict")
 
 
 @query(_ALL + " SELECT metric, slice, ROUND(z, 5) AS z FROM every WHERE verdict = 'MATERIAL' ORDER BY ABS(z) DESC, metric, slice LIMIT 12")
