@@ -555,6 +555,8 @@ def _strip(samples: np.ndarray) -> bytes:
 
 #: From so many of a hundred bits saved on, a strip is written with tools in place of plain literals.
 WORTH_IT = 90
+#: Share of samples close to their neighbour, or to the green one, from which predictors, or cross-colour, are tried.
+ALIKE = 0.3
 
 
 def _entropy(counts: np.ndarray) -> float:
@@ -584,12 +586,17 @@ def choose(pixels: np.ndarray, literal_bits: float) -> dict | None:
     wide = pixels.astype(np.uint64)
     runs = np.unique((wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1]) * np.uint64(0x2545F4914F6CDD1D) ^ wide[2:])
     fresh, plain = len(runs) / (n - 2), _cost(pixels)
-    left, top = (np.append(np.zeros(k, dtype=np.uint32), pixels[:-k]) for k in (1, WIDTH))
-    apart = lambda other: (pixels | np.uint32(0x00FF00FF)) - (other & np.uint32(0xFF00FF00)) & np.uint32(0xFF00FF00) | (pixels | np.uint32(0xFF00FF00)) - (other & np.uint32(0x00FF00FF)) & np.uint32(0x00FF00FF)
-    found = [
-        ({"predictor": 1}, _cost(apart(left)) + 200), ({"predictor": 2}, _cost(apart(top)) + 200), ({"subtract_green": True}, _cost(_with_green(pixels, False)) + 3),
-        ({"cross": 0x202020}, _cost(_with_cross_colour(pixels, WIDTH, np.full(-(-(n // WIDTH) >> 4), 0x202020, dtype=np.uint32), 4, False)) + 200), ({}, plain),
-    ]
+    found = [({}, plain)]
+    flat = np.ascontiguousarray(pixels).view(np.uint8)
+    channels = flat.reshape(-1, 4)
+    near = lambda a, b: float((a - b + np.uint8(2) < 5).mean())  # noqa: E731  how many samples are within two of others
+    if near(flat[4:], flat[:-4]) >= ALIKE or near(flat[4 * WIDTH :], flat[: -4 * WIDTH]) >= ALIKE:
+        left, top = (np.append(np.zeros(k, dtype=np.uint32), pixels[:-k]) for k in (1, WIDTH))
+        apart = lambda other: (pixels | np.uint32(0x00FF00FF)) - (other & np.uint32(0xFF00FF00)) & np.uint32(0xFF00FF00) | (pixels | np.uint32(0xFF00FF00)) - (other & np.uint32(0x00FF00FF)) & np.uint32(0x00FF00FF)
+        found += [({"predictor": 1}, _cost(apart(left)) + 200), ({"predictor": 2}, _cost(apart(top)) + 200)]
+    if near(channels[:, [0, 2]], channels[:, [1]]) >= ALIKE:
+        crossed = _with_cross_colour(pixels, WIDTH, np.full(-(-(n // WIDTH) >> 4), 0x202020, dtype=np.uint32), 4, False)
+        found += [({"subtract_green": True}, _cost(_with_green(pixels, False)) + 3), ({"cross": 0x202020}, _cost(crossed) + 200)]
     if fresh < 0.7:
         found += [({"back_references": True, "cache_bits": 6}, (fresh + 0.02) * plain + 400)]
     if len(kinds) <= 256:
