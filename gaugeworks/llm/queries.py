@@ -6,7 +6,7 @@ encoded media have none: tests hold their queries against brute-force versions.
 
 from __future__ import annotations
 
-from gaugeworks.llm import align, bpe, chat, decontaminate, linededup, media, neardup, quality, secrets, sharding, urls
+from gaugeworks.llm import align, ann, bpe, chat, decontaminate, linededup, media, neardup, quality, secrets, sharding, urls
 
 QUERIES = {
     "op1_urls": urls.op1_urls,
@@ -19,6 +19,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_linededup": linededup.op9_linededup,
     "op10_chat": chat.op10_chat,
+    "op11_neighbours": ann.op11_neighbours,
     "op13_alignment": align.op13_alignment,
     "url_rules": urls.url_rules,
     "secret_patterns": secrets.secret_patterns,
