@@ -6,7 +6,7 @@ encoded media have none: tests hold their queries against brute-force versions.
 
 from __future__ import annotations
 
-from gaugeworks.llm import align, ann, bpe, chat, decontaminate, linededup, media, neardup, quality, secrets, sharding, urls
+from gaugeworks.llm import align, ann, bpe, chat, decontaminate, linededup, media, neardup, quality, secrets, sharding, urls, variants
 
 QUERIES = {
     "op1_urls": urls.op1_urls,
@@ -20,6 +20,7 @@ QUERIES = {
     "op9_linededup": linededup.op9_linededup,
     "op10_chat": chat.op10_chat,
     "op11_neighbours": ann.op11_neighbours,
+    "op12_variants": variants.op12_variants,
     "op13_alignment": align.op13_alignment,
     "url_rules": urls.url_rules,
     "secret_patterns": secrets.secret_patterns,
@@ -84,7 +85,21 @@ SELECT d.doc_id, COALESCE(n0, 0) AS n_assign, COALESCE(n1, 0) AS n_access, COALE
 _FOLDS = f"""WITH {_CRC}, d AS (SELECT doc_id, hex(encode(CAST(doc_id AS VARCHAR))) AS x FROM documents)
 SELECT doc_id, COALESCE({_crc_of('x')} % 5 = 0, TRUE) AS held_out FROM d, crct"""
 
+_VARIANTS = f"""WITH RECURSIVE {_CRC},
+ r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+ o AS (SELECT doc_id, run, COUNT(*) AS k, hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)) AS x FROM r WHERE length(run) >= 5 GROUP BY ALL),
+ h AS (SELECT run, k, {_crc_of('x')} AS h FROM o, crct),
+ w AS MATERIALIZED (SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, CAST(SUM(k) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 5 AND SUM(k) >= 3),
+ c AS MATERIALIZED (SELECT word, n, i, word[1:i - 1] || '*' || word[i + 1:] AS spot, word[1:i - 1] || word[i + 1:] AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+ p AS (SELECT a.word AS a, b.word AS b, b.n FROM c a JOIN c b USING (spot) WHERE a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM c JOIN w ON c.less = w.word UNION SELECT w.word, c.word, c.n FROM c JOIN w ON c.less = w.word),
+ f AS (SELECT w.word, w.n, COUNT(p.b) AS n_near, arg_max(p.b, (p.n, -q.at)) AS near, MAX(p.n) AS near_n FROM w LEFT JOIN p ON p.a = w.word LEFT JOIN (SELECT word, ROW_NUMBER() OVER (ORDER BY word) AS at FROM w) q ON q.word = p.b GROUP BY ALL),
+ g AS MATERIALIZED (SELECT word, n, n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM f),
+ t AS (SELECT word, word AS root, 0 AS step FROM g UNION ALL SELECT t.word, g.form, step + 1 FROM t JOIN g ON g.word = t.root WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, (SELECT arg_max(t.root, t.step) FROM t WHERE t.word = g.word) AS root, g.n, CAST(g.n_near AS BIGINT) AS n_near, CAST(g.form_n AS BIGINT) AS form_n FROM g"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_variants": _VARIANTS,
     "op7_sharding": _SHARDS,
     "op10_chat": _CHAT,
     "url_rules": _URLS,
