@@ -90,3 +90,38 @@ def drill_down(fact: DataFrame, metric: Metric, parent: str, child: str, ws: dat
     out = out.select(parent, child, cur.alias("current"), exp.alias("expected"), whole.alias("parent_current")).withColumn("move", F.col("current") - F.col("expected"))
     share = F.try_divide("move", F.sum("move").over(w)) if metric.kind == "additive" else F.lit(None).cast("double")
     return out.select(parent, child, "current", "expected", "move", share.alias("share_of_move"), (F.abs(rolled - F.col("parent_current")) <= F.greatest(F.lit(1.0), F.abs("parent_current") * 1e-6)).alias("closes"))
+
+
+def closure(fact: DataFrame, metric: Metric, levels: tuple[str, ...], ws: date, we: date, days: int = 28) -> DataFrame:
+    """level ('all' or a name of levels), the levels' columns (null below the row's own), current, expected,
+    move, children (what the children's numerators and denominators give) and closes, for every member of
+    every level, from the top down.
+
+    One scan and one rollup for both windows; numerators and denominators are sums, so a parent's ratio
+    is that of its children's sums, never a mean of ratios. Children are added up by their parent's key
+    with partial sums and joined with it: a parent of a third of all accounts is no hot group. A null
+    member is a member of its own, told from the rollup's nulls by the grouping."""
+    bs, be = baseline(ws, days)
+    scale = scale_of(ws, we, bs, be)
+    n, d = metric.parts()
+    den = d if metric.denominator else F.lit(None).cast("double")
+    rows = two_windows(fact, ws, we, bs, be)
+    # sums by the lowest members first: the rollup multiplies these, not the lines
+    low = rows.groupBy(*levels, "cur").agg(n.cast("double").alias("n"), den.alias("d"))
+    pick = lambda c, flag: F.sum(F.when(F.col("cur") == flag, F.col(c)))
+    all_ = low.rollup(*levels).agg(F.grouping_id(*levels).alias("gid"), pick("n", True).alias("n1"), pick("d", True).alias("d1"), pick("n", False).alias("n0"), pick("d", False).alias("d0"))
+    depth = F.lit(len(levels)) - F.length(F.regexp_replace(F.bin("gid"), "0", ""))
+    named = F.element_at(F.array(F.lit("all"), *map(F.lit, levels)), depth + 1)
+    all_ = all_.withColumn("depth", depth).withColumn("level", named)
+    # the parent of a row is its own key without the last member
+    up = all_.where("depth > 0").select((F.col("depth") - 1).alias("depth"), *[F.when(F.col("depth") > i + 1, F.col(x)).alias(x) for i, x in enumerate(levels)], *[F.col(c).alias(f"c_{c}") for c in ("n1", "d1", "n0", "d0")])
+    sums = up.groupBy("depth", *levels).agg(*[F.sum(f"c_{c}").alias(f"c_{c}") for c in ("n1", "d1", "n0", "d0")])
+    same = [all_["depth"] == sums["depth"], *[all_[x].eqNullSafe(sums[x]) for x in levels]]
+    both = all_.join(sums, same, "left").select(all_["level"], all_["depth"], *[all_[x] for x in levels], "n1", "d1", "n0", "d0", "c_n1", "c_d1")
+    if metric.kind == "additive":
+        cur, exp, below = F.coalesce("n1", F.lit(0.0)), F.coalesce("n0", F.lit(0.0)) * F.lit(scale), F.coalesce("c_n1", F.lit(0.0))
+    else:
+        cur, exp, below = F.try_divide("n1", "d1"), F.try_divide("n0", "d0"), F.try_divide("c_n1", "c_d1")
+    out = both.select("level", "depth", *levels, cur.alias("current"), exp.alias("expected"), F.when(F.col("depth") < len(levels), below).alias("children"))
+    near = F.abs(F.col("children") - F.col("current")) <= F.greatest(F.lit(1.0), F.abs("current") * 1e-6)
+    return out.select("level", *levels, "current", "expected", (F.col("current") - F.col("expected")).alias("move"), "children", (F.col("children").isNull() | near).alias("closes"))

@@ -19,6 +19,8 @@ THEMES = {
     "price_change": ("price_objection", ["price", "expensive", "discount", "cheaper", "cost"]),
     "mix_shift": ("price_objection", ["price", "discount", "premium", "tier"]),
 }
+#: Themes that speak for one cause or another; others, as routine, neither speak for nor against.
+RIVALS = ("service_failure", "price_objection", "competitor_activity")
 
 
 def _is(term: str):
