@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,7 @@ except ModuleNotFoundError:
 #: Segments in a block of documents, but for one longer text: what bounds a row of blocks.
 BLOCK_SEGMENTS = 1 << 20
 #: Characters of the segments that a task remembers before it begins anew.
-KEPT_CHARS = 1 << 25
+KEPT_CHARS = 1 << 22
 
 #: Spaces and what follows them up to the next space; spaces at the end go with what is before them.
 _SEGMENT = re.compile(r"\x20+[^\x20]*(?:\x20+\Z)?")
@@ -92,6 +93,7 @@ class Aligner:
         self.bytes_a = [bytes(of[c] for c in x) if all(c in of for c in x) else x.encode() for x in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(_SPACE, " ").encode() for i, x in enumerate(pieces)]
+        self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         #: no piece goes on into a space, so spaces after other characters begin a piece
         self.cuts = all(_SPACE not in x.lstrip(_SPACE) for x in pieces)
         self.clear()
@@ -100,8 +102,9 @@ class Aligner:
         self.at: dict[str, int] = {}
         self.chars = 0
         self.texts: list[str | None] = []
-        self.sizes: list[tuple[int, int, int, int]] = []
-        self.links: list[np.ndarray] = []
+        #: by segment: tokens of A and B, groups, links; then the links themselves, and where each segment's end
+        self.sizes = [np.zeros((0, 4), np.int64)]
+        self.links, self.ends = array("q"), array("q")
 
     def segments(self, text: str) -> list[str]:
         """Parts of space and text that no token of either side crosses."""
@@ -111,45 +114,48 @@ class Aligner:
     def learn(self, segments: set[str]) -> None:
         """Encodes and groups the segments not known yet."""
         new = sorted(s for s in segments if s not in self.at)
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            ids_a = [e.ids for e in self.a.encode_batch(part, add_special_tokens=False)]
+        for lo in range(0, len(new), 8192):
+            part = new[lo : lo + 8192]
+            ids_a = [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
             ids_b = self.b.encode([s[1:] for s in part], num_threads=1)
-            ends_a, ends_b, seen, kept = [], [], 0, []
-            for s, x, y in zip(part, ids_a, ids_b, strict=True):
-                whole = s.encode()
-                parts_a, parts_b = [self.bytes_a[i] for i in x], [self.bytes_b[i] for i in y]
-                kept.append(b"".join(parts_a) == whole and b"".join(parts_b) == whole)
-                if kept[-1]:
-                    ends_a.append(seen + np.cumsum(np.fromiter(map(len, parts_a), np.int64, len(x))))
-                    ends_b.append(seen + np.cumsum(np.fromiter(map(len, parts_b), np.int64, len(y))))
-                    seen += len(whole)
-            flat_a, flat_b = (np.concatenate(e) if e else np.zeros(0, np.int64) for e in (ends_a, ends_b))
-            group_a, group_b = overlap_groups(flat_a, flat_b)
-            i = j = 0
-            for s, x, y, ok in zip(part, ids_a, ids_b, kept, strict=True):
-                self.at[s] = len(self.texts)
-                self.chars += len(s)
-                if not ok:
-                    self.texts.append(None)
-                    self.sizes.append((0, 0, 0, 0))
-                    self.links.append(np.zeros(0, np.int64))
-                    continue
-                ga, gb, ea, eb = group_a[i : i + len(x)], group_b[j : j + len(y)], flat_a[i : i + len(x)], flat_b[j : j + len(y)]
-                self.texts.append(";".join(f"{a}|{b}" for a, b in zip(_grouped(ga, x), _grouped(gb, y), strict=True)))
-                # within a component, the members that end together
-                _, p, q = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
-                self.links.append((np.asarray(x, np.int64)[p] << 32) | np.asarray(y, np.int64)[q])
-                self.sizes.append((len(x), len(y), int(ga[-1] - ga[0]) + 1, len(p)))
-                i, j = i + len(x), j + len(y)
-
-
-def _grouped(groups: np.ndarray, ids: list[int]) -> list[str]:
-    """The ids of each group, joined by commas, in order."""
-    if len(groups) == groups[-1] - groups[0] + 1:
-        return list(map(str, ids))
-    cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(ids)]
-    return [",".join(map(str, ids[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+            whole = [s.encode() for s in part]
+            name_a, name_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+            ok = np.array([b"".join(map(name_a, x)) == w and b"".join(map(name_b, y)) == w for w, x, y in zip(whole, ids_a, ids_b, strict=True)])
+            a, b = (np.array([i for x, k in zip(ids, ok, strict=True) if k for i in x], np.int64) for ids in (ids_a, ids_b))
+            n_a, n_b = (np.fromiter((len(x) if k else 0 for x, k in zip(ids, ok, strict=True)), np.int64, len(part)) for ids in (ids_a, ids_b))
+            # segments lie one after the other, so no token of one overlaps another's
+            end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+            group_a, group_b = overlap_groups(end_a, end_b)
+            # within a component, the members that end together
+            _, p, q = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
+            of = np.repeat(np.arange(len(part)), n_a)
+            n_links = np.bincount(of[p], minlength=len(part))
+            n_groups = np.bincount(of[np.unique(group_a, return_index=True)[1]], minlength=len(part))
+            self.links.frombytes(((a[p] << 32) | b[q]).tobytes())
+            self.ends.frombytes((np.cumsum(n_links) + (self.ends[-1] if self.ends else 0)).tobytes())
+            self.sizes.append(np.stack((n_a, n_b, n_groups, n_links), axis=1))
+            self.texts += [t if k else None for t, k in zip(_written(a, b, group_a, group_b, n_a + n_b), ok, strict=True)]
+            self.at.update(zip(part, range(len(self.at), len(self.at) + len(part)), strict=True))
+            self.chars += sum(map(len, part))
+
+    def links_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of some segments, one after the other, and how many each has."""
+        links, ends = np.frombuffer(self.links, np.int64), np.frombuffer(self.ends, np.int64)
+        many = np.diff(ends, prepend=0)[at]
+        first = ends[at] - many
+        return links[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())], many
+
+
+def _written(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """The groups of consecutive segments of so many tokens: A's ids, |, B's ids; groups parted by ;."""
+    side = np.concatenate((np.zeros(len(a), np.int64), np.ones(len(b), np.int64)))
+    key = np.concatenate((group_a, group_b)) * 2 + side
+    order = np.argsort(key, kind="stable")
+    key, ids, side = key[order], np.concatenate((a, b))[order], side[order]
+    mark = np.where(np.diff(key, append=-1) == 0, 0, 1 + side)
+    tokens = [f"{i}{',|;'[m]}" for i, m in zip(ids.tolist(), mark.tolist(), strict=True)]
+    ends = np.cumsum(sizes).tolist()
+    return ["".join(tokens[lo:hi])[:-1] for lo, hi in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(maxsize=1)
@@ -197,9 +203,10 @@ def aligned_blocks(docs: DataFrame, path_a: str = BYTE_BPE, path_b: str = PIECE_
 
 def _packed(number: int, held: list, known: Aligner) -> pa.RecordBatch:
     figures, shas, kept = [], [], []
-    sizes = np.array(known.sizes, np.int64).reshape(-1, 4)
+    sizes = np.concatenate(known.sizes)
+    known.sizes = [sizes]
     for _, at in held:
-        texts = [known.texts[i] for i in at]
+        texts = list(map(known.texts.__getitem__, at.tolist()))
         ok = len(at) > 0 and None not in texts
         kept.append(at if ok else at[:0])
         figures.append(sizes[kept[-1]].sum(axis=0))
@@ -210,9 +217,8 @@ def _packed(number: int, held: list, known: Aligner) -> pa.RecordBatch:
     order = np.argsort(-times, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    links = [known.links[i] for i in used[order]]
-    many = np.fromiter(map(len, links), np.int64, len(links))
-    pairs, where = np.unique(np.concatenate(links) if links else np.zeros(0, np.int64), return_inverse=True)
+    links, many = known.links_of(used[order])
+    pairs, where = np.unique(links, return_inverse=True)
     weight = np.bincount(where, weights=np.repeat(times[order], many), minlength=len(pairs)).astype(np.int64)
     figures = np.array(figures, np.int64).reshape(-1, 4)
     row = [[number], [[d for d, _ in held]], *([figures[:, k]] for k in range(4)), [shas], [list(map(len, kept))], [rank[places].astype("<u4").tobytes()], [many], [where.astype("<u4").tobytes()], [pairs], [weight]]
