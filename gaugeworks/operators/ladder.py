@@ -11,14 +11,17 @@ SEPARATING = {("service_failure", "external_market"): (180_000, 14), ("price_cha
 
 def hypotheses(metric: str, cells: list[dict], identity: dict | None, events: list[dict], data_flags: list[str]) -> list[dict]:
     """Candidates from the decomposition: data flags first, then warehouses that carry over a quarter of
-    the movement, mix over a twentieth of it, overlapping competitor events, and price for volume."""
+    the movement, mix over a twentieth of it, every overlapping competitor event (with its cohort, where
+    the calendar names region and channel), and price for volume."""
     out = [{"id": "H-DQ", "driver_type": "instrumentation", "cause": "data_pipeline", "explanatory_power": 1.0, "exposure": {}}] if data_flags else []
     for c in cells:
         if c["dimension"] == "warehouse_id" and abs(c["explanatory_power"] or 0) > 0.25:
             out.append({"id": f"H-SLA-{c['value']}", "driver_type": "service_failure", "cause": "warehouse_sla", "explanatory_power": c["explanatory_power"], "exposure": {"warehouse_id": c["value"]}})
     if identity and identity["total"] and abs(identity["mix_effect"] / identity["total"]) > 0.05:
         out.append({"id": "H-MIX", "driver_type": "mix_shift", "cause": "tier_mix", "explanatory_power": identity["mix_effect"] / identity["total"], "exposure": {}, "arithmetic_only": True})
-    out += [{"id": f"H-EVENT-{e['event_id']}", "driver_type": "external_market", "cause": "competitor_promo", "explanatory_power": None, "exposure": {}} for e in events]
+    for e in events:
+        cohort = {k: e[k] for k in ("region", "channel") if e.get(k) is not None}
+        out.append({"id": f"H-EVENT-{e['event_id']}", "driver_type": "external_market", "cause": "competitor_promo", "explanatory_power": None, "exposure": cohort, "start_date": e["start_date"]})
     if metric == "order_volume":
         out.append({"id": "H-PRICE", "driver_type": "price_change", "cause": "price_level", "explanatory_power": None, "exposure": {}})
     return out

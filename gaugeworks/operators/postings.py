@@ -29,6 +29,7 @@ class Index:
 
     postings: DataFrame
     documents: DataFrame
+    dimensions: tuple[str, ...] = ()
 
 
 def build(docs: DataFrame, dimensions: tuple[str, ...], name: str = "postings") -> Index:
@@ -47,13 +48,13 @@ def build(docs: DataFrame, dimensions: tuple[str, ...], name: str = "postings")
     runs = words.where(F.size("w") > 0).withColumn("w", F.sort_array("w")).withColumn("s", starts)
     distinct = F.transform("s", lambda i, k: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("w")) - i).alias("tf")))
     rows = runs.select("day", "doc_id", F.size("w").alias("dl"), "dims", F.explode(distinct).alias("p")).select("day", "p.term", "doc_id", "p.tf", "dl", "dims")
-    return Index(stored(rows.repartitionByRange("day", "term", "doc_id").sortWithinPartitions("day", "term"), f"{name}-terms"), documents)
+    return Index(stored(rows.repartitionByRange("day", "term", "doc_id").sortWithinPartitions("day", "term"), f"{name}-terms"), documents, dimensions)
 
 
-def opened(spark, name: str, folder: str | None = None) -> Index:  # noqa: ANN001
-    """An index written by save()."""
+def opened(spark, name: str, dimensions: tuple[str, ...], folder: str | None = None) -> Index:  # noqa: ANN001
+    """An index written by save(), of texts with these dimensions."""
     root = f"{folder or shared_folder(spark)}/{name}"
-    return Index(spark.read.parquet(f"{root}/terms"), spark.read.parquet(f"{root}/documents"))
+    return Index(spark.read.parquet(f"{root}/terms"), spark.read.parquet(f"{root}/documents"), dimensions)
 
 
 def save(index: Index, name: str, folder: str | None = None) -> None:

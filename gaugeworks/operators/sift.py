@@ -115,3 +115,11 @@ def derived_plan(fact: DataFrame, by: tuple[str, ...] = ("region",), uplift: flo
     daily = fact.groupBy(*by, F.col("order_date").alias("d")).agg(F.sum("net_revenue").alias("v"))
     month = daily.groupBy(*by, F.year("d").alias("year"), F.month("d").alias("month")).agg(F.avg("v").alias("mean"), F.dayofmonth(F.last_day(F.min("d"))).alias("dim"))
     return month.select(*by, "year", "month", (F.col("mean") * F.col("dim") * uplift).alias("plan_value"))
+
+
+def plan_before(fact: DataFrame, ws: date, we: date, days: int = 84, uplift: float = 1.04) -> DataFrame:
+    """year, month, plan_value for the months of a window without a plan table: mean daily revenue of the days
+    before the window, raised. Nothing of the window or after it is read."""
+    daily = fact.where(F.col("order_date").between(F.date_sub(F.lit(ws), days), F.date_sub(F.lit(ws), 1))).groupBy(F.col("order_date").alias("d")).agg(F.sum("net_revenue").alias("v"))
+    months = months_in_window(fact.sparkSession.createDataFrame([(ws, we)], "ws date, we date")).select("year", "month", "days_in_month").distinct()
+    return months.join(F.broadcast(daily.agg(F.avg("v").alias("mean")))).select("year", "month", (F.col("mean") * F.col("days_in_month") * uplift).alias("plan_value"))
