@@ -1,8 +1,8 @@
 """Nearest neighbours by inner product: inverted lists and an adaptive scan of rotated dimensions.
 
 Directions are dealt to lists of near centroids, split by the vectors' lengths. A query first scans
-one block or so of its best lists, which bounds its k-th score from below; with that bound it leaves
-out the lists that are unlikely to hold more than a small share of its neighbours. Inside a probed
+one block or so of its best lists, which bounds its k-th score from below, then more lists in growing
+waves that raise the bound; with it the last scan leaves out the lists that are unlikely to hold more than a small share of its neighbours. Inside a probed
 list vectors are stored rotated at random, in blocks of columns: after each block a candidate goes
 if its partial distance says that it is beyond the bound, by the law of the squared length that a
 random rotation puts into so many columns. What is left is scored exactly on the original vectors.
@@ -30,8 +30,9 @@ LIST_ROWS, LISTS = 2_048, 1_024
 BANDS = 8
 #: Vectors in a block of a list, queries in a block of a list's queries, and their components at most.
 BLOCK, BLOCK_VALUES = 1_024, 1 << 18
-#: Candidates that the first scan of a query sees at least, where its lists hold so many.
-SEEDS = 1_024
+#: Candidates that the first scan of a query sees at least, where its lists hold so many; each further
+#: scan before the last sees so many times more, so that scores above the bound stay few however many rows.
+SEEDS, WAVE = 1_024, 4
 #: Share of a query's neighbours that the lists it leaves out may be expected to hold.
 LOST_LISTS = 0.01
 #: Factor on the spread of a list's scores, for lists whose vectors are not spread alike everywhere.
@@ -235,23 +236,23 @@ def _stored(assigned: DataFrame, model: Model) -> DataFrame:
     return spread.repartition("list", "split").mapInArrow(run, _STORED)
 
 
-def _probes(queries: DataFrame, model: Model, k: int, bounded: bool) -> DataFrame:
-    """The queries in blocks by probed list: list, part (a number of the block), rs, ids, original, bounds.
+def _probes(queries: DataFrame, model: Model, k: int, seeds: int | None = None) -> DataFrame:
+    """The queries in blocks by probed list: list, splits, part (a number of the block), rs, ids, original, bounds.
 
-    Without bounds, a query's seeds: its most promising lists until they hold SEEDS rows. With them,
-    lists by falling expected number of rows above the bound, until the rest is expected to hold
-    LOST_LISTS of k; a list whose longest vector cannot reach the bound is never probed.
+    With seeds, a query's most promising lists until they hold so many rows. Without, lists by falling
+    expected number of rows above the bound, until the rest is expected to hold LOST_LISTS of k; a list
+    whose longest vector cannot reach the bound is never probed.
     """
 
     size = _block(model.d)
 
     def chosen(units, lengths, bounds):
         mean, spread = model.reach(units)
-        if not bounded:
+        if seeds:
             order = np.argsort(-(mean + spread) * model.longest[None, :], axis=1, kind="stable")
-            # one block of a list is read
-            seen = np.cumsum(np.minimum(model.rows, size)[order], axis=1)
-            take = np.concatenate((np.ones((len(units), 1), bool), seen[:, :-1] < SEEDS), axis=1)
+            # the first scan reads one block of a list
+            seen = np.cumsum((np.minimum(model.rows, size) if seeds == SEEDS else model.rows)[order], axis=1)
+            take = np.concatenate((np.ones((len(units), 1), bool), seen[:, :-1] < seeds), axis=1)
         else:
             # below a bound that is not positive even the shortest vectors count
             need = np.where(bounds[:, None] > 0, (bounds / lengths)[:, None] / model.longest[None, :], float("-inf"))
@@ -393,17 +394,25 @@ def nearest(frame: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id",
         scan = _scan(model.d, k)
         schema = "q_r long, query_id long, r long, vec_id long, score double"
 
-        seeds = _probes(queries.withColumn("bound", F.lit(float("-inf"))), model, k, False)
-        # each block of queries reads one block of the list, so that the queries of a large list are dealt over its blocks
-        seeds = seeds.withColumn("split", F.expr("CAST(pmod(part, splits) AS INT)"))
-        first = scratch.write(_best(lists.join(seeds, ["list", "split"]).select(*_SCANNED).mapInArrow(scan, schema), k), "seeds")
-        least = first.groupBy(F.col("q_r").alias("r")).agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
-        bounds = scratch.write(queries.join(least, "r", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))), "bounds")
-
-        probes = _probes(bounds, model, k, True).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-        second = lists.join(probes, ["list", "split"]).select(*_SCANNED).mapInArrow(scan, schema)
-        both = second.unionByName(first.drop("rank")).dropDuplicates(["q_r", "r"])
-        best = _best(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        bounds, held, seeds = queries.withColumn("bound", F.lit(float("-inf"))), None, SEEDS
+        while True:
+            last = seeds > SEEDS and 2 * seeds > sizes[0].n
+            probes = _probes(bounds, model, k, None if last else seeds)
+            if seeds == SEEDS:
+                # each block of queries reads one block of the list, so that the queries of a large list are dealt over its blocks
+                probes = probes.withColumn("split", F.expr("CAST(pmod(part, splits) AS INT)"))
+            else:
+                probes = probes.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+            found = lists.join(probes, ["list", "split"]).select(*_SCANNED).mapInArrow(scan, schema)
+            best = _best(found if held is None else found.unionByName(held.drop("rank")).dropDuplicates(["q_r", "r"]), k)
+            if last:
+                break
+            before, held = (bounds, held), scratch.write(best, "best")
+            least = held.groupBy(F.col("q_r").alias("r")).agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
+            bounds = scratch.write(queries.join(least, "r", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))), "bounds")
+            scratch.drop(*[x for x in before if x is not None])
+            seeds *= WAVE
+        best = best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
         return scratch.keep(best, "neighbours")
 
 
