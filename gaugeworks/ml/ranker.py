@@ -207,16 +207,19 @@ def _whole_episodes(rows: DataFrame, max_rows: int) -> DataFrame:
 def train(features: DataFrame, labels: str = "label", objective: str = "lambdarank", max_rows: int = 100_000, grid=None, version: str = "1") -> tuple[Ranker, dict]:
     """Time split, grid by NDCG@3 on the calibration part, isotonic fit there, one pass over the test part.
 
-    features: episode_id, candidate_id, window_start, label, f_... The trees are grown, and stopped
-    early, on whole episodes of the train and calibration parts that come to the driver, those of
-    least hash, at most max_rows rows of each part. The split, the choice from the grid, the isotonic
-    fit, the out-of-distribution bounds and the test measure read all rows, in Spark."""
+    features: episode_id, candidate_id, window_start, label, f_... A train part of up to max_rows rows is
+    fitted on the driver, a larger one where it lies (ml.spread): either way on all its rows. Early
+    stopping looks at whole episodes of the calibration part, those of least hash, at most max_rows rows.
+    The split, the choice from the grid, the isotonic fit, the out-of-distribution bounds and the test
+    measure read all rows, in Spark."""
+    from gaugeworks.ml.spread import SpreadTrees
     from gaugeworks.ml.calibration import fit_distributed
     from gaugeworks.ml.metrics import ndcg, time_split
 
     names = list(FEATURES)
     split = time_split(features).where(F.col("episode_id").isNotNull()).cache()
-    local = {k: _whole_episodes(split.where(F.col("part") == k), max_rows).toPandas().sort_values(["window_start", "episode_id", "candidate_id"]) for k in ("train", "calib")}
+    spread = split.where("part = 'train'").limit(max_rows + 1).count() > max_rows
+    local = {k: (split.where("false") if spread and k == "train" else _whole_episodes(split.where(F.col("part") == k), max_rows)).toPandas().sort_values(["window_start", "episode_id", "candidate_id"]) for k in ("train", "calib")}
     x, y, g = ({k: f(v) for k, v in local.items()} for f in (lambda r: r[[f"f_{n}" for n in names]].to_numpy(float), lambda r: r[labels].to_numpy(float), lambda r: r["episode_id"].to_numpy()))
     weight = local["train"]["weight"].to_numpy(float) if "weight" in local["train"] else None
     valid = lambda m: _ndcg(y["calib"], m.raw(x["calib"]), g["calib"])
@@ -236,7 +239,11 @@ def train(features: DataFrame, labels: str = "label", objective: str = "lambdara
     measure = lambda m, part: float(ndcg(scored(m, part)).first()["ndcg"] or 0.0)
     best = None
     for depth, rate, child in grid or itertools.product((3, 4), (0.05, 0.10), (2, 6)):
-        m = BoostedTrees(objective, rounds=400 if grid is None else 60, depth=depth, rate=rate, min_child_weight=child * (0.01 if objective == "lambdarank" else 1), early_stop=60, row_share=0.8, column_share=0.8).fit(x["train"], y["train"], g["train"], weight, valid)
+        chosen = {"objective": objective, "rounds": 400 if grid is None else 60, "depth": depth, "rate": rate, "min_child_weight": child * (0.01 if objective == "lambdarank" else 1), "early_stop": 60, "row_share": 0.8, "column_share": 0.8}
+        if spread:
+            m = SpreadTrees(**chosen).fit(split.where("part = 'train'"), [f"f_{n}" for n in names], labels, "episode_id", "weight" if "weight" in split.columns else None, valid, "candidate_id")
+        else:
+            m = BoostedTrees(**chosen).fit(x["train"], y["train"], g["train"], weight, valid)
         score = measure(m, "calib")
         if best is None or score > best[0]:
             best = (score, m)
