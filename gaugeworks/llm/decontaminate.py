@@ -171,11 +171,10 @@ def _bit_map(hashes: DataFrame):
     return lambda h: F.getbit(F.get(table_, F.shiftright(bit(h), 5).cast("int")), bit(h).bitwiseAND(F.lit(31)).cast("int")) == 1
 
 
-def _one_to_one(slots: Column) -> Column:
-    """Whether each value of the item stands for one value of the document and the other way round."""
-    left = F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["t"], s["item"]))))
-    right = F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["t"], s["doc"]))))
-    return (F.size(slots) == left) & (F.size(slots) == right)
+def _consistent(slots: Column) -> Column:
+    """Whether no value of the item stands for two values of the document: a variant may give two of the
+    item's values the same one, but never one of them two."""
+    return F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["t"], s["item"]))))
 
 
 def _chained(runs: DataFrame) -> DataFrame:
@@ -191,7 +190,7 @@ def _chained(runs: DataFrame) -> DataFrame:
     def add(so_far: Column, r: Column) -> Column:
         slots = F.array_union(so_far["slots"], r["slots"])
         more = F.struct(F.array_union(so_far["item_ats"], r["item_ats"]).alias("item_ats"), slots.alias("slots"))
-        return F.when(_one_to_one(slots), more).otherwise(so_far)
+        return F.when(_consistent(slots), more).otherwise(so_far)
 
     copy = F.aggregate(F.array_sort("near"), start, add)
     return rows.withColumn("copy", copy).withColumn("item_ats", F.col("copy.item_ats")).withColumn("slots", F.col("copy.slots")).drop("near", "copy")
@@ -203,8 +202,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Numbers, units after numbers and names become typed placeholders; windows of these templates
     are hashed and joined. Pairs count where windows at one offset, or at the offsets of one copy with
     inserted, dropped or replaced words, cover SHARE of the item's windows or WORD_SHARE of the words
-    in them, and the values in the placeholders agree one to one: each value of the item stands for
-    one value of the document and the other way round. kind: verbatim (equal values) or variant.
+    in them, and the values in the placeholders agree: each value of the item stands for one value of the
+    document (two of its values may stand for the same one). kind: verbatim (equal values) or variant.
     Result: doc_id, item_id, kind, n_windows, share (of windows), first_word. Items of two or three words,
     and windows that hold hardly a plain word, match word for word only; items of one word are not looked
     for (unindexed names them). Documents are tested for the benchmark's anchors, pairs of neighbouring
@@ -233,7 +232,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     grouped = per.groupBy("doc_id", "item_id", "length", "n", "n_words", "size", "offset").agg(
         F.collect_set("item_at").alias("item_ats"), F.min("first_word").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
-    runs, _ = materialise(grouped.where(_one_to_one(F.col("slots"))), "item-runs")
+    runs, _ = materialise(grouped.where(_consistent(F.col("slots"))), "item-runs")
     drop_scratch(spark, path)
     same = F.forall("slots", lambda s: s["item"] == s["doc"])
     n_windows = F.size("item_ats").cast("long")
