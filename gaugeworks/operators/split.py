@@ -25,43 +25,47 @@ def two_windows(fact: DataFrame, ws: date, we: date, bs: date, be: date, column:
     return fact.where(d.between(F.lit(bs), F.lit(be)) | d.between(F.lit(ws), F.lit(we))).withColumn("cur", d.between(F.lit(ws), F.lit(we))).withColumn("base", d.between(F.lit(bs), F.lit(be)))
 
 
-def _sums(column: str, scale: float) -> tuple[Column, Column]:
+def _sums(column: str, scale: float | Column) -> tuple[Column, Column]:
     cur = F.sum(F.when(F.col("cur"), F.col(column)).otherwise(0.0))
+    if isinstance(scale, Column):
+        return cur, F.sum(F.when(F.col("base"), F.col(column)).otherwise(0.0) * scale)
     return cur, F.sum(F.when(F.col("base"), F.col(column)).otherwise(0.0)) * F.lit(scale)
 
 
-def price_volume_mix(rows: DataFrame, scale: float, revenue: str = "net_revenue", units: str = "units", tier: str = "tier") -> DataFrame:
-    """One row: volume, mix and rate effects, the total and what they leave.
+def price_volume_mix(rows: DataFrame, scale: float | Column, revenue: str = "net_revenue", units: str = "units", tier: str = "tier", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each key of by): volume, mix and rate effects, the total and what they leave.
 
     volume = (v1 - v0) p0; mix = v1 sum (s1 - s0) p0_t; rate = v1 sum s1 (p1_t - p0_t); a tier without
     units in a window has price 0 there.
     """
     (r1, r0), (v1, v0) = _sums(revenue, scale), _sums(units, scale)
-    tiers = rows.groupBy(tier).agg(r1.alias("r1"), r0.alias("r0"), v1.alias("v1"), v0.alias("v0"))
-    all_ = Window.partitionBy(F.lit(1))
+    tiers = rows.groupBy(*by, tier).agg(r1.alias("r1"), r0.alias("r0"), v1.alias("v1"), v0.alias("v0"))
+    all_ = Window.partitionBy(*(by or [F.lit(1)]))
     total = lambda c: F.sum(c).over(all_)
     share = lambda c: F.coalesce(F.try_divide(F.col(c), total(c)), F.lit(0.0))
     price = lambda r, v: F.when(F.col(v) > 0, F.col(r) / F.col(v)).otherwise(F.lit(0.0))
-    t = tiers.select("r1", "r0", "v1", "v0", share("v1").alias("s1"), share("v0").alias("s0"), price("r1", "v1").alias("p1"), price("r0", "v0").alias("p0"))
-    s = t.agg(F.sum("r1").alias("r1"), F.sum("r0").alias("r0"), F.sum("v1").alias("v1"), F.sum("v0").alias("v0"), F.sum((F.col("s1") - F.col("s0")) * F.col("p0")).alias("m"), F.sum(F.col("s1") * (F.col("p1") - F.col("p0"))).alias("k"))
+    t = tiers.select(*by, "r1", "r0", "v1", "v0", share("v1").alias("s1"), share("v0").alias("s0"), price("r1", "v1").alias("p1"), price("r0", "v0").alias("p0"))
+    s = t.groupBy(*by).agg(F.sum("r1").alias("r1"), F.sum("r0").alias("r0"), F.sum("v1").alias("v1"), F.sum("v0").alias("v0"), F.sum((F.col("s1") - F.col("s0")) * F.col("p0")).alias("m"), F.sum(F.col("s1") * (F.col("p1") - F.col("p0"))).alias("k"))
     volume = (F.col("v1") - F.col("v0")) * F.coalesce(F.try_divide("r0", "v0"), F.lit(0.0))
     mix, rate, move = F.col("v1") * F.col("m"), F.col("v1") * F.col("k"), F.col("r1") - F.col("r0")
-    return s.select(F.col("r1").alias("current"), F.col("r0").alias("baseline"), move.alias("total"), volume.alias("volume_effect"), mix.alias("mix_effect"), rate.alias("rate_effect"), (move - volume - mix - rate).alias("residual"))
+    return s.select(*by, F.col("r1").alias("current"), F.col("r0").alias("baseline"), move.alias("total"), volume.alias("volume_effect"), mix.alias("mix_effect"), rate.alias("rate_effect"), (move - volume - mix - rate).alias("residual"))
 
 
-def lattice(rows: DataFrame, scale: float, measure: str = "net_revenue", dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
-    """dimension, value, cur, base, move, explanatory power, share shift and score of every value.
+def lattice(rows: DataFrame, scale: float | Column, measure: str = "net_revenue", dimensions: tuple[str, ...] = DIMENSIONS, by: tuple[str, ...] = ()) -> DataFrame:
+    """by.., dimension, value, cur, base, move, explanatory power, share shift and score of every value.
 
     One pass: every row goes to its value of each dimension, and each task adds these up before the one
     shuffle, so what is shuffled is as many rows as a dimension has values, not as the windows have.
     """
     c, b = F.when(F.col("cur"), F.col(measure)).otherwise(0.0), F.when(F.col("base"), F.col(measure)).otherwise(0.0)
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions]))
-    flat = rows.select(c.alias("c"), (b * F.lit(scale)).alias("b"), pairs.alias("p")).groupBy("p.dimension", "p.value").agg(F.sum("c").alias("cur"), F.sum("b").alias("base"))
-    w = Window.partitionBy("dimension")
-    total_cur, total_base = F.sum("cur").over(w), F.sum("base").over(w)
+    flat = rows.select(*by, c.alias("c"), (b * F.lit(scale)).alias("b"), pairs.alias("p")).groupBy(*by, "p.dimension", "p.value").agg(F.sum("c").alias("cur"), F.sum("b").alias("base"))
+    # totals are a row a dimension: no task sees all values of one
+    totals = flat.groupBy(*by, "dimension").agg(F.sum("cur").alias("_cur"), F.sum("base").alias("_base"))
+    flat = flat.join(totals, [*by, "dimension"])
+    total_cur, total_base = F.col("_cur"), F.col("_base")
     move = F.col("cur") - F.col("base")
-    out = flat.select("dimension", "value", "cur", "base", move.alias("move"), F.try_divide(move, total_cur - total_base).alias("explanatory_power"), (F.coalesce(F.try_divide("cur", total_cur), F.lit(0.0)) - F.coalesce(F.try_divide("base", total_base), F.lit(0.0))).alias("share_shift"))
+    out = flat.select(*by, "dimension", "value", "cur", "base", move.alias("move"), F.try_divide(move, total_cur - total_base).alias("explanatory_power"), (F.coalesce(F.try_divide("cur", total_cur), F.lit(0.0)) - F.coalesce(F.try_divide("base", total_base), F.lit(0.0))).alias("share_shift"))
     return out.where(F.abs("move") >= 1e-9).withColumn("score", F.abs("explanatory_power") * (1 + 4 * F.abs("share_shift")))
 
 

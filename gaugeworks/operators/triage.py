@@ -82,7 +82,17 @@ def backtest(series: DataFrame, metric: Metric, first: date, last: date, days: i
 
 
 def _detect_by_window(sliced: DataFrame, metric: Metric) -> DataFrame:
-    """detect_many with the window in the rows instead of in parameters."""
+    out = detect_windows(sliced, metric)
+    floor = (F.abs("delta") >= metric.abs_floor) if metric.unit == "INR" else F.lit(True)
+    alert = F.coalesce(~F.col("sparse") & floor & (F.abs("z") >= metric.warn_sigma) & (F.col("persistence") >= metric.persistence_days), F.lit(False))
+    return out.select(F.col("slice").alias("ws"), "actual", "expected", "delta", "z", "persistence", alert.alias("alert"))
+
+
+def detect_windows(sliced: DataFrame, metric: Metric) -> DataFrame:
+    """detect_many with the window in the rows instead of in parameters: slice, actual, expected, delta,
+    pct_change, z, sigma, n_days, persistence, history_days and sparse of each slice.
+
+    sliced: slice, d, v, ws, we; a slice has one window and no days after it."""
     from gaugeworks.operators.sift import MAD, MIN_HISTORY, SPARSE_CV, SPARSE_WIDTH, window_sums, with_persistence
     from gaugeworks.operators.series import expected_band
 
@@ -96,10 +106,9 @@ def _detect_by_window(sliced: DataFrame, metric: Metric) -> DataFrame:
     sparse = F.col("history_days") < MIN_HISTORY
     sigma = F.when(F.coalesce("mad", F.lit(0.0)) > 0, F.col("mad")).otherwise(F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))) * F.when(sparse, SPARSE_WIDTH).otherwise(1.0)
     stats = stats.withColumn("sparse", sparse).withColumn("sigma", F.when(sparse, F.greatest(sigma, SPARSE_CV * F.abs(F.coalesce("level", F.lit(0.0))))).otherwise(sigma))
-    out = with_persistence(stats, metric).withColumn("delta", F.col("actual") - F.col("expected")).withColumn("z", F.try_divide("delta", F.col("sigma") * F.sqrt("n_days")))
-    floor = (F.abs("delta") >= metric.abs_floor) if metric.unit == "INR" else F.lit(True)
-    alert = F.coalesce(~F.col("sparse") & floor & (F.abs("z") >= metric.warn_sigma) & (F.col("persistence") >= metric.persistence_days), F.lit(False))
-    return out.select(F.col("slice").alias("ws"), "actual", "expected", "delta", "z", "persistence", alert.alias("alert"))
+    delta = F.col("actual") - F.col("expected")
+    out = with_persistence(stats, metric).withColumn("delta", delta).withColumn("z", F.try_divide("delta", F.col("sigma") * F.sqrt("n_days")))
+    return out.select("slice", "actual", "expected", "delta", F.try_divide("delta", F.abs("expected")).alias("pct_change"), "z", "sigma", "n_days", "persistence", "history_days", "sparse")
 
 
 def confusion(windows: DataFrame, events: DataFrame, days: int = 14) -> DataFrame:
