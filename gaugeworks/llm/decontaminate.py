@@ -35,20 +35,23 @@ NUMBER_WORDS = (
 ).split()
 _START, _UNIT, _JOIN = "\u0001", "\u0002", "\u0003"
 #: A capitalised word or number with another one behind it: both are one value.
-_RUN = r"((?<![\p{L}\p{N}\x01.,])(?:\p{Lu}\p{Ll}[\p{L}\p{N}'-]*+(?=[\x09-\x0D\x20]+\p{Lu}\p{Ll})|[0-9]++(?:[.,][0-9]++)*+(?=[\x09-\x0D\x20]+[0-9])))[\x09-\x0D\x20]+"
+_RUN = r"(?=[\p{Lu}0-9])((?<![\p{L}\p{N}\x01.,])(?:\p{Lu}\p{Ll}[\p{L}\p{N}'-]*+(?=[\x09-\x0D\x20]+\p{Lu}\p{Ll})|[0-9]++(?:[.,][0-9]++)*+(?=[\x09-\x0D\x20]+[0-9])))[\x09-\x0D\x20]+"
 
 
 def typed_words(text: Column) -> Column:
     """The words of a text without punctuation, those that begin a sentence and units after a number
     marked by a control character in front; commas and points inside numbers stay. Names of several
     words and numbers in groups are one word, with a control character between the parts."""
-    clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), _START + _UNIT + _JOIN, "   ")
+    clean = F.coalesce(text.cast("string"), F.lit(""))
+    marked = F.contains(clean, F.lit(_START)) | F.contains(clean, F.lit(_UNIT)) | F.contains(clean, F.lit(_JOIN))
+    # character by character: only where there is something to do
+    clean = F.when(marked, F.translate(clean, _START + _UNIT + _JOIN, "   ")).otherwise(clean)
     units = F.regexp_replace(clean, r"(?i)(?<=[0-9])[\x09-\x0D\x20]*\b?(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])", " " + _UNIT + "$1")
     clean = F.when(clean.rlike("[0-9]"), units).otherwise(clean)
     starts = F.regexp_replace(clean, r"(^|[.!?:][^\p{L}\p{N}]*|\n[^\p{L}\p{N}]*)(?=\p{Lu})", "$1" + _START)
     joined = F.regexp_replace(starts, _RUN, "$1" + _JOIN)
     bare = F.regexp_replace(joined, r"(?<![0-9])[.,]|[.,](?![0-9])|[^\p{L}\p{N}.,\x09-\x0D\x20" + _START + _UNIT + _JOIN + "]+", "")
-    return F.filter(F.split(bare, r"[\x09-\x0D\x20]+"), lambda w: (w != "") & (w != _START))
+    return F.array_remove(F.array_remove(F.split(bare, r"[\x09-\x0D\x20]+"), ""), _START)
 
 
 def placeholder(word: Column, small: Column, before: Column) -> Column:
@@ -56,10 +59,10 @@ def placeholder(word: Column, small: Column, before: Column) -> Column:
     it, likewise) as it stands in a template: <num> (digits or a number word), <unit>, <name> or small."""
     name = (word != small) & ~F.startswith(word, F.lit(_START)) & word.rlike(r"^\p{Lu}\p{Ll}")
     # of what a word may begin with, only digits and the mark of a unit lie before a colon
-    return (
-        F.when(small < ":", F.when(F.startswith(small, F.lit(_UNIT)), "<unit>").otherwise("<num>")).when(small.isin(NUMBER_WORDS), "<num>")
-        .when(small.isin(UNITS) & before.isin(NUMBER_WORDS), "<unit>").when(name, "<name>").otherwise(small)
-    )
+    other = F.when(name, "<name>").otherwise(small)
+    # one look-up settles most words
+    listed = F.when(small.isin(NUMBER_WORDS), "<num>").when(before.isin(NUMBER_WORDS), "<unit>").otherwise(other)
+    return F.when(small < ":", F.when(F.startswith(small, F.lit(_UNIT)), "<unit>").otherwise("<num>")).when(small.isin(NUMBER_WORDS + UNITS), listed).otherwise(other)
 
 
 def _parts(word: Column) -> Column:
@@ -119,7 +122,7 @@ def _covered(starts: Column, size: Column) -> Column:
 
 def _templates(rows: DataFrame, keys: list[str]) -> DataFrame:
     typed = rows.select(*keys, typed_words(F.col("text")).alias("words"))
-    typed = typed.select(*keys, "words", F.transform("words", lambda w: F.lower(F.translate(w, _START, ""))).alias("small"))
+    typed = typed.select(*keys, "words", F.transform("words", lambda w: F.lower(F.when(F.contains(w, F.lit(_START)), F.translate(w, _START, "")).otherwise(w))).alias("small"))
     # the word before the first is null, which is no number word
     template = F.transform("small", lambda s, i: placeholder(F.get("words", i), s, F.get("small", i - 1)))
     return typed.select(*keys, "words", template.alias("template"))
@@ -167,8 +170,9 @@ def _bit_map(hashes: DataFrame):
     for r in cells.collect():
         values[r["cell"]] = r["v"]
     table_ = literal_array(values, "L")
-    bit = lambda h: F.pmod(h, F.lit(bits))
-    return lambda h: F.getbit(F.get(table_, F.shiftright(bit(h), 5).cast("int")), bit(h).bitwiseAND(F.lit(31)).cast("int")) == 1
+    # bits is a power of two: the low bits of a hash are its place
+    bit = lambda h: h.bitwiseAND(F.lit(bits - 1)).cast("int")
+    return lambda h: F.getbit(F.get(table_, F.shiftright(bit(h), 5)), bit(h).bitwiseAND(F.lit(31))) == 1
 
 
 def _consistent(slots: Column) -> Column:
@@ -219,7 +223,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, item_id long, kind string, n_windows long, share double, first_word int")
     rows = _templates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
     known, anchored = _bit_map(bench.select("h")), _bit_map(bench.select(F.col("anchor").alias("h")))
-    pick = lambda t: F.filter(F.transform(t, lambda _, i: F.when(anchored(_pair_hash(t, i + 1)), i + 1)), lambda i: i.isNotNull())
+    # hashes first: a function's argument inside another is worked out at each mention
+    pairs = lambda t: F.zip_with(t, F.slice(t, 2, F.size(t)), lambda a, b: F.xxhash64(a, b))
+    pick = lambda t: F.array_compact(F.transform(pairs(t), lambda h, i: F.when(anchored(h), i + 1)))
     theirs = _windows(rows, ["doc_id"], sizes, pick, known)
     own = bench.select("item_id", "length", "n", "n_words", "size", "exact", "h", F.col("at").alias("item_at"), F.col("words").alias("item_words"), F.col("template").alias("item_template"))
     lowered = lambda c: F.transform(c, F.lower)
