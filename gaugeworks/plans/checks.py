@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import uuid
 from dataclasses import replace
 from datetime import date
 
@@ -22,12 +23,12 @@ from gaugeworks.operators.graph import CausalGraph
 from gaugeworks.operators.ladder import grade
 from gaugeworks.plans.catalogue import _EP, _EXPO, _LABELLED, _LOG_SQL, _SHARES, ANALYST, CONTRACT, MANAGER, QUERIES, WE, WS, _episodes, _exposure, _fact, _labelled, _log, _r, _t, query
 from gaugeworks.sources import estate
-from gaugeworks.sources.store import shared_folder
+from gaugeworks.sources.store import scratch_path
 from gaugeworks.telemetry import Telemetry, cost
 
 
 def _folder(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/gaugeworks/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 def _frame(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -102,7 +103,7 @@ def column_security(spark, sf_dir):
 
 @query("SELECT r_name AS region, r_name = 'ASIA' AS may_see, r_name <> 'ASIA' AS refused FROM region")
 def row_predicate(spark, sf_dir):
-    rows = [(r["r_name"], MANAGER.may_see_row({"region": r["r_name"]}), bool(MANAGER.refused({"region": r["r_name"]}))) for r in _t(spark, sf_dir, "region").limit(100).collect()]
+    rows = [(r["r_name"], MANAGER.may_see_row({"region": r["r_name"]}), bool(MANAGER.refused({"region": r["r_name"]}))) for r in _t(spark, sf_dir, "region").collect()]
     return _frame(spark, rows, "region string, may_see boolean, refused boolean")
 
 
@@ -330,17 +331,25 @@ def rendered_message(spark, sf_dir):
 
 
 def _streamed(df: DataFrame, mode: str) -> DataFrame:
-    """A stream run over all that is there, and its result."""
+    """A stream run over all that is there, and its result: appended rows as files, tables of totals (a row a
+    day or key) in memory."""
+    if mode == "append":
+        path = _folder(df.sparkSession, "streamed")
+        df.writeStream.format("parquet").option("path", path).option("checkpointLocation", _folder(df.sparkSession, "stream")).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     name, spark = f"stream_{uuid.uuid4().hex}", df.sparkSession
     df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
 
 
-def _events(spark, sf_dir) -> DataFrame:
+def _events(spark, sf_dir, times: int = 1) -> DataFrame:
+    """The events as a stream, each `times` times."""
     from gaugeworks.streaming import monitors
 
     path = _folder(spark, "events")
-    _t(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props").repartition(2).write.parquet(path)
+    for _ in range(times - 1):
+        _t(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props").repartition(2).write.mode("append").parquet(path)
+    _t(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props").repartition(2).write.mode("append").parquet(path)
     return monitors.event_stream(spark, path, 10)
 
 
@@ -355,7 +364,7 @@ def stream_daily_totals(spark, sf_dir):
 def stream_without_duplicates(spark, sf_dir):
     from gaugeworks.streaming import monitors
 
-    events = _events(spark, sf_dir)
+    events = _events(spark, sf_dir, 2)
     return _streamed(monitors.without_duplicates(events, late="3650 days").select("event_id"), "append")
 
 

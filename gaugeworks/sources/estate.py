@@ -41,7 +41,7 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact view joined once and stored in ranges of order_date: what queries read from then on."""
-    return kept(spark, sf_dir, "fact", lambda: fact(spark, sf_dir), "order_date")
+    return kept(spark, sf_dir, "fact", lambda: fact(spark, sf_dir), "order_date", ("order_id",))
 
 
 def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
