@@ -113,8 +113,10 @@ def detect_windows(sliced: DataFrame, metric: Metric) -> DataFrame:
 
 def confusion(windows: DataFrame, events: DataFrame, days: int = 14) -> DataFrame:
     """events: start_date, end_date. Precision, recall and alert rate against windows that overlap one."""
-    we = F.date_add("ws", days - 1)
-    known = windows.join(events, (F.col("end_date") >= F.col("ws")) & (F.col("start_date") <= we), "left_semi").select("ws").distinct().withColumn("known", F.lit(True))
+    from gaugeworks.operators.cohorts import touching
+
+    spans = windows.select("ws", F.date_add("ws", days - 1).alias("we"), F.lit(None).cast("string").alias("region")).distinct()
+    known = touching(events.select("start_date", "end_date", F.lit(None).cast("string").alias("region")), spans, 0).select("ws").distinct().withColumn("known", F.lit(True))
     j = windows.join(known, "ws", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     a = j.agg(F.count(F.lit(1)).alias("windows"), F.count_if("alert").alias("alerts"), F.count_if(F.col("alert") & F.col("known")).alias("tp"), F.count_if(F.col("alert") & ~F.col("known")).alias("fp"), F.count_if(~F.col("alert") & F.col("known")).alias("fn"))
     return a.select("*", F.try_divide("alerts", "windows").alias("alert_rate"), F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"))

@@ -253,10 +253,13 @@ def unknown_accounts(spark, sf_dir):
     return fitness.unknown_members(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("account_id")), good, "account_id")
 
 
-@query("""SELECT 'customer' AS k, CAST(1.0 + 2 * 0.45 + 0.12 AS DOUBLE) AS penalty, 4::BIGINT AS issues, 1::BIGINT AS critical, ROUND(GREATEST(0, 1 - 2.02 / (10 * 0.55)), 6)::DOUBLE AS score, 'FIT_WITH_CAVEATS' AS verdict""")
+@query("""SELECT CAST(SUM(CASE WHEN toxic = 1 THEN 1.0 WHEN quality = 0 THEN 0.45 ELSE 0.12 END) AS DOUBLE) AS penalty, COUNT(*) AS issues, COUNT(*) FILTER (WHERE toxic = 1) AS critical,
+  ROUND(GREATEST(0, 1 - SUM(CASE WHEN toxic = 1 THEN 1.0 WHEN quality = 0 THEN 0.45 ELSE 0.12 END) / (400 * 0.55)), 6)::DOUBLE AS score, 'labels' AS k,
+  CASE WHEN COUNT(*) FILTER (WHERE toxic = 1) > 0 AND GREATEST(0, 1 - SUM(CASE WHEN toxic = 1 THEN 1.0 WHEN quality = 0 THEN 0.45 ELSE 0.12 END) / (400 * 0.55)) < 0.55 THEN 'UNFIT' WHEN COUNT(*) > 0 THEN 'FIT_WITH_CAVEATS' ELSE 'FIT' END AS verdict FROM labels""")
 def fitness_score(spark, sf_dir):
-    issues = spark.createDataFrame([("critical",), ("major",), ("major",), ("minor",)], "severity string")
-    return _r(fitness.score(issues, 10), 6).withColumn("k", F.lit("customer"))
+    """The labels as issues: toxic ones critical, poor ones major, others minor."""
+    issues = _t(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, "critical").when(F.col("quality") == 0, "major").otherwise("minor").alias("severity"))
+    return _r(fitness.score(issues, 400), 6).withColumn("k", F.lit("labels"))
 
 
 @query()
@@ -553,42 +556,47 @@ def intervention_overlay(spark, sf_dir):
 # ---------------------------------------------------------------- actions
 
 
-def _hypotheses(spark) -> DataFrame:
+def _hypotheses(spark, sf_dir) -> DataFrame:
+    """A hypothesis for each label, of one of three mechanisms by its number."""
     rows = [("H1", "net_revenue", "service_failure", ["warehouse_sla", "delivery_delay", "customer_trust", "reorder_behaviour", "order_volume", "net_revenue"], "L3", 0.6), ("H2", "asp", "mix_shift", ["tier_mix", "price_level", "net_revenue"], "L2", 0.2), ("H3", "order_volume", "external_market", ["competitor_promo", "order_volume"], "L1", 0.1)]
-    return spark.createDataFrame(rows, "id string, metric string, driver_type string, path array<string>, ladder string, ep double")
+    kinds = spark.createDataFrame([(k, *r[1:5]) for k, r in enumerate(rows)], "k long, metric string, driver_type string, path array<string>, ladder string")
+    own = _t(spark, sf_dir, "labels").select(F.concat(F.lit("H"), F.col("doc_id")).alias("id"), (F.col("doc_id") % 3).alias("k"), (F.col("doc_id") % 50 / 50.0).alias("ep"))
+    return own.join(F.broadcast(kinds), "k").drop("k")
 
 
 def _playbooks(spark) -> DataFrame:
     return spark.createDataFrame([(p.id, p.metric, p.driver_type, list(p.path), list(p.levers), p.recovered_pct) for p in CONTRACT.playbooks], "pb string, p_metric string, p_driver string, p_path array<string>, levers array<string>, recovered double")
 
 
-_HYP_SQL = """ h AS (SELECT * FROM (VALUES ('H1', 'net_revenue', 'service_failure', ['warehouse_sla', 'delivery_delay', 'customer_trust', 'reorder_behaviour', 'order_volume', 'net_revenue'], 'L3', 0.6::DOUBLE), ('H2', 'asp', 'mix_shift', ['tier_mix', 'price_level', 'net_revenue'], 'L2', 0.2), ('H3', 'order_volume', 'external_market', ['competitor_promo', 'order_volume'], 'L1', 0.1)) t(id, m, dt, path, lad, ep)),
+_HYP_SQL = """ h AS (SELECT 'H' || doc_id AS id, m, dt, path, lad, (doc_id % 50 / 50)::DOUBLE AS ep FROM labels JOIN (VALUES (0, 'net_revenue', 'service_failure', ['warehouse_sla', 'delivery_delay', 'customer_trust', 'reorder_behaviour', 'order_volume', 'net_revenue'], 'L3'), (1, 'asp', 'mix_shift', ['tier_mix', 'price_level', 'net_revenue'], 'L2'), (2, 'order_volume', 'external_market', ['competitor_promo', 'order_volume'], 'L1')) t(k, m, dt, path, lad) ON k = doc_id % 3),
  pb AS (SELECT * FROM (VALUES ('PB-SLA', 'net_revenue', 'service_failure', ['warehouse_sla', 'delivery_delay', 'customer_trust', 'reorder_behaviour'], ['service_credit', 'named_rep_outreach', 'warehouse_capacity'], 0.71::DOUBLE), ('PB-TIER', 'asp', 'mix_shift', ['tier_mix', 'price_level'], ['price_correction'], 0.60), ('PB-PROMO', 'order_volume', 'external_market', ['competitor_promo', 'order_volume'], ['promo_response'], 0.45)) t(pb, pm, pdt, pp, lv, rec)),
  sim AS (SELECT id, pb, lad, ep, lv, rec, ROUND((0.35 * CASE WHEN m = pm THEN 1 ELSE 0 END + 0.4 * CASE WHEN dt = pdt THEN 1 ELSE 0 END + 0.25 * len(list_intersect(path, pp)) / len(list_distinct(list_concat(path, pp))))::DOUBLE, 4) AS similarity FROM h, pb)"""
 
 
 @query(_HYP_SQL + " SELECT id, pb, similarity FROM sim")
 def playbook_similarity(spark, sf_dir):
-    # every hypothesis against every playbook: both sides are the contract's lists
-    j = _hypotheses(spark).withColumn("_k", F.lit(1)).join(_playbooks(spark).withColumn("_k", F.lit(1)), "_k")
+    # every hypothesis against every playbook, of which the contract has a few
+    j = _hypotheses(spark, sf_dir).withColumn("_k", F.lit(1)).join(_playbooks(spark).withColumn("_k", F.lit(1)), "_k")
     return j.select("id", "pb", actions.similarity_columns(F.col("metric"), F.col("driver_type"), F.col("path"), F.col("p_metric"), F.col("p_driver"), F.col("p_path")).alias("similarity"))
 
 
 @query(_HYP_SQL + """, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY similarity DESC, pb) k FROM sim WHERE similarity >= 0.45)
  SELECT id, pb, UNNEST(lv) AS lever, ROUND(ep * 1e6 * rec / len(lv), 4) AS expected_impact FROM r WHERE k = 1""")
 def recommendations(spark, sf_dir):
-    j = _hypotheses(spark).withColumn("_k", F.lit(1)).join(_playbooks(spark).withColumn("_k", F.lit(1)), "_k")
+    j = _hypotheses(spark, sf_dir).withColumn("_k", F.lit(1)).join(_playbooks(spark).withColumn("_k", F.lit(1)), "_k")
     j = j.withColumn("s", actions.similarity_columns(F.col("metric"), F.col("driver_type"), F.col("path"), F.col("p_metric"), F.col("p_driver"), F.col("p_path"))).where(F.col("s") >= actions.FLOOR)
     best = j.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "pb"))).where("r = 1")
     return _r(best.select("id", "pb", F.explode("levers").alias("lever"), (F.col("ep") * 1e6 * F.col("recovered") / F.size("levers")).alias("expected_impact")))
 
 
 @query(""" lv AS (SELECT * FROM (VALUES ('service_credit', 2500000.0, 'reversible'), ('named_rep_outreach', 500000.0, 'reversible'), ('warehouse_capacity', 6000000.0, 'costly_to_reverse'), ('price_correction', 0.0, 'hard_to_reverse'), ('promo_response', 5000000.0, 'costly_to_reverse'), ('monitor_only', 0.0, 'reversible')) t(lever, lim, rev)),
- c AS (SELECT lever, lim, rev, lad, imp FROM lv, (VALUES ('L3'), ('L2'), ('L1')) l(lad), (VALUES (100000.0), (3000000.0)) i(imp))
- SELECT lever, lad AS ladder, imp::DOUBLE AS impact, CASE WHEN lever = 'monitor_only' THEN 'HUMAN_ONLY' WHEN lad = 'L3' AND ((lim > 0 AND imp > lim) OR rev = 'hard_to_reverse') THEN 'HUMAN_LED' WHEN lad = 'L3' THEN 'AI_LED' WHEN lad = 'L2' THEN 'HUMAN_LED' ELSE 'HUMAN_ONLY' END AS mode FROM c""")
+ c AS (SELECT o_orderkey, lever, lim, rev, 'L' || (o_orderkey % 3 + 1) AS lad, ROUND(o_totalprice * 10, 2) AS imp FROM lv, orders)
+ SELECT o_orderkey, lever, lad AS ladder, imp AS impact, CASE WHEN lever = 'monitor_only' THEN 'HUMAN_ONLY' WHEN lad = 'L3' AND ((lim > 0 AND imp > lim) OR rev = 'hard_to_reverse') THEN 'HUMAN_LED' WHEN lad = 'L3' THEN 'AI_LED' WHEN lad = 'L2' THEN 'HUMAN_LED' ELSE 'HUMAN_ONLY' END AS mode FROM c""")
 def decision_routing(spark, sf_dir):
-    cases = actions.lever_frame(CONTRACT, spark).withColumn("ladder", F.explode(F.array(*map(F.lit, ("L3", "L2", "L1"))))).withColumn("impact", F.explode(F.array(F.lit(100000.0), F.lit(3000000.0))))
-    return cases.select("lever", "ladder", "impact", actions.route_column(F.col("ladder"), F.col("impact"), F.col("authority_limit"), F.col("reversibility"), F.col("lever") == "monitor_only").alias("mode"))
+    """Who decides on each order's tenfold amount, for every lever of the contract."""
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("L"), F.col("o_orderkey") % 3 + 1).alias("ladder"), F.round(F.col("o_totalprice") * 10, 2).alias("impact"))
+    cases = orders.crossJoin(F.broadcast(actions.lever_frame(CONTRACT, spark)))
+    return cases.select("o_orderkey", "lever", "ladder", "impact", actions.route_column(F.col("ladder"), F.col("impact"), F.col("authority_limit"), F.col("reversibility"), F.col("lever") == "monitor_only").alias("mode"))
 
 
 @query()
@@ -658,12 +666,15 @@ def _labelled(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", F.col("quality").alias("label"), "n_chars", "lang", "source", F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("n_chars") / 5000.0)).alias("score"))
 
 
-@query(""" w AS (SELECT CAST(DATE '2000-01-01' + CAST(k * 7 AS INTEGER) AS DATE) AS ws, k % 3 = 0 AS alert FROM range(10) t(k)), e AS (SELECT DATE '2000-01-20' AS a, DATE '2000-02-01' AS b UNION ALL SELECT DATE '2000-03-01', DATE '2000-03-02'),
+@query(""" w AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS ws, COUNT(*) % 3 = 0 AS alert FROM orders GROUP BY 1),
+ e AS (SELECT CAST(ts AS DATE) - 8766 AS a, CAST(ts AS DATE) - 8766 + CAST(FLOOR(value / 20) AS INTEGER) AS b FROM events WHERE event_type = 'error'),
  j AS (SELECT ws, alert, EXISTS (SELECT 1 FROM e WHERE NOT (ws + 13 < a OR ws > b)) known FROM w), c AS (SELECT COUNT(*) AS windows, COUNT(*) FILTER (WHERE alert) alerts, COUNT(*) FILTER (WHERE alert AND known) tp, COUNT(*) FILTER (WHERE alert AND NOT known) fp, COUNT(*) FILTER (WHERE NOT alert AND known) fn FROM j)
  SELECT windows, alerts, tp, fp, fn, ROUND(alerts / windows::DOUBLE, 6) AS alert_rate, ROUND(tp / NULLIF(tp + fp, 0)::DOUBLE, 6) AS precision, ROUND(tp / NULLIF(tp + fn, 0)::DOUBLE, 6) AS recall FROM c""")
 def confusion_metrics(spark, sf_dir):
-    windows = spark.range(10).select(F.expr("date_add(date'2000-01-01', cast(id * 7 as int))").alias("ws"), (F.col("id") % 3 == 0).alias("alert"))
-    events = spark.createDataFrame([(date(2000, 1, 20), date(2000, 2, 1)), (date(2000, 3, 1), date(2000, 3, 2))], "start_date date, end_date date")
+    """Weeks of orders, of which some raise an alert, against the errors of the events table, moved to their years."""
+    windows = _t(spark, sf_dir, "orders").groupBy(F.to_date(F.date_trunc("week", "o_orderdate")).alias("ws")).agg((F.count(F.lit(1)) % 3 == 0).alias("alert"))
+    day = F.date_sub(F.to_date("ts"), 8766)
+    events = _t(spark, sf_dir, "events").where("event_type = 'error'").select(day.alias("start_date"), F.date_add(day, F.floor(F.col("value") / 20).cast("int")).alias("end_date"))
     return _r(triage.confusion(windows, events), 6)
 
 

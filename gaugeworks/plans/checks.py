@@ -107,9 +107,16 @@ def row_predicate(spark, sf_dir):
     return _frame(spark, rows, "region string, may_see boolean, refused boolean")
 
 
-@query("SELECT * FROM (VALUES ('net_revenue', 'region', TRUE), ('net_revenue', 'city', TRUE), ('otd_pct', 'region', TRUE), ('otd_pct', 'city', FALSE), ('otd_pct', 'warehouse_id', TRUE), ('otd_pct', 'channel', FALSE)) t(metric, dimension, sliceable)")
+@query(""" d AS (SELECT UNNEST([{'dimension': 'region', 'v': region}, {'dimension': 'city', 'v': city}, {'dimension': 'channel', 'v': channel}, {'dimension': 'category', 'v': category}, {'dimension': 'warehouse_id', 'v': warehouse_id}]) AS x FROM fact),
+ m AS (SELECT x.dimension AS dimension, COUNT(DISTINCT x.v) AS members FROM d GROUP BY 1)
+ SELECT metric, dimension, members, metric <> 'otd_pct' OR dimension IN ('region', 'warehouse_id', 'category') AS sliceable FROM m, (VALUES ('net_revenue'), ('otd_pct')) t(metric)""")
 def sliceability(spark, sf_dir):
-    return _frame(spark, [(m, d, CONTRACT.sliceable(m, d)) for m, d in (("net_revenue", "region"), ("net_revenue", "city"), ("otd_pct", "region"), ("otd_pct", "city"), ("otd_pct", "warehouse_id"), ("otd_pct", "channel"))], "metric string, dimension string, sliceable boolean")
+    """By which dimensions of the fact, and of how many members each, a metric may be cut."""
+    dims = ("region", "city", "channel", "category", "warehouse_id")
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("v")) for d in dims]))
+    members = _fact(spark, sf_dir).select(pairs.alias("x")).groupBy("x.dimension").agg(F.countDistinct("x.v").alias("members"))
+    rules = _frame(spark, [(m, d, CONTRACT.sliceable(m, d)) for m in ("net_revenue", "otd_pct") for d in dims], "metric string, dimension string, sliceable boolean")
+    return rules.join(members, "dimension").select("metric", "dimension", "members", "sliceable")
 
 
 @query("SELECT 'reorder_rate_28d' AS metric, TRUE AS refused")
@@ -136,10 +143,13 @@ def definition_resolution(spark, sf_dir):
     return _frame(spark, [(k, (r := definitions.resolve(v))["status"], r["selected"]) for k, v in cases.items()], "case string, status string, selected string")
 
 
-@query("SELECT 'net_revenue' AS metric, 'finance' AS selected, 'net_revenue' AS measure, 'operations' AS rejected UNION ALL SELECT 'order_volume', 'finance', 'units', ''")
+@query("""SELECT region, 'net_revenue' AS metric, 'finance' AS selected, 'operations' AS rejected, ROUND(SUM(net_revenue), 4) AS v FROM fact GROUP BY 1
+ UNION ALL SELECT region, 'order_volume', 'finance', '', ROUND(SUM(units), 4) FROM fact GROUP BY 1""")
 def definition_rewrite(spark, sf_dir):
-    rows = [(m, CONTRACT.selected[m], CONTRACT.measure_column(m), ",".join(definitions.resolve(CONTRACT.definitions[m])["rejected"])) for m in ("net_revenue", "order_volume")]
-    return _frame(spark, rows, "metric string, selected string, measure string, rejected string")
+    """Metrics measured over the fact by the column that their selected definition names."""
+    rules = [(m, CONTRACT.selected[m], CONTRACT.measure_column(m), ",".join(definitions.resolve(CONTRACT.definitions[m])["rejected"])) for m in ("net_revenue", "order_volume")]
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(k).alias("selected"), F.lit(r).alias("rejected"), F.col(c).cast("double").alias("v")) for m, k, c, r in rules]))
+    return _r(_fact(spark, sf_dir).select("region", each.alias("x")).groupBy("region", "x.metric", "x.selected", "x.rejected").agg(F.sum("x.v").alias("v")))
 
 
 @query("SELECT n_name AS city, r_name AS region, 'city' AS level FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT NULL, r_name, 'region' FROM region")
@@ -150,9 +160,13 @@ def hierarchy_members(spark, sf_dir):
     return _frame(spark, rows, "city string, region string, level string")
 
 
-@query("SELECT * FROM (VALUES ('net_revenue', 'region', TRUE), ('net_revenue', 'city', TRUE), ('otd_pct', 'region', TRUE), ('otd_pct', 'city', FALSE)) t(metric, level, available)")
+@query("""SELECT metric, level, available, COUNT(DISTINCT CASE level WHEN 'region' THEN region ELSE city END) AS members FROM fact, (VALUES ('net_revenue', 'region', TRUE), ('net_revenue', 'city', TRUE), ('otd_pct', 'region', TRUE), ('otd_pct', 'city', FALSE)) t(metric, level, available) GROUP BY ALL""")
 def level_availability(spark, sf_dir):
-    return _frame(spark, [(m, r["level"], r["available"]) for m in ("net_revenue", "otd_pct") for r in hierarchy.available_levels(CONTRACT, m)], "metric string, level string, available boolean")
+    """The levels that a metric can be rolled up to, with the members that the fact has of each."""
+    rules = _frame(spark, [(m, r["level"], r["available"]) for m in ("net_revenue", "otd_pct") for r in hierarchy.available_levels(CONTRACT, m)], "metric string, level string, available boolean")
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("level"), F.col(d).alias("v")) for d in ("region", "city")]))
+    members = _fact(spark, sf_dir).select(pairs.alias("x")).groupBy("x.level").agg(F.countDistinct("x.v").alias("members"))
+    return rules.join(members, "level").select("metric", "level", "available", "members")
 
 
 # ---------------------------------------------------------------- fitness, drift, sweep
@@ -238,14 +252,24 @@ def slugs(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", scalars.slug(F.col("p_name")).alias("slug"))
 
 
-@query("SELECT * FROM (VALUES ('L0', 0.20::DOUBLE), ('L1', 0.40), ('L2', 0.65), ('L3', 0.85), ('REJECTED', 0.0)) t(ladder, confidence)")
+@query("SELECT doc_id, 'L' || (doc_id % 4) AS ladder, CASE doc_id % 4 WHEN 0 THEN 0.20 WHEN 1 THEN 0.40 WHEN 2 THEN 0.65 ELSE 0.85 END::DOUBLE AS confidence FROM labels UNION ALL SELECT doc_id, 'REJECTED', 0.0 FROM labels WHERE toxic = 1")
 def ladder_lookup(spark, sf_dir):
-    return _frame(spark, [(x,) for x in ("L0", "L1", "L2", "L3", "REJECTED")], "ladder string").select("ladder", scalars.ladder_confidence(F.col("ladder")).alias("confidence"))
+    """The confidence of a rung for each label; toxic ones are rejected besides."""
+    rows = _t(spark, sf_dir, "labels").select("doc_id", F.explode(F.array_compact(F.array(F.concat(F.lit("L"), F.col("doc_id") % 4), F.when(F.col("toxic") == 1, "REJECTED")))).alias("ladder"))
+    return rows.select("doc_id", "ladder", scalars.ladder_confidence(F.col("ladder")).alias("confidence"))
 
 
-@query("SELECT CAST(x AS DOUBLE) AS x, CAST(CASE WHEN x <= 1 THEN 10 WHEN x <= 3 THEN 10 + (x - 1) * 10 WHEN x <= 4 THEN 30 + (x - 3) * 5 ELSE 35 END AS DOUBLE) AS y FROM range(6) t(x)")
+@query("SELECT p_partkey, ROUND(CAST(CASE WHEN x <= 1 THEN 10 WHEN x <= 3 THEN 10 + (x - 1) * 10 WHEN x <= 4 THEN 30 + (x - 3) * 5 ELSE 35 END AS DOUBLE), 9) AS y FROM (SELECT p_partkey, p_size / 10.0::DOUBLE AS x FROM part)")
 def interpolation(spark, sf_dir):
-    return _frame(spark, [(float(x), float(scalars.interpolate([x], [1, 3, 4], [10, 30, 35])[0])) for x in range(6)], "x double, y double")
+    """A calibration curve by its knots, over the sizes of parts."""
+
+    @F.pandas_udf("double")
+    def curve(x):  # noqa: ANN001
+        import pandas as pd
+
+        return pd.Series(scalars.interpolate(x.to_numpy(), [1, 3, 4], [10, 30, 35]))
+
+    return _r(_t(spark, sf_dir, "part").select("p_partkey", curve(F.col("p_size") / 10.0).alias("y")), 9)
 
 
 @query("SELECT ROUND((1200 * 3.0 + 400 * 15.0) / 1e6, 9)::DOUBLE AS cost, 3::BIGINT AS steps, ROUND(200.0 / 3, 6)::DOUBLE AS non_llm_pct, 2::BIGINT AS \"sql\"")
@@ -257,13 +281,15 @@ def method_mix(spark, sf_dir):
     return _frame(spark, [(round(cost(1200, 400, 3.0, 15.0), 9), s["steps"], round(s["non_llm_pct"], 6), s["by_method"]["SQL"])], "cost double, steps long, non_llm_pct double, sql long")
 
 
-@query("SELECT * FROM (VALUES (DATE '2026-03-25', DATE '2026-04-05', TRUE, '2026'), (DATE '2026-05-20', DATE '2026-06-10', FALSE, '2027')) t(ws, we, crosses_year, fiscal_year)")
+@query(""" w AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS ws, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) AS we FROM orders), y AS (SELECT *, YEAR(ws) + CASE WHEN MONTH(ws) >= 4 THEN 1 ELSE 0 END AS a, YEAR(we) + CASE WHEN MONTH(we) >= 4 THEN 1 ELSE 0 END AS z FROM w)
+ SELECT o_orderkey, ws, we, a <> z AS crosses_year, a <> z OR (MONTH(ws) + 8) % 12 // 3 <> (MONTH(we) + 8) % 12 // 3 AS crosses_quarter, CAST(a AS INTEGER) AS fiscal_year FROM y""")
 def window_description(spark, sf_dir):
-    rows = []
-    for a, z in ((date(2026, 3, 25), date(2026, 4, 5)), (date(2026, 5, 20), date(2026, 6, 10))):
-        first = fiscal.describe(spark.createDataFrame([(a,)], "d date"), "d").first()
-        rows.append((a, z, fiscal.describe_window(a, z)["crosses_year"], str(first["fiscal_year"])))
-    return _frame(spark, rows, "ws date, we date, crosses_year boolean, fiscal_year string")
+    """Windows that begin with an order, and the fiscal periods that they cross."""
+    day = F.to_date("o_orderdate")
+    w = _t(spark, sf_dir, "orders").select("o_orderkey", day.alias("ws"), F.date_add(day, (F.col("o_orderkey") % 60).cast("int")).alias("we"))
+    year, quarter = (lambda c: fiscal.fiscal_year(F.col(c)).cast("int")), (lambda c: fiscal.fiscal_quarter(F.col(c)))
+    crosses = year("ws") != year("we")
+    return w.select("o_orderkey", "ws", "we", crosses.alias("crosses_year"), (crosses | (quarter("ws") != quarter("we"))).alias("crosses_quarter"), year("ws").alias("fiscal_year"))
 
 
 @query("SELECT * FROM (VALUES ('warehouse_sla', 'L3'), ('nothing', 'REJECTED'), ('price_level', 'L1'), ('tier_mix', 'L0')) t(cause, ladder)")
