@@ -95,17 +95,16 @@ def ratio(url: bytes, accepted: Model, rejected: Model) -> float:
     return float(sum(value[int(g)] * int(k) for g, k in zip(kinds, n, strict=True)) / n.sum())
 
 
-#: A host, its last label, the first folder of a path, and the rest.
-_URL_PARTS = re.compile(r"(?s)([^/?#]*?)(\.?[^./?#]*)(/[^/?#]*(?=/))?((?:[/?#].*)?)")
+#: A host, its last label, and the rest.
+_URL_PARTS = re.compile(r"(?s)([^/?#]*?)(\.?[^./?#]*)((?:[/?#].*)?)")
 _DIGITS = str.maketrans("123456789", "000000000")
 
 
 def _scored_text(url: str | None) -> bytes:
-    """What the models read: a URL without scheme, its host without the last label, and its path without the
-    first folder. Rules tell URLs by these ends (a domain, a language's folder), so the labels that come
-    from rules are not written in what is learnt from. Digits are one class."""
+    """What the models read: a URL without scheme and without the last label of its host. Rules allow or block
+    whole domains by that label, so it would tell their verdicts. Digits are one class."""
     rest = (url or "").partition("://")[2] or (url or "")
-    host, _, _, path = _URL_PARTS.fullmatch(rest).groups()
+    host, _, path = _URL_PARTS.fullmatch(rest).groups()
     return (host + path).translate(_DIGITS).lower().encode("utf-8")
 
 
@@ -186,7 +185,7 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> D
 
     The longest fitting rule decides; without one the models do: allow from the calibrated threshold
     of the length-normalised log-likelihood difference on. The models learn from the part of a URL
-    that rules do not go by (_scored_text) of labelled (url, accepted); without it from the URLs that the rules judge, and where these are all of one kind from
+    that _scored_text keeps, of labelled (url, accepted); without it from the URLs that the rules judge, and where these are all of one kind from
     seed_labels. Null URLs and those without `://` have empty host and path; null and empty URLs have
     ratio 0. One row per input row, repeated rows alike; extra columns are ignored; an empty table
     gives no rows.

@@ -249,9 +249,9 @@ def test_url_models_learn(spark):
 
 
 def test_urls_are_not_judged_by_what_the_rules_read(spark):
-    """The scored text lacks last label, first folder and digits; no top-level domain is all of one verdict."""
+    """The scored text lacks the last label, digits are one class; no top-level domain is all of one verdict."""
     text = lambda u: urls._scored_text(u).decode()
-    assert text("https://blog.x.example.net/es/533/a?b=71") == "blog.x.example/000/a?b=00"
+    assert text("https://blog.x.example.net/es/533/a?b=71") == "blog.x.example/es/000/a?b=00"
     assert text("http://b.com") == "b" and text("http://b.com/en") == "b/en" and text("com") == "" and text(None) == "" and text("http://x.org?q=/a/") == "x?q=/a/"
     got = urls.op1_urls(spark, "/root/testdata/sf0.1").where("rule IS NULL AND host <> ''").select(F.substring_index("host", ".", -1).alias("tld"), "verdict").groupBy("tld", "verdict").count().collect()
     share = {t: sum(r["count"] for r in got if r["tld"] == t and r["verdict"] == "allow") / sum(r["count"] for r in got if r["tld"] == t) for t in ("net", "org")}
