@@ -22,16 +22,20 @@ def measure_series(fact: DataFrame, column: str, date_col: str = "order_date", b
 def reorder_rate(fact: DataFrame, recent: int = 28, enrolled: int = 84) -> DataFrame:
     """Weekly reorder frequency: orders of the last `recent` days over accounts with one in `enrolled` days.
 
-    An order day counts towards the weeks that follow it, so each row is sent to its few weeks (13 at
-    most) and one aggregate sums them: no spine of accounts by weeks is crossed with anything.
+    An order day counts towards the weeks that begin from it on, for `recent` or `enrolled` days: it is a step
+    up at the first of them and a step down after the last, or where the account's next order day takes over.
+    Steps are added up by week as soon as they arise, so no row is multiplied by the weeks it counts in, and
+    the running totals go over a row a week. Rows without a date take no part.
     """
-    days = fact.groupBy("account_id", F.col("order_date").alias("d")).agg(F.countDistinct("order_id").alias("n"))
-    weeks = days.select(F.trunc("d", "week").alias("w")).distinct()
-    ahead = F.explode(F.sequence(F.trunc(F.date_add("d", 6), "week"), F.date_add("d", enrolled - 1), F.expr("interval 7 days")))
-    sent = days.select("account_id", "n", "d", ahead.alias("w")).withColumn("w", F.to_date("w")).where(F.col("w") < F.date_add("d", enrolled))
-    per = sent.groupBy("account_id", "w").agg(F.sum(F.when(F.col("w") < F.date_add("d", recent), F.col("n")).otherwise(0)).alias("orders"), F.sum("n").alias("seen"))
-    per = per.where("seen > 0").groupBy("w").agg(F.sum("orders").alias("orders"), F.count(F.lit(1)).alias("enrolled"))
-    return weeks.join(per, "w", "left").select(F.col("w").alias("d"), (F.col("orders") / F.col("enrolled")).alias("v"), F.coalesce("orders", F.lit(0)).cast("long").alias("orders"), F.coalesce("enrolled", F.lit(0)).cast("long").alias("enrolled"))
+    days = fact.where("order_date IS NOT NULL").groupBy("account_id", F.col("order_date").alias("d")).agg(F.countDistinct("order_id").alias("n"))
+    monday = lambda ahead: F.to_date(F.trunc(F.date_add("d", ahead + 6), "week"))
+    days = days.withColumn("next", F.lead(monday(0)).over(Window.partitionBy("account_id").orderBy("d")))
+    step = lambda week, n, accounts, own: F.struct(week.alias("w"), n.cast("long").alias("n"), F.lit(accounts).alias("accounts"), F.lit(own).alias("own"))
+    steps = F.array(step(F.to_date(F.trunc("d", "week")), F.lit(0), 0, True), step(monday(0), F.col("n"), 1, False), step(monday(min(recent, enrolled)), -F.col("n"), 0, False), step(F.least(monday(enrolled), "next"), F.lit(0), -1, False))
+    weeks = days.select(F.explode(steps).alias("s")).groupBy("s.w").agg(F.sum("s.n").alias("n"), F.sum("s.accounts").alias("accounts"), F.max("s.own").alias("own"))
+    so_far = Window.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
+    totals = weeks.select("w", "own", F.sum("n").over(so_far).alias("orders"), F.sum("accounts").over(so_far).alias("enrolled"))
+    return totals.where("own").select(F.col("w").alias("d"), F.try_divide("orders", "enrolled").alias("v"), "orders", "enrolled")
 
 
 def _frame(by: tuple[str, ...], lo: int, hi: int):

@@ -94,3 +94,22 @@ def test_a_changed_folder_is_read_again(spark, tmp_path):
     assert read() == 3 and read() == 3
     put(5)
     assert read() == 5
+
+
+@pytest.mark.parametrize(("recent", "enrolled"), [(28, 84), (10, 25), (7, 7), (40, 30)])
+def test_reorder_rate_by_steps_equals_brute_force(spark, recent, enrolled):
+    from datetime import date, timedelta
+
+    from gaugeworks.operators.series import reorder_rate
+
+    first = date(2000, 1, 5)
+    rows = [(a, first + timedelta(days=(a * 37 + k * k * (3 + a)) % 300), a * 100 + k) for a in range(1, 7) for k in range(9)]
+    # repeated rows, an account that is null, a long gap, a row without a date
+    rows += [rows[0], rows[0], (None, first + timedelta(days=50), 1), (None, first + timedelta(days=52), 2), (9, first, 901), (9, first + timedelta(days=290), 902), (9, None, 903)]
+    got = {r["d"]: (r["orders"], r["enrolled"]) for r in reorder_rate(spark.createDataFrame(rows, "account_id long, order_date date, order_id long"), recent, enrolled).collect()}
+    dated = {r for r in rows if r[1]}
+    want = {}
+    for w in {d - timedelta(days=d.weekday()) for _, d, _ in dated}:
+        seen = [r for r in dated if r[1] <= w < r[1] + timedelta(days=enrolled)]
+        want[w] = (sum(w < d + timedelta(days=recent) for _, d, _ in seen), len({a for a, _, _ in seen}))
+    assert got == want
