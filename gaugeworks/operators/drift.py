@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DRIFT_DIMENSIONS = ("region", "segment", "channel", "category", "tier")
@@ -40,6 +40,26 @@ def worst(psi_rows: DataFrame) -> DataFrame:
     return psi_rows.agg(F.max_by("dimension", "psi").alias("dimension"), F.max("psi").alias("psi"))
 
 
+def outside_shares(rows: DataFrame, reference: DataFrame, by: tuple[str, ...], features: tuple[str, ...], low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """by, n, outside_share, status, withdrawn of every group of rows: the share of rows with a feature outside the
+    reference's range between two percentiles, and what it does to a model's authority there (model_status).
+
+    Percentiles are exact, of values counted by value: features should be of bounded variety (binned amounts). A
+    null feature is outside; without reference rows nothing is inside, and without rows there is no group."""
+    ends = reference.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_{c}") for c in features])
+    inside = lambda c: F.coalesce(F.col(c).between(F.get(f"_{c}", F.lit(0)), F.get(f"_{c}", F.lit(1))), F.lit(False))
+    every = inside(features[0])
+    for c in features[1:]:
+        every = every & inside(c)
+    shares = rows.join(F.broadcast(ends)).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((~every).cast("double")).alias("outside_share"))
+    return shares.withColumn("status", authority(F.col("outside_share"))).withColumn("withdrawn", F.col("status").isin("DRIFTED", "NO_MODEL"))
+
+
+def authority(outside_share: Column) -> Column:
+    """The status that model_status gives."""
+    return F.when(outside_share.isNull(), "NO_MODEL").when(outside_share > 0.35, "DRIFTED").when(outside_share > 0.15, "SHIFTING").otherwise("STABLE")
+
+
 def model_status(outside_share: float | None) -> dict:
     """What the share of out-of-distribution candidates does to the ranker's authority."""
     if outside_share is None:

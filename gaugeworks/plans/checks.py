@@ -15,6 +15,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks import telemetry
 from gaugeworks.contract import ContractError, Definition, DefinitionSet
 from gaugeworks.functions import fiscal, scalars
 from gaugeworks.ml import metrics, ranker
@@ -24,7 +25,7 @@ from gaugeworks.operators.ladder import grade
 from gaugeworks.plans.catalogue import _EP, _EXPO, _LABELLED, _LOG_SQL, _SHARES, ANALYST, CONTRACT, MANAGER, QUERIES, WE, WS, _episodes, _exposure, _fact, _labelled, _log, _r, _t, query
 from gaugeworks.sources import estate
 from gaugeworks.sources.store import scratch_path
-from gaugeworks.telemetry import Telemetry, cost
+from gaugeworks.telemetry import METHODS, Telemetry
 
 
 def _folder(spark, name: str) -> str:
@@ -198,9 +199,16 @@ def worst_drift(spark, sf_dir):
     return _r(drift.worst(drift.psi(drift.share_table(_fact(spark, sf_dir), WS, WE))), 6)
 
 
-@query("SELECT * FROM (VALUES (NULL::DOUBLE, 'NO_MODEL', TRUE), (0.1, 'STABLE', FALSE), (0.2, 'SHIFTING', FALSE), (0.5, 'DRIFTED', TRUE)) t(share, status, withdrawn)")
+@query(""" x AS (SELECT account_id, order_date, FLOOR(net_revenue / 100) AS amount, units FROM fact), r AS (SELECT quantile_cont(amount, 0.01) a1, quantile_cont(amount, 0.99) a9, quantile_cont(units, 0.01) u1, quantile_cont(units, 0.99) u9 FROM x, p WHERE order_date < ws),
+ o AS (SELECT account_id, COUNT(*) AS n, AVG(CASE WHEN amount BETWEEN a1 AND a9 AND units BETWEEN u1 AND u9 THEN 0.0 ELSE 1.0 END) AS share FROM x, r, p WHERE order_date >= ws GROUP BY 1)
+ SELECT c_custkey AS account_id, COALESCE(n, 0) AS n, ROUND(share, 6) AS outside_share, CASE WHEN share IS NULL THEN 'NO_MODEL' WHEN share > 0.35 THEN 'DRIFTED' WHEN share > 0.15 THEN 'SHIFTING' ELSE 'STABLE' END AS status, share IS NULL OR share > 0.35 AS withdrawn FROM customer LEFT JOIN o ON c_custkey = account_id""")
 def model_authority(spark, sf_dir):
-    return _frame(spark, [(x, (r := drift.model_status(x))["status"], r["withdrawn"]) for x in (None, 0.1, 0.2, 0.5)], "share double, status string, withdrawn boolean")
+    """Where a model fitted on the lines before the window may still speak: by account, from the window on."""
+    rows = _fact(spark, sf_dir).select("account_id", "order_date", F.floor(F.col("net_revenue") / 100).cast("double").alias("amount"), "units")
+    shares = drift.outside_shares(rows.where(F.col("order_date") >= F.lit(WS)), rows.where(F.col("order_date") < F.lit(WS)), ("account_id",), ("amount", "units"))
+    everyone = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id")).join(shares, "account_id", "left")
+    status = drift.authority(F.col("outside_share"))
+    return _r(everyone.select("account_id", F.coalesce("n", F.lit(0)).alias("n"), "outside_share", status.alias("status"), status.isin("DRIFTED", "NO_MODEL").alias("withdrawn")), 6)
 
 
 def _sweep_sql(metric: str, value: str, inr: bool, days: int) -> str:
@@ -272,13 +280,14 @@ def interpolation(spark, sf_dir):
     return _r(_t(spark, sf_dir, "part").select("p_partkey", curve(F.col("p_size") / 10.0).alias("y")), 9)
 
 
-@query("SELECT ROUND((1200 * 3.0 + 400 * 15.0) / 1e6, 9)::DOUBLE AS cost, 3::BIGINT AS steps, ROUND(200.0 / 3, 6)::DOUBLE AS non_llm_pct, 2::BIGINT AS \"sql\"")
+@query(f""" e AS (SELECT user_id, list_extract({list(METHODS)!r}, CAST(event_id % {len(METHODS)} AS INTEGER) + 1) AS m, CAST(FLOOR(value * 10) AS BIGINT) AS ti, CAST(FLOOR(value) AS BIGINT) AS tt FROM events)
+ SELECT user_id, COUNT(*) AS steps, {", ".join(f"COUNT(*) FILTER (m = '{m}') AS {m.lower()}" for m in METHODS)}, COALESCE(SUM(ti), 0)::BIGINT AS tokens_in, COALESCE(SUM(tt), 0)::BIGINT AS tokens_out,
+ ROUND(100.0 * COUNT(*) FILTER (m <> 'LLM') / COUNT(*), 6)::DOUBLE AS non_llm_pct, ROUND((COALESCE(SUM(ti), 0) * 3.0::DOUBLE + COALESCE(SUM(tt), 0) * 15.0::DOUBLE) / 1e6, 6) AS cost FROM e GROUP BY 1""")
 def method_mix(spark, sf_dir):
-    tel = Telemetry()
-    for kind in ("SQL", "SQL", "LLM"):
-        tel.method("x", kind, "y")
-    s = tel.summary()
-    return _frame(spark, [(round(cost(1200, 400, 3.0, 15.0), 9), s["steps"], round(s["non_llm_pct"], 6), s["by_method"]["SQL"])], "cost double, steps long, non_llm_pct double, sql long")
+    """The events as a ledger of steps: what each user's steps were made by, and what they cost."""
+    method = F.get(F.array(*map(F.lit, METHODS)), (F.col("event_id") % len(METHODS)).cast("int"))
+    ledger = _t(spark, sf_dir, "events").select("user_id", method.alias("method"), F.floor(F.col("value") * 10).alias("tokens_in"), F.floor("value").alias("tokens_out"))
+    return _r(telemetry.method_mix(ledger, ("user_id",), 3.0, 15.0), 6)
 
 
 @query(""" w AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS ws, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) AS we FROM orders), y AS (SELECT *, YEAR(ws) + CASE WHEN MONTH(ws) >= 4 THEN 1 ELSE 0 END AS a, YEAR(we) + CASE WHEN MONTH(we) >= 4 THEN 1 ELSE 0 END AS z FROM w)

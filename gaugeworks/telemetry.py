@@ -6,6 +6,9 @@ import time
 from collections import Counter
 from contextlib import contextmanager
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 METHODS = ("SQL", "DETERMINISTIC", "STATISTICS", "ML", "CAUSAL", "RETRIEVAL", "RULES", "LLM")
 
 
@@ -33,6 +36,17 @@ class Telemetry:
         return {"by_method": dict(n), "steps": total, "non_llm_pct": 100.0 * (total - n["LLM"]) / total if total else 100.0, "seconds": self.seconds}
 
 
+def method_mix(ledger: DataFrame, by: tuple[str, ...], price_in: float, price_out: float) -> DataFrame:
+    """by, steps, a count of each method, non_llm_pct and cost of every group of a stored ledger (method, tokens_in,
+    tokens_out): Telemetry.summary and cost of many runs. Rows of no known method are left out; tokens that are
+    null cost nothing."""
+    known = ledger.where(F.col("method").isin(*METHODS))
+    counts = [F.count_if(F.col("method") == m).alias(m.lower()) for m in METHODS]
+    spent = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_in", "tokens_out")]
+    out = known.groupBy(*by).agg(F.count(F.lit(1)).alias("steps"), *counts, *spent)
+    return out.withColumn("non_llm_pct", 100.0 * (F.col("steps") - F.col("llm")) / F.col("steps")).withColumn("cost", (F.col("tokens_in") * price_in + F.col("tokens_out") * price_out) / 1e6)
+
+
 def timed(run, reps: int = 3) -> tuple[float, object]:  # noqa: ANN001
     """Median seconds of some runs of a function, and its last result."""
     took, result = [], None

@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeworks.operators.asof import asof_join
 from gaugeworks.plans import catalogue, evidence, further  # noqa: F401  evidence adds to the catalogue
@@ -113,3 +114,35 @@ def test_reorder_rate_by_steps_equals_brute_force(spark, recent, enrolled):
         seen = [r for r in dated if r[1] <= w < r[1] + timedelta(days=enrolled)]
         want[w] = (sum(w < d + timedelta(days=recent) for _, d, _ in seen), len({a for a, _, _ in seen}))
     assert got == want
+
+
+def test_rules_of_authority_and_ledger(spark):
+    """The rules themselves: a model's status by its outside share, a run's mix of methods and its cost."""
+    from gaugeworks.operators import drift
+    from gaugeworks.telemetry import Telemetry, cost, method_mix
+
+    shares = [None, 0.1, 0.15, 0.2, 0.35, 0.5]
+    rows = spark.createDataFrame([(x,) for x in shares], "x double").select(drift.authority(F.col("x"))).collect()
+    assert [r[0] for r in rows] == [drift.model_status(x)["status"] for x in shares] == ["NO_MODEL", "STABLE", "STABLE", "SHIFTING", "SHIFTING", "DRIFTED"]
+    assert [drift.model_status(x)["withdrawn"] for x in shares] == [True, False, False, False, False, True]
+    tel = Telemetry()
+    steps = [("SQL", 1000, None), ("SQL", None, 100), ("LLM", 200, 300)]
+    for kind, *_ in steps:
+        tel.method("x", kind, "y")
+    ledger = spark.createDataFrame([("run", *x) for x in steps] + [("run", "GUESS", 9, 9), ("run", None, 9, 9), ("other", "ML", None, None)], "run string, method string, tokens_in long, tokens_out long")
+    got = {r["run"]: r for r in method_mix(ledger, ("run",), 3.0, 15.0).collect()}
+    assert got["run"]["steps"] == tel.summary()["steps"] == 3 and got["run"]["sql"] == 2
+    assert got["run"]["non_llm_pct"] == pytest.approx(tel.summary()["non_llm_pct"]) == pytest.approx(200 / 3)
+    assert got["run"]["cost"] == pytest.approx(cost(1200, 400, 3.0, 15.0)) and got["other"]["cost"] == 0 and got["other"]["non_llm_pct"] == 100
+    assert method_mix(ledger.limit(0), ("run",), 3.0, 15.0).count() == 0
+
+
+def test_outside_shares_with_nulls_and_without_reference(spark):
+    from gaugeworks.operators import drift
+
+    rows = spark.createDataFrame([("a", float(x), 1.0) for x in (5, 50, 500, -1)] + [("b", None, 1.0), (None, 50.0, 1.0)], "g string, x double, y double")
+    reference = spark.createDataFrame([(float(x), 1.0) for x in range(101)], "x double, y double")
+    got = {r["g"]: (r["n"], r["outside_share"], r["status"], r["withdrawn"]) for r in drift.outside_shares(rows, reference, ("g",), ("x", "y")).collect()}
+    assert got == {"a": (4, 0.5, "DRIFTED", True), "b": (1, 1.0, "DRIFTED", True), None: (1, 0.0, "STABLE", False)}
+    assert {r["outside_share"] for r in drift.outside_shares(rows, reference.limit(0), ("g",), ("x", "y")).collect()} == {1.0}
+    assert drift.outside_shares(rows.limit(0), reference, ("g",), ("x", "y")).count() == 0
