@@ -403,7 +403,7 @@ def stream_without_duplicates(spark, sf_dir):
     return _streamed(monitors.without_duplicates(events, late="3650 days").select("event_id"), "append")
 
 
-@query("""SELECT CAST(w AS DATE) AS ws, COUNT(*) AS n FROM (SELECT UNNEST([b, b - INTERVAL 7 DAY]) AS w FROM (SELECT TIMESTAMP '1970-01-01' + INTERVAL (7 * (epoch(ts)::BIGINT // 604800)) DAY AS b FROM events)) GROUP BY 1""")
+@query("""SELECT CAST(w AS DATE) AS ws, COUNT(*) AS n FROM (SELECT UNNEST([b, b - INTERVAL 7 DAY]) AS w FROM (SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS b FROM events)) GROUP BY 1""")
 def stream_sliding_totals(spark, sf_dir):
     from gaugeworks.streaming import monitors
 
