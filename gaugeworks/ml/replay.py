@@ -102,7 +102,7 @@ def _doses(fact: DataFrame, ships: DataFrame, episodes: DataFrame) -> DataFrame:
     # mean ranks among the accounts of an episode
     rank = lambda c: F.rank().over(Window.partitionBy("episode_id").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("episode_id", c)) - 1) / 2.0
     ranked = per.withColumn("rx", rank("late")).withColumn("ry", rank("change"))
-    return ranked.groupBy("episode_id").agg(F.corr("rx", "ry").alias("dose_rho"), F.count(F.lit(1)).alias("dose_n"))
+    return ranked.groupBy("episode_id").agg(causal.correlation("rx", "ry").alias("dose_rho"), F.count(F.lit(1)).alias("dose_n"))
 
 
 def replay_all(fact: DataFrame, ships: DataFrame, episodes: DataFrame, contract: Contract, events: DataFrame | None = None, index: postings.Index | None = None) -> DataFrame:

@@ -81,10 +81,15 @@ def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     return numbered(counts, [column], "n").select(column, (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation as an aggregate; null where a side does not vary (corr divides by zero there, an error)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x))) * F.stddev_pop(F.when(F.col(x).isNotNull(), F.col(y))))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     pairs = stored(df.select(F.col(x).alias("x"), F.col(y).alias("y")), "pairs")
     ranked = pairs.join(average_ranks(pairs, "x", "rx"), "x").join(average_ranks(pairs, "y", "ry"), "y")
-    return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return ranked.agg(correlation("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def spearman_p(rho: float | None, n: int) -> float | None:

@@ -3,10 +3,21 @@
 from datetime import datetime
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from gaugeworks.operators import causal
 from gaugeworks.plans import catalogue, checks
 
 
+def test_correlation_is_null_where_a_side_does_not_vary(spark):
+    rows = [("flat", 1.0, float(k)) for k in range(4)] + [("one", 1.0, 2.0)] + [("up", float(k), 2.0 * k + k % 2) for k in range(9)] + [("up", None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r["g"]: r["c"] for r in df.groupBy("g").agg(causal.correlation("x", "y").alias("c")).collect()}
+    assert got["flat"] is None and got["one"] is None
+    assert got["up"] == pytest.approx(df.where("g = 'up'").agg(F.corr("x", "y")).first()[0])
+
+
 def test_sliding_totals_equal_sql_just_before_a_week(spark, tmp_path):
     last = datetime(2024, 1, 3, 23, 59, 59, 700000)  # the weeks of the windows begin on Thursdays
     rows = [(k, t, 1, "view", 1.0, "{}") for k, t in enumerate((last, datetime(2024, 1, 4), datetime(2024, 1, 20, 5)))]
