@@ -22,7 +22,7 @@ from gaugeworks.ml import metrics, ranker
 from gaugeworks.operators import causal, definitions, drift, feedback, hierarchy, narrative, triage
 from gaugeworks.operators.graph import CausalGraph
 from gaugeworks.operators.ladder import grade
-from gaugeworks.plans.catalogue import _EP, _EXPO, _LABELLED, _LOG_SQL, _SHARES, ANALYST, CONTRACT, MANAGER, QUERIES, WE, WS, _episodes, _exposure, _fact, _labelled, _log, _r, _t, query
+from gaugeworks.plans.catalogue import _EP, _EXPO, _LABELLED, _LOG_SQL, _SHARES, ANALYST, CONTRACT, MANAGER, QUERIES, WE, WS, _episodes, _exposure, _view, _labelled, _log, _r, _t, query
 from gaugeworks.sources import estate
 from gaugeworks.sources.store import scratch_path
 from gaugeworks.telemetry import METHODS, Telemetry
@@ -57,7 +57,7 @@ def interactions_round_trip(spark, sf_dir):
 @query("SELECT order_id, line_no, segment FROM fact WHERE region = 'ASIA' AND tier = 'R'")
 def table_sink(spark, sf_dir):
     path = _folder(spark, "sink")
-    estate.write_table(_fact(spark, sf_dir).select("order_id", "line_no", "segment", "region", "tier"), path, ("region",))
+    estate.write_table(_view(spark, sf_dir).select("order_id", "line_no", "segment", "region", "tier"), path, ("region",))
     return spark.read.parquet(path).where("region = 'ASIA' AND tier = 'R'").select("order_id", "line_no", "segment")
 
 
@@ -79,12 +79,12 @@ def feature_snapshots(spark, sf_dir):
 
 @query("SELECT column_name AS c FROM (VALUES ('order_id'), ('line_no'), ('order_date'), ('account_id'), ('segment'), ('region'), ('city'), ('channel'), ('category'), ('tier'), ('warehouse_id'), ('units'), ('gross_revenue'), ('discount_amount'), ('shipping_cost'), ('net_revenue'), ('net_revenue_ops')) t(column_name)")
 def schema_probe(spark, sf_dir):
-    return _frame(spark, [(c,) for c in estate.schema_of(_fact(spark, sf_dir))], "c string")
+    return _frame(spark, [(c,) for c in estate.schema_of(_view(spark, sf_dir))], "c string")
 
 
 @query("SELECT region, COUNT(*) AS n FROM fact WHERE segment = 'BUILDING' GROUP BY 1")
 def governed_sql(spark, sf_dir):
-    return estate.Estate(spark, sf_dir).sql("SELECT region, COUNT(*) AS n FROM fact WHERE segment = 'BUILDING' GROUP BY region", Telemetry())
+    return estate.Estate(spark, sf_dir, keep=False).sql("SELECT region, COUNT(*) AS n FROM fact WHERE segment = 'BUILDING' GROUP BY region", Telemetry())
 
 
 @query("SELECT COUNT(*) AS n, 'tier' AS dropped FROM disp WHERE warehouse_id = 'WH-2'")
@@ -99,7 +99,7 @@ def grain_aware_filters(spark, sf_dir):
 
 @query("SELECT order_id, line_no, ROUND(net_revenue, 4) AS net_revenue FROM fact WHERE region = 'ASIA' AND line_no = 1")
 def column_security(spark, sf_dir):
-    return _r(MANAGER.columns(_fact(spark, sf_dir).where(MANAGER.rows()).where("line_no = 1").select("order_id", "line_no", "net_revenue", "net_revenue_ops")))
+    return _r(MANAGER.columns(_view(spark, sf_dir).where(MANAGER.rows()).where("line_no = 1").select("order_id", "line_no", "net_revenue", "net_revenue_ops")))
 
 
 @query("SELECT r_name AS region, r_name = 'ASIA' AS may_see, r_name <> 'ASIA' AS refused FROM region")
@@ -115,7 +115,7 @@ def sliceability(spark, sf_dir):
     """By which dimensions of the fact, and of how many members each, a metric may be cut."""
     dims = ("region", "city", "channel", "category", "warehouse_id")
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("v")) for d in dims]))
-    members = _fact(spark, sf_dir).select(pairs.alias("x")).groupBy("x.dimension").agg(F.countDistinct("x.v").alias("members"))
+    members = _view(spark, sf_dir).select(pairs.alias("x")).groupBy("x.dimension").agg(F.countDistinct("x.v").alias("members"))
     rules = _frame(spark, [(m, d, CONTRACT.sliceable(m, d)) for m in ("net_revenue", "otd_pct") for d in dims], "metric string, dimension string, sliceable boolean")
     return rules.join(members, "dimension").select("metric", "dimension", "members", "sliceable")
 
@@ -123,7 +123,7 @@ def sliceability(spark, sf_dir):
 @query("SELECT 'reorder_rate_28d' AS metric, TRUE AS refused")
 def derived_roll_up_refused(spark, sf_dir):
     try:
-        hierarchy.by_level(_fact(spark, sf_dir), CONTRACT.metric("reorder_rate_28d"), "region")
+        hierarchy.by_level(_view(spark, sf_dir), CONTRACT.metric("reorder_rate_28d"), "region")
         refused = False
     except ContractError:
         refused = True
@@ -150,7 +150,7 @@ def definition_rewrite(spark, sf_dir):
     """Metrics measured over the fact by the column that their selected definition names."""
     rules = [(m, CONTRACT.selected[m], CONTRACT.measure_column(m), ",".join(definitions.resolve(CONTRACT.definitions[m])["rejected"])) for m in ("net_revenue", "order_volume")]
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(k).alias("selected"), F.lit(r).alias("rejected"), F.col(c).cast("double").alias("v")) for m, k, c, r in rules]))
-    return _r(_fact(spark, sf_dir).select("region", each.alias("x")).groupBy("region", "x.metric", "x.selected", "x.rejected").agg(F.sum("x.v").alias("v")))
+    return _r(_view(spark, sf_dir).select("region", each.alias("x")).groupBy("region", "x.metric", "x.selected", "x.rejected").agg(F.sum("x.v").alias("v")))
 
 
 @query("SELECT n_name AS city, r_name AS region, 'city' AS level FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT NULL, r_name, 'region' FROM region")
@@ -166,7 +166,7 @@ def level_availability(spark, sf_dir):
     """The levels that a metric can be rolled up to, with the members that the fact has of each."""
     rules = _frame(spark, [(m, r["level"], r["available"]) for m in ("net_revenue", "otd_pct") for r in hierarchy.available_levels(CONTRACT, m)], "metric string, level string, available boolean")
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("level"), F.col(d).alias("v")) for d in ("region", "city")]))
-    members = _fact(spark, sf_dir).select(pairs.alias("x")).groupBy("x.level").agg(F.countDistinct("x.v").alias("members"))
+    members = _view(spark, sf_dir).select(pairs.alias("x")).groupBy("x.level").agg(F.countDistinct("x.v").alias("members"))
     return rules.join(members, "level").select("metric", "level", "available", "members")
 
 
@@ -196,7 +196,7 @@ def fitness_issues(spark, sf_dir):
 @query(_SHARES + """, c AS (SELECT dimension, GREATEST(e, 1e-6) e, GREATEST(a, 1e-6) a FROM s), n AS (SELECT dimension, e / SUM(e) OVER (PARTITION BY dimension) e, a / SUM(a) OVER (PARTITION BY dimension) a FROM c),
  z AS (SELECT dimension, SUM((a - e) * LN(a / e)) AS psi FROM n GROUP BY 1) SELECT dimension, ROUND(psi, 6) AS psi FROM z ORDER BY psi DESC LIMIT 1""")
 def worst_drift(spark, sf_dir):
-    return _r(drift.worst(drift.psi(drift.share_table(_fact(spark, sf_dir), WS, WE))), 6)
+    return _r(drift.worst(drift.psi(drift.share_table(_view(spark, sf_dir), WS, WE))), 6)
 
 
 @query(""" x AS (SELECT account_id, order_date, FLOOR(net_revenue / 100) AS amount, units FROM fact), r AS (SELECT quantile_cont(amount, 0.01) a1, quantile_cont(amount, 0.99) a9, quantile_cont(units, 0.01) u1, quantile_cont(units, 0.99) u9 FROM x, p WHERE order_date < ws),
@@ -204,7 +204,7 @@ def worst_drift(spark, sf_dir):
  SELECT c_custkey AS account_id, COALESCE(n, 0) AS n, ROUND(share, 6) AS outside_share, CASE WHEN share IS NULL THEN 'NO_MODEL' WHEN share > 0.35 THEN 'DRIFTED' WHEN share > 0.15 THEN 'SHIFTING' ELSE 'STABLE' END AS status, share IS NULL OR share > 0.35 AS withdrawn FROM customer LEFT JOIN o ON c_custkey = account_id""")
 def model_authority(spark, sf_dir):
     """Where a model fitted on the lines before the window may still speak: by account, from the window on."""
-    rows = _fact(spark, sf_dir).select("account_id", "order_date", F.floor(F.col("net_revenue") / 100).cast("double").alias("amount"), "units")
+    rows = _view(spark, sf_dir).select("account_id", "order_date", F.floor(F.col("net_revenue") / 100).cast("double").alias("amount"), "units")
     shares = drift.outside_shares(rows.where(F.col("order_date") >= F.lit(WS)), rows.where(F.col("order_date") < F.lit(WS)), ("account_id",), ("amount", "units"))
     everyone = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id")).join(shares, "account_id", "left")
     status = drift.authority(F.col("outside_share"))
@@ -237,13 +237,13 @@ _ALL = (
 
 @query(_ALL + " SELECT metric, slice, ROUND(act, 4) AS actual, ROUND(ex, 3) AS expected, ROUND(z, 5) AS z, per AS persistence, verdict FROM every")
 def sweep_verdicts(spark, sf_dir):
-    df = triage.sweep(_fact(spark, sf_dir), CONTRACT, ["net_revenue", "order_volume", "asp"], WS, WE)
+    df = triage.sweep(_view(spark, sf_dir), CONTRACT, ["net_revenue", "order_volume", "asp"], WS, WE)
     return df.select("metric", "slice", F.round("actual", 4).alias("actual"), F.round("expected", 3).alias("expected"), F.round("z", 5).alias("z"), "persistence", "verdict")
 
 
 @query(_ALL + " SELECT metric, slice, ROUND(z, 5) AS z FROM every WHERE verdict = 'MATERIAL' ORDER BY ABS(z) DESC, metric, slice LIMIT 12")
 def worklist(spark, sf_dir):
-    swept = triage.sweep(_fact(spark, sf_dir), CONTRACT, ["net_revenue", "order_volume", "asp"], WS, WE)
+    swept = triage.sweep(_view(spark, sf_dir), CONTRACT, ["net_revenue", "order_volume", "asp"], WS, WE)
     return triage.worklist(swept).select("metric", "slice", F.round("z", 5).alias("z"))
 
 

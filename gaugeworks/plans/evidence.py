@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import cohorts, hierarchy, postings
 from gaugeworks.operators.retrieval import RIVALS
-from gaugeworks.plans.catalogue import _STOP_SQL, NET, QUERY_TERMS, WE, WS, _fact, _r, _t, query
+from gaugeworks.plans.catalogue import _STOP_SQL, NET, QUERY_TERMS, WE, WS, _view, _r, _t, query
 
 # ---------------------------------------------------------------- postings
 
@@ -85,7 +85,7 @@ def postings_corroboration(spark, sf_dir):
 def _market_events(spark, sf_dir) -> DataFrame:
     """The events table as a calendar: an error is a competitor's promotion, of a region and channel by its numbers."""
     regions = _t(spark, sf_dir, "region").select((F.col("r_regionkey") % 5).cast("long").alias("k"), F.col("r_name").alias("region"))
-    channels = _fact(spark, sf_dir).select("channel").distinct()
+    channels = _view(spark, sf_dir).select("channel").distinct()
     first = F.substring("channel", 1, 1).cast("long")
     e = _t(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_type") == "error", cohorts.COMPETITOR).otherwise(F.col("event_type")).alias("event_type"), F.date_add(F.lit(WS), F.datediff(F.to_date("ts"), F.lit("2024-01-15").cast("date"))).alias("start_date"), F.floor(F.col("value") / 10).cast("int").alias("length"))
     e = e.withColumn("end_date", F.date_add("start_date", F.col("length"))).withColumn("k", F.col("user_id") % 5).withColumn("c", F.col("event_id") % 5 + 1)
@@ -118,13 +118,13 @@ def events_touching(spark, sf_dir):
  UNION ALL SELECT win, 'H-COMP-' || event_id, 'c', 'region', region FROM hc UNION ALL SELECT win, 'H-COMP-' || event_id, 'c', 'channel', ch.channel FROM hc JOIN ch ON ch.channel <> hc.channel""")
 def event_cohorts(spark, sf_dir):
     """Exposed and control cohorts of every competitor event that touches a window."""
-    channels = _fact(spark, sf_dir).select("channel").distinct()
+    channels = _view(spark, sf_dir).select("channel").distinct()
     return cohorts.event_hypotheses(_market_events(spark, sf_dir), _windows(spark, sf_dir), channels).select("window", "hyp", "role", "dim", "value")
 
 
 def _cohorts(spark, sf_dir) -> DataFrame:
     """Every warehouse against the others, and every channel of a region against its others, in three windows each."""
-    fact = _fact(spark, sf_dir)
+    fact = _view(spark, sf_dir)
     shops = fact.select("warehouse_id").distinct()
     entry = lambda role, dim, value, need: F.struct(F.lit(role).alias("role"), F.lit(dim).alias("dim"), value.alias("value"), F.lit(need).alias("need"))
     own = shops.select(F.col("warehouse_id").alias("hyp"), F.lit("warehouse_id").alias("dim"), F.col("warehouse_id").alias("mine"))
@@ -152,7 +152,7 @@ def _cohorts(spark, sf_dir) -> DataFrame:
  SELECT hyp, LEAST(a, b, e, f) >= 5 AS enough, n1, n0, ROUND(did, 5) AS did, ROUND(SQRT(s1 / n1 + s0 / n0), 5) AS se, ROUND(placebo, 5) AS placebo, ABS(placebo) < GREATEST(0.04, 0.5 * ABS(did)) AS parallel, ROUND((t1 - t0 * c1 / c0) * 14, 1) AS attributable FROM x""")
 def batched_counterfactuals(spark, sf_dir):
     """Difference in differences of some ninety hypotheses in one scan of the fact."""
-    series = cohorts.cohort_series(_fact(spark, sf_dir), _cohorts(spark, sf_dir), ("warehouse_id", "region", "channel"))
+    series = cohorts.cohort_series(_view(spark, sf_dir), _cohorts(spark, sf_dir), ("warehouse_id", "region", "channel"))
     out = cohorts.counterfactuals(series).drop("t_stat")
     return out.select(*[F.round(c, 1 if c == "attributable" else 5).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
@@ -168,7 +168,7 @@ def price_break_onsets(spark, sf_dir):
     """When each region's realised price rose for good before each of three windows."""
     asks = _t(spark, sf_dir, "region").select(F.col("r_name").alias("slice"), F.explode(F.array(*map(F.lit, (0, 20, 40)))).alias("k"))
     asks = asks.select(F.concat_ws("@", "slice", F.col("k").cast("string")).alias("ask"), "slice", F.date_add(F.lit(WS), F.col("k")).alias("ws"), F.date_add(F.lit(WS), F.col("k") + 13).alias("we"))
-    return cohorts.price_onsets(_fact(spark, sf_dir), asks, F.col("region"))
+    return cohorts.price_onsets(_view(spark, sf_dir), asks, F.col("region"))
 
 
 # ---------------------------------------------------------------- hierarchy
@@ -179,4 +179,4 @@ def price_break_onsets(spark, sf_dir):
  SELECT CASE gid WHEN 7 THEN 'all' WHEN 3 THEN 'region' WHEN 1 THEN 'city' ELSE 'account_id' END AS level, region, city, account_id, ROUND(COALESCE(n1, 0), 4) AS "current", ROUND(COALESCE(n0, 0), 4) AS expected, ROUND(COALESCE(n1, 0) - COALESCE(n0, 0), 4) AS move, TRUE AS closes FROM a""")
 def hierarchy_closure(spark, sf_dir):
     """All levels from the whole down to accounts in one scan; every parent is the sum of its children."""
-    return _r(hierarchy.closure(_fact(spark, sf_dir), NET, ("region", "city", "account_id"), WS, WE).drop("children"))
+    return _r(hierarchy.closure(_view(spark, sf_dir), NET, ("region", "city", "account_id"), WS, WE).drop("children"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import causal
 from gaugeworks.plans import catalogue, checks
+from gaugeworks.sources import store
 
 
 def test_correlation_is_null_where_a_side_does_not_vary(spark):
@@ -28,3 +29,12 @@ def test_sliding_totals_equal_sql_just_before_a_week(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     got = sorted(tuple(r) for r in checks.stream_sliding_totals(spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(catalogue.ORACLE_SQL["stream_sliding_totals"]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["materiality_gates", "orders_slice", "kpi_daily_ratio", "level_availability", "suppression_reasons", "worklist", "replayed_episodes"])
+def test_queries_do_not_store_the_whole_fact(spark, small, name):
+    from gaugeworks.plans import further  # noqa: F401  it registers queries
+
+    with store.scope(spark) as made:
+        catalogue.QUERIES[name](spark, f"{small}/.")
+    assert not [x for x in made if "/fact-" in x]
