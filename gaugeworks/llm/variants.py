@@ -58,6 +58,12 @@ def _node(prefix: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(1), prefix).alias("x"), F.xxhash64(F.lit(2), prefix).alias("y"))
 
 
+def _grown(side: DataFrame) -> DataFrame:
+    """A table that grows with the vocabulary, for a join by sorting: well packed files look small enough to broadcast,
+    but unpacked they fill the driver."""
+    return side.hint("merge")
+
+
 def light_places(words: DataFrame) -> DataFrame:
     """id, at, c, heavy: the nodes (prefixes of `at` characters) where a word is light but not alone.
     c is its next character there ('' where it ends), heavy that of the child with the most words
@@ -73,7 +79,7 @@ def light_places(words: DataFrame) -> DataFrame:
     nodes = children.groupBy("at", "node").agg(F.max(F.when(F.col("c") != "", F.struct("size", "c"))).alias("m"), F.count("*").alias("ways"))
     heavy = nodes.where("m IS NOT NULL AND ways > 1").select("at", "node", F.col("m.c").alias("heavy"))
     short = places.where(F.col("at") <= SHORT).join(F.broadcast(heavy.where(F.col("at") <= SHORT)), ["at", "node"])
-    long = places.where(F.col("at") > SHORT).join(heavy.where(F.col("at") > SHORT), ["at", "node"])
+    long = places.where(F.col("at") > SHORT).join(_grown(heavy.where(F.col("at") > SHORT)), ["at", "node"])
     return short.unionByName(long).where("c <> heavy").select("id", "at", "c", "heavy")
 
 
@@ -83,8 +89,8 @@ def near_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
     A group of light words that coincide but for one character holds no more than the alphabet, and
     all its pairs are results.
     """
-    light = scratch.write(light_places(words).join(words.select("id", "word"), "id"), "light")
-    known = words.select(F.col("word").alias("b"))
+    light = scratch.write(light_places(words).join(_grown(words.select("id", "word")), "id"), "light")
+    known = _grown(words.select(F.col("word").alias("b")))
     put, skip = F.concat(_left("at"), "heavy", _right("at", 1)), F.concat(_left("at"), _right("at", 1))
     variants = F.array(
         # replaced by the heavy character; at a word's end there is nothing to replace
@@ -114,22 +120,22 @@ def variant_groups(docs: DataFrame) -> DataFrame:
         words = scratch.write(words, "words")
         pairs = scratch.write(near_pairs(words, scratch), "near")
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        named = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b")
+        named = both.join(_grown(words.select(F.col("word").alias("b"), F.col("n").alias("n_b"))), "b")
         # the least struct: largest n, then smallest word
         best = named.groupBy("a").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n_b")).alias("k"), F.col("b"))).alias("m"))
-        first = words.join(best.withColumnRenamed("a", "word"), "word", "left")
+        first = words.join(_grown(best.withColumnRenamed("a", "word")), "word", "left")
         big = -F.col("m.k") >= RATIO * F.col("n")
         forms = scratch.write(first.select("word", F.when(big, F.col("m.b")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(big, -F.col("m.k")).alias("form_n")), "forms")
         root = scratch.write(forms.where("form IS NOT NULL").select("word", F.col("form").alias("to")), "roots")
         while True:
             further = root.select(F.col("word").alias("to"), F.col("to").alias("next"))
-            moved = scratch.write(root.join(further, "to", "left").select("word", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "roots")
+            moved = scratch.write(root.join(_grown(further), "to", "left").select("word", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "roots")
             scratch.drop(root)
             root = moved
             if not moved.where("moved").limit(1).count():
                 break
             root = moved.drop("moved")
-        out = forms.join(root.select("word", F.col("to").alias("root")), "word", "left")
+        out = forms.join(_grown(root.select("word", F.col("to").alias("root"))), "word", "left")
         return scratch.keep(out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"), "variants")
 
 

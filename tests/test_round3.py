@@ -38,3 +38,17 @@ def test_queries_do_not_store_the_whole_fact(spark, small, name):
     with store.scope(spark) as made:
         catalogue.QUERIES[name](spark, f"{small}/.")
     assert not [x for x in made if "/fact-" in x]
+
+
+def test_variants_broadcast_no_table_of_the_vocabulary(spark):
+    from gaugeworks.llm import variants
+    from gaugeworks.llm.shared import Scratch
+
+    words = spark.createDataFrame([(0, "shared", 9), (1, "shaped", 3), (2, "share", 4), (3, "sharing", 5)], "id long, word string, n long")
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    # only the heavy children of short prefixes, which the alphabet bounds
+    assert plan(variants.light_places(words)).count("BroadcastHashJoin") == 1
+    with Scratch(spark) as scratch:
+        pairs = variants.near_pairs(words, scratch)
+        assert "BroadcastHashJoin" not in plan(pairs)
+        assert {tuple(sorted(r)) for r in pairs.collect()} == {("shaped", "shared"), ("share", "shared")}
