@@ -41,13 +41,14 @@ def build(docs: DataFrame, dimensions: tuple[str, ...], name: str = "postings")
     dims = F.array_compact(F.array(*[F.concat(F.lit(f"{d}="), F.col(d).cast("string")) for d in dimensions])).cast("array<string>")
     meta = [(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in META]
     words = docs.where("day IS NOT NULL").select(F.to_date("day").alias("day"), "doc_id", tokens(F.col("text")).alias("w"), dims.alias("dims"), *meta)
-    counted = words.select("day", "doc_id", F.coalesce(F.size("w"), F.lit(0)).alias("dl"), "dims", *META)
-    documents = stored(counted.repartitionByRange("day", "doc_id").sortWithinPartitions("day", "doc_id"), f"{name}-documents")
     # a document's words are counted in its own row, as runs of the sorted ones: only what is stored is shuffled
     starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
-    runs = words.where(F.size("w") > 0).withColumn("w", F.sort_array("w")).withColumn("s", starts)
+    runs = words.withColumn("dl", F.coalesce(F.size("w"), F.lit(0))).withColumn("w", F.sort_array("w")).withColumn("s", F.when(F.size("w") > 0, starts))
     distinct = F.transform("s", lambda i, k: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("w")) - i).alias("tf")))
-    rows = runs.select("day", "doc_id", F.size("w").alias("dl"), "dims", F.explode(distinct).alias("p")).select("day", "p.term", "doc_id", "p.tf", "dl", "dims")
+    # written before it is dealt to ranges: a range's bounds come from a pass of its own, and texts are parted once
+    counted = stored(runs.select("day", "doc_id", "dl", "dims", *META, distinct.alias("terms")), f"{name}-counted")
+    documents = stored(counted.drop("terms").repartitionByRange("day", "doc_id").sortWithinPartitions("day", "doc_id"), f"{name}-documents")
+    rows = counted.select("day", "doc_id", "dl", "dims", F.explode("terms").alias("p")).select("day", "p.term", "doc_id", "p.tf", "dl", "dims")
     return Index(stored(rows.repartitionByRange("day", "term", "doc_id").sortWithinPartitions("day", "term"), f"{name}-terms"), documents, dimensions)
 
 

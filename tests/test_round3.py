@@ -52,3 +52,15 @@ def test_variants_broadcast_no_table_of_the_vocabulary(spark):
         pairs = variants.near_pairs(words, scratch)
         assert "BroadcastHashJoin" not in plan(pairs)
         assert {tuple(sorted(r)) for r in pairs.collect()} == {("shaped", "shared"), ("share", "shared")}
+
+
+def test_postings_part_each_text_once(spark):
+    from gaugeworks.operators import postings
+
+    rows = [(1, "2000-03-01", "token version token", "a"), (2, "2000-03-02", "", "b"), (3, "2000-03-02", None, "b"), (4, None, "token", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, day string, text string, lang string").withColumn("day", F.to_date("day"))
+    with store.scope(spark) as made:
+        index = postings.build(docs, ("lang",))
+        assert sum("-counted-" in x for x in made) == 1
+        assert sorted((r["term"], r["doc_id"], r["tf"], r["dl"]) for r in index.postings.collect()) == [("token", 1, 2, 3), ("version", 1, 1, 3)]
+        assert sorted((r["doc_id"], r["dl"]) for r in index.documents.collect()) == [(1, 3), (2, 0), (3, 0)]
