@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.shared import ASCII_LOWER, Scratch, binary_array, binary_parts, bit_filter, mix64, passes, table, text_bytes, unpacked, whole_row, word_hashes
@@ -25,6 +25,8 @@ RARITY_BITS, SLICES = 24, 256
 HOT = 1024
 #: Words in more lines than this (by the table) are dealt out by line as well, so that none fills a task.
 SPREAD = 1 << 16
+#: Of a set whose earliest candidates all failed, so many times more are tried next.
+MORE = 256
 #: Bits of the broadcast filter of lines that verification reads (4 MB).
 FILTER_BITS = 1 << 25
 #: Text bytes, and prefix entries, worked on at a time.
@@ -232,9 +234,38 @@ def _from_blob(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return entries, fine
 
 
-def prefix_blobs(lines: DataFrame, rarity, buckets: int, percent: int = PERCENT) -> DataFrame:
+def _slot(x: np.ndarray) -> np.ndarray:
+    """Places in a filter of FILTER_BITS."""
+    return (x & x.dtype.type(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _filter(spark: SparkSession, values: DataFrame, column: str):  # noqa: ANN202
+    """A broadcast filter of a column of numbers."""
+    return spark.sparkContext.broadcast(bit_filter(values.select(F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("s")), FILTER_BITS))
+
+
+def _prefix_words(sets: DataFrame, rarity, asked, percent: int) -> DataFrame:
+    """token: the prefix words of the sets (id, words) that a filter of ids lets through."""
+
+    def run(batches):
+        for b in batches:
+            b = b.filter(pa.array(passes(asked.value, _slot(np.asarray(b.column(0))))))
+            if b.num_rows:
+                ids, (words, size) = np.asarray(b.column(0)), binary_parts(b.column(1))
+                words, n, none = _unpacked(words), size // WORD_BYTES, np.zeros(len(ids), dtype=np.int64)
+                ends = np.cumsum(n)
+                for k in range(0, len(n), _GROUP):
+                    part = slice(k, k + _GROUP)
+                    found, _ = _entries_of(ids[part], none[part], none[part], n[part], words[ends[k] - n[k] : ends[part][-1]], rarity.value, percent)
+                    yield pa.RecordBatch.from_pydict({"token": np.unique(found["token"]).view(np.int64)})
+
+    return sets.mapInArrow(run, "token long")
+
+
+def prefix_blobs(lines: DataFrame, rarity, buckets: int, percent: int = PERCENT, tokens=None) -> DataFrame:
     """bucket, body: the prefix entries of all sets, packed, dealt out by their word; those of very
-    common words by their set as well. Sets of under FREE_WORDS words match none but equal ones."""
+    common words by their set as well. Sets of under FREE_WORDS words match none but equal ones.
+    tokens: a broadcast filter of the words whose entries are wanted (None: of all)."""
     spread_from = int(_ranks(np.array([SPREAD]))[0])
 
     def flush(parts: list) -> pa.RecordBatch:
@@ -254,12 +285,22 @@ def prefix_blobs(lines: DataFrame, rarity, buckets: int, percent: int = PERCENT)
             ids, docs_, line_nos, n = (np.asarray(b.column(k)) for k in range(4))
             words = _unpacked(binary_parts(b.column(4))[0])
             start = _starts(n.astype(np.int64))
+            if tokens is not None and len(n):  # only sets with a wanted word at any place
+                some = np.logical_or.reduceat(passes(tokens.value, _slot(words)), start)
+                words = words[np.repeat(some, n)]
+                ids, docs_, line_nos, n = ids[some], docs_[some], line_nos[some], n[some]
+                start = _starts(n.astype(np.int64))
             for k in range(0, len(n), _GROUP):
                 part = slice(k, k + _GROUP)
                 size = n[part].astype(np.int64)
                 a = int(start[k])
-                parts.append(_entries_of(ids[part], docs_[part], line_nos[part], size, words[a : a + int(size.sum())], rarity.value, percent))
-                held += len(parts[-1][0])
+                entries, fine = _entries_of(ids[part], docs_[part], line_nos[part], size, words[a : a + int(size.sum())], rarity.value, percent)
+                if tokens is not None:
+                    want = passes(tokens.value, _slot(entries["token"]))
+                    entries, fine = entries[want], fine[want]
+                if len(entries):
+                    parts.append((entries, fine))
+                held += len(entries)
                 if held >= FLUSH:
                     yield flush(parts)
                     parts, held = [], 0
@@ -270,11 +311,10 @@ def prefix_blobs(lines: DataFrame, rarity, buckets: int, percent: int = PERCENT)
     return some.mapInArrow(run, "bucket int, body binary")
 
 
-def _pairs_of(e: np.ndarray, fine: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_of(e: np.ndarray, fine: np.ndarray, percent: int):
     """Indices of entries (sorted by token, then n) that share a word and pass the length, positional
-    and parity filters."""
+    and parity filters, some at a time."""
     token, n, left, bits = e["token"].copy(), e["n"].astype(np.int64), e["n"].astype(np.int64) - e["pos"], e["bits"].copy()
-    one, two = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     at, d = np.arange(len(e) - 1), 1
     while len(at):
         at = at[at + d < len(e)]
@@ -289,18 +329,47 @@ def _pairs_of(e: np.ndarray, fine: np.ndarray, percent: int) -> tuple[np.ndarray
             both = fine[x] ^ fine[y]  # the first of four words is what is left of the coarse one
             rest = bits[x] ^ bits[y] ^ both[:, 0] ^ both[:, 1] ^ both[:, 2]
             close = (n[x] < LONG) | (np.bitwise_count(both).sum(axis=1) + np.bitwise_count(rest) <= apart)
-            one.append(x[close])
-            two.append(y[close])
+            yield x[close], y[close]
         d += 1
-    return np.concatenate(one), np.concatenate(two)
+
+
+def _earliest(e: np.ndarray, pairs, most: int, asked: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of the later and of the earlier set of each pair: of every later set (of those asked for) its
+    `most` earliest partners. No more pairs are held than these and FLUSH others."""
+
+    def least(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((e["id"][v], e["line"][v], e["doc"][v], e["id"][u]))
+        u, v = u[order], v[order]
+        mine, other = e["id"][u], e["id"][v]
+        new = np.concatenate((np.ones(min(1, len(u)), dtype=bool), (mine[1:] != mine[:-1]) | (other[1:] != other[:-1])))
+        u, v, mine = u[new], v[new], mine[new]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(u)), dtype=bool), mine[1:] != mine[:-1])))
+        some = np.arange(len(u)) - np.repeat(first, np.diff(np.append(first, len(u)))) < most
+        return u[some], v[some]
+
+    none = np.zeros(0, dtype=np.int64)
+    held, size, base = [(none, none)], 0, 0
+    for i, j in pairs:
+        earlier = (e["doc"][i] < e["doc"][j]) | ((e["doc"][i] == e["doc"][j]) & (e["line"][i] < e["line"][j]))
+        later = (e["doc"][j] < e["doc"][i]) | ((e["doc"][i] == e["doc"][j]) & (e["line"][j] < e["line"][i]))
+        u, v = np.where(earlier, j, i), np.where(earlier, i, j)
+        go = earlier | later if asked is None else (earlier | later) & asked[u]
+        held.append((u[go], v[go]))
+        size += int(go.sum())
+        if size >= base + FLUSH:
+            held = [least(*map(np.concatenate, zip(*held, strict=True)))]
+            size = base = len(held[0][0])
+    return least(*map(np.concatenate, zip(*held, strict=True)))
 
 
 _PAIRS = "u long, v long, doc long, line int, token long, bits long, n int, pos int"
 
 
-def candidates(blobs: DataFrame, rarity, buckets: int, percent: int = PERCENT) -> DataFrame:
-    """Of every word in at most HOT sets: u, v, doc, line: a pair that may match, of which v (first at
-    doc, line) is the earlier. Of every other word its entries again (v is null, u the set), once a set."""
+def candidates(blobs: DataFrame, rarity, buckets: int, percent: int = PERCENT, most: int = 1, asked=None) -> DataFrame:
+    """Of the words in at most HOT sets: u, v, doc, line: a pair that may match, of which v (first at doc, line)
+    is the earlier; of each set u the `most` earliest in a bucket, so there are never more than `most` times the entries.
+    Of every other word its entries again (v is null, u the set), once a set. asked: a broadcast filter
+    of ids; then only pairs of these u come."""
     spread_from, hot = int(_ranks(np.array([SPREAD]))[0]), HOT
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("token", pa.int64()), ("bits", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
@@ -324,37 +393,48 @@ def candidates(blobs: DataFrame, rarity, buckets: int, percent: int = PERCENT) -
         many = size > hot
         many |= rarity.value[e["token"] >> np.uint64(WORD_BITS - RARITY_BITS)] > spread_from  # their other sets are elsewhere
         if many.any():
-            h = e[many]
-            yield rows(h["id"], None, h["doc"], h["line"], (h["token"].view(np.int64), h["bits"].view(np.int64), h["n"], h["pos"]))
+            if asked is None:
+                h = e[many]
+                yield rows(h["id"], None, h["doc"], h["line"], (h["token"].view(np.int64), h["bits"].view(np.int64), h["n"], h["pos"]))
             e, fine = e[~many], fine[~many]
         if len(e) < 2:
             return
-        i, j = _pairs_of(e, fine, percent)
-        doc, line = e["doc"], e["line"]
-        earlier = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
-        later = (doc[j] < doc[i]) | ((doc[i] == doc[j]) & (line[j] < line[i]))
-        u, v = np.where(earlier, j, i)[earlier | later], np.where(earlier, i, j)[earlier | later]
+        u, v = _earliest(e, _pairs_of(e, fine, percent), most, None if asked is None else passes(asked.value, _slot(e["id"])))
         for k in range(0, len(u), 1 << 20):
             part = slice(k, k + (1 << 20))
-            yield rows(e["id"][u[part]], e["id"][v[part]], doc[v[part]], line[v[part]], None)
+            yield rows(e["id"][u[part]], e["id"][v[part]], e["doc"][v[part]], e["line"][v[part]], None)
 
     return blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _PAIRS)
 
 
 def verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """The rows of pairs (u, v, doc, line) whose sets match in full. The sets of these lines alone are
-    looked up (a bit filter of bounded size lets them through, joins decide)."""
+    """The rows of pairs (u, v, doc, line) whose sets match in full."""
+    members = _sets_of(pairs, lines, scratch)
+    out = _matching(pairs, members, scratch, percent)
+    scratch.drop(members)
+    return out
+
+
+def _sets_of(pairs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, words of the sets of some pairs. These alone are looked up (a bit filter of bounded size lets them
+    through, joins decide)."""
     spark = lines.sparkSession
     wanted = scratch.write(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "line-ids")
-    shared = spark.sparkContext.broadcast(bit_filter(wanted.select(F.col("id").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("s")), FILTER_BITS))
+    shared = _filter(spark, wanted, "id")
 
     def pick(batches):
         for b in batches:
-            hit = passes(shared.value, np.asarray(b.column(0)) & (FILTER_BITS - 1))
+            hit = passes(shared.value, _slot(np.asarray(b.column(0))))
             yield b.filter(pa.array(hit))
 
     some = lines.where(F.octet_length("words") > 0).select("id", "words").mapInArrow(pick, "id long, words binary")
     members = scratch.write(some.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "line-sets")
+    scratch.drop(wanted)
+    return members
+
+
+def _matching(pairs: DataFrame, members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The rows of pairs whose sets, all among members, match in full."""
 
     def compare(batches):
         for b in batches:
@@ -369,9 +449,28 @@ def verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, percent: int
 
     one, two = (members.select(F.col("id").alias(k), F.col("words").alias(f"w_{k}")) for k in "uv")
     both = pairs.select("u", "v", "doc", "line").join(two, "v").join(one, "u").select("u", "v", "doc", "line", "w_u", "w_v")
-    out = scratch.write(both.mapInArrow(compare, "u long, v long, doc long, line int"), "line-links")
-    scratch.drop(wanted, members)
-    return out
+    return scratch.write(both.mapInArrow(compare, "u long, v long, doc long, line int"), "line-links")
+
+
+def _later_tries(lines: DataFrame, sets: DataFrame, left: DataFrame, rarity, buckets: int, scratch: Scratch, percent: int) -> list[DataFrame]:
+    """Links of the sets u of `left` (all among sets), whose earliest candidate failed: MORE of their candidates, then MORE times
+    as many and so on, until one of each matches or it has no others. Entries of other words are not dealt out again."""
+    spark, found, most = lines.sparkSession, [], 1
+    left = scratch.write(left, "line-open")
+    while left.limit(1).count():
+        most *= MORE
+        asked = _filter(spark, left, "u")
+        tokens = _filter(spark, _prefix_words(sets, rarity, asked, percent), "token")
+        met = candidates(prefix_blobs(lines, rarity, buckets, percent, tokens), rarity, buckets, percent, most, asked).where("v IS NOT NULL").select("u", "v", "doc", "line")
+        order = F.row_number().over(Window.partitionBy("u").orderBy("doc", "line", "v"))
+        tried = scratch.write(met.join(left, "u", "left_semi").distinct().withColumn("k", order).where(F.col("k") <= most), "line-tries")
+        found.append(verified(tried, lines, scratch, percent))
+        rest = scratch.write(tried.where(F.col("k") == most).select("u").join(found[-1].select("u"), "u", "left_anti"), "line-open")
+        scratch.drop(left, tried)
+        asked.destroy()
+        tokens.destroy()
+        left = rest
+    return found
 
 
 def _hot_pairs(hot: DataFrame, percent: int) -> DataFrame:
@@ -394,7 +493,7 @@ def later_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc, line, exact, match_doc of every line that matches an earlier one (by doc_id, then line).
 
     Lines with equal sets form a class. Classes meet by the words of their prefixes; of each class the
-    earliest candidate is verified, then all others of the classes whose earliest one failed. Groups
+    earliest candidate is verified, then, of the classes whose earliest one failed, the next ones. Groups
     of words in over HOT sets are compared with four leaders first (the earliest line among them), and
     then with all of the group that are earlier than the least match so far (than the class itself, if
     none): copies of a line seldom meet all against all, and match_doc is the least of all matches.
@@ -413,11 +512,15 @@ def later_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = near.unionByName(_hot_pairs(hot, percent)) if crowded else near
         best = F.min(F.struct("doc", "line", "v")).alias("b")
         first = scratch.write(pairs.groupBy("u").agg(best).select("u", "b.v", "b.doc", "b.line"), "line-pairs")
-        links = verified(first, lines, scratch, percent)
+        sets = _sets_of(first, lines, scratch)
+        links = _matching(first, sets, scratch, percent)
         failed = first.join(links.select("u"), "u", "left_anti").select("u", F.col("v").alias("tried"))
-        others = scratch.write(pairs.join(failed, "u").where("v <> tried").select("u", "v", "doc", "line").distinct(), "line-pairs")
-        if others.limit(1).count():
-            links = links.unionByName(verified(others, lines, scratch, percent))
+        for more in _later_tries(lines, sets, failed.select("u"), rarity, buckets, scratch, percent):
+            links = links.unionByName(more)
+        if crowded:
+            others = scratch.write(_hot_pairs(hot, percent).join(failed, "u").where("v <> tried").select("u", "v", "doc", "line").distinct(), "line-pairs")
+            if others.limit(1).count():
+                links = links.unionByName(verified(others, lines, scratch, percent))
         least = lambda x: x.groupBy(F.col("u").alias("id")).agg(F.min("doc").alias("match_doc"))
         matches = scratch.write(least(links), "line-matches")
         if crowded:
