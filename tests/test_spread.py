@@ -50,3 +50,30 @@ def test_a_large_train_part_is_fitted_where_it_lies(spark):
 def test_no_rows_give_no_trees(table):
     df = table[0]
     assert len(spread.SpreadTrees(rounds=2).fit(df.limit(0), list("abcde"), "y", "g").roots) == 0
+
+
+def test_scores_are_folded_into_the_rows(table, monkeypatch):
+    """No round goes through FOLD past trees or more, and the trees stay the same."""
+    df, x, y, groups = table
+    monkeypatch.setattr(spread, "FOLD", 2)
+    past, old = [], spread.SpreadTrees._grow
+    monkeypatch.setattr(spread.SpreadTrees, "_grow", lambda self, binned, edges, before, *a: past.append(len(before)) or old(self, binned, edges, before, *a))
+    how = {"objective": "lambdarank", "rounds": 5, "depth": 2, "bins": 16, "min_child_weight": 0.05}
+    far = spread.SpreadTrees(**how).fit(df, list("abcde"), "y", "g", order="k")
+    assert past == [0, 1, 0, 1, 0]
+    assert far.raw(x) == pytest.approx(gbdt.BoostedTrees(**how).fit(x, y, groups).raw(x))
+
+
+def test_groups_cost_one_sort():
+    """Many groups: neither the gradients nor the measure compare all rows with each group."""
+    import time
+
+    rng = np.random.default_rng(5)
+    n = 100_000
+    y, s, groups = (rng.random(n) < 0.2).astype(float), rng.random(n), np.array([f"E{k}" for k in rng.integers(0, 10_000, n)], dtype=object)
+    t = time.process_time()
+    got = ranker._ndcg(y, s, groups)
+    assert time.process_time() - t < 5
+    one = [r for r in gbdt.rows_by_group(groups) if y[r].sum()]
+    dcg = lambda v: (v[:3] / np.log2(np.arange(2, min(len(v), 3) + 2))).sum()
+    assert got == pytest.approx(np.mean([dcg(y[r][np.argsort(-s[r])]) / dcg(np.sort(y[r])[::-1]) for r in one]))
