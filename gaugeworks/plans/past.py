@@ -76,11 +76,13 @@ def planned_past(spark, sf_dir):
     """Every planned episode over the given lines: what its region's window holds before and after all effects."""
     lines = _lines(spark, sf_dir)
     episodes, effects = history.plan(lines, SEED)
-    after = history.compose(lines.withColumns({"_units": F.col("units"), "_price": F.col("price"), "_on": F.col("on_time"), "_tier": F.col("tier")}), effects, SEED)
     days = episodes.select("*", F.col("value").alias("region"), F.explode(F.sequence("ws", "we")).alias("order_date")).drop("dim", "value")
     said = effects.groupBy("episode_id").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("driver", F.concat("kind", F.lit("/"), "entity", F.when(F.col("contested"), "/contested").otherwise("")).alias("s")))), lambda x: x.s)).alias("drivers"))
+    # what no window holds goes before the lines are dealt out by part
+    lines = lines.join(F.broadcast(days.select("region", "order_date").distinct()), ["region", "order_date"], "left_semi")
+    after = history.compose(lines.withColumns({"_units": F.col("units"), "_price": F.col("price"), "_on": F.col("on_time"), "_tier": F.col("tier")}), effects, SEED)
     kept = F.col("kept")
-    met = after.join(days, ["region", "order_date"]).groupBy("episode_id", "metric", "ws", "we", "null_episode").agg(
+    met = after.join(F.broadcast(days), ["region", "order_date"]).groupBy("episode_id", "metric", "ws", "we", "null_episode").agg(
         F.count(F.lit(1)).alias("lines_before"), F.count_if(kept).alias("lines_after"), F.sum("_units").alias("units_before"), F.coalesce(F.sum(F.when(kept, F.col("units"))), F.lit(0.0)).alias("units_after"),
         F.sum("_price").alias("sales_before"), F.coalesce(F.sum(F.when(kept, F.col("price"))), F.lit(0.0)).alias("sales_after"), F.count_if(~F.col("_on")).alias("late_before"), F.count_if(kept & ~F.col("on_time")).alias("late_after"), F.count_if(kept & (F.col("tier") != F.col("_tier"))).alias("cheaper_lines"))
     return _r(met.join(said, "episode_id", "left"), 2)

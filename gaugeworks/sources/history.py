@@ -63,7 +63,9 @@ def lines_of(tables: dict[str, DataFrame]) -> DataFrame:
     lines, orders = tables["lineitem"], tables["orders"].select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("order_date"), F.col("o_orderpriority").alias("channel"))
     where = tables["nation"].join(tables["region"], F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region"))
     people = tables["customer"].select("c_custkey", "c_nationkey").join(where, F.col("c_nationkey") == F.col("n_nationkey"))
-    j = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(people, F.col("o_custkey") == F.col("c_custkey")).join(tables["part"].select("p_partkey", F.col("p_type").alias("category")), F.col("l_partkey") == F.col("p_partkey"))
+    # orders find their region first: lines, the widest and longest side, are dealt out by order and by part only
+    orders = orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
+    j = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(tables["part"].select("p_partkey", F.col("p_type").alias("category")), F.col("l_partkey") == F.col("p_partkey"))
     return j.select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), "order_date", F.col("o_custkey").alias("account_id"), "region", "channel", "category", F.col("l_returnflag").alias("tier"),
         F.concat(F.lit("WH-"), F.col("l_suppkey") % 4 + 1).alias("warehouse_id"), F.col("l_quantity").cast("double").alias("units"), F.col("l_extendedprice").alias("price"), (F.col("l_linestatus") == "O").alias("on_time"), F.to_date("l_shipdate").alias("ship_date"),
@@ -115,7 +117,8 @@ def compose(lines: DataFrame, effects: DataFrame, seed: int = 7) -> DataFrame:
     reach = F.when(F.col("kind") == "service_failure", AFTER).otherwise(0)
     days = effects.withColumn("order_date", F.explode(F.sequence("start", F.date_add("end", reach)))).withColumn("since", F.datediff("order_date", "start"))
     active = days.groupBy("order_date").agg(F.sort_array(F.collect_list(F.struct("episode_id", "driver", "kind", "region", "entity", "strength", "second", "since", (F.col("order_date") <= F.col("end")).alias("on")))).alias("_fx"))
-    rows = lines.join(active, "order_date", "left")
+    # by the calendar it stays small whatever the lines, so these are not dealt out by day
+    rows = lines.join(F.broadcast(active), "order_date", "left")
     hit = lambda kind, test: F.filter("_fx", lambda e: (e.kind == kind) & test(e))
     times = lambda found, of: F.coalesce(F.aggregate(found, F.lit(1.0), lambda acc, e: acc * of(e)), F.lit(1.0))
     here = lambda e: e.region == F.col("region")
