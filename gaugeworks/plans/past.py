@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.plans.catalogue import _r, _t, query
 from gaugeworks.sources import history
+from gaugeworks.sources.store import stored
 
 SEED = 7
 
@@ -77,10 +78,10 @@ def planned_past(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     episodes, effects = history.plan(lines, SEED)
     days = episodes.select("*", F.col("value").alias("region"), F.explode(F.sequence("ws", "we")).alias("order_date")).drop("dim", "value")
-    said = effects.groupBy("episode_id").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("driver", F.concat("kind", F.lit("/"), "entity", F.when(F.col("contested"), "/contested").otherwise("")).alias("s")))), lambda x: x.s)).alias("drivers"))
     # what no window holds goes before the lines are dealt out by part
     lines = lines.join(F.broadcast(days.select("region", "order_date").distinct()), ["region", "order_date"], "left_semi")
     after = history.compose(lines.withColumns({"_units": F.col("units"), "_price": F.col("price"), "_on": F.col("on_time"), "_tier": F.col("tier")}), effects, SEED)
+    said = effects.groupBy("episode_id").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("driver", F.concat("kind", F.lit("/"), "entity", F.when(F.col("contested"), "/contested").otherwise("")).alias("s")))), lambda x: x.s)).alias("drivers"))
     kept = F.col("kept")
     met = after.join(F.broadcast(days), ["region", "order_date"]).groupBy("episode_id", "metric", "ws", "we", "null_episode").agg(
         F.count(F.lit(1)).alias("lines_before"), F.count_if(kept).alias("lines_after"), F.sum("_units").alias("units_before"), F.coalesce(F.sum(F.when(kept, F.col("units"))), F.lit(0.0)).alias("units_after"),
@@ -96,8 +97,10 @@ def contested_evidence(spark, sf_dir):
     """Reports of every planned episode by theme, own and rival ones, all from accounts of the episode's region."""
     lines = _lines(spark, sf_dir)
     episodes, effects = history.plan(lines, SEED)
-    accounts = lines.groupBy("account_id").agg(F.min("region").alias("region"), F.min("warehouse_id").alias("warehouse_id"))
-    said = history.texts(effects, accounts.unionByName(lines.select("account_id", "region", "warehouse_id").distinct()).distinct(), SEED)
+    # lines are parted into distinct rows by hash before anything takes a least one, which sorts
+    places = stored(lines.select("account_id", "region", "warehouse_id").distinct(), "past-places")
+    accounts = places.groupBy("account_id").agg(F.min("region").alias("region"), F.min("warehouse_id").alias("warehouse_id"))
+    said = history.texts(effects, accounts.unionByName(places).distinct(), SEED)
     own = said.join(episodes.select("episode_id", "value"), "episode_id")
     return own.groupBy("episode_id", "theme", F.col("doc_id").contains("-r-").alias("rival")).agg(F.count(F.lit(1)).alias("reports"), F.min("day").alias("earliest"), F.max("day").alias("latest"), F.bool_and(F.col("region") == F.col("value")).alias("from_own_region"))
 

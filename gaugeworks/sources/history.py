@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.retrieval import RIVALS, THEMES
 from gaugeworks.sources.estate import dispatch, fact
 from gaugeworks.sources.generate import generate, write_estate
-from gaugeworks.sources.store import stored
+from gaugeworks.sources.store import numbered, stored
 
 #: Days of a slot, of history before the first one, and by how many at most a slot's start moves.
 SLOT, WARMUP, JITTER = 28, 95, 4
@@ -203,8 +203,11 @@ def texts(effects: DataFrame, accounts: DataFrame, seed: int = 7, span: tuple |
     told = told.withColumn("day", F.date_add("start", F.floor(draw(seed, "day", *key) * 19).cast("int"))).withColumn("text", F.concat_ws(" ", F.when(F.col("rival"), F.concat(F.lit("asked about "), word("w0", "own"))), F.lit("account says"), word("w1", "theme"), F.lit("and"), word("w2", "theme"), F.lit("again")))
     # accounts are numbered within region and warehouse; a report draws a number, so the two meet by equality
     pool = accounts.where("region IS NOT NULL AND warehouse_id IS NOT NULL").select("account_id", "region", "warehouse_id")
-    pool = pool.withColumn("_k", F.row_number().over(Window.partitionBy("region", "warehouse_id").orderBy("account_id")) - 1)
-    sizes = pool.groupBy("region", "warehouse_id").agg(F.count(F.lit(1)).alias("_size"))
+    # over ranges: the few regions and warehouses would be as few tasks
+    pool = numbered(pool, ["region", "warehouse_id", "account_id"])
+    sizes = pool.groupBy("region", "warehouse_id").agg(F.count(F.lit(1)).alias("_size"), F.min("before").alias("_first"))
+    pool = pool.join(F.broadcast(sizes.drop("_size")), ["region", "warehouse_id"]).withColumn("_k", F.col("before") - F.col("_first")).drop("before", "_first")
+    sizes = sizes.drop("_first")
     shops = sizes.groupBy("region").agg(F.array_sort(F.collect_list("warehouse_id")).alias("_shops"))
     at = F.when(F.col("kind") == "service_failure", F.col("entity")).otherwise(F.get("_shops", F.floor(draw(seed, "shop", *key) * F.size("_shops")).cast("int")))
     said = ("doc_id", "day", "text", "theme", "region", "warehouse_id", "episode_id")

@@ -123,3 +123,22 @@ def test_a_replay_recovers_what_was_planted(spark, tmp_path):
     right = [r for r in found if r["label"] and r["on_theme"]]
     share = lambda flag: (lambda v: sum(r["conflict_ratio"] > 0 for r in v) / len(v))([r for r in right if r["contested"] == flag])
     assert share(True) >= 0.7 and share(False) <= 0.35
+
+
+def test_lines_are_dealt_out_by_order_and_part_only(spark, small):
+    """Orders meet their customers below the join with the lines."""
+    text = past._lines(spark, small)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda key: next(x.index("Join") for x in text if "Join" in x and key in x)
+    assert depth("c_custkey") > depth("l_orderkey") > depth("p_partkey")
+
+
+def test_reports_find_accounts_without_a_task_a_place(spark, small):
+    """Accounts are numbered in ranges, as row_number in each region and warehouse would."""
+    text = past.contested_evidence(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in text
+    accounts = spark.createDataFrame([(k, "ASIA" if k % 3 else "EUROPE", f"WH-{k % 2}") for k in range(40)], "account_id long, region string, warehouse_id string")
+    effects = spark.createDataFrame([effect("service_failure", "WH-1", 0.5)[:9] + (30, False)], EFFECT)
+    got = {r["doc_id"]: r["account_id"] for r in history.texts(effects, accounts.repartition(7), 5).collect()}
+    pool = [k for k in range(40) if k % 3 and k % 2]
+    drawn = spark.createDataFrame([(d,) for d in got], "doc_id string").select("doc_id", history.draw(5, "who", "doc_id").alias("x")).collect()
+    assert len(got) == 30 and got == {r["doc_id"]: pool[int(r["x"] * len(pool))] for r in drawn}
