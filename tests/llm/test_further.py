@@ -211,6 +211,39 @@ def test_alignment_equals_brute_force(spark, small, monkeypatch):
     assert [got[i] for i in range(len(texts))] == plain_alignment(texts)
 
 
+def test_alignment_in_rows_that_do_not_grow_with_the_block(spark, small, monkeypatch):
+    """A row a document, tables of a block in pieces, and the same results where rare segments are forgotten."""
+    monkeypatch.setattr(align, "CHUNK", 16)
+    monkeypatch.setattr(align, "KEPT_CHARS", 3000)
+    texts = [r["text"][:400] for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(150).collect()]
+    texts = [f"{t}{i}" for i in range(5) for t in texts] + [None, "a▁b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    rows = align.aligned_blocks(df).collect()
+    docs, tables = [r for r in rows if r["chunk"] is None], [r for r in rows if r["chunk"] is not None]
+    assert sorted(r["doc_id"] for r in docs) == list(range(len(texts))) and len({r["block"] for r in docs}) > 1
+    assert all(len(r["pairs"]) <= 16 and len(r["link_counts"]) <= 4 * 16 for r in tables)
+    got = {r["doc_id"]: (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["n_best"], r["count_sum"], r["groups_sha256"]) for r in align.align(df).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_alignment(texts)
+
+
+def test_forgetting_keeps_frequent_segments_as_they_were():
+    known = align.Aligner(align.BYTE_BPE, align.PIECE_BPE)
+    names = [f" {w}{e}" for w in ("frequent", "Straße", "a", "naïve,\nnext") for e in ("", ".", "  ")]
+    known.learn({*names, *(f" rare{i}" for i in range(300))})
+
+    def told(s):
+        at = known.at[s]
+        return known.texts[at], np.concatenate(known.sizes)[at].tolist(), known.links_of(np.array([at]))[0].tolist()
+
+    before = {s: told(s) for s in names}
+    known.used(np.array(sorted(known.at.values())), np.array([3 if s in before else 1 for s in known.at]))
+    known.forget(1000)
+    assert known.at.keys() == before.keys() and known.chars == sum(map(len, names))
+    assert {s: told(s) for s in names} == before
+    known.learn({" rare1"})
+    assert known.texts[known.at[" rare1"]] and {s: told(s) for s in names} == before
+
+
 def test_alignment_of_repeated_and_missing_ids_and_of_nothing(spark):
     df = spark.createDataFrame([(None, "one text"), (None, "one text"), (3, "one text"), (3, None)], "doc_id long, text string")
     rows = sorted(map(str, align.align(df).collect()))
