@@ -18,22 +18,24 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     nothing; left's rows are all kept, repeated ones too."""
     keys = [F.col(f"`{k}`") for k in on]
     bucket = lambda t: F.floor(F.unix_date(F.to_date(t)) / bucket_days).cast("long")
-    whole = lambda df: F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    whole = lambda columns: F.struct(*[F.col(f"`{c}`") for c in columns])
     named = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    rows = left.select(named.alias("key"), F.col(f"`{left_time}`").cast("timestamp").alias("t"), whole(left).alias("row"))
-    order = F.struct(*[F.col(f"`{c}`") for c in [*(tie or []), *[c for c in right.columns if c not in (tie or [])]]])
-    seen = right.select(named.alias("key"), F.col(f"`{right_time}`").cast("timestamp").alias("t"), order.alias("order"), whole(right).alias("match"))
+    by_tie = [*(tie or []), *[c for c in right.columns if c not in (tie or [])]]
+    rows = left.select(named.alias("key"), F.col(f"`{left_time}`").cast("timestamp").alias("t"), whole(left.columns).alias("row"))
+    seen = right.select(named.alias("key"), F.col(f"`{right_time}`").cast("timestamp").alias("t"), whole(by_tie).alias("order"))
     full = F.forall(F.array(*[F.col(f"key.k{i}").isNull() for i in range(len(on))]), lambda x: ~x) & F.col("t").isNotNull()
     rows = rows.withColumn("full", full)
     given = seen.where(full).withColumn("bucket", bucket(F.col("t")))
     asked = rows.where("full").withColumn("bucket", bucket(F.col("t")))
-    both = given.select("key", "bucket", "t", F.lit(0).alias("side"), "order", "match", F.lit(None).cast(rows.schema["row"].dataType).alias("row")).unionByName(
-        asked.select("key", "bucket", "t", F.lit(1).alias("side"), F.lit(None).cast(given.schema["order"].dataType).alias("order"), F.lit(None).cast(given.schema["match"].dataType).alias("match"), "row"))
-    ends = both.groupBy("key", "bucket").agg(F.max_by("match", F.when(F.col("side") == 0, F.struct("t", "order"))).alias("last"))
+    both = given.select("key", "bucket", "t", F.lit(0).cast("byte").alias("side"), "order", F.lit(None).cast(rows.schema["row"].dataType).alias("row")).unionByName(
+        asked.select("key", "bucket", "t", F.lit(1).cast("byte").alias("side"), F.lit(None).cast(given.schema["order"].dataType).alias("order"), "row"))
+    inside = Window.partitionBy("key", "bucket").orderBy("t", "side", "order")
+    told = both.withColumn("own", F.last("order", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("end", F.lead(F.lit(True)).over(inside).isNull())
+    # the last row of a range has what the ranges after it inherit
+    ends = told.where("end").select(F.col("key").alias("key"), F.col("bucket").alias("bucket"), F.col("own").alias("last"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select("key", "bucket", F.last("last", ignorenulls=True).over(before).alias("inherited"))
-    inside = Window.partitionBy("key", "bucket").orderBy("t", "side", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("own", F.last("match", ignorenulls=True).over(inside)).where("side = 1").join(ends, ["key", "bucket"])
-    out = found.select("row", F.coalesce("own", "inherited").alias("match"))
-    none = rows.where("NOT full").select("row", F.lit(None).cast(given.schema["match"].dataType).alias("match"))
-    return out.unionByName(none).select("row.*", "match")
+    found = told.where("side = 1").join(ends, ["key", "bucket"]).withColumn("last", F.coalesce("own", "inherited"))
+    match = F.when(F.col("last").isNotNull(), F.struct(*[F.col("last").getField(c).alias(c) for c in right.columns]))
+    none = rows.where("NOT full").select("row", F.lit(None).cast(right.schema).alias("match"))
+    return found.select("row", match.alias("match")).unionByName(none).select("row.*", "match")

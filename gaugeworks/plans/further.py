@@ -17,7 +17,8 @@ from gaugeworks.streaming import ledger, monitors
 def last_shipment_before_order(spark, sf_dir):
     """The last shipment that each account got by the day of each of its orders."""
     orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("ordered"))
-    sent = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("day")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "day").agg(F.max("l_orderkey").alias("sent"))
+    sent = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("day")).join(orders.select("o_orderkey", "o_custkey").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "day", F.col("l_orderkey").alias("sent"))
+    # of shipments of one day the tie takes the greatest order; orders grow, so they are never broadcast
     found = asof.asof_join(orders, sent, ["o_custkey"], "ordered", "day", ["sent"])
     return found.select("o_orderkey", "ordered", F.col("match.day").alias("last_shipment"), F.col("match.sent").alias("last_order"))
 

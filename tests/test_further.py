@@ -39,6 +39,21 @@ def test_queries_without_sql(spark, small):
     assert trees.where("left <> node").count() > 0 and trees.select("node").distinct().count() == trees.count()
 
 
+def test_last_shipments_are_sorted_once_and_never_broadcast(spark, small):
+    """No aggregate, which would sort or hash all rows once more, and no copy of the orders in every task's memory."""
+    plan = further.last_shipment_before_order(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "BroadcastHashJoin [l_orderkey" not in plan and "SortMergeJoin [l_orderkey" in plan
+
+
+def test_asof_join_of_types_and_names_of_both_sides(spark):
+    """The match has right's columns in their order and types; names may be those that the join uses itself."""
+    left = spark.createDataFrame([(1, datetime(2000, 1, 5), "x"), (1, datetime(2000, 3, 5), "y"), (2, datetime(2000, 1, 5), "z")], "key int, t timestamp, own string")
+    right = spark.createDataFrame([(1, datetime(2000, 1, 5), "b", 7), (1, datetime(2000, 1, 5), "c", 3)], "key int, t timestamp, last string, row int").select("row", "last", F.col("key").cast("long").alias("key"), "t")
+    got = asof_join(left, right.withColumn("key", F.col("key").cast("int")), ["key"], "t", "t", ["row"])
+    assert got.columns == ["key", "t", "own", "match"] and got.schema["match"].dataType.names == ["row", "last", "key", "t"]
+    assert sorted((r["own"], r["match"] and (r["match"]["row"], r["match"]["last"])) for r in got.collect()) == [("x", (7, "b")), ("y", (7, "b")), ("z", None)]
+
+
 def test_asof_join_equals_plain_version(spark):
     rng = random.Random(6)
     t = lambda: datetime(2000, 1, 1) + timedelta(hours=rng.randrange(24 * 60))
