@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,13 +51,17 @@ def freshness(events: DataFrame, sla_minutes: int, sink: list, now: str, every:
 
 
 def prior_updates(feedback: DataFrame) -> DataFrame:
-    """metric, hypothesis_id, prior after each batch of grades, kept as state by key."""
+    """metric, hypothesis_id, prior after each batch of grades, kept as state by key.
+
+    A batch's grades of a key come in several frames, in no order across them: those that change a prior are kept
+    as two numbers (nine bytes) each and folded in order of seq, ties as in feedback.priors, after the last frame."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         prior = state.get[0] if state.exists else 1.0
-        for f in frames:
-            for g in f.sort_values("seq")["grade"]:
-                prior = min(CAP, prior * ACCEPT) if g == "accept" else max(FLOOR, prior * REJECT) if g == "reject" else prior
+        decided = [(f["seq"].to_numpy(), (f["grade"] == "reject").to_numpy()) for f in (f[f["grade"].isin(("accept", "reject"))] for f in frames)]
+        seq, rejected = (np.concatenate(x) for x in zip(*decided, strict=True))
+        for down in rejected[np.lexsort((rejected, seq))]:
+            prior = max(FLOOR, prior * REJECT) if down else min(CAP, prior * ACCEPT)
         state.update((prior,))
         yield pd.DataFrame({"metric": [key[0]], "hypothesis_id": [key[1]], "prior": [prior]})
 
