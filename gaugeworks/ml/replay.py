@@ -156,7 +156,7 @@ def replay_all(fact: DataFrame, ships: DataFrame, episodes: DataFrame, contract:
         themes = fact.sparkSession.createDataFrame([(k, t, list(w)) for k, (t, w) in retrieval.THEMES.items()], "driver_type string, theme string, terms array<string>")
         scope = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.array(F.concat(F.lit(f"{d}="), F.col(c)))) for c, d in (("warehouse", "warehouse_id"), ("region", "region")) if d in index.dimensions])) if index.dimensions else F.lit(None).cast("array<array<string>>")
         told = rows.join(F.broadcast(themes), "driver_type").select(F.col("hyp").alias("ask"), F.date_sub("ws", F.coalesce("mechanism_lag_days", F.lit(0.0)).cast("int")).alias("lo"), F.col("we").alias("hi"), "terms", scope.alias("scope"), "theme")
-        best, _ = postings.best_visible(postings.retrieve(index, told.drop("theme")), index.documents, F.lit(True))
+        best, _ = postings.best_visible(postings.retrieve(index, told.drop("theme")), index.documents, F.lit(True), pool=postings.POOL)
         heard = postings.corroborated(best, told.select("ask", "theme"), retrieval.RIVALS).select(F.col("ask").alias("hyp"), *said)
         rows = rows.join(heard, "hyp", "left")
     else:

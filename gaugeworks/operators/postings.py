@@ -19,6 +19,8 @@ from gaugeworks.sources.store import shared_folder, stored
 
 #: What is known of every document beside its text: of one type each, so null where a source lacks it.
 META = ("theme", "author_role", "type", "account_id", "domain")
+#: How many of a question's best an investigation's evidence is taken from, and its count of withheld texts.
+POOL = 36
 
 
 @dataclass(frozen=True)
@@ -102,15 +104,16 @@ def _wanted(days: DataFrame) -> DataFrame:
     return days.select("ask", "scope", "day", F.explode(counts).alias("t")).select("ask", "scope", "day", "t.term", "t.w")
 
 
-def best_visible(scored: DataFrame, documents: DataFrame, visible: Column, k: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(ask, doc_id, score, rank and META of each question's best k documents that may be seen, of its
-    best 3k; ask, domain, n of those withheld).
+def best_visible(scored: DataFrame, documents: DataFrame, visible: Column, k: int = 12, pool: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ask, doc_id, score, rank and META of each question's best k documents that may be seen; ask, domain,
+    n of those withheld).
 
-    visible: a condition over META and dims. Ranks are per question; a partition's own best 3k are all
-    that leaves it."""
+    visible: a condition over META and dims. Every document with a score is looked at, however many better ones
+    are withheld; pool: only a question's best that many are, whatever may be seen of them. Ranks are per
+    question; a partition's own best k (or pool) are all that leaves it."""
     order = Window.partitionBy("ask").orderBy(F.desc("score"), "doc_id")
-    top = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 3 * k)
-    known = top.join(documents.select("doc_id", "dims", *META), "doc_id").withColumn("_seen", F.coalesce(visible, F.lit(False)))
+    asked = scored if pool is None else scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pool)
+    known = asked.join(documents.select("doc_id", "dims", *META), "doc_id").withColumn("_seen", F.coalesce(visible, F.lit(False)))
     seen = known.where("_seen").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return seen.select("ask", "doc_id", "score", "rank", *META), known.where("NOT _seen").groupBy("ask", "domain").agg(F.count(F.lit(1)).alias("n"))
 

@@ -52,17 +52,21 @@ def postings_scores(spark, sf_dir):
     return _scored(spark, sf_dir)[1]
 
 
-_TOP = _ASKED + """, t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ask ORDER BY score DESC, doc_id) AS r FROM sc WHERE score > 0),
- v AS (SELECT t.ask, t.doc_id, t.score, source, lang, ROW_NUMBER() OVER (PARTITION BY t.ask ORDER BY t.score DESC, t.doc_id) AS rank FROM t JOIN documents d USING (doc_id) WHERE r <= 36 AND source <> 'web')"""
+_VISIBLE = _ASKED + """, v AS (SELECT ask, doc_id, score, ROW_NUMBER() OVER (PARTITION BY ask ORDER BY score DESC, doc_id) AS rank FROM sc JOIN documents USING (doc_id) WHERE score > 0 AND source <> 'web')"""
 
 
-@query(_TOP + " SELECT ask, doc_id, score, CAST(rank AS INTEGER) AS rank FROM v WHERE rank <= 12")
+@query(_VISIBLE + " SELECT ask, doc_id, score, CAST(rank AS INTEGER) AS rank FROM v WHERE rank <= 12")
 def postings_evidence(spark, sf_dir):
-    """Each question's best dozen that a reader without the web domain may see."""
+    """Each question's best dozen that a reader without the web domain may see, of every document with a score."""
     index, scored = _scored(spark, sf_dir)
     return postings.best_visible(scored, index.documents, F.col("domain") != "web")[0].select("ask", "doc_id", "score", "rank")
 
 
+#: As an investigation does (postings.POOL): of a question's best three dozen, those that may be seen.
+_TOP = _ASKED + """, t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ask ORDER BY score DESC, doc_id) AS r FROM sc WHERE score > 0),
+ v AS (SELECT t.ask, t.doc_id, t.score, source, lang, ROW_NUMBER() OVER (PARTITION BY t.ask ORDER BY t.score DESC, t.doc_id) AS rank FROM t JOIN documents d USING (doc_id) WHERE r <= 36 AND source <> 'web')"""
+
+
 _RIVAL_SQL = "['" + "', '".join((*RIVALS, "routine")) + "']"
 
 
@@ -74,7 +78,7 @@ _RIVAL_SQL = "['" + "', '".join((*RIVALS, "routine")) + "']"
 def postings_corroboration(spark, sf_dir):
     """Whether each question's evidence agrees on the first theme or speaks for a rival."""
     index, scored = _scored(spark, sf_dir)
-    found, _ = postings.best_visible(scored, index.documents, F.col("domain") != "web")
+    found, _ = postings.best_visible(scored, index.documents, F.col("domain") != "web", pool=postings.POOL)
     wanted = _asks(spark, sf_dir).select("ask", F.lit(RIVALS[0]).alias("theme"))
     return _r(postings.corroborated(found, wanted, RIVALS).drop("corroborated", "conflicting_themes"), 6)
 

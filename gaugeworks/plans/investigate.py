@@ -201,7 +201,7 @@ def corroborations(found: list[dict], lags: dict[str, int], ws: date, we: date,
     visible = ~F.coalesce(F.col("domain").isin(list(reader.deny_domains)), F.lit(False))
     for column, allowed in reader.row_filter.items():
         visible = visible & F.arrays_overlap("dims", F.array(*[F.lit(f"{column}={v}") for v in allowed]))
-    best, withheld = postings.best_visible(postings.retrieve(index, frame.drop("theme")), index.documents, visible)
+    best, withheld = postings.best_visible(postings.retrieve(index, frame.drop("theme")), index.documents, visible, pool=postings.POOL)
     hidden: dict[str, dict] = {}
     for r in withheld.collect():
         why, own = f"domain:{r['domain']}" if r["domain"] in reader.deny_domains else "row", hidden.setdefault(r["ask"], {})
