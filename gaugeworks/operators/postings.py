@@ -82,14 +82,16 @@ def retrieve(index: Index, asks: DataFrame) -> DataFrame:
     """ask, doc_id, score: BM25 of every document with a positive score in its question's window and scope.
 
     asks: ask, lo, hi (dates, both included), terms (array, repeats count each), scope (see scope_of, or
-    null). A question's days are sent to the day of each posting: an equality join. Documents are counted by
+    null). A question's days are sent to the day of each posting: an equality join, before which postings of terms
+    that no question has are left out where they lie (the questions' distinct terms are broadcast). Documents are counted by
     day and dimensions before questions meet them. Scores are not rounded. Questions need different keys."""
     days = asks.where("lo <= hi").select("ask", "scope", "terms", F.explode(F.sequence("lo", "hi")).alias("day"))
     cells = index.documents.groupBy("day", "dims").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"))
     seen = cells.join(days.drop("terms"), "day").where(_inside())
     stats = seen.groupBy("ask").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("mean"))
     wanted = _wanted(days)
-    hits = index.postings.join(wanted, ["day", "term"]).where(_inside()).select("ask", "term", "doc_id", "tf", "dl", "w")
+    asked = index.postings.join(F.broadcast(asks.select(F.explode("terms").alias("term")).distinct()), "term", "left_semi")
+    hits = asked.join(wanted, ["day", "term"]).where(_inside()).select("ask", "term", "doc_id", "tf", "dl", "w")
     having = hits.groupBy("ask", "term").agg(F.count(F.lit(1)).alias("df"))
     told = hits.join(having, ["ask", "term"]).join(stats, "ask")
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -65,3 +65,14 @@ def test_best_visible_counts_all_withheld_or_those_of_a_pool(spark):
     assert {r["domain"]: r["n"] for r in withheld.collect()} == {"web": 40, None: 5}
     found, withheld = postings.best_visible(scored, documents, visible, 4, pool=42)
     assert [r["doc_id"] for r in found.collect()] == [41] and {r["domain"]: r["n"] for r in withheld.collect()} == {"web": 40, None: 1}
+
+
+def test_postings_of_terms_that_nobody_asks_for_stay_where_they_lie(spark):
+    from gaugeworks.operators import postings
+
+    docs = [(k, "2000-03-01", f"token word{k} word{k + 1}") for k in range(50)] + [(50, "2000-03-01", "version")]
+    index = postings.build(spark.createDataFrame(docs, "doc_id long, day string, text string"), ())
+    asks = spark.createDataFrame([("a", ["token", None]), ("b", ["version", "version"]), ("c", []), ("d", None)], "ask string, terms array<string>").selectExpr("ask", "date'2000-02-01' AS lo", "date'2000-04-01' AS hi", "terms", "CAST(NULL AS array<array<string>>) AS scope")
+    found = postings.retrieve(index, asks)
+    assert "LeftSemi, BuildRight" in found._jdf.queryExecution().sparkPlan().toString()
+    assert {(r["ask"], r["doc_id"]) for r in found.collect()} == {("a", k) for k in range(50)} | {("b", 50)}
